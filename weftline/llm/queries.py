@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, substrings
+from . import decontaminate, jaccard_trie, line_dedup, mixing, quality, substrings
 from .store import table
 
 
@@ -15,6 +15,16 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 4).alias("distance"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The component of near-duplicates of every document."""
+    return jaccard_trie.near_duplicates(table(spark, folder, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of every document, and those that repeat an earlier line of the corpus, exactly or nearly."""
+    return line_dedup.line_report(table(spark, folder, "documents")).drop("version")
+
+
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document inside 10-word windows of benchmark items."""
     out = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10)
@@ -33,7 +43,12 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, folder, "documents"), 50).drop("kept_text")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op8_decontaminate, op9_substring_dedup)}
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words the mix takes of every document."""
+    return mixing.taken(table(spark, folder, "documents")).drop("source")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard_join, op5_line_dedup, op8_decontaminate, op9_substring_dedup, op10_mixing)}
 
 _OP8 = r"""
 WITH w AS (
@@ -71,4 +86,23 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed,
 FROM w LEFT JOIN g USING (doc_id)
 """
 
-SQL = {"op8_decontaminate": _OP8, "op9_substring_dedup": _OP9}
+_OP2 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, md5_number(array_to_string(list_slice(words, i, i + 4), ' ')) AS h
+  FROM w, LATERAL (SELECT unnest(range(1, greatest(len(words) - 3, 2))) AS i) WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+f AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+s AS (SELECT doc_id, h FROM g SEMI JOIN f USING (h)),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n k ON k.doc_id = b WHERE 100 * o >= 75 * (m.n + k.n - o)),
+ab AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS root FROM documents UNION SELECT ab.b, r.root FROM r JOIN ab ON r.a = ab.a WHERE r.root < ab.b)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(root) AS component_id FROM r GROUP BY a) USING (doc_id)
+"""
+
+SQL = {
+    "op2_ngram_jaccard_join": _OP2,
+    "op8_decontaminate": _OP8, "op9_substring_dedup": _OP9}

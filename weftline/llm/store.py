@@ -5,23 +5,31 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``; only a local session
-    without that setting gets a temporary one.
+    Only a local session without that setting gets a temporary one.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="weftline-")
+    current = context._jsc.sc().getCheckpointDir()
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and current.isDefined():
+        folder = current.get()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="weftline-")
+    if current.isEmpty():
         context.setCheckpointDir(folder)
+    return folder
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -33,3 +41,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def spread(df: DataFrame, rows: int, per_task: int = 50_000) -> int:
     """Partitions for ``rows`` rows: as the session says, or more if tasks would exceed ``per_task`` rows."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
+
+
+#: Most ids that are sent to every executor to select rows, at 16 bytes each.
+BROADCAST_IDS = 500_000
+
+
+def having(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows of docs whose column is among the ids.
+
+    Up to BROADCAST_IDS ids are broadcast, so no text is shuffled that isn't
+    asked for; with more of them Spark joins by shuffling both sides.
+    """
+    ids = ids.select(column).distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, column, "left_semi")

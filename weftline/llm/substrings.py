@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import keep
+from .store import having, keep
 from .words import Words, chunks, cover, signed, space_table, span_hashes
 
 KMER = 12
@@ -194,8 +194,8 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
     lead = base.where(F.size("marks") > 0).groupBy("ver", "ver2", "n_words").agg(F.min("doc_id").alias("doc_id"), F.first("marks").alias("marks"))
     marks = lead.where("doc_id is not null").select("doc_id", F.explode("marks").alias("mark"))
     shared = marks.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("mark")
-    wanted = marks.join(shared, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
-    edges = keep(docs.join(wanted, "doc_id").select("doc_id", "text", "marks").mapInArrow(_edges(window), "edge long, doc_id long, ver long, pos long"))
+    wanted = keep(marks.join(shared, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")))
+    edges = keep(having(docs, wanted).join(wanted, "doc_id").select("doc_id", "text", "marks").mapInArrow(_edges(window), "edge long, doc_id long, ver long, pos long"))
     first = edges.groupBy("edge").agg(F.min(F.struct("doc_id", "ver", "pos")).alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last")
     repeat = (
         edges.join(first.select("edge", F.col("at.doc_id").alias("sdoc"), F.col("at.ver").alias("sver"), F.col("at.pos").alias("spos")), "edge")
@@ -229,10 +229,10 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     base, spans = repeated_spans(docs, window)
     spans = keep(spans)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ask = spans.select("sdoc", "sver", "sstart", "n").distinct().groupBy(F.col("sdoc").alias("doc_id")).agg(F.collect_list(F.struct(F.col("sver").alias("ver"), F.col("sstart").alias("start"), "n")).alias("ask"))
-    digests = texts.join(ask, "doc_id").select("doc_id", "text", "ask").mapInArrow(_source_digests, "sdoc long, sver long, sstart long, n long, digest string").distinct()
-    sure = spans.join(digests, ["sdoc", "sver", "sstart", "n"]).groupBy("doc_id").agg(F.collect_list(F.struct("ver", "start", "n", "digest")).alias("spans"))
-    changed = texts.join(sure, "doc_id").select("doc_id", "text", "spans").mapInArrow(_apply, "doc_id long, ver long, n_removed long, sha string, text string")
+    ask = keep(spans.select("sdoc", "sver", "sstart", "n").distinct().groupBy(F.col("sdoc").alias("doc_id")).agg(F.collect_list(F.struct(F.col("sver").alias("ver"), F.col("sstart").alias("start"), "n")).alias("ask")))
+    digests = having(texts, ask).join(ask, "doc_id").select("doc_id", "text", "ask").mapInArrow(_source_digests, "sdoc long, sver long, sstart long, n long, digest string").distinct()
+    sure = keep(spans.join(digests, ["sdoc", "sver", "sstart", "n"]).groupBy("doc_id").agg(F.collect_list(F.struct("ver", "start", "n", "digest")).alias("spans")))
+    changed = having(texts, sure).join(sure, "doc_id").select("doc_id", "text", "spans").mapInArrow(_apply, "doc_id long, ver long, n_removed long, sha string, text string")
     changed = changed.groupBy("doc_id", "ver").agg(F.first("n_removed").alias("gone"), F.first("sha").alias("left_sha"), F.first("text").alias("kept_text"))
     whole = (F.col("rep") < F.col("doc_id")) & (F.col("n_words") >= window)
     return base.join(changed, ["doc_id", "ver"], "left").select(
