@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_trie, licenses, line_dedup, mixing, pii, quality, substrings
+from . import chat, decontaminate, jaccard_trie, licenses, line_dedup, lm, mixing, pii, quality, substrings
 from .store import table
 
 
@@ -54,6 +54,11 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of every document: of its words by count, and of the attention model."""
+    return lm.score(table(spark, folder, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document inside 10-word windows of benchmark items."""
     out = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10)
@@ -77,7 +82,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard_join, op3_chat_format, op4_license_scan, op5_line_dedup, op6_pii, op8_decontaminate, op9_substring_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard_join, op3_chat_format, op4_license_scan, op5_line_dedup, op6_pii, op7_lm_score, op8_decontaminate, op9_substring_dedup, op10_mixing)}
 
 _OP8 = r"""
 WITH w AS (
