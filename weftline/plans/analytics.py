@@ -310,9 +310,9 @@ def attention_heatmap(spark, folder):
 
 
 @query(f"""WITH {_attention(4)}, y AS (SELECT grp, pos AS k, CAST(head AS INTEGER) AS head, generate_subscripts(e, 1) - 1 AS dim, unnest(e) AS x FROM h)
-SELECT w.grp AS "group", w.head, q, CAST(dim AS INTEGER) AS dim, round(sum(weight * x), 5) AS value FROM w JOIN y ON y.grp = w.grp AND y.head = w.head AND y.k = w.k GROUP BY ALL""")
+SELECT w.grp AS "group", w.head, q, CAST(dim AS INTEGER) AS dim, round(sum(weight * x), 5) + 0.0::DOUBLE AS value FROM w JOIN y ON y.grp = w.grp AND y.head = w.head AND y.k = w.k GROUP BY ALL""")
 def multi_head_attention(spark, folder):
-    return numeric.attend(_sequences(spark, folder), 4).withColumn("value", F.round("value", 5))
+    return numeric.attend(_sequences(spark, folder), 4).withColumn("value", F.round("value", 5) + F.lit(0.0))
 
 
 @query("""SELECT x AS pos, CAST(i AS INTEGER) AS dim, round(CASE WHEN i % 2 = 0 THEN sin(x / pow(10000.0::DOUBLE, (i - i % 2) / 8.0)) ELSE cos(x / pow(10000.0::DOUBLE, (i - i % 2) / 8.0)) END, 6) AS value FROM (SELECT DISTINCT l_linenumber AS x FROM lineitem), range(0, 8) g(i)""")
