@@ -11,12 +11,12 @@
    pass, come last and are not counted, so no bucket gathers a hot one.
 3. Each n-gram of a prefix ties its documents to the least of them. The
    connected parts of these ties are the blocks; all links are inside a block.
-4. In a block the sets are stored in a radix trie, shortest first, and each is
-   looked up before it is stored: overlaps are summed along shared paths, and a
-   subtree is left as soon as the tokens that remain can't reach the required
-   overlap, or if all its sets are connected with the probe already. A block of
-   over ``BLOCK_SETS`` sets is dealt into segments, and each pair of segments
-   is a task of its own.
+4. The sets of a block are stored in a radix trie. Every set is looked up among
+   those that are not longer: overlaps are summed along shared paths, level by
+   level, and a subtree is left as soon as the n-grams that remain can't reach
+   the required overlap, or if all its sets are connected with the probe
+   already. A block of over ``BLOCK_SETS`` sets is dealt into segments, and
+   each pair of segments is a task of its own.
 """
 
 from __future__ import annotations
@@ -37,8 +37,10 @@ SHARE = 0.4
 #: N-grams in this share of the documents or more come last in the order.
 FREQUENT = 0.01
 #: Counted n-grams in one bucket.
-BUCKET = 2_000_000
-#: Sets in one trie, per segment.
+BUCKET = 1_000_000
+#: N-grams that are packed together.
+PACK = 500_000
+#: Sets in one segment; a trie holds those of two segments at most.
 BLOCK_SETS = 2_000
 
 _LIMIT = np.uint64(int(SHARE * 2**64))
@@ -71,39 +73,32 @@ def _prefix_size(n, num: int):
 
 
 def _first_pass(n: int):
-    """Rows of documents (doc_id, n, k, f1, f2), and rows of frequent n-grams (gram, df) of the batch."""
+    """Rows of documents (doc_id, n, k, f1, f2), and rows of n-grams (gram, df) that are frequent in a run of texts."""
 
     def run(batches):
         for batch in batches:
-            sets = [s for _, x in _sets(batch.column("text"), n) for s in x]
-            f1, f2 = _prints(sets)
-            size = np.array([len(s) for s in sets], np.int64)
-            low = np.array([np.searchsorted(s, _LIMIT) for s in sets], np.int64)
-            seen, often = _frequent(sets, max(4, FREQUENT / 2 * len(sets)))
-            m = len(sets)
-            none = lambda k, t: pa.nulls(k, t)
-            join = lambda x, y: pa.concat_arrays([pa.array(x) if not isinstance(x, pa.Array) else x, pa.array(y) if not isinstance(y, pa.Array) else y])
-            j, long = len(seen), pa.int64()
-            yield pa.RecordBatch.from_arrays(
-                [join(batch.column("doc_id"), none(j, long)), join(size, none(j, long)), join(low, none(j, long)), join(f1, none(j, long)), join(f2, none(j, long)), join(none(m, long), signed(seen)), join(none(m, long), often)],
-                ["doc_id", "n", "k", "f1", "f2", "gram", "df"],
-            )
+            for a, sets in _sets(batch.column("text"), n):
+                f1, f2 = _prints(sets)
+                size = np.array([len(s) for s in sets], np.int64)
+                low = np.array([np.searchsorted(s, _LIMIT) for s in sets], np.int64)
+                m = len(sets)
+                kinds = [pa.int64()] * 7
+                names = ["doc_id", "n", "k", "f1", "f2", "gram", "df"]
+                own = [batch.column("doc_id").slice(a, m), size, low, f1, f2, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(own, kinds, strict=True)], names)
+                seen, often = _frequent(sets, max(3, FREQUENT / 2 * m))
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(seen), pa.int64()) for _ in range(5)), pa.array(signed(seen)), pa.array(often)], names)
 
     return run
 
 
 def _frequent(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Low n-grams that stand in ``least`` or more of the sets, counted slice by slice of the hash range."""
-    found = []
-    steps = max(1, sum(map(len, sets)) // 1_000_000)
-    edges = np.append((np.arange(steps) * (float(_LIMIT) / steps)).astype(np.uint64), _LIMIT)
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        part = np.sort(np.concatenate([np.zeros(0, np.uint64), *(s[np.searchsorted(s, a) : np.searchsorted(s, b)] for s in sets)]))
-        start = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-        count = np.diff(np.append(start, len(part)))
-        big = count >= least
-        found.append((part[start[big]], count[big].astype(np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    """Low n-grams that stand in ``least`` or more of the sets, and in how many."""
+    part = np.sort(np.concatenate([np.zeros(0, np.uint64), *(s[: np.searchsorted(s, _LIMIT)] for s in sets)]))
+    start = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    count = np.diff(np.append(start, len(part)))
+    big = count >= least
+    return part[start[big]], count[big].astype(np.int64)
 
 
 def _packed(n: int, num: int, buckets: int, frequent):
@@ -115,18 +110,10 @@ def _packed(n: int, num: int, buckets: int, frequent):
     def run(batches):
         hot = frequent.value
         width = int(_LIMIT) // buckets + 1
-        for number, batch in enumerate(batches):
-            sets = [s for _, x in _sets(batch.column("text"), n) for s in x]
-            ids = _prints(sets)[0]
-            _, first = np.unique(ids, return_index=True)
-            grams, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
-            for i in first.tolist():
-                s = sets[i]
-                k, p = int(np.searchsorted(s, _LIMIT)), _prefix_size(len(s), num) if len(s) else 0
-                own = s[: max(k, p)]
-                grams.append(own)
-                owners.append(np.full(len(own), i, np.uint32))
-            g, o = np.concatenate(grams), np.concatenate(owners)
+        number = 0
+
+        def flush(ids, grams, owners):
+            ids, g, o = np.array(ids, np.int64), np.concatenate(grams), np.concatenate(owners)
             bucket = ((g % _LIMIT) // np.uint64(width)).astype(np.int32)
             if len(hot):
                 bucket[hot[np.minimum(np.searchsorted(hot, g), len(hot) - 1)] == g] = -1 - number % buckets
@@ -139,13 +126,30 @@ def _packed(n: int, num: int, buckets: int, frequent):
                 docs, own = np.unique(o[x:y], return_inverse=True)
                 rows.append((b, ids[docs].tobytes(), g[x:y].tobytes(), own.astype(np.uint32 if len(docs) > 65_000 else np.uint16).tobytes()))
             cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "ids", "grams", "owners"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "ids", "grams", "owners"])
+
+        ids, grams, owners, held = {}, [], [], 0
+        for batch in batches:
+            for _, sets in _sets(batch.column("text"), n):
+                for s, f in zip(sets, _prints(sets)[0].tolist(), strict=True):
+                    if len(s) and f not in ids:
+                        own = s[: max(int(np.searchsorted(s, _LIMIT)), _prefix_size(len(s), num))]
+                        grams.append(own)
+                        owners.append(np.full(len(own), len(ids), np.uint32))
+                        ids[f] = True
+                        held += len(own)
+                if held >= PACK:
+                    yield flush(list(ids), grams, owners)
+                    number += 1
+                    ids, grams, owners, held = {}, [], [], 0
+        if held:
+            yield flush(list(ids), grams, owners)
 
     return run
 
 
 def _counted(group: pa.Table) -> pa.Table:
-    """(f1, grams, dfs): of each set the n-grams of this bucket that other sets have too."""
+    """(f1, gram, df): of each set the n-grams of this bucket that other sets have too."""
     g, d = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for ids, grams, owners in zip(*(group.column(c).to_pylist() for c in ("ids", "grams", "owners")), strict=True):
         ids = np.frombuffer(ids, np.int64)
@@ -162,12 +166,7 @@ def _counted(group: pa.Table) -> pa.Table:
     if group.column("bucket")[0].as_py() < 0:
         df[:] = 2**31 - 1
     several = df > 1
-    g, d, df = g[several], d[several], df[several]
-    order = np.argsort(d, kind="stable")
-    g, d, df = g[order], d[order], df[order].astype(np.int32)
-    docs, start = np.unique(d, return_index=True)
-    off = pa.array(np.append(start, len(d)).astype(np.int32))
-    return pa.Table.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(off, pa.array(signed(g))), pa.ListArray.from_arrays(off, pa.array(df))], ["f1", "grams", "dfs"])
+    return pa.Table.from_arrays([pa.array(d[several]), pa.array(signed(g[several])), pa.array(df[several].astype(np.int32))], ["f1", "gram", "df"])
 
 
 def _prefixes(num: int):
@@ -217,116 +216,183 @@ def _full_sets(n: int):
     return run
 
 
-class _Node:
-    """A run of n-grams that all sets below share, and what follows it."""
-
-    __slots__ = ("ends", "kids", "least", "most", "one", "run", "same")
-
-    def __init__(self, run, least, most, one, same=True):
-        self.run, self.least, self.most, self.one, self.same, self.kids, self.ends = run, least, most, one, same, {}, []
-
-
 class Trie:
-    """Sets in ascending order of n-grams, stored by add() from the shortest to the longest; unites those that link."""
+    """Sets of n-grams (sorted arrays) as a radix trie in flat arrays, and a union-find over them.
+
+    Nodes are runs of n-grams that all sets below share. The sets are in
+    lexicographic order, so that the sets below a node are neighbours.
+    """
 
-    def __init__(self, num: int):
-        self.num, self.up, self.top = num, [], _Node(np.zeros(0, np.uint64), 1 << 60, 0, 0)
+    def __init__(self, sets: list[np.ndarray], num: int):
+        self.num = num
+        # n-grams by their rank among those of the sets, which keeps their order
+        size = np.array([len(s) for s in sets], np.int64)
+        own = np.append(0, np.cumsum(size))
+        self.grams, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        ranks = [flat[own[i] : own[i + 1]].astype(np.int32) for i in range(len(sets))]
+        self.order = sorted(range(len(sets)), key=lambda i: ranks[i].astype(">i4").tobytes())
+        self.sets, self.size = [ranks[i] for i in self.order], size[self.order]
+        self.up = np.arange(len(sets))
+        self._build()
+
+    def _build(self) -> None:
+        n = len(self.sets)
+        common = np.zeros(n + 1, np.int64)
+        for i in range(1, n):
+            a, b = self.sets[i - 1], self.sets[i]
+            m = min(len(a), len(b))
+            differ = np.flatnonzero(a[:m] != b[:m])
+            common[i] = differ[0] if len(differ) else m
+        # nodes as (first set, end, depth, parent), from the common prefixes of neighbours
+        nodes: list[list[int]] = [[0, n, 0, -1]]
+        stack = [0]
+        for i in range(n):
+            depth = int(common[i])
+            last = -1
+            while nodes[stack[-1]][2] > depth:
+                last = stack.pop()
+                nodes[last][1] = i
+            if nodes[stack[-1]][2] < depth:  # a new branching point over what was closed last
+                new = len(nodes)
+                nodes.append([nodes[last][0], n, depth, stack[-1]])
+                nodes[last][3] = new
+                stack.append(new)
+            nodes.append([i, i + 1, len(self.sets[i]), stack[-1]])
+            stack.append(len(nodes) - 1)
+            # a set's own node is closed by the next common prefix, which is never deeper
+            if i + 1 < n and nodes[stack[-1]][2] <= common[i + 1]:
+                stack.pop()
+                if nodes[stack[-1]][2] < common[i + 1]:
+                    new = len(nodes)
+                    nodes.append([i, n, int(common[i + 1]), stack[-1]])
+                    nodes[new - 1][3] = new
+                    stack.append(new)
+        low, high, depth, parent = (np.array(c, np.int64) for c in zip(*nodes, strict=True))
+        self.low, self.high, self.depth = low, high, depth
+        self.leaf = np.full(len(nodes), -1, np.int64)
+        own = (high - low == 1) & (depth == self.size[np.minimum(low, n - 1)])
+        self.leaf[own] = low[own]
+        above = np.where(parent >= 0, depth[np.maximum(parent, 0)], 0)
+        self.above = above
+        runs = [self.sets[low[i]][above[i] : depth[i]] for i in range(len(nodes))]
+        self.run_start = np.append(0, np.cumsum([len(r) for r in runs])).astype(np.int64)
+        self.runs = np.concatenate(runs)
+        self.kids = np.argsort(parent, kind="stable")
+        self.kid_start = np.searchsorted(parent[self.kids], np.arange(len(nodes) + 1))
+        self.least = np.array([self.size[a:b].min() for a, b in zip(low, high, strict=True)])
+        self.most = np.array([self.size[a:b].max() for a, b in zip(low, high, strict=True)])
+        # the order in which a walk enters and leaves the nodes: sums along paths are then one running sum
+        self.enter, self.leave = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
+        walk, at = [0], 0
+        while walk:
+            i = walk.pop()
+            (self.enter if i >= 0 else self.leave)[i if i >= 0 else ~i] = at
+            at += 1
+            if i >= 0:
+                walk += [~i, *self.kids[self.kid_start[i] : self.kid_start[i + 1]].tolist()]
+        self.ends = np.flatnonzero(self.leaf >= 0)
+        size = np.diff(self.run_start)
+        walk = np.zeros(2 * len(nodes), np.int64)
+        walk[self.enter] = size
+        walk = np.cumsum(walk)
+        self.below = walk[self.leave] - walk[self.enter] + size
+        self._refresh()
+
+    def _all(self, mark: np.ndarray, n: int) -> np.ndarray:
+        """The sets, not longer than n, that link with the marked one, from the overlaps of all."""
+        upto = np.zeros(len(self.runs) + 1, np.int32)
+        np.cumsum(mark[self.runs], out=upto[1:])
+        hits = upto[self.run_start[1:]] - upto[self.run_start[:-1]]
+        walk = np.zeros(2 * len(hits), np.int32)
+        walk[self.enter], walk[self.leave] = hits, -hits
+        shared = np.cumsum(walk)[self.enter[self.ends]]
+        own = self.leaf[self.ends]
+        size = self.size[own]
+        return own[(size <= n) & (shared >= -(-self.num * (n + size) // (100 + self.num)))]
+
+    def _refresh(self) -> None:
+        """Which single component the sets below each node belong to, or -1."""
+        root = self.up
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        change = np.append(0, np.cumsum(root[1:] != root[:-1]))
+        self.root = root
+        self.only = np.where(change[self.high - 1] == change[self.low], root[self.low], -1)
 
     def find(self, i: int) -> int:
         while self.up[i] != i:
             self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def unite(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
-
-    def need(self, n: int, m: int) -> int:
-        """The least overlap with which sets of n and m link."""
-        return -(-self.num * (n + m) // (100 + self.num))
-
-    def add(self, s: np.ndarray) -> int:
-        me = len(self.up)
-        self.up.append(me)
-        self.probe(s, me)
-        self.store(s, me)
-        return me
-
-    def probe(self, s: np.ndarray, me: int) -> None:
-        n = len(s)
-        least_size = -(-self.num * n // 100)
-        stack = [(self.top, 0, 0, 0)]
-        while stack:
-            node, shared, at, depth = stack.pop()
-            if node.most < least_size or (node.same and self.up and node.most and self.find(node.one) == self.find(me)):
-                continue
-            need = self.need(n, max(node.least, least_size))
-            if shared + min(node.most - depth, n - at) < need:
-                continue
-            m = len(node.run)
-            if m:
-                place = np.searchsorted(s, node.run)
-                shared += int((s[np.minimum(place, n - 1)] == node.run).sum())
-                at = int(np.searchsorted(s, node.run[-1], "right"))
-                depth += m
-                if shared + min(node.most - depth, n - at) < need:
-                    continue
-            if node.ends and shared >= self.need(n, depth):
-                self.unite(node.ends[0], me)
-            own = None
-            for key, kid in node.kids.items():
-                if at < n and key == s[at]:
-                    own = kid
-                else:
-                    stack.append((kid, shared, at, depth))
-            if own is not None:  # the path that the probe itself would take is tried first
-                stack.append((own, shared, at, depth))
-
-    def store(self, s: np.ndarray, me: int) -> None:
-        n, node, at = len(s), self.top, 0
-        while True:
-            if node.most == 0:
-                node.one = me
-            node.same = node.same and self.find(node.one) == self.find(me)
-            node.least, node.most = min(node.least, n), max(node.most, n)
-            at += len(node.run)
-            if at == n:
-                node.ends.append(me)
-                return
-            key = int(s[at])
-            kid = node.kids.get(key)
-            if kid is None:
-                new = node.kids[key] = _Node(s[at:], n, n, me)
-                new.ends.append(me)
-                return
-            m = min(len(kid.run), n - at)
-            differ = np.flatnonzero(kid.run[:m] != s[at : at + m])
-            m = int(differ[0]) if len(differ) else m
-            if m < len(kid.run):  # split the run
-                upper = _Node(kid.run[:m], kid.least, kid.most, kid.one, kid.same)
-                kid.run = kid.run[m:]
-                upper.kids[int(kid.run[0])] = kid
-                node.kids[key] = upper
-                kid = upper
-            node = kid
+        return int(i)
+
+    def link_all(self) -> None:
+        """Look every set up among those that are not longer, and unite it with what it links to."""
+        mark = np.zeros(len(self.grams), bool)
+        for turn, i in enumerate(np.argsort(self.size, kind="stable").tolist()):
+            if turn % 64 == 0:
+                self._refresh()
+            s = self.sets[i]
+            mark[s] = True
+            linked = self._probe(s, mark, self.find(i))
+            for j in np.unique(self.root[linked]).tolist():  # one of each component, as last refreshed
+                a, b = self.find(i), self.find(j)
+                self.up[max(a, b)] = min(a, b)
+            mark[s] = False
+
+    def _probe(self, s: np.ndarray, mark: np.ndarray, component: int) -> np.ndarray:
+        """The sets, not longer than s, that link with it; those known to be in its component may be left out.
+
+        All nodes of a level are handled together.
+        """
+        n, num = len(s), self.num
+        least_size = -(-num * n // 100)
+        found = [np.zeros(0, np.int64)]
+        nodes, shared = self.kids[self.kid_start[0] : self.kid_start[1]], 0
+        shared = np.zeros(len(nodes), np.int64)
+        while len(nodes):
+            low = np.maximum(self.least[nodes], least_size)
+            need = -(-num * (n + low) // (100 + num))
+            start = self.run_start[nodes]
+            length = self.run_start[nodes + 1] - start
+            left = n - np.searchsorted(s, self.runs[np.minimum(start, len(self.runs) - 1)])
+            left = np.where(length > 0, left, n)
+            ok = (self.most[nodes] >= least_size) & (self.least[nodes] <= n) & (self.only[nodes] != component)
+            ok &= shared + np.minimum(self.most[nodes] - self.above[nodes], left) >= need
+            nodes, shared, start, length, need = nodes[ok], shared[ok], start[ok], length[ok], need[ok]
+            if not len(nodes):
+                break
+            ends = np.cumsum(length)
+            if self.below[nodes].sum() * 4 > len(self.runs) and len(self.leaf) > 64:
+                return np.concatenate([*found, self._all(mark, n)])  # little was left out: all paths at once are cheaper
+            hits = np.append(0, np.cumsum(mark[self.runs[np.arange(ends[-1]) + np.repeat(start - (ends - length), length)]]))
+            shared = shared + hits[ends] - hits[ends - length]
+            own = self.leaf[nodes]
+            done = own >= 0
+            good = own[done][shared[done] >= -(-num * (n + self.size[own[done]]) // (100 + num))]
+            found.append(good)
+            go = ~done & (shared + np.minimum(self.most[nodes] - self.depth[nodes], n) >= need)
+            nodes, shared = nodes[go], shared[go]
+            times = self.kid_start[nodes + 1] - self.kid_start[nodes]
+            ends = np.cumsum(times)
+            nodes, shared = self.kids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.kid_start[nodes] - (ends - times), times)], np.repeat(shared, times)
+        return np.concatenate(found)
 
 
 def _join(num: int):
-    """Links (a, b) as sets' places (rep, f1, f2) of every set to its component's least, from rows sorted by block, segments and size."""
+    """Links (a, b) as sets' places (rep, f1, f2) of every set to its component's least, from rows sorted by block and segments."""
+
+    def flush(rows, sets):
+        trie = Trie(sets, num)
+        trie.link_all()
+        least: dict[int, tuple] = {}
+        root = [0] * len(rows)
+        for at, i in enumerate(trie.order):
+            root[i] = r = trie.find(at)
+            least[r] = min(least.get(r, rows[i]), rows[i])
+        cols = list(zip(*((*own, *least[r]) for own, r in zip(rows, root, strict=True)), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rep", "f1", "f2", "root_rep", "root_f1", "root_f2"])
 
     def run(batches):
-        key, rows, trie = None, [], None
-
-        def flush():
-            out = []
-            least: dict[int, tuple] = {}
-            for i, own in enumerate(rows):
-                r = trie.find(i)
-                least[r] = min(least.get(r, own), own)
-            out = [(*own, *least[trie.find(i)]) for i, own in enumerate(rows)]
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rep", "f1", "f2", "root_rep", "root_f1", "root_f2"])
-
+        key, rows, sets = None, [], []
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("block", "i", "j")), strict=True))
             own = list(zip(*(batch.column(c).to_pylist() for c in ("rep", "f1", "f2")), strict=True))
@@ -334,12 +400,12 @@ def _join(num: int):
             for at, k in enumerate(keys):
                 if k != key:
                     if rows:
-                        yield flush()
-                    key, rows, trie = k, [], Trie(num)
-                trie.add(np.frombuffer(grams[at].as_buffer(), np.uint64))
+                        yield flush(rows, sets)
+                    key, rows, sets = k, [], []
+                sets.append(np.frombuffer(grams[at].as_py(), np.uint64))
                 rows.append(own[at])
         if rows:
-            yield flush()
+            yield flush(rows, sets)
 
     return run
 
@@ -364,8 +430,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     buckets = max(1, -(-int(grams) // BUCKET))
 
     sets = base.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n", "k").agg(F.min("doc_id").alias("rep"))
-    counted = docs.where("doc_id is not null").mapInArrow(_packed(n, percent, buckets, frequent), "bucket int, ids binary, grams binary, owners binary").groupBy("bucket").applyInArrow(_counted, "f1 long, grams array<long>, dfs array<int>")
-    shared = counted.groupBy("f1").agg(F.flatten(F.collect_list("grams")).alias("grams"), F.flatten(F.collect_list("dfs")).alias("dfs"))
+    counted = docs.where("doc_id is not null").mapInArrow(_packed(n, percent, buckets, frequent), "bucket int, ids binary, grams binary, owners binary").groupBy("bucket").applyInArrow(_counted, "f1 long, gram long, df int")
+    shared = counted.groupBy("f1").agg(F.collect_list(F.struct("gram", "df")).alias("s")).select("f1", F.col("s.gram").alias("grams"), F.col("s.df").alias("dfs"))
     ties = keep(sets.select("f1", "n", "k").join(shared, "f1").mapInArrow(_prefixes(percent), "node long, gram long"))
     least = ties.groupBy("gram").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last")
     edges = ties.join(least, "gram").where("node > b").select(F.col("node").alias("a"), "b").distinct()

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; one text alone may exceed it.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 U = np.uint64
 
