@@ -1,0 +1,494 @@
+"""The corpus operators against brute force, on small tables with nulls, empty and long texts, ties and repeated rows."""
+
+import binascii
+import collections
+import hashlib
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from weftline.llm import chat, decontaminate, jaccard_trie, licenses, line_dedup, lm, mixing, pii, quality, queries, substrings
+from weftline.llm.components import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, rank int"
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def corpus():
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice(["an", "the", "ou", "Éi", "st", "ing", "re", "7"]) for _ in range(rnd.randint(1, 3)))
+    text = lambda n: " ".join(word() + rnd.choice(["", "", ".", ",\n", ".\n"]) for _ in range(n))
+    out = [text(rnd.randint(1, 160)) for _ in range(60)]
+    passage = text(70)
+    out += [text(20) + " " + passage + " " + text(10) for _ in range(6)] + [passage, passage + " tail"]
+    base = text(120).split(" ")
+    for _ in range(12):  # near copies around the threshold
+        w = list(base)
+        for _ in range(rnd.randint(1, 7)):
+            w[rnd.randrange(len(w))] = word()
+        out.append(" ".join(w))
+    out += [out[3], out[3], out[4]]
+    out += ["", " \n\t ", "one", "a b c d", "a b c d", "x " * 40, "same line here\n" * 6, "wörd nbsp   end"]
+    out += [text(6000)]
+    rows = [(i * 3 % 211, t, ["en", "de", None][i % 3], ["s1", "s2", None, "é"][i % 4] if i % 5 else "s1", len(t), "x", 1) for i, t in enumerate(out)]
+    rows += [(rows[0][0], "another text under a doc_id that is taken " + passage, "en", "s1", 3, None, None), rows[7], rows[7]]
+    rows += [(1000, None, "en", "s1", None, None, None), (1001, None, None, None, None, None, None)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def same(df, expected):
+    order = sorted(df.columns)
+    mine = sorted((tuple(r[c] for c in order) for r in df.collect()), key=str)
+    assert mine == sorted((tuple(e[c] for c in order) for e in expected), key=str)
+
+
+def covered(n, starts, k):
+    out = [False] * n
+    for s in starts:
+        for i in range(s, s + k):
+            out[i] = True
+    return sum(out), out
+
+
+# 1
+
+
+def test_op1_counts(docs, rows):
+    expected = []
+    for i, t, *_ in rows:
+        t = t or ""
+        w = SPACE.findall(t)
+        wins = collections.Counter(tuple(w[j : j + 8]) for j in range(len(w) - 7))
+        repeat, _ = covered(len(w), [j for j in range(len(w) - 7) if wins[tuple(w[j : j + 8])] > 1], 8)
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if SPACE.search(line):
+                dup += line in seen
+                seen.add(line)
+        expected.append({"doc_id": i, "n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", t)), "n_dup_lines": dup, "n_repeat_words": repeat, "base_failed": len(w) < 20 or 100 * repeat > 30 * len(w)})
+    out = quality.judge(docs)
+    same(out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), expected)
+    assert out.where("kept and base_failed").count() == 0
+
+
+def test_op1_rejects_outliers_and_keeps_the_rest(spark):
+    rnd = np.random.default_rng(1)
+    good = [(i, " ".join(f"w{x}" for x in rnd.integers(0, 5000, int(rnd.integers(60, 400)))), "en", f"s{i % 2}", 0, None, None) for i in range(800)]
+    bad = [(10_000 + i, " ".join(f"#$%w{x}&&|" for x in rnd.integers(0, 5000, 100)), "en", f"s{i % 2}", 0, None, None) for i in range(40)]
+    kept = {r[0] for r in quality.judge(spark.createDataFrame(good + bad, SCHEMA)).where("kept").select("doc_id").collect()}
+    assert kept == {g[0] for g in good}
+
+
+def test_op1_empty(empty):
+    assert quality.judge(empty).count() == 0
+    assert quality.keep_good(empty).columns == empty.columns
+
+
+# 2
+
+
+def components_of(n, links):
+    up = list(range(n))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in links:
+        up[find(a)] = find(b)
+    return [find(i) for i in range(n)]
+
+
+def brute_near(rows):
+    sets = []
+    for i, t, *_ in rows:
+        w = SPACE.findall((t or "").translate(LOW))
+        s = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+        sets.append((i, s))
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a][1] and sets[b][1] and 100 * len(sets[a][1] & sets[b][1]) >= 75 * len(sets[a][1] | sets[b][1])]
+    comp = components_of(len(sets), links)
+    least = collections.defaultdict(lambda: math.inf)
+    for c, (i, _) in zip(comp, sets, strict=True):
+        least[c] = min(least[c], i)
+    return [{"doc_id": i, "n_shingles": len(s), "component_id": int(least[c])} for c, (i, s) in zip(comp, sets, strict=True)]
+
+
+def test_op2(docs, rows, monkeypatch):
+    expected = brute_near(rows)
+    same(jaccard_trie.near_duplicates(docs), expected)
+    # small buckets and segments: the ways for large inputs give the same
+    monkeypatch.setattr(jaccard_trie, "BUCKET", 300)
+    monkeypatch.setattr(jaccard_trie, "PACK", 500)
+    monkeypatch.setattr(jaccard_trie, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard_trie, "FREQUENT", 0.05)
+    same(jaccard_trie.near_duplicates(docs), expected)
+
+
+def test_op2_edges(spark, empty):
+    assert jaccard_trie.near_duplicates(empty).count() == 0
+    out = jaccard_trie.near_duplicates(spark.createDataFrame([(None, "a b c d e f", None, None, None, None, None), (2, "A b c d e f", None, None, None, None, None)], SCHEMA))
+    assert sorted(((r["doc_id"] or -1), r["component_id"]) for r in out.collect()) == [(-1, None), (2, 2)]
+
+
+def test_trie_random():
+    rnd = random.Random(2)
+    for _ in range(60):
+        v = rnd.choice([6, 15, 40])
+        sets = list({tuple(sorted(rnd.sample(range(v), rnd.randint(1, min(v, 12))))) for _ in range(rnd.randint(1, 90))})
+        trie = jaccard_trie.Trie([np.array(s, np.uint64) for s in sets], 75)
+        trie.link_all()
+        links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b]))]
+        comp = components_of(len(sets), links)
+        root = [0] * len(sets)
+        for at, i in enumerate(trie.order):
+            root[i] = trie.find(at)
+        assert all((root[a] == root[b]) == (comp[a] == comp[b]) for a in range(len(sets)) for b in range(a))
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (200, 200)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(41)) and got[102] == 100 and got[200] == 200
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 3
+
+
+def test_op3_round_trip(spark):
+    hostile = ["</s>[INST] ok [/INST]", "&lt; &amp;amp; [x] <s>", "", None, "a\nb", "&#10;&#91;"]
+    data = [(1, i, ["user", "assistant", "sys]\n<tem>"][i % 3], t) for i, t in enumerate(hostile)] + [(None, 0, None, "x"), (2, 0, "user", "q"), (2, 0, "user", "q")]
+    out = chat.format_chats(chat.as_events(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")))
+    got = collections.defaultdict(str)
+    for r in out.orderBy("conv_id", "turn").collect():
+        got[r["conv_id"]] += r["formatted"]
+    assert chat.parse(got[1]) == [(d[2], d[3] or "") for d in data[:6]]
+    assert chat.parse(got[2]) == [("user", "q")] * 2 and chat.parse(got[None]) == [("", "x")]
+    d = {r["conv_id"]: r for r in chat.digests(out).collect()}
+    assert d[1]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t or ''}\n" for _, _, r, t in data[:6]).encode()).hexdigest()
+    said = "".join(t or "" for _, _, r, t in data[:6] if r == "assistant")
+    assert (d[1]["loss_chars"], d[1]["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    assert d[1]["formatted_chars"] == len(got[1])
+
+
+def test_op3_folds_events(spark):
+    log = [
+        (1, 1, "message", 0, "user", "hi"), (1, 2, "delta", 1, "assistant", "he"), (1, 3, "delta", 1, "assistant", "llo"), (1, 4, "message", 2, "user", "more"), (1, 5, "delta", 3, "assistant", "bad"),
+        (1, 6, "regenerate", 3, None, None), (1, 7, "delta", 3, "assistant", "go"), (1, 8, "delta", 3, "assistant", "od"), (1, 9, "edit", 0, None, "hey"), (1, 10, "odd", 5, "x", "y"), (2, 1, "message", 0, "user", "a"), (2, 2, "regenerate", 0, None, None),
+    ]
+    out = chat.format_chats(spark.createDataFrame(log, "conv_id long, seq long, kind string, turn long, role string, text string")).orderBy("turn").collect()
+    assert [x for r in out for x in chat.parse(r["formatted"])] == [("user", "hey"), ("assistant", "hello"), ("user", "more"), ("assistant", "good")]
+
+
+def test_op3_query_has_the_hostile_conversation(spark, small):
+    row = queries.op3_chat_format(spark, small).where("conv_id = -7").first()
+    said = "</s>[INST] ok [/INST]"
+    assert (row["n_turns"], row["loss_chars"], row["loss_sha256"]) == (2, len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+# 4
+
+
+def test_op4(spark, rows):
+    mit = licenses.TEMPLATES["mit-text"]
+    extra = [("Apache License, 2. the MIT License. cc-by; CC BY 4.0", "apache,cc-by,mit"), ("intro\n\n" + mit.upper() + "\n\nend mit license", "mit"), ("gnu general public\nlicense", "gpl"), ("", ""), (None, "")]
+    data = [(r[0], r[1], None, None, None, None, None) for r in rows] + [(5000 + i, t, None, None, None, None, None) for i, (t, _) in enumerate(extra)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(data, SCHEMA)).collect() if r["doc_id"] >= 5000}
+    for i, (t, labels) in enumerate(extra):
+        w = ALNUM.findall((t or "").translate(LOW))
+        starts = [j for j in range(len(w)) for p in licenses.PHRASES if w[j : j + len(p.split())] == p.split()]
+        r = got[5000 + i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(starts), min(starts, default=None), max(starts, default=None), labels)
+    assert got[5001]["labels"] == "mit,mit-text" and got[5001]["score"] == 1.0
+
+
+def test_op4_join_is_exact(spark, rows):
+    texts = [r[1] for r in rows if r[1] and len(ALNUM.findall(r[1])) > 3]
+    templates = {f"t{i}": " ".join(ALNUM.findall(t)[:25]) for i, t in enumerate(texts[:12]) if len(ALNUM.findall(t)) > 10}
+    data = [(i, t, None, None, None, None, None) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in licenses.scan(spark.createDataFrame(data, SCHEMA), templates, 60).collect()}
+    for i, t in enumerate(texts):
+        blocks = [set(ALNUM.findall(b.translate(LOW))) for b in re.split(r"\n\n+", t)]
+        want = {k for k, v in templates.items() for b in blocks if len(b & set(v.translate(LOW).split())) * 100 >= 60 * len(set(v.translate(LOW).split()))}
+        assert got[i] == want
+
+
+# 5
+
+
+def test_op5(docs, rows):
+    got = {}
+    for r in line_dedup.line_verdicts(docs).collect():
+        got[r["doc_id"], r["line_no"]] = r["kept"], (r["root_doc"], r["root_line"])
+    clean = [(i, t) for i, t, *_ in rows if t is not None]
+    own = {(i, n): line for i, t in sorted(clean, reverse=True) for n, line in enumerate(t.split("\n")) if SPACE.search(line)}
+    texts = collections.defaultdict(set)
+    for i, t in clean:
+        texts[i].add(t)
+    single = {k for k in own if len(texts[k[0]]) == 1}
+    first = {}
+    for i, t in sorted(clean):
+        for n, line in enumerate(t.split("\n")):
+            if SPACE.search(line):
+                first[line] = min(first.get(line, (i, n)), (i, n))
+    shingles = {line: {line[m.start() : m.start() + line_dedup.SHINGLE] for m in SPACE.finditer(line)} for line in first}
+    lines = sorted(first, key=first.get)
+    links = [(a, b) for a in range(len(lines)) for b in range(a) if 100 * len(shingles[lines[a]] & shingles[lines[b]]) >= 75 * len(shingles[lines[a]] | shingles[lines[b]])]
+    comp = components_of(len(lines), links)
+    least = {}
+    for c, line in zip(comp, lines, strict=True):
+        least[c] = min(least.get(c, first[line]), first[line])
+    root = {line: least[c] for c, line in zip(comp, lines, strict=True)}
+    agree = sum(got[k][1] == root[own[k]] for k in single)
+    assert agree >= 0.98 * len(single)  # banding may miss a pair near the threshold
+    assert all(first[own[k]] == got[k][1] or own[k] in root for k in single)
+    kept = line_dedup.dedup_lines(docs)
+    assert kept.columns == docs.columns
+    assert kept.where("text is null").count() == 2
+
+
+def test_op5_empty(empty):
+    assert line_dedup.line_report(empty).count() == 0
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+# 6
+
+
+EMAIL, IP, CARD, PHONE = (re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def brute_pii(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    rules = {"email": (EMAIL, lambda s: True), "ip": (IP, lambda s: all(int(x.lstrip("0")[:9] or 0) <= 255 for x in s.split("."))), "card": (CARD, lambda s: 16 <= len(digits(s)) <= 19 and pii.luhn(digits(s))), "phone": (PHONE, lambda s: 8 <= len(digits(s)) <= 15)}
+    return {k: v for k, (p, ok) in rules.items() if (v := [m.span() for m in p.finditer(t) if ok(m.group())])}
+
+
+def test_op6_random():
+    cues, rnd = pii.automaton(), random.Random(4)
+    for _ in range(20_000):
+        t = "".join(rnd.choice("aé1234567890  .--@@..+()%_x\n") for _ in range(rnd.randint(0, 45)))
+        assert {k: v for k, v in pii.find_spans(t, cues).items() if k in pii.BASE} == brute_pii(t)
+
+
+def test_op6_own_kinds_and_edges(spark):
+    t = "see https://example.org/a?b=1. IBAN: GB82WEST12345698765432 account no. 12345678 token = \"" + "ab" * 20 + '"'
+    found = pii.find_spans(t, pii.automaton())
+    assert t[slice(*found["url"][0])] == "https://example.org/a?b=1"
+    assert [t[a:b] for a, b in found["account"]] == ["GB82WEST12345698765432", "12345678"]
+    assert t[slice(*found["secret"][0])] == "ab" * 20
+    long = "x" * 200_000 + " me@example.org " + "9" * 5000 + ".1.1.1"
+    df = pii.pii_spans(spark.createDataFrame([(1, long), (2, None), (3, "")], "doc_id long, text string"))
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in df.collect()}
+    assert got[2] == [] and got[3] == [] and got[1] == [("email", 200_001, 200_015)]
+    assert pii.mask("a me@x.org b", [("email", 2, 10)]) == "a <EMAIL> b"
+
+
+# 7
+
+
+def test_op7_base(docs, rows):
+    got = lm.score(docs).collect()
+    toks = [(i, SPACE.findall((t or "").translate(LOW))) for i, t, *_ in rows]
+    held = lambda i: binascii.crc32(str(i).encode()) % 10 == 0
+    counts, end = collections.Counter(), ("end",)
+    for i, w in toks:
+        if not held(i):
+            counts.update([*w, end])
+    n, v = sum(counts.values()), len(counts)
+    want = sorted((i, held(i), len(w) + 1, sum(counts[x] > 0 for x in [*w, end]), n, round(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in [*w, end]), 6)) for i, w in toks)
+    assert sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+
+
+def test_op7_gradients_and_normalisation():
+    rnd = np.random.default_rng(0)
+    w = {k: v.astype(np.float64) for k, v in lm.first_weights(np.full(lm.TOP, 1 / lm.TOP)).items()}
+    x = rnd.integers(0, lm.TOP, (3, lm.CONTEXT + lm.STRIDE))
+    y = rnd.integers(0, lm.TOP, (3, lm.STRIDE))
+    valid = np.ones(x.shape, bool)
+    valid[0, :5] = False
+    mask = np.ones(y.shape, bool)
+    loss = lambda: -lm.log_probabilities(w, lm.attend(w, x, valid)[0].reshape(-1, lm.WIDTH), y.ravel()).mean()
+    g = lm.gradients(w, x, valid, y, mask)
+    for k in w:
+        at = tuple(rnd.integers(0, s) for s in w[k].shape) if k != "emb" else (x[1, 9], 3)
+        old = w[k][at]
+        w[k][at] = old + 1e-4
+        up = loss()
+        w[k][at] = old - 1e-4
+        down = loss()
+        w[k][at] = old
+        assert (up - down) / 2e-4 == pytest.approx(g[k][at], abs=2e-5)
+    h = lm.attend(w, x, valid)[0].reshape(-1, lm.WIDTH)[:1]
+    assert np.exp(lm.log_probabilities(w, np.repeat(h, lm.TOP, 0), np.arange(lm.TOP))).sum() == pytest.approx(1, abs=1e-5)
+    before = lm.attend(w, x, valid)[0]
+    x[:, -1] = 0  # causal: the last input changes the last state only
+    assert np.allclose(before[:, :-1], lm.attend(w, x, valid)[0][:, :-1])
+
+
+def test_op7_beats_unigrams_on_held_out(spark, small):
+    from pyspark.sql import functions as F
+
+    df = spark.read.parquet(f"{small}/documents.parquet")
+    flat = lm.ROUNDS
+    row = lm.score(df).where("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
+    lm.ROUNDS = 0  # the first weights give symbols by frequency
+    try:
+        plain = lm.score(df).where("held_out").agg(F.sum("score")).first()
+    finally:
+        lm.ROUNDS = flat
+    assert row[0] > plain[0]
+
+
+def test_op7_empty(empty):
+    assert lm.score(empty).count() == 0
+
+
+# 8
+
+
+def brute_hits(rows, items):
+    out = []
+    wins = []
+    for i, t in items:
+        w = ALNUM.findall((t or "").translate(LOW))
+        k = min(10, len(w))
+        wins += [(i, tuple(w[j : j + k])) for j in range(len(w) - k + 1)] if w else []
+    for i, t, *_ in rows:
+        w = ALNUM.findall((t or "").translate(LOW))
+        hits, found = [False] * len(w), set()
+        for item, win in wins:
+            for j in range(len(w) - len(win) + 1):
+                if tuple(w[j : j + len(win)]) == win:
+                    found.add(str(item))
+                    for x in range(j, j + len(win)):
+                        hits[x] = True
+        out.append({"doc_id": i, "n_words": len(w), "n_hit": sum(hits), "items": sorted(found)})
+    return out
+
+
+def test_op8(spark, docs, rows, monkeypatch):
+    w = ALNUM.findall(rows[2][1])
+    items = [(1, rows[60][1][:400]), (2, rows[60][1][:400].upper()), (3, " ".join(w[:4])), (10, " ".join(ALNUM.findall(rows[5][1]))), (4, ""), (5, None), (6, "one")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    expected = brute_hits(rows, items)
+    same(decontaminate.find_contamination(docs, table), expected)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 100)
+    same(decontaminate.find_contamination(docs, table), expected)
+
+
+def test_op8_empty(spark, docs, rows, empty):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.find_contamination(docs, none).where("n_hit > 0").count() == 0
+    assert decontaminate.find_contamination(empty, none).count() == 0
+    assert decontaminate.decontaminate(docs, none).count() == len(rows)
+
+
+# 9
+
+
+def test_op9(docs, rows):
+    toks = [(i, SPACE.findall(t or "")) for i, t, *_ in rows]
+    first = {}
+    for i, w in toks:
+        for j in range(len(w) - 49):
+            k = tuple(w[j : j + 50])
+            first[k] = min(first.get(k, i), i)
+    expected = []
+    for i, w in toks:
+        gone, mask = covered(len(w), [j for j in range(len(w) - 49) if first[tuple(w[j : j + 50])] < i], 50)
+        expected.append({"doc_id": i, "n_words": len(w), "n_removed": gone, "kept_sha256": hashlib.sha256(" ".join(x for x, g in zip(w, mask, strict=True) if not g).encode()).hexdigest()})
+    out = substrings.remove_repeats(docs)
+    same(out.drop("kept_text"), expected)
+    assert out.where("n_removed > 0 and kept_text is null").count() == 0
+
+
+def test_op9_empty(empty):
+    assert substrings.remove_repeats(empty).count() == 0
+
+
+# 10
+
+
+def test_op10(docs, rows):
+    out = mixing.taken(docs).collect()
+    sizes = collections.Counter()
+    for _, t, _, s, *_ in rows:
+        sizes[s] += len(SPACE.findall(t or ""))
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    want = dict(zip(order, mixing.targets([sizes[s] for s in order]), strict=True))
+    taken = collections.Counter()
+    for r in out:
+        assert (r["source_size"], r["target"]) == (sizes[r["source"]], want[r["source"]])
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    for s in order:
+        assert abs(taken[s] - want[s]) <= 2 * mixing.BLOCK
+    assert len(out) == len(rows)
+    again = mixing.taken(docs.repartition(5)).collect()
+    key = lambda r: (r["doc_id"], r["size"], r["taken"])
+    assert sorted(map(key, out)) == sorted(map(key, again))
+
+
+def test_op10_targets():
+    assert mixing.targets([10, 1000, 10]) == [30, 960, 30]
+    assert mixing.targets([0, 0]) == [0, 0] and mixing.targets([]) == []
+    t = mixing.targets([100, 100, 100])
+    assert t == pytest.approx([50, 100, 150])
+
+
+def test_op10_permutation_and_shards():
+    for n in (1, 2, 3, 64, 1000):
+        assert sorted(mixing.permuted(np.arange(n), n, 9).tolist()) == list(range(n))
+    slots = np.array([5000, 3, 9000])
+    seen = [mixing.shard_counts(slots, s) for s in range(-(-slots.sum() // mixing.SHARD))]
+    assert (sum(c for _, c in seen) == slots).all()
+    assert all((b == sum((c for _, c in seen[:i]), np.zeros(3, int))).all() for i, (b, _) in enumerate(seen))
+
+
+def test_op10_empty(empty):
+    assert mixing.taken(empty).count() == 0
+
+
+# the pipeline
+
+
+def test_pipeline_matches_its_parts(spark, small):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    base = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    out = {r["doc_id"]: r for r in p.run(spark, small).collect()}
+    assert out and all(base[i]["kept"] for i in out)
+    stage = p.quality_rules(spark, docs, small)
+    assert sorted(r[0] for r in stage.select("doc_id").collect()) == sorted(i for i, r in base.items() if r["kept"])
+    lined = p.dedup_lines(spark, stage, small)
+    single = p.dedup_documents(spark, lined, small)
+    near = brute_near([(r["doc_id"], r["text"]) for r in lined.collect()])
+    assert sorted(r[0] for r in single.select("doc_id").collect()) == sorted(r["doc_id"] for r in near if r["component_id"] == r["doc_id"])
+    clean = p.drop_contaminated(spark, single, small)
+    hits = brute_hits([(r["doc_id"], r["text"]) for r in single.collect()], [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()])
+    assert sorted(r[0] for r in clean.select("doc_id").collect()) == sorted(r["doc_id"] for r in hits if not r["n_hit"])
+    assert sorted(out) == sorted(r[0] for r in clean.select("doc_id").collect())
+    assert all(s.columns == docs.columns for s in (stage, lined, single, clean))
