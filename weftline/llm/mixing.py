@@ -156,12 +156,13 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: shard, slot, doc_id, start and n, the words of documents in each slot's block."""
     _, pieces, slots = plan(docs)
-    return slots.join(pieces, ["source_no", "block"]).select("shard", "slot", "doc_id", "start", "n")
+    return slots.hint("merge").join(pieces, ["source_no", "block"]).select("shard", "slot", "doc_id", "start", "n")
 
 
 def taken(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target (of the source) and taken, the words the mix has of it."""
     base, pieces, slots = plan(docs)
-    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    # the slots come from a small range, which tells Spark nothing of their number: no broadcast
+    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times")).hint("merge")
     used = pieces.join(times, ["source_no", "block"]).groupBy("row").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
     return base.join(used, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
