@@ -87,7 +87,7 @@ def plan_order(tasks: DataFrame, needs: DataFrame) -> DataFrame:
     """task, level: 0 without needs (task, needs), else one more than the deepest task that it needs. Tasks in a cycle are absent."""
     edges = needs.select("task", "needs")
     done = tasks.join(edges, "task", "left_anti").select("task", F.lit(0).alias("level")).persist()
-    level, n = 0, done.count()
+    level = 0
     while True:
         level += 1
         left = tasks.join(done, "task", "left_anti")
@@ -96,7 +96,6 @@ def plan_order(tasks: DataFrame, needs: DataFrame) -> DataFrame:
         if ready.isEmpty():
             return done
         done = done.unionByName(ready).persist()
-        n += 1
 
 
 def last_state(log: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
