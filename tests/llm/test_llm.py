@@ -98,6 +98,27 @@ def test_op1_rejects_outliers_and_keeps_the_rest(spark):
     assert kept == {g[0] for g in good}
 
 
+@pytest.mark.parametrize("share", [0.05, 0.2])
+def test_op1_rejects_a_cluster_that_differs_in_word_length_only(spark, share):
+    rnd = np.random.default_rng(2)
+
+    def text(letters):
+        return " ".join("".join(rnd.choice(list("abcdefghij"), letters + int(rnd.integers(-1, 2)))) for _ in range(int(rnd.integers(60, 120))))
+
+    n = 400
+    bad = int(n * share)
+    data = [(i, text(5 if i >= bad else 30), "en", "s", 0, None, None) for i in range(n)]
+    kept = {r[0] for r in quality.judge(spark.createDataFrame(data, SCHEMA)).where("kept").select("doc_id").collect()}
+    assert kept == set(range(bad, n))
+
+
+def test_op1_rejects_a_cluster_of_long_texts(spark):
+    rnd = np.random.default_rng(3)
+    data = [(i, " ".join(f"w{x}" for x in rnd.integers(1000, 9999, 60_000 if i < 20 else int(rnd.integers(700, 900)))), "en", "s", 0, None, None) for i in range(220)]
+    kept = {r[0] for r in quality.judge(spark.createDataFrame(data, SCHEMA)).where("kept").select("doc_id").collect()}
+    assert kept == set(range(20, 220))
+
+
 def test_op1_empty(empty):
     assert quality.judge(empty).count() == 0
     assert quality.keep_good(empty).columns == empty.columns

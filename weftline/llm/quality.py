@@ -7,8 +7,10 @@ distance of its vector exceeds ``CUT``.
 
 The estimate uses every row. Vectors are first summed into cells of a grid:
 count, sum and sum of products, in integers, so that the sums do not depend on
-the order of the rows. A group has at most ``CELLS`` cells per statistic, so a
-group of any size reaches its task as a bounded table. The concentration steps
+the order of the rows. No cell is open: cells resolve each statistic over its
+whole range, as far as rows reach, and the ranges are bounded (logarithms of
+counts and shares), so the occupied cells of a group grow far slower than its
+rows. The concentration steps
 of the fast MCD algorithm then work on cells. Groups with fewer than
 ``MIN_ROWS`` rows use the estimate of their language, or else that of all rows.
 """
@@ -28,9 +30,8 @@ from .words import Words, chunks, cover, mix, space_table, span_hashes
 STATISTICS = ("log_words", "word_length", "symbols", "dup_lines", "repeats")
 #: Vectors are kept as integers, in steps of 1/SCALE.
 SCALE = 1024
-#: Width of a cell and number of cells along each statistic; the outer cells are open.
+#: Width of a cell along each statistic.
 CELL_WIDTH = (512, 256, 256, 256, 256)
-CELLS = 12
 #: The least variance along each statistic, so that a statistic that hardly ever varies doesn't reject on its own.
 LEAST_SD = (0.35, 0.35, 0.35, 0.35, 0.35)
 MIN_ROWS = 200
@@ -188,7 +189,7 @@ def fit(stats: DataFrame) -> DataFrame:
     """
     d = len(STATISTICS)
     good = stats.where(~F.col("base_failed"))
-    cell = [F.least(F.greatest(F.floor(F.col(f"v{i}") / CELL_WIDTH[i]) + (0 if i else -2), F.lit(0)), F.lit(CELLS - 1)).cast("int").alias(f"c{i}") for i in range(d)]
+    cell = [F.floor(F.col(f"v{i}") / CELL_WIDTH[i]).cast("int").alias(f"c{i}") for i in range(d)]
     v = [F.col(f"v{i}") for i in range(d)]
     sums = [F.count("*").alias("n"), *(F.sum(v[i]).alias(f"s{i}") for i in range(d)), *(F.sum(v[i] * v[j]).alias(f"p{i}{j}") for i in range(d) for j in range(i, d))]
     cells = good.groupBy(F.coalesce("lang", F.lit("\0")).alias("lang"), F.coalesce("source", F.lit("\0")).alias("source"), *cell).agg(*sums)
