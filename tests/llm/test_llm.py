@@ -288,6 +288,15 @@ def test_op5(docs, rows):
     assert kept.where("text is null").count() == 2
 
 
+def test_op5_looks_at_all_characters(spark):
+    rnd = random.Random(8)
+    tail = lambda: "".join(rnd.choice("abcdefghij") for _ in range(60))
+    one = tail()
+    lines = ["https://www." + tail(), "https://www." + tail(), "漢字" * 6 + tail(), "漢字" * 6 + tail(), one, one + "x", "word " * 3 + tail(), "word " * 3 + tail()]
+    got = {r["doc_id"]: r["root_doc"] for r in line_dedup.line_verdicts(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7}
+
+
 def test_op5_empty(empty):
     assert line_dedup.line_report(empty).count() == 0
     assert line_dedup.dedup_lines(empty).count() == 0

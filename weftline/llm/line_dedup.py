@@ -1,7 +1,9 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
-A line's shingles are the runs of up to ``SHINGLE`` characters that begin at
-its words. Lines of equal content are one class from the start. A class's
+A line's shingles are all its runs of ``SHINGLE`` characters; a shorter line is
+one shingle. They are cut from the line's UTF-32 bytes, where a character's
+place is known, so a long line takes no longer a character than a short one.
+Lines of equal content are one class from the start. A class's
 signature has ``BANDS`` * ``ROWS`` minima, each the least of one hash function
 over the shingles; they are plain ``min`` aggregates over exploded shingles, so
 partial sums are made before the shuffle. Classes with equal values in all rows
@@ -28,7 +30,8 @@ PERCENT = 75
 #: Finer buckets to which a line goes that isn't like the least of a bucket.
 FINER = 8
 
-_SHINGLES = rf"(?s)(?<!\S)(?=(\S.{{0,{SHINGLE - 1}}}))"
+#: The rows of a band are the nearest hashes to these, by exclusive or: minima of one hash function from different ends.
+_ENDS = (0, 0x3A5C96E1B7D2480F, -0x5B1E4D2C7A693F81)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -37,14 +40,27 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("line").rlike(r"\S")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
 
 
-def _shingles(line) -> F.Column:
-    return F.regexp_extract_all(line, F.lit(_SHINGLES), F.lit(1))
+def _places(points) -> F.Column:
+    """The places of a line's shingles, from its UTF-32 bytes."""
+    return F.sequence(F.lit(0), F.greatest((F.octet_length(points) / 4).cast("int") - SHINGLE, F.lit(0)))
+
+
+def _shingle(points, place) -> F.Column:
+    return F.xxhash64(F.substring(points, place * 4 + 1, F.lit(4 * SHINGLE)))
+
+
+def _set(line) -> F.Column:
+    """The distinct shingles of a line, as hashes."""
+    points = F.encode(line, "UTF-32")
+    return F.array_distinct(F.transform(_places(points), lambda i: _shingle(points, i)))
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
     """h1 and m0, m1, ...: the minima of each class; h2 isn't needed to find candidates."""
-    each = lines.select("h1", F.explode(_shingles(F.col("line"))).alias("s")).select("h1", F.xxhash64("s").alias("x"))
-    return each.groupBy("h1").agg(*(F.min(F.shiftright(F.xxhash64("x", F.lit(i)), 33)).alias(f"m{i}") for i in range(BANDS * ROWS)))
+    points = lines.select("h1", F.encode("line", "UTF-32").alias("points"))
+    each = points.select("h1", "points", F.explode(_places(F.col("points"))).alias("i")).select("h1", _shingle(F.col("points"), F.col("i")).alias("x"))
+    each = each.select("h1", *(F.xxhash64("x", F.lit(b)).alias(f"y{b}") for b in range(BANDS)))
+    return each.groupBy("h1").agg(*(F.min(F.shiftright(F.col(f"y{b}").bitwiseXOR(F.lit(_ENDS[r])), 33)).alias(f"m{b * ROWS + r}") for b in range(BANDS) for r in range(ROWS)))
 
 
 def _buckets(signatures: DataFrame) -> DataFrame:
@@ -58,7 +74,7 @@ def _links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, percent: int
     ties = keep(buckets.join(least, "bucket").select("bucket", "h1", "p"))  # the least of a bucket is tied to itself
     wanted = keep(classes.join(ties.select("h1").distinct(), "h1").select("h1", "h2", "first.doc_id", "first.line_no"))
     texts = _lines(having(docs, wanted)).join(wanted, ["doc_id", "line_no", "h1", "h2"])
-    sets = keep(texts.select("h1", F.array_distinct(F.transform(_shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("set")).dropDuplicates(["h1"]))
+    sets = keep(texts.select("h1", _set(F.col("line")).alias("set")).dropDuplicates(["h1"]))
     a, b = sets.select("h1", F.col("set").alias("x")), sets.select(F.col("h1").alias("p"), F.col("set").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     like = both * 100 >= F.lit(percent) * (F.size("x") + F.size("y") - both)
