@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from weftline.llm import chat, decontaminate, jaccard_trie, licenses, line_dedup, lm, mixing, pii, quality, queries, substrings
 from weftline.llm.components import components
 
@@ -297,6 +298,24 @@ def test_op5_looks_at_all_characters(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7}
 
 
+def test_op5_links_all_pairs_of_a_bucket(spark, monkeypatch):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(12))
+    common = " ".join(word() for _ in range(6))
+    lines = [f"{common} {word()} {word()}" for _ in range(300)]
+    lines += [line[:-2] + "zz" for line in lines[:40]]
+    shingles = [{line[j : j + line_dedup.SHINGLE] for j in range(len(line) - line_dedup.SHINGLE + 1)} for line in lines]
+    percent = 90
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if 100 * len(shingles[i] & shingles[j]) >= percent * len(shingles[i] | shingles[j])]
+    assert len(links) == 40
+    monkeypatch.setattr(line_dedup, "BLOCK", 16, raising=False)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    one = line_dedup._lines(df).select("h1").withColumn("bucket", F.lit(1).cast("long"))
+    monkeypatch.setattr(line_dedup, "_buckets", lambda signatures: one.select("bucket", "h1"))
+    got = {r["doc_id"]: r["root_doc"] for r in line_dedup.line_verdicts(df, percent).collect()}
+    assert got == {i: i - 300 if i >= 300 else i for i in range(len(lines))}
+
+
 def test_op5_empty(empty):
     assert line_dedup.line_report(empty).count() == 0
     assert line_dedup.dedup_lines(empty).count() == 0

@@ -8,11 +8,13 @@ signature has ``BANDS`` * ``ROWS`` minima, each the least of one hash function
 over the shingles; they are plain ``min`` aggregates over exploded shingles, so
 partial sums are made before the shuffle. Classes with equal values in all rows
 of a band share a bucket. In each bucket all members are compared with its
-least member by the exact Jaccard similarity of their shingle sets; those that
-fail are dealt to ``FINER`` buckets each, by the old bucket and one more
-minimum, and compared with the least member there. So the comparisons grow with
-the lines, not with the square of a bucket. Distributed union-find joins the
-links; of each component the line that comes first, by doc_id and line, stays.
+least member by the exact Jaccard similarity of their shingle sets, and
+distributed union-find joins the links. Then every two members that are not in
+one component yet, and whose sets have sizes that can be alike, are compared by
+a join of blocks of ``BLOCK`` members, so that a large bucket is many small
+keys. So no two lines that share a bucket and meet the threshold stay apart, at
+a cost that grows with the square of a bucket of unlike lines. Of each
+component the line that comes first, by doc_id and line, stays.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ SHINGLE = 12
 BANDS = 8
 ROWS = 3
 PERCENT = 75
-#: Finer buckets to which a line goes that isn't like the least of a bucket.
-FINER = 8
+#: Members of a bucket in one block of the join of its members.
+BLOCK = 256
 
 #: The rows of a band are the nearest hashes to these, by exclusive or: minima of one hash function from different ends.
 _ENDS = (0, 0x3A5C96E1B7D2480F, -0x5B1E4D2C7A693F81)
@@ -69,12 +71,12 @@ def _buckets(signatures: DataFrame) -> DataFrame:
 
 
 def _links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
-    """Verified links (a, b) between classes, by h1."""
+    """Verified links (a, b) between classes, by h1: all that components need of the pairs that share a bucket."""
     least = buckets.groupBy("bucket").agg(F.min("h1").alias("p"), F.max("h1").alias("last")).where("p < last").select("bucket", "p")
     ties = keep(buckets.join(least, "bucket").select("bucket", "h1", "p"))  # the least of a bucket is tied to itself
     wanted = keep(classes.join(ties.select("h1").distinct(), "h1").select("h1", "h2", "first.doc_id", "first.line_no"))
-    texts = _lines(having(docs, wanted)).join(wanted, ["doc_id", "line_no", "h1", "h2"])
-    sets = keep(texts.select("h1", _set(F.col("line")).alias("set")).dropDuplicates(["h1"]))
+    texts = keep(_lines(having(docs, wanted)).join(wanted, ["doc_id", "line_no", "h1", "h2"]).select("h1", "line").dropDuplicates(["h1"]))
+    sets = texts.select("h1", _set(F.col("line")).alias("set"))
     a, b = sets.select("h1", F.col("set").alias("x")), sets.select(F.col("h1").alias("p"), F.col("set").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     like = both * 100 >= F.lit(percent) * (F.size("x") + F.size("y") - both)
@@ -83,19 +85,23 @@ def _links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, percent: int
         return keep(tied.where("h1 != p").select("h1", "p").distinct().join(a, "h1").join(b, "p").where(like).select("h1", "p"))
 
     links = verified(ties)
-    # who is not like the least of a bucket stays in it, and is dealt to finer buckets
-    left = ties.where("h1 != p").join(links.withColumn("found", F.lit(1)), ["h1", "p"], "left").where("found is null").select("bucket", "h1")
-    finer = [F.xxhash64("bucket", F.lit(k), _minimum("x", 1000 + k)) for k in range(FINER)]
-    dealt = keep(left.join(a, "h1").select("h1", F.explode(F.array(*finer)).alias("bucket")))
-    least = dealt.groupBy("bucket").agg(F.min("h1").alias("p"), F.max("h1").alias("last")).where("p < last").select("bucket", "p")
-    more = verified(dealt.join(least, "bucket").select("h1", "p"))
+    # members that the least of a bucket has not joined are compared with all the others
+    roots = components(links.select(F.col("h1").alias("a"), F.col("p").alias("b"))).select(F.col("node").alias("h1"), "root")
+    placed = ties.select("bucket", "h1").join(roots, "h1", "left").select("bucket", "h1", F.coalesce("root", "h1").alias("root"))
+    split = placed.groupBy("bucket").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high and k > 2")
+    sizes = sets.select("h1", F.size("set").alias("n"))
+    members = placed.join(split.select("bucket", "k"), "bucket").join(sizes, "h1")
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    members = keep(members.select("bucket", "h1", "root", "n", blocks.alias("blocks"), F.pmod(F.xxhash64("h1", F.lit(5)), blocks).cast("int").alias("own")))
+    one = members.select("bucket", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), "h1", "root", "n")
+    two = members.select("bucket", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), F.col("h1").alias("p"), F.col("root").alias("root2"), F.col("n").alias("n2"))
+    apart = (F.col("root") != F.col("root2")) & ((F.col("i") < F.col("j")) | (F.col("h1") < F.col("p")))
+    near = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * F.lit(percent)  # sets of other sizes can't be alike
+    pairs = one.join(two, ["bucket", "i", "j"]).where(apart & near).select(F.greatest("h1", "p").alias("h1"), F.least("h1", "p").alias("p"))
+    more = verified(pairs)
     return links.union(more).select(F.col("h1").alias("a"), F.col("p").alias("b"))
 
 
-def _minimum(column: str, seed: int) -> F.Column:
-    return F.array_min(F.transform(column, lambda x: F.xxhash64(x, F.lit(seed))))
-
-
 def line_verdicts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per line with a word: doc_id, version, line_no, kept, and the first line of its component (root_doc, root_line).
 
