@@ -51,10 +51,23 @@ def _shingle(points, place) -> F.Column:
     return F.xxhash64(F.substring(points, place * 4 + 1, F.lit(4 * SHINGLE)))
 
 
+def _bound(value, use) -> F.Column:
+    """use(value), where value is computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _set(line) -> F.Column:
     """The distinct shingles of a line, as hashes."""
-    points = F.encode(line, "UTF-32")
-    return F.array_distinct(F.transform(_places(points), lambda i: _shingle(points, i)))
+    return _bound(F.encode(line, "UTF-32"), lambda points: F.array_distinct(F.transform(_places(points), lambda i: _shingle(points, i))))
+
+
+def _alike(line, other, percent: int) -> F.Column:
+    """Whether the Jaccard similarity of two lines' shingle sets reaches percent."""
+
+    def reaches(s) -> F.Column:
+        return _bound(F.size(F.array_intersect(s["x"], s["y"])), lambda both: both * 100 >= F.lit(percent) * (F.size(s["x"]) + F.size(s["y"]) - both))
+
+    return _bound(F.struct(_set(line).alias("x"), _set(other).alias("y")), reaches)
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
@@ -76,10 +89,8 @@ def _links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, percent: int
     ties = keep(buckets.join(least, "bucket").select("bucket", "h1", "p"))  # the least of a bucket is tied to itself
     wanted = keep(classes.join(ties.select("h1").distinct(), "h1").select("h1", "h2", "first.doc_id", "first.line_no"))
     texts = keep(_lines(having(docs, wanted)).join(wanted, ["doc_id", "line_no", "h1", "h2"]).select("h1", "line").dropDuplicates(["h1"]))
-    sets = texts.select("h1", _set(F.col("line")).alias("set"))
-    a, b = sets.select("h1", F.col("set").alias("x")), sets.select(F.col("h1").alias("p"), F.col("set").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    like = both * 100 >= F.lit(percent) * (F.size("x") + F.size("y") - both)
+    a, b = texts, texts.select(F.col("h1").alias("p"), F.col("line").alias("other"))  # sets are several times longer
+    like = _alike(F.col("line"), F.col("other"), percent)
 
     def verified(tied: DataFrame) -> DataFrame:
         return keep(tied.where("h1 != p").select("h1", "p").distinct().join(a, "h1").join(b, "p").where(like).select("h1", "p"))
@@ -89,8 +100,9 @@ def _links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, percent: int
     roots = components(links.select(F.col("h1").alias("a"), F.col("p").alias("b"))).select(F.col("node").alias("h1"), "root")
     placed = ties.select("bucket", "h1").join(roots, "h1", "left").select("bucket", "h1", F.coalesce("root", "h1").alias("root"))
     split = placed.groupBy("bucket").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high and k > 2")
-    sizes = sets.select("h1", F.size("set").alias("n"))
-    members = placed.join(split.select("bucket", "k"), "bucket").join(sizes, "h1")
+    members = keep(placed.join(split.select("bucket", "k"), "bucket"))
+    sizes = texts.join(members.select("h1").distinct(), "h1").select("h1", F.size(_set(F.col("line"))).alias("n"))
+    members = members.join(sizes, "h1")
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     members = keep(members.select("bucket", "h1", "root", "n", blocks.alias("blocks"), F.pmod(F.xxhash64("h1", F.lit(5)), blocks).cast("int").alias("own")))
     one = members.select("bucket", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), "h1", "root", "n")
