@@ -244,6 +244,14 @@ def test_op4(spark, rows):
     assert got[5001]["labels"] == "mit,mit-text" and got[5001]["score"] == 1.0
 
 
+def test_op4_finds_headers_in_paragraphs(spark):
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.'
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution."
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details."
+    got = [(r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame([(1, apache), (2, bsd), (3, gpl)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [("apache,apache-text", 1.0), ("bsd-text", 1.0), ("gpl,gpl-text", 1.0)]
+
+
 def test_op4_join_is_exact(spark, rows):
     texts = [r[1] for r in rows if r[1] and len(ALNUM.findall(r[1])) > 3]
     templates = {f"t{i}": " ".join(ALNUM.findall(t)[:25]) for i, t in enumerate(texts[:12]) if len(ALNUM.findall(t)) > 10}

@@ -29,12 +29,12 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Opening or central paragraphs of public licenses.
+# Opening or central paragraphs of public licenses. Each paragraph, and all together, is a template.
 TEMPLATES = {
-    "apache-text": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "apache-text": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\nRedistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\nRedistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "cc-by-text": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "gpl-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "gpl-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions.",
     "mpl-text": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at.",
@@ -57,10 +57,11 @@ class Scanner:
     """The templates as sets of places in a sorted vocabulary."""
 
     def __init__(self, templates: dict[str, str], percent: int):
-        own = {k: np.unique(_word_hashes(v)) for k, v in sorted(templates.items()) if v.split()}
-        self.labels, self.percent = list(own), percent
-        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *own.values()]))
-        self.sets = [np.searchsorted(self.vocabulary, s) for s in own.values()]
+        parts = [(k, part) for k, v in sorted(templates.items()) for part in dict.fromkeys([v, *v.split("\n\n")]) if part.split()]
+        own = [np.unique(_word_hashes(part)) for _, part in parts]
+        self.labels, self.percent = [k for k, _ in parts], percent
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]))
+        self.sets = [np.searchsorted(self.vocabulary, s) for s in own]
         self.need = [-(-percent * len(s) // 100) for s in self.sets]
         self.phrases = [(_word_hashes(k), v) for k, v in PHRASES.items()]
         bits = np.zeros(1 << 16, bool)
