@@ -46,6 +46,11 @@ def test_rrf_by_hand(spark):
     assert got[0]["score"] == pytest.approx(1 / 62 + 1 / 61, abs=1e-8)
 
 
+def test_cached_answers_pass_over_later_vectors(spark):
+    v = spark.createDataFrame([(10, [0.8, 0.6]), (20, [0.6, 0.8]), *((i, [1.0, 0.0]) for i in range(50, 120))], "id long, vector array<double>")
+    assert rows(retrieval.cached_answers(v, 0.2)) == [(50, 10, 0.8), (100, 50, 1.0)]
+
+
 def test_vector_topk_edges(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [1.0, None]), (3, [2.0, 0.0]), (4, [0.0, 1.0]), (5, None)], "id long, vector array<double>")
     got = rows(retrieval.vector_topk(v.where("id = 0"), v, 5))
