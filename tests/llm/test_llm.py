@@ -266,6 +266,22 @@ def test_op4_join_is_exact(spark, rows):
 # 5
 
 
+def brute_lines(lines, percent=75):
+    """The place of the first line of each line's component, by all 12-character shingles of both lines; lines: {place: line}."""
+    first = {}
+    for k in sorted(lines):
+        first.setdefault(lines[k], k)
+    texts = list(first)
+    sets = [{t[j : j + 12] for j in range(max(1, len(t) - 11))} for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    comp = components_of(len(texts), links)
+    least = {}
+    for c, t in zip(comp, texts, strict=True):
+        least[c] = min(least.get(c, first[t]), first[t])
+    root = {t: least[c] for c, t in zip(comp, texts, strict=True)}
+    return {k: root[t] for k, t in lines.items()}, len(links)
+
+
 def test_op5(docs, rows):
     got = {}
     for r in line_dedup.line_verdicts(docs).collect():
@@ -275,28 +291,45 @@ def test_op5(docs, rows):
     texts = collections.defaultdict(set)
     for i, t in clean:
         texts[i].add(t)
+    lines = {(i, n): line for i, t in clean for n, line in enumerate(t.split("\n")) if SPACE.search(line) and len(texts[i]) == 1}
+    more = {(i, n, k): line for k, (i, t) in enumerate(clean) for n, line in enumerate(t.split("\n")) if SPACE.search(line) and len(texts[i]) > 1}
+    want, _ = brute_lines({(*k, 0): v for k, v in lines.items()} | more)
     single = {k for k in own if len(texts[k[0]]) == 1}
-    first = {}
-    for i, t in sorted(clean):
-        for n, line in enumerate(t.split("\n")):
-            if SPACE.search(line):
-                first[line] = min(first.get(line, (i, n)), (i, n))
-    shingles = {line: {line[m.start() : m.start() + line_dedup.SHINGLE] for m in SPACE.finditer(line)} for line in first}
-    lines = sorted(first, key=first.get)
-    links = [(a, b) for a in range(len(lines)) for b in range(a) if 100 * len(shingles[lines[a]] & shingles[lines[b]]) >= 75 * len(shingles[lines[a]] | shingles[lines[b]])]
-    comp = components_of(len(lines), links)
-    least = {}
-    for c, line in zip(comp, lines, strict=True):
-        least[c] = min(least.get(c, first[line]), first[line])
-    root = {line: least[c] for c, line in zip(comp, lines, strict=True)}
-    agree = sum(got[k][1] == root[own[k]] for k in single)
+    agree = sum(got[k][1] == want[*k, 0][:2] for k in single)
     assert agree >= 0.98 * len(single)  # banding may miss a pair near the threshold
-    assert all(first[own[k]] == got[k][1] or own[k] in root for k in single)
     kept = line_dedup.dedup_lines(docs)
     assert kept.columns == docs.columns
     assert kept.where("text is null").count() == 2
 
 
+def test_op5_recall_by_length(spark):
+    rnd = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz   "
+    data, pairs = [], []
+    for k in range(600):
+        n = rnd.choice([30, 60, 120, 250, 700, 2500])
+        line = "x" + "".join(rnd.choice(letters) for _ in range(n))
+        other = list(line)
+        for _ in range(max(1, n // 110)):
+            other[rnd.randrange(1, len(other))] = rnd.choice(letters)
+        data += [(2 * k, line), (2 * k + 1, "".join(other))]
+        pairs.append((2 * k, 2 * k + 1))
+    want, _ = brute_lines({(i, 0): t for i, t in data})
+    got = {r["doc_id"]: r["root_doc"] for r in line_dedup.line_verdicts(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    linked = [(a, b) for a, b in pairs if want[a, 0] == want[b, 0]]
+    assert len(linked) > 300
+    assert sum(got[a] == got[b] for a, b in linked) >= 0.97 * len(linked)
+    assert all(want[i, 0][0] == want[got[i], 0][0] for i in got)  # none is joined that doesn't belong together
+
+
+def test_op5_repeating_lines_and_clashing_names(spark):
+    data = [(1, "ha " * 400), (2, "ha " * 700), (3, "=" * 900), (4, "=" * 300), (5, "one line\n" + "=" * 900 + "\nlast"), (5, "one line\n" + "=" * 900 + "\nlast"), (None, "=" * 900)]
+    df = spark.createDataFrame([(*d, 1, "g", True, 2) for d in data], "doc_id long, text string, _all int, _removed string, all_gone boolean, version int")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == df.columns
+    assert sorted(((r["doc_id"] or -1), r["text"][:9], len(r["text"])) for r in out.collect()) == [(-1, "=" * 9, 900), (1, "ha ha ha ", 1200), (3, "=" * 9, 900), (5, "one line\n", 13), (5, "one line\n", 13)]
+
+
 def test_op5_looks_at_all_characters(spark):
     rnd = random.Random(8)
     tail = lambda: "".join(rnd.choice("abcdefghij") for _ in range(60))
@@ -312,16 +345,14 @@ def test_op5_links_all_pairs_of_a_bucket(spark, monkeypatch):
     common = " ".join(word() for _ in range(6))
     lines = [f"{common} {word()} {word()}" for _ in range(300)]
     lines += [line[:-2] + "zz" for line in lines[:40]]
-    shingles = [{line[j : j + line_dedup.SHINGLE] for j in range(len(line) - line_dedup.SHINGLE + 1)} for line in lines]
-    percent = 90
-    links = [(i, j) for i in range(len(lines)) for j in range(i) if 100 * len(shingles[i] & shingles[j]) >= percent * len(shingles[i] | shingles[j])]
-    assert len(links) == 40
-    monkeypatch.setattr(line_dedup, "BLOCK", 16, raising=False)
+    want, n = brute_lines({(i, 0): t for i, t in enumerate(lines)}, 90)
+    assert n == 40
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     one = line_dedup._lines(df).select("h1").withColumn("bucket", F.lit(1).cast("long"))
-    monkeypatch.setattr(line_dedup, "_buckets", lambda signatures: one.select("bucket", "h1"))
-    got = {r["doc_id"]: r["root_doc"] for r in line_dedup.line_verdicts(df, percent).collect()}
-    assert got == {i: i - 300 if i >= 300 else i for i in range(len(lines))}
+    monkeypatch.setattr(line_dedup, "_buckets", lambda docs, classes: one.select("bucket", "h1"))
+    got = {r["doc_id"]: r["root_doc"] for r in line_dedup.line_verdicts(df, 90).collect()}
+    assert got == {i: want[i, 0][0] for i in got}
 
 
 def test_op5_empty(empty):

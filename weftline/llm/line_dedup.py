@@ -1,40 +1,55 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
-A line's shingles are all its runs of ``SHINGLE`` characters; a shorter line is
-one shingle. They are cut from the line's UTF-32 bytes, where a character's
-place is known, so a long line takes no longer a character than a short one.
-Lines of equal content are one class from the start. A class's
-signature has ``BANDS`` * ``ROWS`` minima, each the least of one hash function
-over the shingles; they are plain ``min`` aggregates over exploded shingles, so
-partial sums are made before the shuffle. Classes with equal values in all rows
-of a band share a bucket. In each bucket all members are compared with its
-least member by the exact Jaccard similarity of their shingle sets, and
-distributed union-find joins the links. Then every two members that are not in
-one component yet, and whose sets have sizes that can be alike, are compared by
-a join of blocks of ``BLOCK`` members, so that a large bucket is many small
-keys. So no two lines that share a bucket and meet the threshold stay apart, at
-a cost that grows with the square of a bucket of unlike lines. Of each
-component the line that comes first, by doc_id and line, stays.
+A line's shingles are all its runs of ``SHINGLE`` characters (UTF-16 units); a
+shorter line is one shingle. They are cut from the line's UTF-16 bytes, where a
+character's place is known, so a long line takes no longer a character than a
+short one.
+Lines of equal content are one class from the start.
+
+A class's signature is a one-permutation MinHash: one hash of every shingle
+says which of ``HALVES`` * ``BANDS`` * ``ROWS`` bins it falls into and its value
+there, and each bin keeps its least value. Of a line with many shingles only
+values that are low enough to be a least one are aggregated, some ``PER_BIN``
+for each bin; a line that leaves many bins empty by that, as its shingles
+repeat, is gone through once more without the limit. An empty bin takes the
+value of another one of its half, in a fixed random order. The minima are plain
+``min`` aggregates, so partial sums are made before the shuffle.
+
+Classes with equal values in all rows of a band share a bucket. In each bucket
+all members are compared with its least member by the exact Jaccard similarity
+of their shingle sets, and distributed union-find joins the links. The members
+of buckets that are in several components by then are compared with each other
+by an exact join: of a line's shingles, rarest among these lines first, one of
+the first n - ceil(t n) + 1 stands among those of every line it links with.
+Lines that share such a shingle, whose sizes can be alike and that are in
+different components are compared, in blocks of ``BLOCK`` lines, so that a
+frequent shingle is many small keys. So no two lines that share a bucket and
+meet the threshold stay apart. Of each component the line that comes first, by
+doc_id and line, stays.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import having, keep
+from .store import BROADCAST_IDS, fresh, having, keep
 
 SHINGLE = 12
-BANDS = 8
-ROWS = 3
+#: A signature has so many halves, aggregated apart, with so many bands each.
+HALVES = 2
+BANDS = 4
+ROWS = 4
+BINS = BANDS * ROWS
+#: Values of a bin that are looked at on average, if a line has so many shingles.
+PER_BIN = 2.5
 PERCENT = 75
-#: Members of a bucket in one block of the join of its members.
+#: Lines that share a shingle in one block of their join.
 BLOCK = 256
 
-#: The rows of a band are the nearest hashes to these, by exclusive or: minima of one hash function from different ends.
-_ENDS = (0, 0x3A5C96E1B7D2480F, -0x5B1E4D2C7A693F81)
-
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, version (hash of the text), line_no from 0, line and its two hashes h1 and h2, for lines with a word."""
@@ -43,12 +58,12 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _places(points) -> F.Column:
-    """The places of a line's shingles, from its UTF-32 bytes."""
-    return F.sequence(F.lit(0), F.greatest((F.octet_length(points) / 4).cast("int") - SHINGLE, F.lit(0)))
+    """The bytes, from 1, at which a line's shingles begin in its UTF-16 bytes."""
+    return F.sequence(F.lit(1), F.greatest(F.octet_length(points) - (2 * SHINGLE - 1), F.lit(1)), F.lit(2))
 
 
 def _shingle(points, place) -> F.Column:
-    return F.xxhash64(F.substring(points, place * 4 + 1, F.lit(4 * SHINGLE)))
+    return F.substring(points, place, F.lit(2 * SHINGLE))
 
 
 def _bound(value, use) -> F.Column:
@@ -58,7 +73,7 @@ def _bound(value, use) -> F.Column:
 
 def _set(line) -> F.Column:
     """The distinct shingles of a line, as hashes."""
-    return _bound(F.encode(line, "UTF-32"), lambda points: F.array_distinct(F.transform(_places(points), lambda i: _shingle(points, i))))
+    return _bound(F.encode(line, "UTF-16BE"), lambda points: F.array_distinct(F.transform(_places(points), lambda i: F.xxhash64(_shingle(points, i)))))
 
 
 def _alike(line, other, percent: int) -> F.Column:
@@ -70,25 +85,54 @@ def _alike(line, other, percent: int) -> F.Column:
     return _bound(F.struct(_set(line).alias("x"), _set(other).alias("y")), reaches)
 
 
-def _signatures(lines: DataFrame) -> DataFrame:
-    """h1 and m0, m1, ...: the minima of each class; h2 isn't needed to find candidates."""
-    points = lines.select("h1", F.encode("line", "UTF-32").alias("points"))
-    each = points.select("h1", "points", F.explode(_places(F.col("points"))).alias("i")).select("h1", _shingle(F.col("points"), F.col("i")).alias("x"))
-    each = each.select("h1", *(F.xxhash64("x", F.lit(b)).alias(f"y{b}") for b in range(BANDS)))
-    return each.groupBy("h1").agg(*(F.min(F.shiftright(F.col(f"y{b}").bitwiseXOR(F.lit(_ENDS[r])), 33)).alias(f"m{b * ROWS + r}") for b in range(BANDS) for r in range(ROWS)))
+def _minima(lines: DataFrame, limited: bool) -> DataFrame:
+    """h1, half, cut (whether values were limited) and the bins' least values m0, m1, ...; null: an empty bin."""
+    points = lines.select("h1", F.encode("line", "UTF-16BE").alias("points"))
+    n = F.shiftright(F.octet_length("points"), 1) - (SHINGLE - 1)
+    most = int(PER_BIN * HALVES * BINS)
+    each = points.select("h1", (n > most).alias("cut"), n.alias("n"), "points", F.explode(_places(F.col("points"))).alias("i"))
+    each = each.select("h1", "cut", "n", "i", F.hash(_shingle(F.col("points"), F.col("i"))).alias("x"))
+    value = F.shiftrightunsigned("x", 5)  # below 1 << 27
+    low = (value.cast("long") * F.col("n") < F.lit(most << 27)) | F.lit(not limited)  # holds for all values of a line that isn't cut
+    each = each.where(low | (F.col("i") == 1))  # so that every line has a row
+    each = each.select("h1", "cut", F.col("x").bitwiseAND(F.lit(HALVES - 1)).alias("half"), F.when(low, F.shiftright("x", 1).bitwiseAND(F.lit(BINS - 1))).alias("bin"), value.alias("v"))
+    return each.groupBy("h1", "half", "cut").agg(*(F.min(F.when(F.col("bin") == b, F.col("v"))).alias(f"m{b}") for b in range(BINS)))
+
+
+def _banded(minima: DataFrame) -> DataFrame:
+    """h1, poor (limited, and many bins are empty) and bands, a hash of each band's rows."""
+    rnd = random.Random(1)
+    filled = sum((F.col(f"m{b}").isNotNull().cast("int") for b in range(BINS)), F.lit(0))
+    some = minima.withColumn("some", F.coalesce(*(F.col(f"m{b}") for b in range(BINS))))
+    value = [F.coalesce(F.col(f"m{b}"), *(F.col(f"m{i}") for i in rnd.sample([i for i in range(BINS) if i != b], 4)), F.col("some")) for b in range(BINS)]
+    bands = F.array(*(F.xxhash64(F.lit(b), "half", *value[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)))
+    return some.select("h1", (F.col("cut") & (filled < BINS / 2)).alias("poor"), bands.alias("bands"))
+
 
+def _buckets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, h1) for every class; h2 isn't needed to find candidates."""
+    first = keep(_banded(_minima(_lines(docs), True)))
+    poor = first.where("poor").select("h1").distinct()
+    bands = first.select("h1", "bands")
+    if not poor.isEmpty():
+        wanted = keep(classes.join(poor, "h1").select("h1", "h2", "first.doc_id", "first.line_no"))
+        bands = bands.join(wanted.select("h1"), "h1", "left_anti").unionByName(_banded(_minima(_texts(docs, wanted), False)).select("h1", "bands"))
+    return bands.select(F.explode("bands").alias("bucket"), "h1")
 
-def _buckets(signatures: DataFrame) -> DataFrame:
-    bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
-    return signatures.select(F.explode(F.array(*bands)).alias("bucket"), "h1")
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h1 and line of each wanted class (h1, h2 and its first place)."""
+    return _lines(having(docs, wanted)).join(wanted, ["doc_id", "line_no", "h1", "h2"]).select("h1", "line").dropDuplicates(["h1"])
 
 
 def _links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
     """Verified links (a, b) between classes, by h1: all that components need of the pairs that share a bucket."""
     least = buckets.groupBy("bucket").agg(F.min("h1").alias("p"), F.max("h1").alias("last")).where("p < last").select("bucket", "p")
-    ties = keep(buckets.join(least, "bucket").select("bucket", "h1", "p"))  # the least of a bucket is tied to itself
+    least = keep(least)
+    few = least.count() <= BROADCAST_IDS
+    ties = keep(buckets.join(F.broadcast(least) if few else least, "bucket").select("bucket", "h1", "p"))  # the least of a bucket is tied to itself
     wanted = keep(classes.join(ties.select("h1").distinct(), "h1").select("h1", "h2", "first.doc_id", "first.line_no"))
-    texts = keep(_lines(having(docs, wanted)).join(wanted, ["doc_id", "line_no", "h1", "h2"]).select("h1", "line").dropDuplicates(["h1"]))
+    texts = keep(_texts(docs, wanted))
     a, b = texts, texts.select(F.col("h1").alias("p"), F.col("line").alias("other"))  # sets are several times longer
     like = _alike(F.col("line"), F.col("other"), percent)
 
@@ -96,22 +140,30 @@ def _links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, percent: int
         return keep(tied.where("h1 != p").select("h1", "p").distinct().join(a, "h1").join(b, "p").where(like).select("h1", "p"))
 
     links = verified(ties)
-    # members that the least of a bucket has not joined are compared with all the others
     roots = components(links.select(F.col("h1").alias("a"), F.col("p").alias("b"))).select(F.col("node").alias("h1"), "root")
     placed = ties.select("bucket", "h1").join(roots, "h1", "left").select("bucket", "h1", F.coalesce("root", "h1").alias("root"))
     split = placed.groupBy("bucket").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high and k > 2")
-    members = keep(placed.join(split.select("bucket", "k"), "bucket"))
-    sizes = texts.join(members.select("h1").distinct(), "h1").select("h1", F.size(_set(F.col("line"))).alias("n"))
-    members = members.join(sizes, "h1")
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    members = keep(members.select("bucket", "h1", "root", "n", blocks.alias("blocks"), F.pmod(F.xxhash64("h1", F.lit(5)), blocks).cast("int").alias("own")))
-    one = members.select("bucket", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), "h1", "root", "n")
-    two = members.select("bucket", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), F.col("h1").alias("p"), F.col("root").alias("root2"), F.col("n").alias("n2"))
+    members = keep(placed.join(split.select("bucket"), "bucket").select("h1", "root").distinct())
+    more = verified(_prefix_pairs(members.join(texts, "h1"), percent))
+    return links.union(more).select(F.col("h1").alias("a"), F.col("p").alias("b"))
+
+
+def _prefix_pairs(lines: DataFrame, percent: int) -> DataFrame:
+    """(h1, p), h1 > p, of lines (h1, root, line) of different roots that share a shingle of their prefixes and are alike in size."""
+    sets = lines.select("h1", "root", _set(F.col("line")).alias("set"))
+    each = keep(sets.select("h1", "root", F.size("set").alias("n"), F.explode("set").alias("x")))
+    often = each.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(often, "x").groupBy("h1", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("order"))
+    # shingles of no other line stand first in the order and take their part of the prefix
+    room = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1 - (F.col("n") - F.size("order"))
+    prefix = shared.where(room > 0).select("h1", "root", "n", F.explode(F.slice("order", F.lit(1), room)).alias("s")).select("h1", "root", "n", "s.x")
+    groups = prefix.groupBy("x").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("x", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    dealt = keep(prefix.join(groups, "x").withColumn("own", F.pmod(F.xxhash64("h1", F.lit(5)), "blocks").cast("int")))
+    one = dealt.select("x", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), "h1", "root", "n")
+    two = dealt.select("x", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), F.col("h1").alias("p"), F.col("root").alias("root2"), F.col("n").alias("n2"))
     apart = (F.col("root") != F.col("root2")) & ((F.col("i") < F.col("j")) | (F.col("h1") < F.col("p")))
     near = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * F.lit(percent)  # sets of other sizes can't be alike
-    pairs = one.join(two, ["bucket", "i", "j"]).where(apart & near).select(F.greatest("h1", "p").alias("h1"), F.least("h1", "p").alias("p"))
-    more = verified(pairs)
-    return links.union(more).select(F.col("h1").alias("a"), F.col("p").alias("b"))
+    return one.join(two, ["x", "i", "j"]).where(apart & near).select(F.greatest("h1", "p").alias("h1"), F.least("h1", "p").alias("p"))
 
 
 def line_verdicts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -121,10 +173,9 @@ def line_verdicts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     left out. Lines without a word are neither compared nor reported.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = _lines(docs)
-    keys = lines.select("doc_id", "version", "line_no", "h1", "h2")
+    keys = keep(_lines(docs).select("doc_id", "version", "line_no", "h1", "h2"))
     classes = keep(keys.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first")))
-    links = _links(docs, classes, _buckets(_signatures(lines)), percent)
+    links = _links(docs, classes, _buckets(docs, classes), percent)
     near = classes.join(components(links).select(F.col("node").alias("h1"), "root"), "h1")
     roots = near.groupBy("root").agg(F.min("first").alias("kept"))
     known = near.join(roots, "root").select("h1", "h2", "kept")
@@ -151,13 +202,15 @@ def line_report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs, with all their columns, without the lines that are not kept; documents that lose all their lines go.
 
+    Rows that are repeated, or share doc_id and text, lose the same lines and
+    stay as many as they are. Rows with a null doc_id or text stay as they are.
     ``n_chars``, if there is such a column, follows the text.
     """
-    gone = line_report(docs, percent).where("n_removed > 0").select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), (F.col("n_removed") == F.col("n_lines")).alias("_all"), F.col("removed").alias("_removed")).distinct()
-    names = docs.columns
-    out = docs.join(gone, (docs["doc_id"].cast("long") == gone["_doc"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_version"]), "left").where(~F.coalesce("_all", F.lit(False)))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    out = out.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(left))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*names)
+    doc, version, gone, removed = (fresh(n, docs.columns) for n in ("doc", "version", "all_gone", "removed"))
+    report = line_report(docs, percent).where("n_removed > 0").select(F.col("doc_id").alias(doc), F.col("version").alias(version), (F.col("n_removed") == F.col("n_lines")).alias(gone), F.col("removed").alias(removed)).distinct()
+    out = docs.join(report, (docs["doc_id"].cast("long") == report[doc]) & (F.xxhash64(docs["text"].cast("string")) == report[version]), "left").where(~F.coalesce(gone, F.lit(False)))
+    left = _bound(F.split("text", "\n"), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(removed)), lambda i: lines[i]), "\n"))
+    changed = {"text": F.when(F.col(removed).isNull(), F.col("text")).otherwise(left)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col(removed).isNull(), F.col("n_chars")).otherwise(F.length(left).cast(docs.schema["n_chars"].dataType))
+    return out.withColumns(changed).select(*docs.columns)

@@ -38,9 +38,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, rows: int, per_task: int = 50_000) -> int:
-    """Partitions for ``rows`` rows: as the session says, or more if tasks would exceed ``per_task`` rows."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that a table doesn't have."""
+    low = {t.lower() for t in taken}
+    while name in low:
+        name = f"_{name}"
+    return name
 
 
 #: Most ids that are sent to every executor to select rows, at 16 bytes each.
