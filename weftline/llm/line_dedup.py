@@ -15,17 +15,18 @@ repeat, is gone through once more without the limit. An empty bin takes the
 value of another one of its half, in a fixed random order. The minima are plain
 ``min`` aggregates, so partial sums are made before the shuffle.
 
-Classes with equal values in all rows of a band share a bucket. In each bucket
-all members are compared with its least member by the exact Jaccard similarity
-of their shingle sets, and distributed union-find joins the links. The members
-of buckets that are in several components by then are compared with each other
-by an exact join: of a line's shingles, rarest among these lines first, one of
-the first n - ceil(t n) + 1 stands among those of every line it links with.
-Lines that share such a shingle, whose sizes can be alike and that are in
-different components are compared, in blocks of ``BLOCK`` lines, so that a
-frequent shingle is many small keys. So no two lines that share a bucket and
-meet the threshold stay apart. Of each component the line that comes first, by
-doc_id and line, stays.
+Classes with equal values in all rows of a band share a bucket. Of each bucket
+all members are compared with its least member, the pivot, by the exact Jaccard
+similarity of their shingle sets, and distributed union-find joins the links.
+The lines of one pivot that are in several components by then are compared with
+each other by an exact prefix join: their shingles are ordered, those that the
+pivot doesn't have first, and of a line's n shingles one of the first
+n - ceil(t n) + 1 stands among those of every line that it links with. What
+lines of a bucket have in common, the pivot has mostly too, so unlike lines
+hardly meet. Those that do, and whose sizes can be alike, are compared, in
+blocks of ``BLOCK`` lines, so that a frequent shingle is many small keys. So no
+two lines that share a bucket and meet the threshold stay apart. Of each
+component the line that comes first, by doc_id and line, stays.
 """
 
 from __future__ import annotations
@@ -76,13 +77,19 @@ def _set(line) -> F.Column:
     return _bound(F.encode(line, "UTF-16BE"), lambda points: F.array_distinct(F.transform(_places(points), lambda i: F.xxhash64(_shingle(points, i)))))
 
 
-def _alike(line, other, percent: int) -> F.Column:
-    """Whether the Jaccard similarity of two lines' shingle sets reaches percent."""
+def _compared(line, other, percent: int, prefix: bool) -> F.Column:
+    """n (the size of the line's set), alike (whether the sets' similarity reaches percent) and, if asked for, prefix (in the order by the other line)."""
 
-    def reaches(s) -> F.Column:
-        return _bound(F.size(F.array_intersect(s["x"], s["y"])), lambda both: both * 100 >= F.lit(percent) * (F.size(s["x"]) + F.size(s["y"]) - both))
+    def result(s, both) -> F.Column:
+        x, n = s["x"], F.size(s["x"])
+        out = [n.alias("n"), (F.size(both) * 100 >= F.lit(percent) * (n + F.size(s["y"]) - F.size(both))).alias("alike")]
+        if prefix:
+            room = n - F.ceil(n * percent / F.lit(100)).cast("int") + 1
+            out.append(F.slice(F.concat(F.sort_array(F.array_except(x, both)), F.sort_array(both)), F.lit(1), room).alias("prefix"))
+        return F.struct(*out)
 
-    return _bound(F.struct(_set(line).alias("x"), _set(other).alias("y")), reaches)
+    sets = F.struct(_set(line).alias("x"), _set(other).alias("y"))
+    return _bound(sets, lambda s: _bound(F.array_intersect(s["x"], s["y"]), lambda both: result(s, both)))
 
 
 def _minima(lines: DataFrame, limited: bool) -> DataFrame:
@@ -134,36 +141,29 @@ def _links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, percent: int
     wanted = keep(classes.join(ties.select("h1").distinct(), "h1").select("h1", "h2", "first.doc_id", "first.line_no"))
     texts = keep(_texts(docs, wanted))
     a, b = texts, texts.select(F.col("h1").alias("p"), F.col("line").alias("other"))  # sets are several times longer
-    like = _alike(F.col("line"), F.col("other"), percent)
 
-    def verified(tied: DataFrame) -> DataFrame:
-        return keep(tied.where("h1 != p").select("h1", "p").distinct().join(a, "h1").join(b, "p").where(like).select("h1", "p"))
+    def compared(pairs: DataFrame, prefix: bool) -> DataFrame:
+        return pairs.where("h1 != p").select("h1", "p").distinct().join(a, "h1").join(b, "p").select("h1", "p", _compared(F.col("line"), F.col("other"), percent, prefix).alias("c"))
 
-    links = verified(ties)
+    found = keep(compared(ties, True).select("h1", "p", "c.*"))
+    links = found.where("alike").select("h1", "p")
     roots = components(links.select(F.col("h1").alias("a"), F.col("p").alias("b"))).select(F.col("node").alias("h1"), "root")
-    placed = ties.select("bucket", "h1").join(roots, "h1", "left").select("bucket", "h1", F.coalesce("root", "h1").alias("root"))
-    split = placed.groupBy("bucket").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high and k > 2")
-    members = keep(placed.join(split.select("bucket"), "bucket").select("h1", "root").distinct())
-    more = verified(_prefix_pairs(members.join(texts, "h1"), percent))
+    rooted = found.select("h1", "p", "n", "prefix").join(roots, "h1", "left").withColumn("root", F.coalesce("root", "h1"))
+    more = keep(compared(_prefix_pairs(rooted, percent), False).where("c.alike").select("h1", "p"))
     return links.union(more).select(F.col("h1").alias("a"), F.col("p").alias("b"))
 
 
 def _prefix_pairs(lines: DataFrame, percent: int) -> DataFrame:
-    """(h1, p), h1 > p, of lines (h1, root, line) of different roots that share a shingle of their prefixes and are alike in size."""
-    sets = lines.select("h1", "root", _set(F.col("line")).alias("set"))
-    each = keep(sets.select("h1", "root", F.size("set").alias("n"), F.explode("set").alias("x")))
-    often = each.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
-    shared = each.join(often, "x").groupBy("h1", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("order"))
-    # shingles of no other line stand first in the order and take their part of the prefix
-    room = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1 - (F.col("n") - F.size("order"))
-    prefix = shared.where(room > 0).select("h1", "root", "n", F.explode(F.slice("order", F.lit(1), room)).alias("s")).select("h1", "root", "n", "s.x")
-    groups = prefix.groupBy("x").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("x", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    dealt = keep(prefix.join(groups, "x").withColumn("own", F.pmod(F.xxhash64("h1", F.lit(5)), "blocks").cast("int")))
-    one = dealt.select("x", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), "h1", "root", "n")
-    two = dealt.select("x", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), F.col("h1").alias("p"), F.col("root").alias("root2"), F.col("n").alias("n2"))
-    apart = (F.col("root") != F.col("root2")) & ((F.col("i") < F.col("j")) | (F.col("h1") < F.col("p")))
+    """(h1, p), h1 > p, of lines (h1, root, n, prefix) of one pivot p and different roots that share a shingle of their prefixes and are alike in size."""
+    split = lines.groupBy("p").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("p")
+    each = keep(lines.join(split, "p").select("p", F.explode("prefix").alias("x"), "h1", "root", "n"))
+    groups = each.groupBy("p", "x").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("p", "x", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    dealt = keep(each.join(groups, ["p", "x"]).withColumn("own", F.pmod(F.xxhash64("h1", F.lit(5)), "blocks").cast("int")))
+    one = dealt.select("p", "x", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), "h1", "root", "n")
+    two = dealt.select("p", "x", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), F.col("h1").alias("h2"), F.col("root").alias("root2"), F.col("n").alias("n2"))
+    apart = (F.col("root") != F.col("root2")) & ((F.col("i") < F.col("j")) | (F.col("h1") < F.col("h2")))
     near = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * F.lit(percent)  # sets of other sizes can't be alike
-    return one.join(two, ["x", "i", "j"]).where(apart & near).select(F.greatest("h1", "p").alias("h1"), F.least("h1", "p").alias("p"))
+    return one.join(two, ["p", "x", "i", "j"]).where(apart & near).select(F.greatest("h1", "h2").alias("h1"), F.least("h1", "h2").alias("p"))
 
 
 def line_verdicts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
