@@ -4,14 +4,18 @@
    consecutive k-mers the one with the smallest hash. Equal windows hold equal
    minimizers, so a window can only repeat if its minimizer does.
 2. Minimizers that stand in more than one document mark the stretches of text
-   that may repeat. There every window becomes an edge of the graph: it leads
-   from its first to its last ``window - 1`` words, and carries the smallest
+   that may repeat. There every window becomes an edge of a De Bruijn graph: it
+   leads from the node of its first ``window - 1`` words to that of its last
+   ones. Edges of one word sequence are one edge, which carries the smallest
    coordinate (document, word) at which it stands.
-3. Edges that follow one another both in the document and at that coordinate
-   form a nonbranching path; joins and a window function compact each to one
-   span (document, start, length; source document, source start).
-4. The two sides of each span are read back from the texts at their
-   coordinates and compared word by word before anything is removed.
+3. Of the edges that stand in several documents, those that meet at a node with
+   one edge in and one out follow one another, if their coordinates do too. A
+   join on the nodes finds these places; what lies between the others is a
+   nonbranching path, with a source document and a first word there.
+4. A run of a document's windows along a path is a span (document, start,
+   length; source document, source start). The two sides of each span are read
+   back from the texts at their coordinates and compared word by word before
+   anything is removed.
 
 Whole documents with equal words are reduced to the one with the smallest
 doc_id before step 1: each copy's windows all start in that one.
@@ -30,7 +34,8 @@ from .store import having, keep
 from .words import Words, chunks, cover, signed, space_table, span_hashes
 
 KMER = 12
-_PLACE_BITS = 26
+#: Bits of a place in the order of k-mers; 2**36 words are more than a text can have.
+_PLACE_BITS = 36
 
 
 def _words(column):
@@ -52,8 +57,6 @@ def minimizers(w: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np.nda
     wins = w.windows(window)
     if not len(wins):
         return wins, wins, mers
-    if len(mers) >> _PLACE_BITS:
-        raise ValueError("a text of over 2**26 words")
     span = window - k + 1
     size = -(-len(mers) // span) * span
     value = np.full(size, np.uint64(2**64 - 1))
@@ -143,8 +146,8 @@ def _edges(window: int):
                 ver = signed(span_hashes(h, w.bound[:-1], w.bound[1:], 31))
                 ids = batch.column("doc_id").slice(a, b - a).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(span_hashes(h, wins, wins + window, 22))), pa.array(ids[doc]), pa.array(ver[doc]), pa.array((wins - w.bound[doc]).astype(np.int64))],
-                    ["edge", "doc_id", "ver", "pos"],
+                    [*(pa.array(signed(span_hashes(h, wins + x, wins + window - y, seed))) for x, y, seed in ((0, 0, 22), (0, 1, 23), (1, 0, 23))), pa.array(ids[doc]), pa.array(ver[doc]), pa.array((wins - w.bound[doc]).astype(np.int64))],
+                    ["edge", "u", "v", "doc_id", "ver", "pos"],
                 )
 
     return run
@@ -195,25 +198,32 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
     marks = lead.where("doc_id is not null").select("doc_id", F.explode("marks").alias("mark"))
     shared = marks.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("mark")
     wanted = keep(marks.join(shared, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")))
-    edges = keep(having(docs, wanted).join(wanted, "doc_id").select("doc_id", "text", "marks").mapInArrow(_edges(window), "edge long, doc_id long, ver long, pos long"))
-    first = edges.groupBy("edge").agg(F.min(F.struct("doc_id", "ver", "pos")).alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last")
-    repeat = (
-        edges.join(first.select("edge", F.col("at.doc_id").alias("sdoc"), F.col("at.ver").alias("sver"), F.col("at.pos").alias("spos")), "edge")
-        .where("sdoc < doc_id")
-        .select("doc_id", "ver", "pos", "sdoc", "sver", "spos")
-        .distinct()
-    )
-    paths = repeat.withColumn("path", F.row_number().over(_along()) - F.col("pos"))
+    edges = keep(having(docs, wanted).join(wanted, "doc_id").select("doc_id", "text", "marks").mapInArrow(_edges(window), "edge long, u long, v long, doc_id long, ver long, pos long"))
+    paths = _paths(edges)
+    along = Window.partitionBy("doc_id", "ver", "path", "shift").orderBy("pos")
+    met = edges.select("edge", "doc_id", "ver", "pos").join(paths, "edge").where("sdoc < doc_id").select("doc_id", "ver", "pos", F.struct("sdoc", "sver", "head").alias("path"), (F.col("spos") - F.col("pos")).alias("shift"))
     spans = (
-        paths.groupBy("doc_id", "ver", "sdoc", "sver", (F.col("spos") - F.col("pos")).alias("shift"), "path")
-        .agg(F.min("pos").alias("start"), (F.count("*") + F.lit(window - 1)).alias("n"))
-        .select("doc_id", "ver", "start", "n", "sdoc", "sver", (F.col("start") + F.col("shift")).alias("sstart"))
+        met.withColumn("run", F.dense_rank().over(along) - F.col("pos"))  # a repeated row of docs has the same places
+        .groupBy("doc_id", "ver", "path", "shift", "run")
+        .agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + F.lit(window)).alias("n"))
+        .select("doc_id", "ver", "start", "n", "path.sdoc", "path.sver", (F.col("start") + F.col("shift")).alias("sstart"))
     )
     return base.drop("marks").join(same, ["ver", "ver2", "n_words"], "left"), spans
 
 
-def _along():
-    return Window.partitionBy("doc_id", "ver", "sdoc", "sver", F.col("spos") - F.col("pos")).orderBy("pos")
+def _paths(edges: DataFrame) -> DataFrame:
+    """edge, sdoc, sver, spos (its smallest coordinate) and head (the first word, there, of the nonbranching path it is on) of the edges that stand in several documents."""
+    at = F.min(F.struct("doc_id", "ver", "pos"))
+    first = edges.groupBy("edge", "u", "v").agg(at.alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last")
+    first = keep(first.select("edge", "u", "v", F.col("at.doc_id").alias("sdoc"), F.col("at.ver").alias("sver"), F.col("at.pos").alias("spos")))
+    place = F.min(F.struct("sdoc", "sver", "spos"))
+    into = first.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n_in"), place.alias("before"))
+    out = first.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n_out"), place.alias("after"))
+    follows = (F.col("before.sdoc") == F.col("after.sdoc")) & (F.col("before.sver") == F.col("after.sver")) & (F.col("before.spos") + 1 == F.col("after.spos"))
+    inner = into.where("n_in = 1").join(out.where("n_out = 1"), "node").where(follows).select("after.sdoc", "after.sver", "after.spos", F.lit(True).alias("inner"))
+    upto = Window.partitionBy("sdoc", "sver").orderBy("spos").rowsBetween(Window.unboundedPreceding, 0)
+    heads = first.join(inner, ["sdoc", "sver", "spos"], "left").withColumn("head", F.max(F.when(F.col("inner").isNull(), F.col("spos"))).over(upto))
+    return keep(heads.select("edge", "sdoc", "sver", "spos", "head"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
