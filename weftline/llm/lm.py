@@ -9,10 +9,12 @@ the one to score; windows overlap by CONTEXT and score STRIDE symbols each, so
 every symbol is scored once. The output is a softmax over classes of symbols,
 then one within the class.
 
-Subword counts cover all training documents. The weights are trained in numpy on
-1 in ``TRAIN_ONE_IN`` windows of all training documents, chosen by content, in
-``ROUNDS`` rounds: every task trains on its windows from the same weights, and
-the results are averaged by a distributed aggregation.
+Subword ids are computed once and kept, two bytes each. Subword counts and the
+weights cover all training documents. The weights are trained in numpy on every
+window of these once, in ``ROUNDS`` rounds that deal the documents by a hash of
+their words: in a round every task trains on its windows from the same weights,
+and the results, weighed by their windows, are averaged by a distributed sum of
+integers, which doesn't depend on the order.
 
 The base score needs the count of every word of the corpus. Distinct words with
 their counts, and which text has them how often, are packed into arrays by hash
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import keep
-from .words import Words, chunks, lower_ascii, mix, signed, space_table, span_hashes
+from .words import Words, chunks, lower_ascii, signed, space_table, span_hashes
 
 #: A file of base64 tokens and ranks, one pair a line, in the layout that tiktoken reads.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -45,8 +47,9 @@ TOP = SIDE * SIDE
 WIDTH = 16
 STRIDE = 8
 CONTEXT = 8
-TRAIN_ONE_IN = 32
 ROUNDS = 2
+#: Windows in one step of training.
+STEP_WINDOWS = 1024
 #: Entries of (text, word) in one bucket.
 BUCKET = 4_000_000
 CHUNK = 2 << 20
@@ -62,6 +65,8 @@ class Subwords:
         self.encoding = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = max(ranks.values()) + 1
         self.end = self.size
+        if self.end >= 1 << 16:
+            raise ValueError("a vocabulary of over 65,535 subwords")
         self.length = np.zeros(self.size + 1, np.int64)
         for token, rank in ranks.items():
             self.length[rank] = len(token)
@@ -197,28 +202,36 @@ def log_probabilities(weights: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray
     return out
 
 
+def _rows_added(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """n rows, each the sum of the rows whose place it is."""
+    return np.stack([np.bincount(at, weights=rows[:, d], minlength=n) for d in range(rows.shape[1])], axis=1)
+
+
 def gradients(weights: dict, x: np.ndarray, valid: np.ndarray, y: np.ndarray, mask: np.ndarray) -> dict:
     """Of the mean loss over the masked targets y [windows, STRIDE]."""
     h3, t = attend(weights, x, valid)
     t["p"] /= t["total"]
     at = np.flatnonzero(mask.ravel())
+    at = at[np.argsort((y.ravel()[at] // SIDE).astype(np.uint8), kind="stable")]  # by class
     h, goal = h3.reshape(-1, WIDTH)[at], y.ravel()[at]
     n = max(1, len(at))
     g = {k: np.zeros_like(v) for k, v in weights.items()}
-    c = goal // SIDE
+    c, inner, row = goal // SIDE, goal % SIDE, np.arange(len(at))
     d = _softmax(h @ weights["cw"] + weights["cb"])
-    d[np.arange(len(at)), c] -= 1
+    d[row, c] -= 1
     d /= n
     g["cw"], g["cb"] = h.T @ d, d.sum(0)
     dh = d @ weights["cw"].T
-    for i in np.unique(c):
-        own = np.flatnonzero(c == i)
-        d = _softmax(h[own] @ weights["ww"][i] + weights["wb"][i])
-        d[np.arange(len(own)), goal[own] % SIDE] -= 1
-        d /= n
-        g["ww"][i], g["wb"][i] = h[own].T @ d, d.sum(0)
-        dh[own] += d @ weights["ww"][i].T
-    full = np.zeros((x.shape[0] * STRIDE, WIDTH), np.float32)
+    bound = np.searchsorted(c, np.arange(SIDE + 1))
+    for i in range(SIDE):
+        a, b = bound[i], bound[i + 1]
+        if a < b:
+            d = _softmax(h[a:b] @ weights["ww"][i] + weights["wb"][i])
+            d[row[: b - a], inner[a:b]] -= 1
+            d /= n
+            g["ww"][i], g["wb"][i] = h[a:b].T @ d, d.sum(0)
+            dh[a:b] += d @ weights["ww"][i].T
+    full = np.zeros((x.shape[0] * STRIDE, WIDTH), dh.dtype)
     full[at] = dh
     da = full.reshape(-1, STRIDE, WIDTH)
     dv = t["p"].transpose(0, 2, 1) @ da
@@ -228,11 +241,12 @@ def gradients(weights: dict, x: np.ndarray, valid: np.ndarray, y: np.ndarray, ma
     flat = ds.sum(axis=0)
     np.add.at(g["far"], np.maximum(_DISTANCE, 0)[_DISTANCE >= 0], flat[_DISTANCE >= 0])
     scale = np.float32(WIDTH**-0.5)
-    eq, ek = weights["emb"][x[:, CONTEXT:]].reshape(-1, WIDTH), weights["emb"][x].reshape(-1, WIDTH)
+    now = x[:, CONTEXT:].ravel()
     dq, dk, dv = dq.reshape(-1, WIDTH) * scale, dk.reshape(-1, WIDTH), dv.reshape(-1, WIDTH)
+    eq, ek = weights["emb"][now], weights["emb"][x.ravel()]
     g["q"], g["k"], g["v"] = eq.T @ dq, ek.T @ dk, ek.T @ dv
-    np.add.at(g["emb"], x[:, CONTEXT:].ravel(), dq @ weights["q"].T + full)
-    np.add.at(g["emb"], x.ravel(), dk @ weights["k"].T + dv @ weights["v"].T)
+    g["emb"] += _rows_added(now, dq @ weights["q"].T + full, TOP + 1)
+    g["emb"] += _rows_added(x.ravel(), dk @ weights["k"].T + dv @ weights["v"].T, TOP + 1)
     return g
 
 
@@ -245,96 +259,109 @@ def fit(weights: dict, x: np.ndarray, valid: np.ndarray, y: np.ndarray, mask: np
         weights[k] -= (rate * (m / (1 - 0.9 ** state["t"])) / (np.sqrt(v / (1 - 0.99 ** state["t"])) + 1e-6)).astype(np.float32)
 
 
+def subwords_of(w: Words, h: np.ndarray, sub: Subwords) -> tuple[np.ndarray, np.ndarray]:
+    """(subword ids of the texts, each text's followed by the end; where each text's begin, and the end of all)."""
+    _, inverse, words = _distinct(w, h)
+    ids, bound = sub.cut(words)
+    size = np.diff(bound)[inverse]
+    upto = np.append(0, np.cumsum(size))
+    start = np.append(0, np.cumsum(upto[w.bound[1:]] - upto[w.bound[:-1]] + 1))
+    y = np.full(int(start[-1]), sub.end, np.int32)
+    at = np.repeat(np.arange(len(w)), size)
+    y[np.arange(len(at)) + w.doc[at]] = ids[np.arange(len(at)) + (bound[inverse] - upto[:-1])[at]]
+    return y, start
+
+
 class Stream:
-    """The subwords of a run of texts, each text's followed by the end, and their windows."""
-
-    def __init__(self, w: Words, h: np.ndarray, sub: Subwords):
-        _, inverse, words = _distinct(w, h)
-        ids, bound = sub.cut(words)
-        size = np.diff(bound)[inverse]
-        n_docs = len(w.counts)
-        upto = np.append(0, np.cumsum(size))
-        length = upto[w.bound[1:]] - upto[w.bound[:-1]] + 1
-        self.start = np.append(0, np.cumsum(length))
-        self.y = np.full(int(self.start[-1]), sub.end, np.int32)
-        at = np.repeat(np.arange(len(w)), size)
-        self.y[np.arange(len(at)) + w.doc[at]] = ids[np.arange(len(at)) + (bound[inverse] - upto[:-1])[at]]
-        each = -(-length // STRIDE)
-        self.doc = np.repeat(np.arange(n_docs), each)
-        self.first = self.start[self.doc] + STRIDE * (np.arange(len(self.doc)) - np.repeat(np.cumsum(each) - each, each))
-
-    def windows(self, which: np.ndarray, y: np.ndarray, beginning: int) -> tuple[np.ndarray, ...]:
-        """(inputs, which of them are of the text, targets, which of them are) of the windows; y: the subwords, or a symbol for each."""
+    """Symbols of a run of texts (start: where each begins, and the end of all) and their windows."""
+
+    def __init__(self, y: np.ndarray, start: np.ndarray):
+        self.y, self.start = y, start
+        each = -(-np.diff(start) // STRIDE)
+        self.doc = np.repeat(np.arange(len(each)), each)
+        self.first = start[self.doc] + STRIDE * (np.arange(len(self.doc)) - np.repeat(np.cumsum(each) - each, each))
+
+    def windows(self, which: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(inputs, which of them are of the text, targets, which of them are) of the windows; a text begins with the symbol TOP."""
         first, doc = self.first[which], self.doc[which]
         at = first[:, None] + np.arange(-CONTEXT, STRIDE)[None, :]
         begin = self.start[doc][:, None]
         valid = (at >= begin) & (at < self.start[doc + 1][:, None])
-        at = np.clip(at, 0, max(0, len(y) - 1))
-        x = np.where(at == begin, beginning, y[at - 1])
-        return x, valid, y[at[:, CONTEXT:]], valid[:, CONTEXT:]
+        at = np.clip(at, 0, max(0, len(self.y) - 1))
+        x = np.where(at == begin, TOP, self.y[at - 1])
+        return x, valid, self.y[at[:, CONTEXT:]], valid[:, CONTEXT:]
 
 
-def _learn(content):
-    """Rows (id, n) of subword counts of the training texts, and rows (x, y) of one in TRAIN_ONE_IN of their windows, by content."""
+_IDS = "doc_id long, ver long, held_out boolean, n_words long, ids binary, id int, n long"
+
+
+def _encode(content):
+    """A row (doc_id, ver, held_out, n_words, ids) for each text, with its subword ids as 16-bit numbers, and rows (id, n) of their counts in training texts."""
 
     def run(batches):
         sub = Subwords(content.value)
         total = np.zeros(sub.size + 1, np.int64)
+        none = lambda n, t: pa.nulls(n, t)
         for batch in batches:
-            for _, _, w, h, out in _texts(batch):
-                s = Stream(w, h, sub)
-                total += np.bincount(s.y[~out[np.repeat(np.arange(len(out)), np.diff(s.start))]], minlength=len(total))
-                own = np.flatnonzero(~out[s.doc])
-                # a window's subwords and its place in the text decide
-                stop = np.minimum(s.first[own] + STRIDE, s.start[s.doc[own] + 1])
-                key = mix(span_hashes(s.y.astype(np.uint64) + np.uint64(1), s.first[own], stop, 61) + (s.first[own] - s.start[s.doc[own]]).astype(np.uint64))
-                x, valid, y, mask = s.windows(own[key % np.uint64(TRAIN_ONE_IN) == 0], s.y, sub.size + 1)
-                none = lambda t: pa.nulls(1, t)
-                x, y = (np.where(m, v, -1).astype(np.int32).tobytes() for m, v in ((valid, x), (mask, y)))
-                yield pa.RecordBatch.from_arrays([none(pa.int32()), none(pa.int64()), pa.array([x], pa.binary()), pa.array([y], pa.binary())], ["id", "n", "x", "y"])
+            for a, b, w, h, out in _texts(batch):
+                y, start = subwords_of(w, h, sub)
+                total += np.bincount(y[~np.repeat(out, np.diff(start))], minlength=len(total))
+                raw = y.astype(np.uint16).tobytes()
+                ids = pa.array([raw[2 * x : 2 * z] for x, z in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)], pa.binary())
+                ver = signed(span_hashes(h, w.bound[:-1], w.bound[1:], 62))
+                m = b - a
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, m), pa.array(ver), pa.array(out), pa.array(w.counts), ids, none(m, pa.int32()), none(m, pa.int64())], ["doc_id", "ver", "held_out", "n_words", "ids", "id", "n"])
         at = np.flatnonzero(total)
-        none = lambda t: pa.nulls(len(at), t)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at]), none(pa.binary()), none(pa.binary())], ["id", "n", "x", "y"])
+        m = len(at)
+        yield pa.RecordBatch.from_arrays([none(m, pa.int64()), none(m, pa.int64()), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.binary()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["doc_id", "ver", "held_out", "n_words", "ids", "id", "n"])
 
     return run
 
 
-def _unpacked(batch: pa.RecordBatch, symbols: Symbols) -> tuple[np.ndarray, ...]:
-    x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.int32).reshape(-1, CONTEXT + STRIDE)
-    y = np.frombuffer(b"".join(batch.column("y").to_pylist()), np.int32).reshape(-1, STRIDE)
-    return symbols.of[np.maximum(x, 0)], x >= 0, symbols.of[np.maximum(y, 0)], y >= 0
+def _streams(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, subword ids, starts) of runs of rows with about CHUNK bytes of ids."""
+    ids = batch.column("ids")
+    for a, b, data, off in chunks(ids, CHUNK):
+        yield a, b, np.ascontiguousarray(data).view(np.uint16), off // 2
 
 
 def _train(shared, symbols, rate):
-    """The weights after one pass over a task's windows, and how many there were."""
+    """The weights after one pass over a task's windows, times their number, in integers."""
 
     def run(batches):
         weights, state, seen = {k: v.copy() for k, v in shared.value.items()}, {}, 0
         for batch in batches:
-            x, valid, y, mask = _unpacked(batch, symbols.value)
-            order = np.random.default_rng(seen).permutation(len(x))
-            for a in range(0, len(x), 256):
-                at = order[a : a + 256]
-                fit(weights, x[at], valid[at], y[at], mask[at], state, rate)
-            seen += len(x)
+            for _, _, y, start in _streams(batch):
+                s = Stream(symbols.value.of[y], start)
+                order = np.random.default_rng(len(s.first)).permutation(len(s.first))
+                for a in range(0, len(order), STEP_WINDOWS):
+                    fit(weights, *s.windows(order[a : a + STEP_WINDOWS]), state, rate)
+                seen += len(order)
         if seen:
             flat = np.concatenate([weights[k].ravel() for k in sorted(weights)]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], ["i", "total", "seen"])
+            whole = np.round(flat * FIXED).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(whole), pa.array(np.full(len(flat), seen))], ["i", "w", "seen"])
 
     return run
 
 
-def train(sample: DataFrame, symbols) -> dict[str, np.ndarray]:
-    """Weights from sampled windows (x, y)."""
-    spark = sample.sparkSession
+#: Weights are added up as integers, in steps of 1/FIXED.
+FIXED = 2**32
+
+
+def train(ids: DataFrame, symbols, rounds: int | None = None) -> dict[str, np.ndarray]:
+    """Weights from the rows (ver, ids) of the training texts."""
+    spark = ids.sparkSession
+    rounds = ROUNDS if rounds is None else rounds
     weights = first_weights(symbols.value.share)
-    for r in range(ROUNDS):
+    for r in range(rounds):
         shared = spark.sparkContext.broadcast(weights)
-        mean = sample.mapInArrow(_train(shared, symbols, 0.02 / (1 + 2 * r)), "i int, total double, seen double").groupBy("i").agg((F.sum("total") / F.sum("seen")).alias("w"))
-        got = mean.collect()  # one row for each weight, however many tasks there are
+        part = ids.where(F.pmod("ver", F.lit(rounds)) == r).select("ids")
+        sums = part.mapInArrow(_train(shared, symbols, 0.02 / (1 + r)), "i int, w long, seen long").groupBy("i").agg(F.sum(F.col("w").cast("decimal(38,0)") * F.col("seen")).alias("w"), F.sum("seen").alias("seen"))
+        got = sums.collect()  # one row for each weight, however many tasks there are
         if got:
             flat = np.zeros(len(got), np.float32)
-            flat[[g[0] for g in got]] = [g[1] for g in got]
+            flat[[g[0] for g in got]] = [int(g[1]) / g[2] / FIXED for g in got]
             at = 0
             for k in sorted(weights):
                 n = weights[k].size
@@ -343,26 +370,27 @@ def train(sample: DataFrame, symbols) -> dict[str, np.ndarray]:
     return weights
 
 
-def _score(content, symbols, shared):
+def scores(weights: dict, symbols: Symbols, y: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Natural log of the probability of each subword of texts, given those before it in its window."""
+    s = Stream(symbols.of[y], start)
+    out = symbols.rare[y]
+    for a in range(0, len(s.first), 2048):
+        which = np.arange(a, min(a + 2048, len(s.first)))
+        x, valid, goal, mask = s.windows(which)
+        hidden, _ = attend(weights, x, valid)
+        at = np.flatnonzero(mask.ravel())
+        place = (s.first[which][:, None] + np.arange(STRIDE)[None, :]).ravel()[at]
+        out[place] += log_probabilities(weights, hidden.reshape(-1, WIDTH)[at], goal.ravel()[at])
+    return out
+
+
+def _score(symbols, shared):
     def run(batches):
-        sub = Subwords(content.value)
-        weights = shared.value
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.int64, bool, np.int64, np.float64)]
-            for _, _, w, h, out in _texts(batch):
-                s = Stream(w, h, sub)
-                goal = symbols.value.of[s.y]
-                score = symbols.value.rare[s.y]
-                for a in range(0, len(s.first), 2048):
-                    which = np.arange(a, min(a + 2048, len(s.first)))
-                    x, valid, y, mask = s.windows(which, goal, TOP)
-                    hidden, _ = attend(weights, x, valid)
-                    at = np.flatnonzero(mask.ravel())
-                    place = (s.first[which][:, None] + np.arange(STRIDE)[None, :]).ravel()[at]
-                    score[place] += log_probabilities(weights, hidden.reshape(-1, WIDTH)[at], y.ravel()[at])
-                for c, v in zip(cols, (signed(span_hashes(h, w.bound[:-1], w.bound[1:], 62)), out, w.counts, np.add.reduceat(score, s.start[:-1]) / np.log(10)), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.concatenate(c)) for c in cols)], ["doc_id", "ver", "held_out", "n_words", "score"])
+            out = [np.zeros(0)]
+            for _, _, y, start in _streams(batch):
+                out.append(np.add.reduceat(scores(shared.value, symbols.value, y, start), start[:-1]) / np.log(10))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "ver", "held_out", "n_words")), pa.array(np.concatenate(out))], ["doc_id", "ver", "held_out", "n_words", "score"])
 
     return run
 
@@ -451,24 +479,26 @@ def _part_sums(group: pa.Table) -> pa.Table:
 _TEXTS = "doc_id long, ver long, logs double, known long"
 
 
-def score(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def score(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null and empty texts are an end token. Rows with the same doc_id are scored
     one by one. Other columns of docs are dropped. Without training documents
-    nothing is known, and base_score is that of an empty count.
+    nothing is known, and base_score is that of an empty count. ``vocabulary``
+    is a file that the driver reads; without it there is no score.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     with open(vocabulary, "rb") as f:
         content = spark.sparkContext.broadcast(f.read())  # the vocabulary file, under a megabyte
-    learnt = keep(docs.mapInArrow(_learn(content), "id int, n long, x binary, y binary"))
+    encoded = keep(docs.mapInArrow(_encode(content), _IDS))
+    texts = encoded.where("ids is not null")
     counts = np.zeros(Subwords(content.value).size + 1, np.int64)
-    for i, n in learnt.where("id is not null").groupBy("id").agg(F.sum("n")).collect():
+    for i, n in encoded.where("id is not null").groupBy("id").agg(F.sum("n")).collect():
         counts[i] = n  # a row for each subword of the vocabulary
     symbols = spark.sparkContext.broadcast(Symbols(counts))
-    weights = spark.sparkContext.broadcast(train(learnt.where("x is not null").select("x", "y"), symbols))
-    scored = keep(docs.mapInArrow(_score(content, symbols, weights), "doc_id long, ver long, held_out boolean, n_words long, score double"))
+    weights = spark.sparkContext.broadcast(train(texts.where("not held_out").select("ver", "ids"), symbols, rounds))
+    scored = keep(texts.select("doc_id", "ver", "held_out", "n_words", "ids").mapInArrow(_score(symbols, weights), "doc_id long, ver long, held_out boolean, n_words long, score double"))
     row = scored.agg(F.sum("n_words"), F.sum(F.when(~F.col("held_out"), F.col("n_words") + 1)), F.count(F.when(~F.col("held_out"), 1))).first()
     words, train_tokens, train_docs = (x or 0 for x in row)
     buckets = max(1, -(-words // BUCKET))

@@ -43,12 +43,12 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and int64 offsets of a string column; null counts as empty."""
+    """Bytes and int64 offsets of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if pa.types.is_null(column.type):
         column = column.cast(pa.string())
-    column = column.fill_null("")
+    column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, off, data = column.buffers()
     n = len(column)
