@@ -6,7 +6,9 @@ are adjacent or one blank or hyphen apart, scheme separators, and words that
 announce an identifier. Each cue starts a local parser, which walks left and
 right over the characters that its kind allows and validates what it has found.
 Parsers run left to right and never look at what an earlier match of their kind
-has used up, so the spans are the leftmost non-overlapping ones.
+has used up, so the spans are the leftmost non-overlapping ones. Where many
+cues stand in one run of characters its end is found once, so the work grows
+with the length of a text, whatever stands in it.
 
 Kinds: email, ip, card and phone; and of the method's own url, account and secret.
 """
@@ -34,6 +36,9 @@ _ALNUM = frozenset(string.ascii_letters + string.digits)
 #: Words that announce an account, in lower case; they are also found capitalised and in capitals.
 ACCOUNT_CUES = ("account", "acct", "iban", "passport", "ssn")
 SECRET_CUES = ("api_key", "password", "secret", "token")
+# How keys of public services begin, what they consist of, and how many characters follow at least and at most.
+KEY_CUES = {"AKIA": ("upper", 16, 16), "ghp_": ("alnum", 36, 36), "xoxb-": ("label", 20, 80), "sk_live_": ("alnum", 24, 64), "eyJ": ("token", 40, 4000), "-----BEGIN ": ("pem", 0, 0)}
+_KEY_CHARS = {"upper": frozenset(string.ascii_uppercase + string.digits), "alnum": frozenset(string.ascii_letters + string.digits), "label": frozenset(string.ascii_letters + string.digits + "-"), "token": frozenset(string.ascii_letters + string.digits + "-_.")}
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -49,6 +54,8 @@ def automaton() -> ahocorasick.Automaton:
         for w in words:
             for form in (w, w.capitalize(), w.upper()):
                 cues.setdefault(form, set()).add(kind)
+    for w in KEY_CUES:
+        cues.setdefault(w, set()).add("secret")
     out = ahocorasick.Automaton()
     for cue, kinds in cues.items():
         out.add_word(cue, (tuple(sorted(kinds)), len(cue)))
@@ -64,11 +71,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-# Each parser takes the text, the cue's start and the end of the last match of
-# its kind, and gives (start, end, valid) or None; what it spans is used up.
+# Each parser takes the text, the cue's start, the end of the last match of its
+# kind and the text's Runs, and gives (start, end, valid) or None; what it spans
+# is used up.
 
 
-def _email(t: str, at: int, least: int):
+def _email(t: str, at: int, least: int, runs):
     a = at
     while a > least and t[a - 1] in _LOCAL:
         a -= 1
@@ -87,7 +95,7 @@ def _email(t: str, at: int, least: int):
     return (a, b, True) if dots else None
 
 
-def _ip(t: str, at: int, least: int):
+def _ip(t: str, at: int, least: int, runs):
     a = at
     while a > least and t[a - 1] in _DIGITS:
         a -= 1
@@ -106,7 +114,7 @@ def _ip(t: str, at: int, least: int):
     return a, b, all(len(p) < 3 or len(p) == 3 and p <= "255" for p in parts)
 
 
-def _card(t: str, at: int, least: int):
+def _card(t: str, at: int, least: int, runs):
     b, n, digits = at + 1, len(t), [t[at]]
     while True:
         if b < n and t[b] in _DIGITS:
@@ -120,7 +128,7 @@ def _card(t: str, at: int, least: int):
     return at, b, 16 <= len(digits) <= 19 and luhn("".join(digits))
 
 
-def _phone(t: str, at: int, least: int):
+def _phone(t: str, at: int, least: int, runs):
     b, n, last, digits = at + 2, len(t), 0, 1
     seen = 1
     while b < n and t[b] in _PHONE:
@@ -132,57 +140,126 @@ def _phone(t: str, at: int, least: int):
     return (at, last + 1, 8 <= digits <= 15) if last else None
 
 
-def _url(t: str, at: int, least: int):
+class Runs:
+    """Ends of runs of characters in a text, each run walked once; questions come from left to right."""
+
+    def __init__(self, t: str):
+        self.t, self.known = t, {}
+
+    def end(self, name: str, inside, at: int) -> int:
+        """The end of the run of characters for which inside() holds, from ``at`` on."""
+        a, b = self.known.get(name, (0, 0))
+        if a <= at < b:
+            return b
+        t, n, b = self.t, len(self.t), at
+        while b < n and inside(t[b]):
+            b += 1
+        self.known[name] = at, b
+        return b
+
+
+def _in_url(c: str) -> bool:
+    return c > " " and c not in "\"'<>`\x7f"
+
+
+def _url(t: str, at: int, least: int, runs: Runs):
     a = at
     while a > least and t[a - 1] in _SCHEME:
         a -= 1
     while a < at and not t[a].isalpha():
         a += 1
-    b, n = at + 3, len(t)
-    while b < n and t[b] > " " and t[b] not in "\"'<>`\x7f":
-        b += 1
-    while b > at + 3 and t[b - 1] in ".,;:!?)]}":
-        b -= 1
-    host = t[at + 3 : b].split("/")[0]
-    return (a, b, True) if a < at and ("." in host or host.startswith("localhost")) else None
-
-
-def _value(t: str, b: int, allowed: frozenset) -> tuple[int, int]:
+    stop = runs.end("url", _in_url, at)
+    b = runs.known.get("url_end", (0, 0))
+    if b[0] != stop:
+        x = stop
+        while x > at + 3 and t[x - 1] in ".,;:!?)]}":
+            x -= 1
+        runs.known["url_end"] = b = stop, x
+    b = max(b[1], at + 3)
+    host = t.find("/", at + 3, b)
+    host = b if host < 0 else host
+    return (a, b, True) if a < at and (t.find(".", at + 3, host) >= 0 or t.startswith("localhost", at + 3)) else None
+
+
+def _value(t: str, b: int, name: str, inside, runs: Runs) -> tuple[int, int]:
     """The run of allowed characters that follows separators and small words like "no"."""
     n, stop = len(t), b + 12
     while b < n and b < stop and t[b] in " \t:=#\"'.":
         b += 1
     for word in ("number", "no.", "no", "id"):
         if t[b : b + len(word)].lower() == word and t[b + len(word) : b + len(word) + 1] in (" ", ":", "="):
-            b += len(word)
-            while b < n and t[b] in " \t:=#\"'":
+            b, stop = b + len(word), b + len(word) + 12
+            while b < n and b < stop and t[b] in " \t:=#\"'":
                 b += 1
             break
-    c = b
-    while c < n and t[c] in allowed:
-        c += 1
-    return b, c
+    return b, runs.end(name, inside, b)
+
+
+def _iban(value: str) -> bool:
+    turned = value[4:].upper() + value[:4].upper()
+    return turned.isascii() and turned.isalnum() and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
-def _account(t: str, at: int, least: int):
-    word = at
-    while word < len(t) and t[word].isalpha():
-        word += 1
+def _printed_iban(t: str, a: int) -> int | None:
+    """The end of an IBAN from ``a`` on whose groups may be one blank apart, the longest that has right check digits."""
+    b, value, best = a, "", None
+    while b < len(t) and len(value) <= 34:
+        c = b
+        while c < len(t) and c - b <= 34 and t[c] in _ALNUM:
+            c += 1
+        if c == b:
+            break
+        value += t[b:c]
+        if 15 <= len(value) <= 34 and _iban(value):
+            best = c
+        if c < len(t) and t[c] == " ":
+            c += 1
+        else:
+            break
+        b = c
+    return best
+
+
+def _account(t: str, at: int, least: int, runs: Runs):
     if at and t[at - 1] in _ALNUM:
         return None
-    a, b = _value(t, word, _LABEL)
+    word = runs.end("letters", str.isalpha, at)
+    a, b = _value(t, word, "label", _LABEL.__contains__, runs)
+    if t[a : a + 2].isalpha() and t[a : a + 2].isascii() and t[a + 2 : a + 4].isdigit() and t[a + 2 : a + 4].isascii():  # an IBAN: its check digits
+        end = _printed_iban(t, a)
+        if end:
+            return a, end, True
+        if b - a >= 15:
+            return None
+    if b - a > 68:
+        return None
     value = t[a:b].replace("-", "")
-    if t[a : a + 2].isalpha() and t[a + 2 : a + 4].isdigit() and 15 <= len(value) <= 34:  # an IBAN: its check digits
-        turned = value[4:].upper() + value[:4].upper()
-        return (a, b, True) if int("".join(str(int(c, 36)) for c in turned)) % 97 == 1 else None
     return (a, b, True) if a > word and 6 <= len(value) <= 34 and sum(c in _DIGITS for c in value) >= 4 else None
 
 
-def _secret(t: str, at: int, least: int):
-    word = at
-    while word < len(t) and (t[word].isalpha() or t[word] == "_"):
-        word += 1
-    a, b = _value(t, word, _HEX)
+def _key(t: str, at: int, cue: str, runs: Runs):
+    kind, low, high = KEY_CUES[cue]
+    if kind == "pem":
+        end = t.find("-----", at + len(cue), at + len(cue) + 60)
+        if end < 0 or not t[at + len(cue) : end].endswith("PRIVATE KEY"):
+            return None
+        close = t.find("-----END ", end, end + 20_000)
+        stop = t.find("-----", close + 9, close + 80) if close >= 0 else -1
+        return at, stop + 5 if stop >= 0 else end + 5, True
+    if at and t[at - 1] in _ALNUM:
+        return None
+    b = runs.end(kind, _KEY_CHARS[kind].__contains__, at + len(cue))
+    if kind == "token":  # three parts with dots between them
+        return (at, b, True) if low <= b - at - len(cue) <= high and t.count(".", at, b) == 2 else None
+    return (at, b, True) if low <= b - at - len(cue) <= high and (b == len(t) or t[b] not in _ALNUM) else None
+
+
+def _secret(t: str, at: int, least: int, runs: Runs):
+    for cue in KEY_CUES:
+        if t.startswith(cue, at):
+            return _key(t, at, cue, runs)
+    word = runs.end("name", lambda c: c.isalpha() or c == "_", at)
+    a, b = _value(t, word, "hex", _HEX.__contains__, runs)
     return (a, b, True) if b - a in (32, 40, 64) and (b == len(t) or t[b] not in _ALNUM) else None
 
 
@@ -192,13 +269,13 @@ PARSERS = {"email": _email, "ip": _ip, "card": _card, "phone": _phone, "url": _u
 def find_spans(text: str, cues: ahocorasick.Automaton) -> dict[str, list[tuple[int, int]]]:
     """Spans of each kind in code points, ends exclusive."""
     out: dict[str, list[tuple[int, int]]] = {}
-    used = dict.fromkeys(KINDS, 0)
+    used, runs = dict.fromkeys(KINDS, 0), Runs(text)
     for end, (kinds, length) in cues.iter(text):
         at = end - length + 1
         for kind in kinds:
             if at < used[kind]:
                 continue
-            found = PARSERS[kind](text, at, used[kind])
+            found = PARSERS[kind](text, at, used[kind], runs)
             if found:
                 a, b, valid = found
                 used[kind] = b
@@ -210,7 +287,8 @@ def find_spans(text: str, cues: ahocorasick.Automaton) -> dict[str, list[tuple[i
 def pii_spans(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id and spans, an array of (kind, start, end) by kind as in KINDS, then start.
 
-    Null and empty texts have none. Other columns of docs are dropped.
+    Null and empty texts have none. Rows with the same doc_id are looked at one
+    by one, repeated rows too. Other columns of docs are dropped.
     """
 
     def run(batches):
