@@ -1,7 +1,7 @@
 """Benchmark decontamination: a prefix-filtered set join on rare shingles.
 
-An item's windows of ``window`` words are the records to find. Each window is a
-set of ``SHINGLE``-word shingles, ordered by how often the shingles occur in the
+An item's windows of ``window`` words are the records to find, each once, with
+the items that have it. Each window is a set of ``SHINGLE``-word shingles, ordered by how often the shingles occur in the
 documents, rarest first. As a window must be contained whole, its prefix is one
 shingle: the rarest. Documents are probed for these prefix shingles only. The
 shingle's offset in the window then fixes where the window would start (the
@@ -29,6 +29,8 @@ from .words import Words, alnum_table, chunks, cover, lower_ascii, span_hashes
 SHINGLE = 3
 #: Most words of benchmark items in one broadcast: about 100 MB of index.
 BLOCK_WORDS = 1_000_000
+#: Candidates (place, window) that are compared at a time.
+PAIRS = 500_000
 _MASK_BITS = 22
 
 
@@ -52,8 +54,13 @@ class Index:
                     k = min(window, n)
                     rows = np.lib.stride_tricks.sliding_window_view(own, k)
                     groups.setdefault(k, []).append((rows, np.full(len(rows), a + i)))
-        self.words = {k: np.concatenate([x for x, _ in v]) for k, v in sorted(groups.items())}
-        self.items = {k: np.concatenate([x for _, x in v]) for k, v in sorted(groups.items())}
+        self.words: dict[int, np.ndarray] = {}
+        self.items: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k, v in sorted(groups.items()):
+            # equal windows are one record, with a run of items
+            self.words[k], which = np.unique(np.concatenate([x for x, _ in v]), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.ravel(), np.concatenate([x for _, x in v])]), axis=1)
+            self.items[k] = np.searchsorted(pairs[0], np.arange(len(self.words[k]) + 1)), pairs[1]
         self.sizes = sorted({min(SHINGLE, k) for k in self.words})
         self.shingles = {s: np.unique(np.concatenate([self._of(k, s).ravel() for k in self.words if min(SHINGLE, k) == s])) for s in self.sizes}
         self.masks = {s: self._mask(v) for s, v in self.shingles.items()}
@@ -99,26 +106,37 @@ class Index:
             self.first[k] = (keys, np.append(begin, len(order)), order, offset, self._mask(keys))
 
     def find(self, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starting word, length, document and item of each occurrence of a window."""
-        found = [(np.zeros(0, np.int64),) * 4]
+        """(starting words, lengths) of the occurrences of windows, and the (text, item) pairs that follow from them."""
+        starts, lengths, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((2, 0), np.int64)]
         for k, (keys, begin, order, offset, mask) in self.first.items():
             s = min(SHINGLE, k)
             at = w.windows(s)
             hit, place = self._look_up(span_hashes(h, at, at + s, 11), keys, mask)
             times = begin[place + 1] - begin[place]
-            if not times.sum():
-                continue
-            within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            rows = order[np.repeat(begin[place], times) + within]
-            word = np.repeat(at[hit], times)
-            doc, start = w.doc[word], word - offset[rows]
-            ok = (start >= w.bound[doc]) & (start + k <= w.bound[doc + 1])
-            rows, start, doc = rows[ok], start[ok], doc[ok]
-            for a in range(0, len(rows), 100_000):
-                r, p, d = rows[a : a + 100_000], start[a : a + 100_000], doc[a : a + 100_000]
-                same = (h[p[:, None] + np.arange(k)[None, :]] == self.words[k][r]).all(axis=1)
-                found.append((p[same], np.full(same.sum(), k), d[same], self.items[k][r[same]]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            upto = np.append(0, np.cumsum(times))
+            a = 0
+            while a < len(hit):  # runs of at most PAIRS candidates, or one place
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] + PAIRS, "right")) - 1)
+                t = times[a:b]
+                rows = order[np.repeat(begin[place[a:b]], t) + np.arange(upto[b] - upto[a]) - np.repeat(upto[a:b] - upto[a], t)]
+                word = np.repeat(at[hit[a:b]], t)
+                doc, start = w.doc[word], word - offset[rows]
+                ok = (start >= w.bound[doc]) & (start + k <= w.bound[doc + 1])
+                rows, start, doc = rows[ok], start[ok], doc[ok]
+                for x in range(k):
+                    ok = h[start + x] == self.words[k][rows, x]
+                    rows, start, doc = rows[ok], start[ok], doc[ok]
+                starts.append(start)
+                lengths.append(np.full(len(start), k))
+                pairs = np.unique(np.stack([doc, rows]), axis=1)
+                bounds, items = self.items[k]
+                n = bounds[pairs[1] + 1] - bounds[pairs[1]]
+                ends = np.cumsum(n)
+                own = items[np.arange(ends[-1] if len(ends) else 0) + np.repeat(bounds[pairs[1]] - (ends - n), n)]
+                owners.append(np.unique(np.stack([np.repeat(pairs[0], n), own]), axis=1))
+                a = b
+        doc, item = np.unique(np.concatenate(owners, axis=1), axis=1)
+        return np.concatenate(starts), np.concatenate(lengths), doc, item
 
 
 def _blocks(items: DataFrame, window: int) -> Iterator[Index]:
@@ -190,7 +208,7 @@ def _probe(batch: pa.RecordBatch, index: Index) -> pa.RecordBatch:
         start, k, doc, item = index.find(w, h)
         inside = cover(len(w), start, k)
         found: dict[int, set[str]] = {}
-        for d, i in np.unique(np.stack([doc, item]), axis=1).T.tolist() if len(doc) else ():
+        for d, i in zip(doc.tolist(), item.tolist(), strict=True):
             found.setdefault(d, set()).add(index.ids[i])
         upto = np.append(0, np.cumsum(inside))
         n_words.append(w.counts)
