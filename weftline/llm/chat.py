@@ -97,7 +97,9 @@ def format_chats(events: DataFrame) -> DataFrame:
 
     The formatted conversation is its rows' texts in order. The loss mask
     covers an assistant's text: its start and length in the row, in code
-    points. A null conv_id is a conversation of its own.
+    points. A null conv_id is a conversation of its own; a log without events
+    gives no rows. A conversation's events are ordered in one task, which holds
+    one message at a time.
     """
     live = live_events(events).withColumn("conv_id", F.col("conv_id").cast("long")).withColumn("turn", F.col("turn").cast("long"))
     ordered = live.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "seq")
@@ -111,6 +113,24 @@ def as_events(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", "role", "text").withColumn("turn", number).select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "turn", "role", "text")
 
 
+def as_streamed_events(conversations: DataFrame) -> DataFrame:
+    """The log that a chat would have left behind: each text comes as a draft that is withdrawn, then in two deltas, or as a message that is edited.
+
+    An assistant's turn begins with a delta of another text; a regeneration
+    takes it back. Others are sent with the first half of the text, and the
+    edit brings the whole. What is folded from it is what as_events() says.
+    """
+    rows = as_events(conversations)
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, second = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    none = F.lit(None).cast("string")
+    said = F.array(event("delta", F.reverse("text")), event("regenerate", none), event("delta", first), event("delta", second))
+    sent = F.array(event("message", first), event("edit", F.col("text")))
+    each = rows.select("conv_id", "turn", "role", F.posexplode(F.when(F.col("role") == "assistant", said).otherwise(sent)).alias("i", "e"))
+    return each.select("conv_id", (F.col("turn") * 4 + F.col("i")).alias("seq"), "e.kind", "turn", "role", "e.text")
+
+
 def _digests(batches):
     key, state = None, None
 
@@ -143,5 +163,5 @@ def _digest_rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def digests(messages: DataFrame) -> DataFrame:
-    """What format_chats() holds for each conversation, read back from the formatted texts; takes its partitions as they are."""
+    """What format_chats() holds for each conversation, read back from the formatted texts; takes its partitions as they are. No messages give no rows."""
     return messages.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

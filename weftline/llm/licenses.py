@@ -84,10 +84,10 @@ class Scanner:
         self.rank = rank
         self.sorted = [s[np.argsort(rank[s])] for s in self.sets]
 
-    def match(self, w: Words, h: np.ndarray) -> list[tuple[int, int, float]]:
-        """(text, template, containment) of every block that meets the threshold."""
+    def match(self, w: Words, h: np.ndarray, blocks: np.ndarray) -> list[tuple[int, int, float, int]]:
+        """(text, template, containment, block) of every block that meets the threshold."""
         at, place = self.places(h)
-        block = _blocks(w)[at]
+        block = blocks[at]
         pairs = np.unique(np.stack([block, place]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
         n_own = np.bincount(pairs[0], minlength=1)
         out = []
@@ -105,11 +105,9 @@ class Scanner:
             ok = (n_own[cand] >= need) & (len(order) - lowest >= need)
             inside = np.zeros(len(self.vocabulary), bool)
             inside[order] = True
-            for b in cand[ok].tolist():
-                x, y = np.searchsorted(pairs[0], (b, b + 1))
-                n = int(inside[pairs[1][x:y]].sum())
-                if n >= need:
-                    out.append((int(text_of[b]), t, n / len(order)))
+            n = np.bincount(pairs[0][inside[pairs[1]]], minlength=int(cand[-1]) + 1)[cand]
+            for b, m in zip(cand[ok & (n >= need)].tolist(), n[ok & (n >= need)].tolist(), strict=True):
+                out.append((int(text_of[b]), t, m / len(order), b))
         return out
 
     def base(self, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,12 +131,14 @@ def _blocks(w: Words) -> np.ndarray:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and blocks.
 
     base_labels are those of the phrases, labels also those of the templates
     that a block of the text matches, sorted and joined by commas. score is the
     highest containment among matches, at least 0.5 if there is a phrase, else
-    0. Null and empty texts have no words. Other columns of docs are dropped.
+    0. blocks are the matches: label, first word and end of the block, and
+    containment. Null and empty texts have no words. Rows with the same doc_id
+    are scanned one by one. Other columns of docs are dropped.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanner = Scanner(TEMPLATES if templates is None else templates, percent)
@@ -157,25 +157,28 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
 
     def run(batches):
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             for w, h in _words(batch.column("text")):
                 found: dict[int, tuple[list, set, set, list]] = {}
+                blocks = _blocks(w)
                 at, which = scanner.base(w, h)
                 for a, i in zip(at.tolist(), which.tolist(), strict=True):
                     d = int(w.doc[a])
                     own = found.setdefault(d, ([], set(), set(), []))
                     own[0].append(a - int(w.bound[d]))
                     own[1].add(scanner.phrases[i][1])
-                for d, t, share in scanner.match(w, h):
+                for d, t, share, b in scanner.match(w, h, blocks):
                     own = found.setdefault(d, ([], set(), set(), []))
                     own[2].add(scanner.labels[t])
-                    own[3].append(share)
+                    begin, end = (int(x) - int(w.bound[d]) for x in np.searchsorted(blocks, (b, b + 1)))
+                    own[3].append({"label": scanner.labels[t], "first_word": begin, "end_word": end, "containment": share})
                 for d, n in enumerate(w.counts.tolist()):
                     starts, base, more, shares = found.get(d, ([], set(), set(), []))
-                    row = (n, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), max([0.0, 0.5 * bool(starts), *shares]))
+                    row = (n, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), max([0.0, 0.5 * bool(starts), *(x["containment"] for x in shares)]), shares)
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
-            kinds = (pa.int64(),) * 4 + (pa.string(),) * 2 + (pa.float64(),)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
+            match = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("containment", pa.float64())])
+            kinds = (pa.int64(),) * 4 + (pa.string(),) * 2 + (pa.float64(), pa.list_(match))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<label: string, first_word: long, end_word: long, containment: double>>")
