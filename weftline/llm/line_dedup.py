@@ -134,31 +134,36 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
     """Verified links (a, b) between classes, by h1: all that components need of the pairs that share a bucket."""
-    least = buckets.groupBy("bucket").agg(F.min("h1").alias("p"), F.max("h1").alias("last")).where("p < last").select("bucket", "p")
-    least = keep(least)
-    few = least.count() <= BROADCAST_IDS
-    ties = keep(buckets.join(F.broadcast(least) if few else least, "bucket").select("bucket", "h1", "p"))  # the least of a bucket is tied to itself
+    least = keep(buckets.groupBy("bucket").agg(F.min("h1").alias("p"), F.max("h1").alias("last")).where("p < last").select("bucket", "p"))
+    ties = keep(buckets.join(_few(least), "bucket").select("h1", "p").distinct())  # the least of a bucket is tied to itself
     wanted = keep(classes.join(ties.select("h1").distinct(), "h1").select("h1", "h2", "first.doc_id", "first.line_no"))
     texts = keep(_texts(docs, wanted))
     a, b = texts, texts.select(F.col("h1").alias("p"), F.col("line").alias("other"))  # sets are several times longer
 
     def compared(pairs: DataFrame, prefix: bool) -> DataFrame:
-        return pairs.where("h1 != p").select("h1", "p").distinct().join(a, "h1").join(b, "p").select("h1", "p", _compared(F.col("line"), F.col("other"), percent, prefix).alias("c"))
+        return pairs.where("h1 != p").join(a, "h1").join(b, "p").select("h1", "p", _compared(F.col("line"), F.col("other"), percent, prefix).alias("c"))
 
     found = keep(compared(ties, True).select("h1", "p", "c.*"))
     links = found.where("alike").select("h1", "p")
     roots = components(links.select(F.col("h1").alias("a"), F.col("p").alias("b"))).select(F.col("node").alias("h1"), "root")
-    rooted = found.select("h1", "p", "n", "prefix").join(roots, "h1", "left").withColumn("root", F.coalesce("root", "h1"))
-    more = keep(compared(_prefix_pairs(rooted, percent), False).where("c.alike").select("h1", "p"))
+    more = keep(compared(_prefix_pairs(found, roots, percent).distinct(), False).where("c.alike").select("h1", "p"))
     return links.union(more).select(F.col("h1").alias("a"), F.col("p").alias("b"))
 
 
-def _prefix_pairs(lines: DataFrame, percent: int) -> DataFrame:
-    """(h1, p), h1 > p, of lines (h1, root, n, prefix) of one pivot p and different roots that share a shingle of their prefixes and are alike in size."""
-    split = lines.groupBy("p").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("p")
-    each = keep(lines.join(split, "p").select("p", F.explode("prefix").alias("x"), "h1", "root", "n"))
-    groups = each.groupBy("p", "x").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("p", "x", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    dealt = keep(each.join(groups, ["p", "x"]).withColumn("own", F.pmod(F.xxhash64("h1", F.lit(5)), "blocks").cast("int")))
+def _few(keys: DataFrame) -> DataFrame:
+    """A kept table of keys, to be broadcast if there are BROADCAST_IDS of them at most."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+
+
+def _prefix_pairs(found: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(h1, p), h1 > p, of lines of one pivot and different roots that share a shingle of their prefixes and are alike in size; found: h1, p, n, prefix."""
+    rooted = keep(found.select("h1", "p", "n").join(roots, "h1", "left").withColumn("root", F.coalesce("root", "h1")))
+    split = keep(rooted.groupBy("p").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("p"))
+    each = found.join(_few(split), "p").select("p", F.explode("prefix").alias("x"), "h1")
+    groups = each.groupBy("p", "x").agg(F.count("*").alias("k")).where("k > 1")
+    met = each.join(groups, ["p", "x"]).join(rooted, ["h1", "p"])
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    dealt = keep(met.select("p", "x", "h1", "root", "n", blocks.alias("blocks"), F.pmod(F.xxhash64("h1", F.lit(5)), blocks).cast("int").alias("own")))
     one = dealt.select("p", "x", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), "h1", "root", "n")
     two = dealt.select("p", "x", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), F.col("h1").alias("h2"), F.col("root").alias("root2"), F.col("n").alias("n2"))
     apart = (F.col("root") != F.col("root2")) & ((F.col("i") < F.col("j")) | (F.col("h1") < F.col("h2")))
