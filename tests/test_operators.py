@@ -58,14 +58,36 @@ def test_vector_topk_edges(spark):
     assert retrieval.vector_topk(v.where("id = 99"), v).count() == 0
 
 
-def test_ivf_recall(spark, small):
-    v = tables.table(spark, small, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    q = v.where("id % 50 = 0")
-    centres, index = retrieval.ivf_index(v)
-    assert index.count() == v.count()
-    exact = {(r[0], r[1]) for r in retrieval.vector_topk(q, v, 10).collect()}
-    near = {(r[0], r[1]) for r in retrieval.ivf_topk(q, index, centres, 10, probes=14).collect()}
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_index_recall_as_registered(spark, sf):
+    from weftline.plans import search
+
+    folder = f"/root/testdata/{sf}"
+    v = tables.table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    exact = {(r[0], r[1]) for r in retrieval.vector_topk(v.where("id % 50 = 0"), v, 10).collect()}
+    near = {(r["query_id"], r["item_id"]) for r in search.ann_topk(spark, folder).collect()}
     assert len(exact & near) / len(exact) >= 0.9
+    assert retrieval.CellIndex(v).rows.count() == v.count()
+
+
+def test_index_edges(spark):
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [1.0, None]), (3, [2.0, 0.0]), (4, [0.0, 1.0]), (5, None)], "id long, vector array<double>")
+    index = retrieval.CellIndex(v)
+    assert {(r[0], r[1]) for r in index.exact_topk(v.where("id = 0"), 5).collect()} == {(0, 3), (0, 4)}
+    assert retrieval.CellIndex(v.limit(0)).topk(v.limit(0)).count() == 0
+
+
+def test_memory_stays_in_its_session(spark):
+    m = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (1, 2, [1.0, 0.1]), (2, 0, [1.0, 0.0])], "conv_id long, turn long, vector array<double>")
+    got = retrieval.recall_memory(m, m.where("turn = 2"), 1, 0.5).collect()
+    assert [(r["conv_id"], r["query_turn"], r["turn"]) for r in got] == [(1, 2, 0)]
+
+
+def test_time_filter_reaches_the_scan(spark, tmp_path):
+    spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 2, 1))], "id long, ts timestamp").write.parquet(str(tmp_path / "t"))
+    df = retrieval.in_time(spark.read.parquet(str(tmp_path / "t")), "ts", "2024-01-15", "2024-03-01")
+    assert [r["id"] for r in df.collect()] == [2]
+    assert "GreaterThanOrEqual(ts" in df._jdf.queryExecution().toString()
 
 
 def test_cosine_of_zero_is_null(spark):
@@ -134,6 +156,17 @@ def test_reachable_with_cycle(spark):
     assert rows(conversation.reachable(edges, spark.createDataFrame([(1,)], "node int"))) == [(1, 0), (2, 1), (3, 2)]
 
 
+def test_reachable_along_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(0, 1), (None, 3), (5, None)], "src int, dst int")
+    assert rows(conversation.reachable(edges, spark.createDataFrame([(0,), (None,)], "node int"))) == [(i, i) for i in range(61)]
+
+
+def test_plan_order_with_a_cycle(spark):
+    tasks = spark.createDataFrame([(i,) for i in range(16)], "task int")
+    needs = spark.createDataFrame([(i, i - 1) for i in range(1, 13)] + [(13, 14), (14, 13), (15, 99)], "task int, needs int")
+    assert rows(conversation.plan_order(tasks, needs)) == [(i, i) for i in range(13)]
+
+
 def test_calls(spark):
     calls = spark.createDataFrame([("a", '{"k": 1}'), ("a", "{"), ("a", None), ("b", '{"k": 1}')], "tool string, args string")
     got = rows(conversation.check_calls(calls, spark.createDataFrame([("a",)], "tool string")).select(F.coalesce("args", F.lit("-")), "tool", "status"))

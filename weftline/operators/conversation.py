@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import n_tokens
+from ..sources.shared import keep
+
+#: Rounds of a graph walk after which what they have found is written as one table.
+MERGE_ROUNDS = 10
 
 
 def last_n(messages: DataFrame, n: int) -> DataFrame:
@@ -70,32 +74,46 @@ def handoffs(messages: DataFrame, group: str, order: Column | str, role: str) ->
     return messages.select(F.col(role).alias("from_role"), following.alias("to_role")).where("to_role is not null").groupBy("from_role", "to_role").agg(F.count("*").alias("n"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """node, depth of the nodes that the starts (node) reach over the edges (src, dst), by breadth-first rounds."""
-    found = starts.select("node", F.lit(0).alias("depth")).distinct()
-    front = found
-    for depth in range(1, most_rounds + 1):
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """node, depth of the nodes that the starts (node) reach over the edges (src, dst), by breadth-first rounds.
+
+    Each round writes its new nodes and reads them back, and the rounds are
+    merged from time to time, so a plan never holds the ones before. There are
+    as many rounds as the longest of the shortest paths has edges. Null nodes
+    are left out.
+    """
+    edges = keep(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    front = found = keep(starts.where("node is not null").select("node", F.lit(0).alias("depth")).distinct())
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = step.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)).persist()
-        if front.isEmpty():
-            break
+        front = keep(step.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)))
         found = found.unionByName(front)
+        if depth % MERGE_ROUNDS == 0:
+            found = keep(found)
     return found
 
 
 def plan_order(tasks: DataFrame, needs: DataFrame) -> DataFrame:
-    """task, level: 0 without needs (task, needs), else one more than the deepest task that it needs. Tasks in a cycle are absent."""
-    edges = needs.select("task", "needs")
-    done = tasks.join(edges, "task", "left_anti").select("task", F.lit(0).alias("level")).persist()
+    """task, level: 0 without needs (task, needs), else one more than the deepest task that it needs. Tasks in a cycle are absent.
+
+    As in reachable(), rounds are written; each takes away the needs that the
+    one before has met.
+    """
+    open_ = keep(needs.select("task", "needs").distinct().join(tasks.select("task"), "task", "left_semi"))
+    waiting = keep(open_.select("task").distinct())
+    front = done = keep(tasks.select("task").distinct().join(waiting, "task", "left_anti").withColumn("level", F.lit(0)))
     level = 0
-    while True:
+    while not front.isEmpty():
         level += 1
-        left = tasks.join(done, "task", "left_anti")
-        blocked = edges.join(done.select(F.col("task").alias("needs")), "needs", "left_anti").select("task").distinct()
-        ready = left.join(blocked, "task", "left_anti").select("task", F.lit(level).alias("level")).persist()
-        if ready.isEmpty():
-            return done
-        done = done.unionByName(ready).persist()
+        open_ = keep(open_.join(front.select(F.col("task").alias("needs")), "needs", "left_anti"))
+        front = keep(waiting.join(open_.select("task"), "task", "left_anti").withColumn("level", F.lit(level)))
+        waiting = keep(waiting.join(front, "task", "left_anti"))
+        done = done.unionByName(front)
+        if level % MERGE_ROUNDS == 0:
+            done = keep(done)
+    return done
 
 
 def last_state(log: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:

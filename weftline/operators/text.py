@@ -101,15 +101,24 @@ def chunk_structural(docs: DataFrame) -> DataFrame:
 
 def chunk_lines(docs: DataFrame, size: int = 500) -> DataFrame:
     """doc_id, chunk_no, text: whole lines packed greedily up to ``size`` characters; a longer line stands alone."""
-    packed = F.aggregate(
-        F.split("text", "\n"),
-        F.array().cast("array<string>"),
-        lambda done, line: F.when(
-            (F.size(done) > 0) & (F.length(F.element_at(done, -1)) + 1 + F.length(line) <= size),
-            F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(F.element_at(done, -1), F.lit("\n"), line))),
-        ).otherwise(F.concat(done, F.array(line))),
-    )
-    return docs.where(F.length("text") > 0).select("doc_id", F.posexplode(packed).alias("chunk_no", "text"))
+
+    def pack(text: str) -> list[str]:
+        out, held = [], -1
+        for line in text.split("\n"):
+            if out and held + 1 + len(line) <= size:
+                out[-1].append(line)
+                held += 1 + len(line)
+            else:
+                out.append([line])
+                held = len(line)
+        return ["\n".join(lines) for lines in out]
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(doc, i, piece) for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True) for i, piece in enumerate(pack(text))]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "text"])
+
+    return docs.where(F.length("text") > 0).select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_no int, text string")
 
 
 def chunk_recursive(docs: DataFrame, size: int = 500) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import shingles, tokens
-from ..operators import evaluation, retrieval
+from ..operators import conversation, evaluation, retrieval
 from ..operators.text import chunk
+from ..sources.shared import keep
 from ..sources.tables import table
 from ..sources.versions import apply_diff, index_diff
+from .preparation import LINE_CHUNKS, RECURSIVE_CHUNKS
 from .registry import query
 
 
@@ -60,14 +62,28 @@ def overlap_topk(spark, folder):
     return retrieval.overlap_topk(_queries(spark, folder), _corpus(spark, folder), 10)
 
 
-RRF = f"""{BM25}, {OVERLAP}, {_top('a', 20)}, {_top('b', 20, 'so')},
+def _hashed(name, source, key):
+    """CTEs of hashed_embedding() over (key, text) rows, as name(id, bucket, w)."""
+    return rf"""
+{name}_t AS (SELECT {key} AS id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM {source}),
+{name}_c AS (SELECT id, concat('0x', substring(md5(term), 1, 8))::BIGINT % 64 AS bucket, count(*)::DOUBLE AS n FROM {name}_t GROUP BY ALL),
+{name} AS (SELECT id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS w FROM {name}_c),
+{name}_n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM {name} GROUP BY id)"""
+
+
+RRF = f"""{BM25}, {_hashed('hq', 'benchmark', 'item_id')}, {_hashed('hd', 'documents', 'doc_id')}, {_top('a', 20)},
+hs AS (
+  SELECT query_id, item_id, round(dot / (x.norm * y.norm), 6) AS score
+  FROM (SELECT hq.id AS query_id, hd.id AS item_id, sum(hq.w * hd.w) AS dot FROM hq JOIN hd USING (bucket) GROUP BY ALL) JOIN hq_n x ON x.id = query_id JOIN hd_n y ON y.id = item_id),
+{_top('b', 20, 'hs')},
 u AS (SELECT query_id, item_id, round(sum(1 / (60.0::DOUBLE + rank)), 9) AS score FROM (SELECT query_id, item_id, rank FROM a UNION ALL SELECT query_id, item_id, rank FROM b) GROUP BY ALL),
 {_top('fused', 10, 'u')}"""
 
 
 @query(f"WITH {RRF} SELECT * FROM fused")
 def hybrid_rrf(spark, folder):
-    return retrieval.rrf([bm25(spark, folder, 20), retrieval.overlap_topk(_queries(spark, folder), _corpus(spark, folder), 20)])
+    near = retrieval.vector_topk(retrieval.hashed_vectors(_queries(spark, folder)), retrieval.hashed_vectors(_corpus(spark, folder)), 20, skip_self=False)
+    return retrieval.rrf([bm25(spark, folder, 20), near])
 
 
 @query(f"""WITH {RRF}
@@ -106,17 +122,72 @@ def vector_topk_filtered(spark, folder):
     return retrieval.vector_topk(v.where("id % 50 = 0"), v, 5, same="label")
 
 
-@query(f"""WITH {VECTORS}, sc AS (SELECT a.id AS query_id, b.id AS item_id, {_COSINE} AS score FROM v a, v b WHERE a.id % 50 = 0 AND a.id <> b.id), {_top('t', 50)}
-SELECT query_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM t WHERE item_id < query_id AND score >= 0.2) WHERE nth = 1""")
+@query(f"""WITH {VECTORS}, sc AS (SELECT a.id AS query_id, b.id AS item_id, {_COSINE} AS score FROM v a, v b WHERE a.id % 50 = 0 AND b.id < a.id), {_top('t', 1)}
+SELECT query_id, item_id, score FROM t WHERE score >= 0.2""")
 def semantic_cache(spark, folder):
     return retrieval.cached_answers(_vectors(spark, folder), 0.2)
 
 
+@query(f"""WITH {VECTORS}, sc AS (SELECT a.id AS query_id, b.id AS item_id, {_COSINE} AS score FROM v a, v b WHERE a.id % 50 = 0 AND a.id <> b.id AND b.id >= 100 AND b.id < 300), {_top('t', 10)} SELECT * FROM t""")
+def vector_topk_in_time(spark, folder):
+    """The vectors stand in for texts that came in one an hour from the beginning of 2024."""
+    v = _vectors(spark, folder).withColumn("ts", F.to_timestamp(F.lit("2024-01-01")) + F.make_dt_interval(hours=F.col("id").cast("int")))
+    return retrieval.vector_topk(v.where("id % 50 = 0"), retrieval.in_time(v, "ts", "2024-01-05 04:00:00", "2024-01-13 12:00:00"), 10)
+
+
 @query()
 def ann_topk(spark, folder):
+    """Approximate; the tests hold its recall against brute force."""
+    v = _vectors(spark, folder)
+    return retrieval.CellIndex(v).topk(v.where("id % 50 = 0"))
+
+
+@query(f"WITH {VECTORS}, sc AS (SELECT a.id AS query_id, b.id AS item_id, {_COSINE} AS score FROM v a, v b WHERE a.id % 50 = 0 AND a.id <> b.id), {_top('t', 10)} SELECT * FROM t")
+def ann_topk_exact(spark, folder):
     v = _vectors(spark, folder)
-    centres, index = retrieval.ivf_index(v)
-    return retrieval.ivf_topk(v.where("id % 50 = 0"), index, centres)
+    return retrieval.CellIndex(v).exact_topk(v.where("id % 50 = 0"))
+
+
+def _messages(spark, folder):
+    return table(spark, folder, "conversations").select("conv_id", "turn", "role", "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+
+
+MEMORY = f"""c AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, role, text FROM conversations), {_hashed('h', 'c', 'id')},
+lastq AS (SELECT conv_id, max(turn) AS turn FROM c WHERE role = 'user' GROUP BY conv_id),
+ms AS (
+  SELECT l.conv_id, l.turn AS query_turn, m.turn, round(dot / (x.norm * y.norm), 6) AS score
+  FROM (SELECT a.id AS qid, b.id AS mid, sum(a.w * b.w) AS dot FROM h a JOIN h b ON a.bucket = b.bucket AND a.id // 1000 = b.id // 1000 AND b.id < a.id GROUP BY ALL)
+  JOIN lastq l ON l.conv_id * 1000 + l.turn = qid JOIN c m ON m.id = mid JOIN h_n x ON x.id = qid JOIN h_n y ON y.id = mid),
+mem AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, query_turn ORDER BY score DESC, turn) AS INTEGER) AS rank FROM ms WHERE score >= 0.2) WHERE rank <= 3)"""
+
+
+@query(f"WITH {MEMORY} SELECT conv_id, query_turn, turn, score, rank FROM mem")
+def memory_recall(spark, folder):
+    """The three earlier messages of a conversation most like its last question."""
+    m = _messages(spark, folder)
+    vectors = m.select("conv_id", "turn", "id").join(retrieval.hashed_vectors(m), "id")
+    last = m.where("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    return retrieval.recall_memory(vectors, vectors.join(last, ["conv_id", "turn"]), 3, 0.2)
+
+
+HYBRID = f"""{MEMORY},
+r AS (SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role = 'system' ORDER BY turn DESC) AS r FROM conversations) WHERE role = 'system' OR r <= 2),
+hm AS (SELECT conv_id, turn FROM r UNION SELECT conv_id, turn FROM mem)"""
+
+
+def _hybrid_memory(spark, folder):
+    return conversation.hybrid_memory(_messages(spark, folder), memory_recall(spark, folder), 2)
+
+
+@query(f"WITH {HYBRID} SELECT conv_id, turn FROM hm")
+def hybrid_memory(spark, folder):
+    return _hybrid_memory(spark, folder).select("conv_id", "turn")
+
+
+@query(f"WITH {HYBRID} SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS context_md5, count(*) AS n_turns FROM hm JOIN conversations USING (conv_id, turn) GROUP BY conv_id")
+def memory_context(spark, folder):
+    """What is recalled, put into the context at its place before the newest messages."""
+    return conversation.context(_hybrid_memory(spark, folder)).select("conv_id", F.md5("context").alias("context_md5"), "n_turns")
 
 
 @query(r"""WITH t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
@@ -214,14 +285,56 @@ def index_apply(spark, folder):
     return apply_diff(new, old, index_diff(new, old))
 
 
-@query(r"""WITH c AS (
-  SELECT 'fixed' AS strategy, doc_id, substring(text, CAST(i * 450 + 1 AS BIGINT), 500) AS t FROM documents, LATERAL (SELECT unnest(range(0, greatest(CAST(floor((length(text) - 51) / 450.0) AS BIGINT), 0) + 1)) AS i) WHERE length(text) > 0
-  UNION ALL SELECT 'structural', doc_id, unnest(regexp_split_to_array(text, '\n[ \t]*\n')) FROM documents)
-SELECT strategy, count(*) AS n_chunks, round(avg(length(t)), 4) AS mean_chars, CAST(max(length(t)) AS INTEGER) AS most_chars FROM c WHERE length(trim(t)) > 0 GROUP BY strategy""")
+CHUNKS = {
+    "fixed": "SELECT doc_id, i AS chunk_no, substring(text, CAST(i * 450 + 1 AS BIGINT), 500) AS t FROM documents, LATERAL (SELECT unnest(range(0, greatest(CAST(floor((length(text) - 51) / 450.0) AS BIGINT), 0) + 1)) AS i) WHERE length(text) > 0",
+    "structural": r"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_no, t FROM (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS t FROM (SELECT doc_id, regexp_split_to_array(text, '\n[ \t]*\n') AS p FROM documents)) WHERE length(trim(t)) > 0",
+    "lines": "SELECT doc_id, chunk_no, text AS t FROM line_chunks",
+    "recursive": "SELECT doc_id, chunk_no, text AS t FROM recursive_chunks",
+}
+
+
+def _chunk_hits(strategy):
+    """CTEs of the ten best documents of each query by their best chunk."""
+    s = strategy
+    return rf"""
+{s}_c AS ({CHUNKS[s]}),
+{s}_d AS (SELECT doc_id * 100000 + chunk_no AS item_id, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') AS w FROM {s}_c),
+{s}_st AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS avgdl FROM {s}_d),
+{s}_p AS (SELECT item_id, dl, term, count(*)::DOUBLE AS tf FROM (SELECT item_id, len(w) AS dl, unnest(w) AS term FROM {s}_d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+{s}_f AS (SELECT term, count(*)::DOUBLE AS df FROM {s}_p GROUP BY term),
+{s}_sc AS (
+  SELECT query_id, item_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+  FROM q JOIN {s}_f USING (term) JOIN {s}_p USING (term), {s}_st GROUP BY query_id, item_id),
+{_top(s + '_t', 50, s + '_sc')},
+{s}_b AS (SELECT query_id, item_id // 100000 AS item_id, max(score) AS score FROM {s}_t GROUP BY ALL),
+{_top(s + '_h', 10, s + '_b')},
+{_metrics(s + '_h', 10).replace('tot AS', s + '_tot AS').replace('FROM tot', f'FROM {s}_tot').replace('idl AS', s + '_idl AS').replace('JOIN idl ON idl.', f'JOIN {s}_idl ON {s}_idl.').replace('own AS', s + '_own AS').replace('JOIN own ON own.', f'JOIN {s}_own ON {s}_own.').replace('m AS (', s + '_m AS (')}"""
+
+
+def _chunker_sql():
+    rows = " UNION ALL ".join(f"SELECT '{s}' AS strategy, count(*) AS n, round(avg(recall), 5) AS recall, round(avg(precision), 5) AS precision, round(avg(rr), 5) AS rr, round(avg(ndcg), 5) AS ndcg FROM {s}_m" for s in CHUNKS)
+    return f"WITH {RECURSIVE_CHUNKS}, {LINE_CHUNKS}, {BM25}, {JUDGED}, {', '.join(_chunk_hits(s) for s in CHUNKS)} {rows}"
+
+
+@query(_chunker_sql())
 def chunker_compare(spark, folder):
-    docs = table(spark, folder, "documents")
-    out = None
-    for strategy in ("fixed", "structural"):
-        part = chunk(docs, strategy).where(F.length(F.trim("text")) > 0).select(F.lit(strategy).alias("strategy"), F.length("text").alias("n"))
+    """Each chunking strategy by how well the chunks are found: mean metrics of documents ranked by their best chunk."""
+    docs, queries, out = table(spark, folder, "documents"), _queries(spark, folder), None
+    relevant = keep(judged(spark, folder))
+    for strategy in CHUNKS:
+        chunks = chunk(docs, strategy).where(F.length(F.trim("text")) > 0).select((F.col("doc_id") * 100000 + F.col("chunk_no")).alias("id"), "text")
+        best = retrieval.bm25_topk(queries, chunks, 50).groupBy("query_id", F.floor(F.col("item_id") / 100000).alias("item_id")).agg(F.max("score").alias("score"))
+        found = evaluation.retrieval_metrics(retrieval.top(best, 10), relevant, queries.select(F.col("id").alias("query_id")))
+        part = found.agg(F.count("*").alias("n"), *(F.round(F.avg(c), 5).alias(c) for c in ("recall", "precision", "rr", "ndcg"))).select(F.lit(strategy).alias("strategy"), "*")
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("strategy").agg(F.count("*").alias("n_chunks"), F.round(F.avg("n"), 4).alias("mean_chars"), F.max("n").alias("most_chars"))
+    return out
+
+
+@query(r"""WITH c AS (SELECT doc_id, i AS chunk_no, substring(text, CAST(i * 450 + 1 AS BIGINT), 500) AS t FROM documents, LATERAL (SELECT unnest(range(0, greatest(CAST(floor((length(text) - 51) / 450.0) AS BIGINT), 0) + 1)) AS i) WHERE length(text) > 0),
+w AS (SELECT doc_id, chunk_no, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS term FROM c)
+SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(concat('0x', substring(md5(term), 1, 8))::BIGINT % 64 AS INTEGER) AS bucket, count(*)::DOUBLE AS n FROM w GROUP BY ALL""")
+def encode_chunks(spark, folder):
+    """Chunks encoded in batches; the encoder stands in for a sentence model."""
+    chunks = chunk(table(spark, folder, "documents"), "fixed").withColumn("text", F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    coded = retrieval.encode_batches(chunks, retrieval.hashing_encoder())
+    return coded.select("doc_id", "chunk_no", F.posexplode("vector").alias("bucket", "n")).where("n > 0").withColumn("n", F.col("n").cast("double"))
