@@ -123,7 +123,10 @@ def _first_pass(window: int):
 
 
 def _edges(window: int):
-    """The windows whose minimizer is among the text's marks."""
+    """The windows whose minimizer is among the text's marks; ends: 32 bits of the hash of each end node.
+
+    Nodes whose bits are equal by chance seem to branch, which only cuts paths.
+    """
 
     def run(batches):
         for batch in batches:
@@ -145,9 +148,11 @@ def _edges(window: int):
                 doc = w.doc[wins]
                 ver = signed(span_hashes(h, w.bound[:-1], w.bound[1:], 31))
                 ids = batch.column("doc_id").slice(a, b - a).to_numpy(zero_copy_only=False)
+                u, v = (span_hashes(h, wins + x, wins + x + window - 1, 23) for x in (0, 1))
+                ends = (u & np.uint64(0xFFFFFFFF00000000)) | (v >> np.uint64(32))
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(signed(span_hashes(h, wins + x, wins + window - y, seed))) for x, y, seed in ((0, 0, 22), (0, 1, 23), (1, 0, 23))), pa.array(ids[doc]), pa.array(ver[doc]), pa.array((wins - w.bound[doc]).astype(np.int64))],
-                    ["edge", "u", "v", "doc_id", "ver", "pos"],
+                    [pa.array(signed(span_hashes(h, wins, wins + window, 22))), pa.array(signed(ends)), pa.array(ids[doc]), pa.array(ver[doc]), pa.array((wins - w.bound[doc]).astype(np.int64))],
+                    ["edge", "ends", "doc_id", "ver", "pos"],
                 )
 
     return run
@@ -198,7 +203,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
     marks = lead.where("doc_id is not null").select("doc_id", F.explode("marks").alias("mark"))
     shared = marks.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("mark")
     wanted = keep(marks.join(shared, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")))
-    edges = keep(having(docs, wanted).join(wanted, "doc_id").select("doc_id", "text", "marks").mapInArrow(_edges(window), "edge long, u long, v long, doc_id long, ver long, pos long"))
+    edges = keep(having(docs, wanted).join(wanted, "doc_id").select("doc_id", "text", "marks").mapInArrow(_edges(window), "edge long, ends long, doc_id long, ver long, pos long"))
     paths = _paths(edges)
     along = Window.partitionBy("doc_id", "ver", "path", "shift").orderBy("pos")
     met = edges.select("edge", "doc_id", "ver", "pos").join(paths, "edge").where("sdoc < doc_id").select("doc_id", "ver", "pos", F.struct("sdoc", "sver", "head").alias("path"), (F.col("spos") - F.col("pos")).alias("shift"))
@@ -214,8 +219,8 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
 def _paths(edges: DataFrame) -> DataFrame:
     """edge, sdoc, sver, spos (its smallest coordinate) and head (the first word, there, of the nonbranching path it is on) of the edges that stand in several documents."""
     at = F.min(F.struct("doc_id", "ver", "pos"))
-    first = edges.groupBy("edge", "u", "v").agg(at.alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last")
-    first = keep(first.select("edge", "u", "v", F.col("at.doc_id").alias("sdoc"), F.col("at.ver").alias("sver"), F.col("at.pos").alias("spos")))
+    first = edges.groupBy("edge", "ends").agg(at.alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last")
+    first = keep(first.select("edge", F.shiftrightunsigned("ends", 32).alias("u"), F.col("ends").bitwiseAND(F.lit(0xFFFFFFFF)).alias("v"), F.col("at.doc_id").alias("sdoc"), F.col("at.ver").alias("sver"), F.col("at.pos").alias("spos")))
     place = F.min(F.struct("sdoc", "sver", "spos"))
     into = first.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n_in"), place.alias("before"))
     out = first.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n_out"), place.alias("after"))
