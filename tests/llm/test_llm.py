@@ -126,6 +126,14 @@ def test_op1_empty(empty):
     assert quality.keep_good(empty).columns == empty.columns
 
 
+def test_op1_judges_rows_without_an_id(spark):
+    rnd = np.random.default_rng(4)
+    text = lambda: " ".join(f"w{x}" for x in rnd.integers(0, 5000, int(rnd.integers(60, 400))))
+    data = [(None if i % 2 else 5, text() if i % 4 else "too short", None if i % 3 else "en", "s", 0, None, None) for i in range(240)]
+    out = quality.keep_good(spark.createDataFrame(data, SCHEMA))
+    assert sorted(r["text"] for r in out.collect()) == sorted(d[1] for d in data if d[1] != "too short")
+
+
 # 2
 
 

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,19 +105,20 @@ def _frequent(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndar
 def _packed(n: int, num: int, buckets: int, frequent):
     """Rows (bucket, ids, grams, owners): the n-grams to count, by bucket, each with the place of its set among ids.
 
-    Frequent n-grams go to buckets of negative number, which are not counted.
+    Frequent n-grams go to buckets of negative number, one for each run of
+    texts, which are not counted.
     """
 
     def run(batches):
         hot = frequent.value
         width = int(_LIMIT) // buckets + 1
-        number = 0
+        number = -1 - (TaskContext.get().partitionId() << 32)
 
         def flush(ids, grams, owners):
             ids, g, o = np.array(ids, np.int64), np.concatenate(grams), np.concatenate(owners)
-            bucket = ((g % _LIMIT) // np.uint64(width)).astype(np.int32)
+            bucket = ((g % _LIMIT) // np.uint64(width)).astype(np.int64)
             if len(hot):
-                bucket[hot[np.minimum(np.searchsorted(hot, g), len(hot) - 1)] == g] = -1 - number % buckets
+                bucket[hot[np.minimum(np.searchsorted(hot, g), len(hot) - 1)] == g] = number
             order = np.argsort(bucket, kind="stable")
             g, o, bucket = g[order], o[order], bucket[order]
             which, start = np.unique(bucket, return_index=True)
@@ -126,7 +128,7 @@ def _packed(n: int, num: int, buckets: int, frequent):
                 docs, own = np.unique(o[x:y], return_inverse=True)
                 rows.append((b, ids[docs].tobytes(), g[x:y].tobytes(), own.astype(np.uint32 if len(docs) > 65_000 else np.uint16).tobytes()))
             cols = list(zip(*rows, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "ids", "grams", "owners"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "ids", "grams", "owners"])
 
         ids, grams, owners, held = {}, [], [], 0
         for batch in batches:
@@ -140,7 +142,7 @@ def _packed(n: int, num: int, buckets: int, frequent):
                         held += len(own)
                 if held >= PACK:
                     yield flush(list(ids), grams, owners)
-                    number += 1
+                    number -= 1
                     ids, grams, owners, held = {}, [], [], 0
         if held:
             yield flush(list(ids), grams, owners)
@@ -184,7 +186,8 @@ def _prefixes(num: int):
             gv, fv = grams.values.to_numpy(zero_copy_only=False).view(np.uint64), dfs.values.to_numpy(zero_copy_only=False)
             nodes, out = [], [np.zeros(0, np.int64)]
             for i in range(len(ids)):
-                g, f = gv[go[i] : go[i + 1]], fv[fo[i] : fo[i + 1]]
+                g, at = np.unique(gv[go[i] : go[i + 1]], return_index=True)  # a frequent one comes from each run of texts with the set
+                f = fv[fo[i] : fo[i + 1]][at]
                 low = g < _LIMIT
                 p = _prefix_size(sizes[i], num)
                 room = p - (lows[i] - int(low.sum()))
@@ -430,7 +433,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     buckets = max(1, -(-int(grams) // BUCKET))
 
     sets = base.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n", "k").agg(F.min("doc_id").alias("rep"))
-    counted = docs.where("doc_id is not null").mapInArrow(_packed(n, percent, buckets, frequent), "bucket int, ids binary, grams binary, owners binary").groupBy("bucket").applyInArrow(_counted, "f1 long, gram long, df int")
+    counted = docs.where("doc_id is not null").mapInArrow(_packed(n, percent, buckets, frequent), "bucket long, ids binary, grams binary, owners binary").groupBy("bucket").applyInArrow(_counted, "f1 long, gram long, df int")
     shared = counted.groupBy("f1").agg(F.collect_list(F.struct("gram", "df")).alias("s")).select("f1", F.col("s.gram").alias("grams"), F.col("s.df").alias("dfs"))
     ties = keep(sets.select("f1", "n", "k").join(shared, "f1").mapInArrow(_prefixes(percent), "node long, gram long"))
     least = ties.groupBy("gram").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last")

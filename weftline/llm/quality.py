@@ -89,21 +89,22 @@ def _statistics(batches):
             symbols = np.append(0, np.cumsum(_SYMBOLS[data]))
             for c, v in zip(cols, (w.counts, np.diff(points[off]), np.diff(symbols[off]), _dup_lines(data, off, w), _repeats(w, w.hashes(), 8)), strict=True):
                 c.append(v)
-        own = [batch.column(c) for c in ("doc_id", "lang", "source")]
-        yield pa.RecordBatch.from_arrays([*own, *(pa.array(np.concatenate(c).astype(np.int64)) for c in cols)], ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+        own = [batch.column(c) for c in ("doc_id", "lang", "source", "text_hash")]
+        yield pa.RecordBatch.from_arrays([*own, *(pa.array(np.concatenate(c).astype(np.int64)) for c in cols)], ["doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 
 
 _COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, lang, source, the counts, base_failed and the vector v0 to v4 (integers).
+    """One row per row of docs: doc_id, lang, source, text_hash, the counts, base_failed and the vector v0 to v4 (integers).
 
     Null and empty texts have no words; a null lang or source is a group of
-    its own. Other columns are dropped.
+    its own. Repeated rows and ids are rows of their own. Other columns are
+    dropped.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("lang", "source", "text")))
-    out = docs.mapInArrow(_statistics, f"doc_id long, lang string, source string, {_COUNTS}")
+    out = docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_statistics, f"doc_id long, lang string, source string, text_hash long, {_COUNTS}")
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     ratio = lambda top, bottom, least: F.log(F.col(top) / bottom + F.lit(least)) - F.log(F.lit(least))
     vector = (
@@ -211,6 +212,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
     kept is false where base_failed, or where the distance exceeds CUT. With no
     row that passes the base rules there is no estimate, and nothing more goes.
+    Every row is judged by itself, repeated rows alike.
     """
     stats = keep(text_statistics(docs))
     fits = fit(stats)
@@ -233,13 +235,13 @@ def judge(docs: DataFrame) -> DataFrame:
     distance = sum((away[i] * away[j] * F.col("_fit.inverse")[i * d + j] for i in range(d) for j in range(d)), F.lit(0.0))
     keyed = keyed.withColumn("distance", distance)
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUT))
-    return keyed.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
+    return keyed.select("doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id passes; rows with a null doc_id go.
-
-    Of rows with one doc_id, all stay if any of them passes.
-    """
-    good = judge(docs).where("kept").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, docs["doc_id"].cast("long") == good["_good"], "left_semi")
+    """The rows of docs, with all their columns, that pass; each by its own doc_id, lang, source and text, nulls included."""
+    keys = ("doc_id", "lang", "source", "text_hash")
+    good = judge(docs).where("kept").select(*(F.col(k).alias(f"_good_{k}") for k in keys)).distinct()
+    mine = (docs["doc_id"].cast("long"), docs["lang"].cast("string"), docs["source"].cast("string"), F.xxhash64(docs["text"].cast("string")))
+    same = [a.eqNullSafe(good[f"_good_{k}"]) for a, k in zip(mine, keys, strict=True)]
+    return docs.join(good, same, "left_semi")
