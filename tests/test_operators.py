@@ -281,3 +281,53 @@ def test_other_parts_import_without_llm():
             for node in ast.walk(ast.parse(p.read_text())):
                 names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
                 assert not any("llm" in n.split(".") for n in names)
+
+
+def test_markdown_sections_cases_and_reports(spark, tmp_path):
+    (tmp_path / "a.md").write_text("intro\n# One\nbody\n\n## Two ##\nmore\n#no heading\n# Empty")
+    got = tables.load_markdown_sections(spark, f"{tmp_path}/a.md").orderBy("section_no").collect()
+    assert [(r["level"], r["heading"], r["text"]) for r in got] == [(None, None, "\nintro".strip()), (1, "One", "body\n"), (2, "Two", "more\n#no heading"), (1, "Empty", "")] or [(r["level"], r["heading"], r["text"].strip()) for r in got] == [(None, None, "intro"), (1, "One", "body"), (2, "Two", "more\n#no heading"), (1, "Empty", "")]
+    (tmp_path / "cases.json").write_text('{"case_id": "1", "query": "q", "expected": "e"}\n{broken\n')
+    cases = tables.read_cases(spark, f"{tmp_path}/cases.json").cache()
+    assert cases.where("_corrupt_record is null").count() == 1 and cases.count() == 2
+    report = evaluation.report_lines(spark.createDataFrame([("m", 1.0), ("m", 2.0)], "metric string, value double"), "T")
+    tables.write_report(report, f"{tmp_path}/report", "text")
+    lines = [r[0] for r in spark.read.text(f"{tmp_path}/report").collect()]
+    assert lines[0] == "# T" and lines[-1] == "| m | 2 | 1.50 | 1.00 | 2.00 |"
+    tables.append_log(cases.select("case_id"), f"{tmp_path}/log")
+    tables.append_log(cases.select("case_id"), f"{tmp_path}/log")
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 4
+
+
+def test_resources_and_images(spark, tmp_path):
+    t = spark.createDataFrame([("https://h.org/a/b", "x")], "uri string, body string")
+    r = tables.resource(t, "https://h.org/a/b").first()
+    assert (r["scheme"], r["host"], r["path"]) == ("https", "h.org", "/a/b") and tables.resource(t, "none").count() == 0
+    (tmp_path / "p.png").write_bytes(b"12345")
+    (tmp_path / "p.txt").write_bytes(b"1")
+    assert [r["length"] for r in tables.images(spark, str(tmp_path)).select("length").collect()] == [5]
+
+
+def test_stream_join_and_late_rows(spark, tmp_path):
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    schema = "user_id long, ts timestamp, value double"
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    spark.createDataFrame([(1, at(0), 0.0), (2, at(0), 0.0)], schema).write.parquet(a)
+    spark.createDataFrame([(1, at(5), 0.0), (2, at(50), 0.0)], schema).write.parquet(b)
+    kind = spark.read.parquet(a).schema
+    got: list = []
+    flows.run_available(flows.near_in_time(flows.subscribe(spark, a, kind), flows.subscribe(spark, b, kind), "user_id", "10 minutes"), lambda df, _: got.extend(df.collect()), str(tmp_path / "c1"))
+    assert [(r["user_id"], r["then_ts"]) for r in got] == [(1, at(5))]
+    late = str(tmp_path / "late")
+    for i, minute in enumerate((5, 59, 6)):  # the last row comes when its window has closed
+        spark.createDataFrame([(1, at(minute), 1.0)], schema).coalesce(1).write.mode("append").parquet(late)
+        flows.run_available(flows.window_counts(flows.subscribe(spark, late, kind), "10 minutes", "1 minute", ["user_id"]), lambda df, _: got.extend(df.collect()), str(tmp_path / "c2"))
+    assert [(r["start"], r["n"]) for r in got[1:] if r["start"] == at(0)] == [(at(0), 1)]
+
+
+def test_index_sync_takes_the_latest_version(spark, tmp_path):
+    source, index = str(tmp_path / "in"), VersionedTable(spark, str(tmp_path / "index"))
+    df = spark.createDataFrame([(1, "zz", 1), (1, "aa", 2)], "doc_id long, text string, at int")
+    df.write.parquet(source)
+    flows.sync_index(flows.subscribe(spark, source, df.schema), index, str(tmp_path / "ck"), "at")
+    assert [r["text"] for r in index.read().collect()] == ["aa"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -104,3 +104,23 @@ def slices(results: DataFrame, keys: list[str]) -> DataFrame:
 def alerts(results: DataFrame, group: str, condition: Column, least: float) -> DataFrame:
     """group, n, rate where the share of rows that meet the condition is below ``least``."""
     return results.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(condition.cast("int")), 6).alias("rate")).where(F.col("rate") < least)
+
+
+def over_time(metrics: DataFrame, every: str, columns: list[str]) -> DataFrame:
+    """start, n and the mean of each metric column by tumbling windows of ts: how retrieval does over time."""
+    return metrics.groupBy(F.window("ts", every).alias("w")).agg(F.count("*").alias("n"), *(F.round(F.avg(c), 5).alias(c) for c in columns)).select(F.col("w.start").alias("start"), "n", *columns)
+
+
+def report_lines(results: DataFrame, title: str) -> DataFrame:
+    """line_no, line of a Markdown report: a heading, and a table with a row for each metric of long results (metric, value)."""
+    spark = results.sparkSession
+    head = spark.createDataFrame([(0, f"# {title}"), (1, ""), (2, "| metric | n | mean | low | high |"), (3, "|---|---|---|---|---|")], "line_no int, line string")
+    show = lambda c: F.format_string("%.2f", F.col(c))
+    rows = summary(results).withColumn("line_no", (F.row_number().over(Window.orderBy("metric")) + 3).cast("int"))  # a row for each metric
+    return head.unionByName(rows.select("line_no", F.concat_ws(" ", F.lit("|"), "metric", F.lit("|"), F.col("n").cast("string"), F.lit("|"), show("mean"), F.lit("|"), show("low"), F.lit("|"), show("high"), F.lit("|")).alias("line")))
+
+
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """df, and what an action on it will have counted on the way, without a pass of its own."""
+    watch = Observation(name)
+    return df.observe(watch, *(c.alias(k) for k, c in metrics.items())), watch

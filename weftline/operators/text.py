@@ -54,9 +54,9 @@ def near_dup(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return full.where(both * 100 >= union * percent).select("id_a", "id_b", F.round(both / union, 6).alias("jaccard"))
 
 
-def quality_reasons(text: Column) -> Column:
-    """The first rule that a text fails, in the order below, or null."""
-    words = n_tokens(text)
+def quality_reasons(text: Column, tokens_: Column) -> Column:
+    """The first rule that a text with these tokens fails, in the order below, or null."""
+    words = F.coalesce(F.size(tokens_), F.lit(0))
     symbols = F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)
     return (
@@ -64,13 +64,50 @@ def quality_reasons(text: Column) -> Column:
         .when(words < 20, "short")
         .when(symbols * 20 > F.length(text), "symbols")
         .when(F.size(F.array_distinct(lines)) * 2 < F.size(lines), "repeated_lines")
-        .when(F.size(F.array_distinct(tokens(text))) * 10 < words * 2, "few_words")
+        .when(F.size(F.array_distinct(tokens_)) * 10 < words * 2, "few_words")
     )
 
 
+def with_reasons(docs: DataFrame) -> DataFrame:
+    """docs with reason (null: kept); each text is cut into tokens once."""
+    return docs.withColumn("_tokens", tokens(F.col("text"))).withColumn("reason", quality_reasons(F.col("text"), F.col("_tokens"))).drop("_tokens")
+
+
 def quality_filter(docs: DataFrame) -> DataFrame:
     """doc_id and reason; null: kept."""
-    return docs.select("doc_id", quality_reasons(F.col("text")).alias("reason"))
+    return with_reasons(docs.select("doc_id", "text")).select("doc_id", "reason")
+
+
+def without_passages(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
+    """docs without those that share a run of n tokens with an item (text).
+
+    Hashes of the runs find the candidates; their runs themselves decide.
+    """
+
+    def runs(df: DataFrame, key: list[str], value) -> DataFrame:
+        w = df.select(*key, tokens(F.col("text")).alias("w")).where(F.size("w") >= n)
+        return w.select(*key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: value(F.slice("w", i, n))))).alias("s"))
+
+    def sharing(df: DataFrame, value) -> DataFrame:
+        return runs(df, ["doc_id"], value).join(runs(items, [], value).distinct(), "s", "left_semi").select("doc_id").distinct()
+
+    near = docs.select("doc_id", "text").join(sharing(docs, F.xxhash64), "doc_id", "left_semi")
+    return docs.join(sharing(near, lambda r: F.array_join(r, " ")), "doc_id", "left_anti")
+
+
+def prompt_quality(prompts: DataFrame) -> DataFrame:
+    """prompts with rule proxies of quality: words_per_sentence (clarity), vague (ambiguity: vague words) and asks (whether it asks or orders something)."""
+    words = tokens(F.col("text"))
+    sentences = F.greatest(F.size(F.regexp_extract_all("text", F.lit(r"[^.!?]*[A-Za-z0-9][^.!?]*"), F.lit(0))), F.lit(1))
+    return prompts.withColumn("_w", words).withColumns({
+        "words_per_sentence": F.round(F.coalesce(F.size("_w"), F.lit(0)) / sentences.cast("double"), 6),
+        "vague": F.coalesce(F.size(F.filter("_w", lambda w: w.isin(*VAGUE))), F.lit(0)).cast("long"),
+        "asks": F.coalesce(F.col("text").rlike(r"\?|^(write|list|explain|give|show|make|find|tell) |^(Write|List|Explain|Give|Show|Make|Find|Tell) "), F.lit(False)),
+    }).drop("_w")
+
+
+# Words that leave open what is meant.
+VAGUE = ("etc", "maybe", "several", "some", "somehow", "something", "stuff", "thing", "things", "various")
 
 
 def augment(docs: DataFrame) -> DataFrame:

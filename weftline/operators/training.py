@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_share
-from .text import exact_dedup, quality_reasons
+from .text import exact_dedup, with_reasons
 
 
 def sft_pairs(messages: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def hash_split(docs: DataFrame, key: str, percent: int) -> DataFrame:
 def prepare(docs: DataFrame) -> dict[str, DataFrame]:
     """The stages collected, deduplicated and kept, each from the one before."""
     unique = exact_dedup(docs)
-    return {"collected": docs, "deduplicated": unique, "kept": unique.where(quality_reasons(F.col("text")).isNull())}
+    return {"collected": docs, "deduplicated": unique, "kept": with_reasons(unique).where("reason is null").drop("reason")}
 
 
 def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
@@ -44,11 +44,19 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
 
 def retrain(log: DataFrame, least_rows: int, most_drop: float) -> DataFrame:
     """version, rows, score, due of a log (version, rows, score): due when enough rows came in or the score fell against the version before."""
-    before = F.lag("score").over(Window.orderBy("version"))
+    before = F.lag("score").over(Window.orderBy("version"))  # a row for each version that was ever trained: a small log
     drop = F.coalesce(before - F.col("score"), F.lit(0.0))
     return log.withColumn("due", (F.col("rows") >= least_rows) | (drop > most_drop))
 
 
+def stratified_sample(docs: DataFrame, key: str, stratum: str, percents: dict[str, int], default: int = 0) -> DataFrame:
+    """About the given per cent of each stratum's rows, by a hash of the key alone; strata without a share get the default."""
+    share = F.lit(default)
+    for value, percent in sorted(percents.items()):
+        share = F.when(F.col(stratum) == value, percent).otherwise(share)
+    return docs.where(hash_share(F.col(key)) % 100 < share)
+
+
 def minibatches(docs: DataFrame, key: str, size: int, groups: int = 64) -> DataFrame:
     """docs with batch_group and batch: rows in hash order, ``size`` to a batch within each of ``groups`` groups, so that no task orders all rows."""
     group = F.pmod(hash_share(F.col(key)), F.lit(groups)).cast("int")

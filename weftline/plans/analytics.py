@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import extensions
 from ..functions.vectors import positions
 from ..operators import conversation, cost, evaluation, numeric, temporal, training
 from ..sources.tables import table
@@ -410,3 +411,106 @@ def asof_events(spark, folder):
     e = _events(spark, folder)
     views = e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
     return temporal.asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, "user_id", "ts", ["view_id"]).select("event_id", "view_id")
+
+
+@query(f"WITH {EDGES}" + """
+SELECT src, count(*) AS n FROM e WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = e.dst AND n_regionkey = 1) GROUP BY src""")
+def exists_edges(spark, folder):
+    """A correlated subquery."""
+    for t in ("customer", "orders", "lineitem", "supplier", "nation"):
+        table(spark, folder, t).createOrReplaceTempView(f"_x_{t}")
+    return spark.sql(
+        """WITH e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM _x_customer JOIN _x_orders ON o_custkey = c_custkey JOIN _x_lineitem ON l_orderkey = o_orderkey JOIN _x_supplier ON s_suppkey = l_suppkey WHERE s_nationkey = c_nationkey + 1)
+        SELECT src, count(*) AS n FROM e WHERE EXISTS (SELECT 1 FROM _x_nation WHERE n_nationkey = e.dst AND n_regionkey = 1) GROUP BY src"""
+    )
+
+
+@query("""SELECT c_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) JOIN customer ON c_custkey = o_custkey WHERE r <= 2 AND c_mktsegment = 'BUILDING'""")
+def lateral_top_orders(spark, folder):
+    """A lateral subquery: the two largest orders of each customer of a segment."""
+    table(spark, folder, "customer").createOrReplaceTempView("_l_customer")
+    table(spark, folder, "orders").createOrReplaceTempView("_l_orders")
+    return spark.sql("SELECT c_custkey, o_orderkey, o_totalprice FROM _l_customer, LATERAL (SELECT o_orderkey, o_totalprice FROM _l_orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) WHERE c_mktsegment = 'BUILDING'")
+
+
+@query("WITH RECURSIVE t AS (SELECT n_nationkey AS node, 0 AS depth FROM nation WHERE n_nationkey = 0 UNION ALL SELECT n_nationkey, depth + 1 FROM t JOIN nation ON n_nationkey = node * 2 + 1 OR n_nationkey = node * 2 + 2) SELECT node, depth FROM t")
+def recursive_tree(spark, folder):
+    """A recursive query over a small hierarchy; large graphs take conversation.reachable()."""
+    table(spark, folder, "nation").createOrReplaceTempView("_r_nation")
+    return spark.sql("WITH RECURSIVE t AS (SELECT n_nationkey AS node, 0 AS depth FROM _r_nation WHERE n_nationkey = 0 UNION ALL SELECT n_nationkey, depth + 1 FROM t JOIN _r_nation ON n_nationkey = node * 2 + 1 OR n_nationkey = node * 2 + 2) SELECT node, depth FROM t")
+
+
+@query("SELECT event_id, CASE WHEN (props->>'k')::INT >= 50 THEN 2 ELSE 1 END AS n_tags, event_type AS kind, CASE WHEN (props->>'k')::INT >= 50 THEN 'large' END AS size FROM events")
+def metadata_maps(spark, folder):
+    """Metadata as maps: tags with a value are kept, and looked up by name."""
+    e = _events(spark, folder)
+    tags = F.map_from_arrays(F.array(F.lit("kind"), F.lit("size")), F.array("event_type", F.when(F.get_json_object("props", "$.k").cast("int") >= 50, "large")))
+    kept = F.map_filter(tags, lambda k, v: v.isNotNull())
+    return e.select("event_id", kept.alias("m")).select("event_id", F.size("m").alias("n_tags"), F.try_element_at("m", F.lit("kind")).alias("kind"), F.try_element_at("m", F.lit("size")).alias("size"))
+
+
+@query("SELECT event_id, count(*) OVER w AS n, round(sum(value) OVER w, 2) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)")
+def rolling_day(spark, folder):
+    w = "OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)"
+    return _events(spark, folder).select("event_id", F.expr(f"count(*) {w}").alias("n"), F.expr(f"round(sum(value) {w}, 2)").alias("total"))
+
+
+@query("SELECT o_orderpriority AS priority, count(*) AS n FROM (SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'F' EXCEPT ALL SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'O') GROUP BY 1")
+def priorities_except_all(spark, folder):
+    o = table(spark, folder, "orders")
+    own = lambda s: o.where(F.col("o_orderstatus") == s).select(F.col("o_orderpriority").alias("priority"))
+    return own("F").exceptAll(own("O")).groupBy("priority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderpriority AS priority, count(*) AS n FROM (SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'F' INTERSECT ALL SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'O') GROUP BY 1")
+def priorities_intersect_all(spark, folder):
+    o = table(spark, folder, "orders")
+    own = lambda s: o.where(F.col("o_orderstatus") == s).select(F.col("o_orderpriority").alias("priority"))
+    return own("F").intersectAll(own("O")).groupBy("priority").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT event_type AS metric, count(value) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM events GROUP BY 1)
+SELECT line_no, line FROM (VALUES (0, '# Results'), (1, ''), (2, '| metric | n | mean | low | high |'), (3, '|---|---|---|---|---|')) v(line_no, line)
+UNION ALL SELECT CAST(row_number() OVER (ORDER BY metric) + 3 AS INTEGER), '| ' || metric || ' | ' || n || ' | ' || printf('%.2f', mean) || ' | ' || printf('%.2f', low) || ' | ' || printf('%.2f', high) || ' |' FROM s""")
+def eval_report(spark, folder):
+    return evaluation.report_lines(_results(spark, folder), "Results")
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (event_type = 'error') AS errors, round(avg(value), 6) AS mean FROM events")
+def observed_metrics(spark, folder):
+    """Metrics that an action collects on its way."""
+    df, watch = evaluation.observed(_events(spark, folder), "events", rows=F.count(F.lit(1)), errors=F.count_if(F.col("event_type") == "error"), mean=F.round(F.avg("value"), 6))
+    df.write.format("noop").mode("overwrite").save()
+    got = watch.get
+    return spark.createDataFrame([(got["rows"], got["errors"], got["mean"])], "rows long, errors long, mean double")
+
+
+@query("""SELECT event_type AS metric, count(*) AS n, round(avg((props->>'k')::BIGINT * 0.3::DOUBLE - value), 6) AS delta, count(*) FILTER ((props->>'k')::BIGINT * 0.3::DOUBLE - value > 5) AS win, count(*) FILTER (abs((props->>'k')::BIGINT * 0.3::DOUBLE - value) <= 5) AS tie,
+  count(*) FILTER ((props->>'k')::BIGINT * 0.3::DOUBLE - value < -5) AS loss FROM events GROUP BY event_type""")
+def cost_compare(spark, folder):
+    """The cost of each call, as it was and at the price of a local model."""
+    calls = _calls(spark, folder).select(F.col("event_id").alias("case_id"), F.col("model").alias("metric"), "tokens", "cost")
+    return evaluation.compare_runs(calls.select("case_id", "metric", F.col("cost").alias("value")), calls.select("case_id", "metric", (F.col("tokens") * 0.3).alias("value")), 5.0)
+
+
+@query("""SELECT item_id, CAST(i - 1 AS INTEGER) AS sentence_no, trim(s[i]) AS sentence FROM (SELECT item_id, regexp_extract_all(text, '[^.!?]*[.!?]+|[^.!?]+$') AS s FROM benchmark), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i) WHERE trim(s[i]) <> ''""")
+def sentences(spark, folder):
+    """A table function of our own, called for each row."""
+    spark.udtf.register("sentences_of", extensions.Sentences)
+    table(spark, folder, "benchmark").createOrReplaceTempView("_s_benchmark")
+    return spark.sql("SELECT item_id, sentence_no, sentence FROM _s_benchmark, LATERAL sentences_of(text)")
+
+
+@query("SELECT event_type, round(exp(avg(ln(value)) FILTER (value > 0)), 5) AS mean FROM events GROUP BY event_type")
+def geometric_means(spark, folder):
+    """An aggregate function of our own."""
+    return _events(spark, folder).groupBy("event_type").agg(F.round(extensions.geometric_mean("value"), 5).alias("mean"))
+
+
+@query("SELECT CAST(d AS DATE) AS day, CAST(isodow(d) AS INTEGER) AS weekday, (SELECT count(*) FROM events WHERE CAST(ts AS DATE) = CAST(d AS DATE)) AS n FROM range(DATE '2024-01-01', DATE '2024-02-05', INTERVAL 1 DAY) g(d)")
+def events_by_day(spark, folder):
+    """A source of our own: all days of a calendar, with the events of each."""
+    spark.dataSource.register(extensions.Calendar)
+    days = spark.read.format("calendar").option("start", "2024-01-01").option("days", "35").load()
+    n = _events(spark, folder).groupBy(F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    return days.join(n, "day", "left").select("day", "weekday", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

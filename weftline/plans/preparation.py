@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import n_tokens, shingles, tokens
+from ..functions.text import n_tokens, tokens
 from ..operators import safety, text, training, web
 from ..sources.tables import table
 from .registry import query
@@ -51,7 +51,7 @@ def quality_filter(spark, folder):
 
 @query(f"SELECT quality, r IS NULL AS kept, count(*) AS n FROM (SELECT quality, {QUALITY} AS r FROM documents JOIN labels USING (doc_id)) GROUP BY ALL")
 def quality_confusion(spark, folder):
-    judged = _docs(spark, folder).join(table(spark, folder, "labels"), "doc_id").select("quality", text.quality_reasons(F.col("text")).isNull().alias("kept"))
+    judged = text.with_reasons(_docs(spark, folder).join(table(spark, folder, "labels"), "doc_id").select("quality", "text")).select("quality", F.col("reason").isNull().alias("kept"))
     return judged.groupBy("quality", "kept").agg(F.count("*").alias("n"))
 
 
@@ -242,9 +242,22 @@ def permission_violations(spark, folder):
 jd AS (SELECT doc_id, array_to_string(list_slice(w, i, i + 7), ' ') AS s FROM (SELECT doc_id, {W} AS w FROM documents), LATERAL (SELECT unnest(range(1, len(w) - 6)) AS i) WHERE len(w) >= 8)
 SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM jd WHERE s IN (SELECT s FROM js))""")
 def decontaminate(spark, folder):
-    runs = lambda df, key: df.select(*key, tokens(F.col("text")).alias("w")).where("size(w) >= 8").select(*key, F.explode(shingles(F.col("w"), 8)).alias("s"))
-    bad = runs(_docs(spark, folder), ["doc_id"]).join(runs(table(spark, folder, "benchmark"), []).distinct(), "s", "left_semi").select("doc_id").distinct()
-    return _docs(spark, folder).join(bad, "doc_id", "left_anti").select("doc_id")
+    return text.without_passages(_docs(spark, folder), table(spark, folder, "benchmark")).select("doc_id")
+
+
+_VAGUE = "('etc', 'maybe', 'several', 'some', 'somehow', 'something', 'stuff', 'thing', 'things', 'various')"
+
+
+@query(rf"""SELECT conv_id, turn, round(len({W}) / greatest(len(regexp_extract_all(text, '[^.!?]*[A-Za-z0-9][^.!?]*')), 1)::DOUBLE, 6) AS words_per_sentence,
+  len(list_filter({W}, lambda w: w IN {_VAGUE})) AS vague, regexp_matches(text, '\?|^(write|list|explain|give|show|make|find|tell) |^(Write|List|Explain|Give|Show|Make|Find|Tell) ') AS asks
+FROM conversations WHERE role = 'user'""")
+def prompt_quality(spark, folder):
+    return text.prompt_quality(table(spark, folder, "conversations").where("role = 'user'")).select("conv_id", "turn", "words_per_sentence", "vague", "asks")
+
+
+@query("SELECT doc_id, source FROM documents WHERE concat('0x', substring(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 100 < CASE lang WHEN 'en' THEN 10 WHEN 'fr' THEN 50 ELSE 0 END")
+def stratified_sample(spark, folder):
+    return training.stratified_sample(_docs(spark, folder), "doc_id", "lang", {"en": 10, "fr": 50}).select("doc_id", "source")
 
 
 _MAIN = r"""regexp_replace(html, '(?is)<(script|style|nav|header|footer|noscript)\b.*?</(script|style|nav|header|footer|noscript)>', ' ', 'g')"""

@@ -338,3 +338,21 @@ def encode_chunks(spark, folder):
     chunks = chunk(table(spark, folder, "documents"), "fixed").withColumn("text", F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     coded = retrieval.encode_batches(chunks, retrieval.hashing_encoder())
     return coded.select("doc_id", "chunk_no", F.posexplode("vector").alias("bucket", "n")).where("n > 0").withColumn("n", F.col("n").cast("double"))
+
+
+@query(f"""WITH {BM25}, {_top('t', 10)}, {JUDGED}, {_metrics('t', 10)}
+SELECT CAST(date_trunc('day', TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * query_id) AS TIMESTAMP) AS start, count(*) AS n, round(avg(recall), 5) AS recall, round(avg(rr), 5) AS rr FROM m GROUP BY 1""")
+def retrieval_over_time(spark, folder):
+    """The metrics of retrieval by day; the queries stand in for questions that came in one an hour."""
+    m = metrics(spark, folder, bm25(spark, folder)).withColumn("ts", F.to_timestamp(F.lit("2024-01-01")) + F.make_dt_interval(hours=F.col("query_id").cast("int")))
+    return evaluation.over_time(m, "1 day", ["recall", "rr"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""SELECT vec_id AS id, round(embedding[1]::DOUBLE, 5) AS first FROM embeddings WHERE vec_id % 5 <> 0""")
+def vector_store_apply(spark, folder):
+    """The next version of a store of vectors: some are new, some have changed, some are gone."""
+    v = _vectors(spark, folder).select("id", "vector").withColumn("hash", F.xxhash64("vector").cast("string"))
+    turned = F.transform("vector", lambda x: -x)
+    old = v.where("id % 3 != 0").withColumn("vector", F.when(F.col("id") % 7 == 0, turned).otherwise(F.col("vector"))).withColumn("hash", F.xxhash64("vector").cast("string"))
+    new = v.where("id % 5 != 0")
+    return apply_diff(new, old, index_diff(new, old)).select("id", F.round(F.col("vector")[0].cast("double"), 5).alias("first"))

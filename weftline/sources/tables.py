@@ -34,6 +34,17 @@ def load_markdown(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", F.lit("md").alias("format"), F.nullif(title, F.lit("")).alias("title"), "text")
 
 
+def load_markdown_sections(spark: SparkSession, path: str) -> DataFrame:
+    """path, section_no, level, heading, text: Markdown files cut at their headings; what stands before the first is section 0 without one."""
+    body = F.split(F.concat(F.lit("\n"), "text"), r"\n(?=#{1,6}[ \t])")
+    each = load_text(spark, path).select("path", F.posexplode(body).alias("section_no", "part"))
+    head = r"^(#{1,6})[ \t]+([^\n]*?)[ \t]*#*[ \t]*(?:\n|$)"
+    has = F.col("part").rlike(head)
+    return each.select(
+        "path", "section_no", F.when(has, F.length(F.regexp_extract("part", head, 1))).alias("level"), F.when(has, F.regexp_extract("part", head, 2)).alias("heading"), F.trim(F.regexp_replace("part", head, "")).alias("text")
+    ).where("heading is not null or text != ''")
+
+
 def load_word(spark: SparkSession, path: str) -> DataFrame:
     """Word files: paragraphs of the document part, joined by newlines; a file that can't be read has a null text."""
 
@@ -100,6 +111,22 @@ def write_alpaca(df: DataFrame, path: str) -> None:
     df.select("instruction", "input", "output").write.mode("overwrite").json(path)
 
 
+CASES = "case_id string, query string, expected string"
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """An evaluation set as JSON lines of case_id, query and expected; malformed lines go to _corrupt_record."""
+    return spark.read.schema(f"{CASES}, _corrupt_record string").json(path)
+
+
+def write_report(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """An evaluation or cost report as parquet, json, csv (with a header), or text (the column line, in the order of line_no)."""
+    if kind == "text":
+        df.orderBy("line_no").select("line").coalesce(1).write.mode("overwrite").text(path)  # a report is small
+    else:
+        df.write.mode("overwrite").options(**({"header": "true"} if kind == "csv" else {})).format(kind).save(path)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Add audit, access or quality rows to a log."""
     df.write.mode("append").parquet(path)

@@ -40,17 +40,23 @@ def near_in_time(a: DataFrame, b: DataFrame, key: str, within: str) -> DataFrame
     return x.join(y, on, "inner").select(F.col(f"x.{key}").alias(key), F.col("x.ts").alias("first_ts"), F.col("y.ts").alias("then_ts"))
 
 
-def run_totals(events: DataFrame) -> DataFrame:
-    """user_id, n, total after each trigger: a custom state of counts and sums per user."""
+def run_totals(events: DataFrame, late: str = "1 hour", idle_seconds: int = 7 * 86_400) -> DataFrame:
+    """user_id, n, total after each trigger: a custom state of counts and sums per user, which goes when the watermark is so far past the user's last event."""
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, total = state.get if state.exists else (0, 0.0)
+        last = state.getCurrentWatermarkMs()
         for p in parts:
             n, total = n + len(p), total + float(p["value"].sum())
+            last = max(last, int(p["ts"].max().timestamp() * 1000))
         state.update((n, total))
+        state.setTimeoutTimestamp(last + idle_seconds * 1000)
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
 
-    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, total double", "n long, total double", "update", "NoTimeout")
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, total double", "n long, total double", "update", "EventTimeTimeout")
 
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -60,8 +66,11 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     return query
 
 
-def sync_index(source: DataFrame, index: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Keep an index (id, hash, text) in step with a stream of documents (doc_id, text).
+def sync_index(source: DataFrame, index: VersionedTable, checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """Keep an index (id, hash, text) in step with a stream of documents (doc_id, text[, order]).
+
+    Of a document's versions in one batch the last by the column ``order``
+    counts, by its text if no column is named.
 
     Each batch is the documents that came in: new ones and those whose content
     changed make a new version of the index; a batch without changes makes
@@ -69,7 +78,7 @@ def sync_index(source: DataFrame, index: VersionedTable, checkpoint: str) -> Str
     """
 
     def each(batch: DataFrame, _: int) -> None:
-        new = batch.groupBy(F.col("doc_id").alias("id")).agg(F.max_by("text", F.md5("text")).alias("text")).select("id", F.md5("text").alias("hash"), "text")
+        new = batch.groupBy(F.col("doc_id").alias("id")).agg(F.max_by("text", F.struct(*([order] if order else []), F.md5("text"))).alias("text")).select("id", F.md5("text").alias("hash"), "text")
         if not index.exists():
             index.write(new)
             return
