@@ -45,11 +45,11 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 SIDE = 32
 TOP = SIDE * SIDE
 WIDTH = 16
-STRIDE = 8
-CONTEXT = 8
+STRIDE = 32
+CONTEXT = 16
 ROUNDS = 2
 #: Windows in one step of training.
-STEP_WINDOWS = 1024
+STEP_WINDOWS = 256
 #: Entries of (text, word) in one bucket.
 BUCKET = 4_000_000
 CHUNK = 2 << 20
@@ -374,8 +374,8 @@ def scores(weights: dict, symbols: Symbols, y: np.ndarray, start: np.ndarray) ->
     """Natural log of the probability of each subword of texts, given those before it in its window."""
     s = Stream(symbols.of[y], start)
     out = symbols.rare[y]
-    for a in range(0, len(s.first), 2048):
-        which = np.arange(a, min(a + 2048, len(s.first)))
+    for a in range(0, len(s.first), 512):
+        which = np.arange(a, min(a + 512, len(s.first)))
         x, valid, goal, mask = s.windows(which)
         hidden, _ = attend(weights, x, valid)
         at = np.flatnonzero(mask.ravel())
