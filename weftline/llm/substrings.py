@@ -36,6 +36,8 @@ from .words import Words, chunks, cover, signed, space_table, span_hashes
 KMER = 12
 #: Bits of a place in the order of k-mers; 2**36 words are more than a text can have.
 _PLACE_BITS = 36
+#: Bits of a text's hash that stand before a word's place in a coordinate; they tell the texts of one doc_id apart.
+_TEXT_BITS = 27
 
 
 def _words(column):
@@ -68,6 +70,10 @@ def minimizers(w: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np.nda
     return wins, (np.minimum(behind[wins], ahead[wins + span - 1]) & low).astype(np.int64), mers
 
 
+def _short(ver: np.ndarray) -> np.ndarray:
+    return ver & ((1 << _TEXT_BITS) - 1)
+
+
 def _joined(w: Words, i: int, keep: np.ndarray | None = None) -> bytes:
     """The words of text i, or those to keep, joined by one space."""
     own = slice(w.bound[i], w.bound[i + 1])
@@ -151,8 +157,8 @@ def _edges(window: int):
                 u, v = (span_hashes(h, wins + x, wins + x + window - 1, 23) for x in (0, 1))
                 ends = (u & np.uint64(0xFFFFFFFF00000000)) | (v >> np.uint64(32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(span_hashes(h, wins, wins + window, 22))), pa.array(signed(ends)), pa.array(ids[doc]), pa.array(ver[doc]), pa.array((wins - w.bound[doc]).astype(np.int64))],
-                    ["edge", "ends", "doc_id", "ver", "pos"],
+                    [pa.array(signed(span_hashes(h, wins, wins + window, 22))), pa.array(signed(ends)), pa.array(ids[doc]), pa.array((_short(ver)[doc] << _PLACE_BITS) + wins - w.bound[doc])],
+                    ["edge", "ends", "doc_id", "place"],
                 )
 
     return run
@@ -164,7 +170,7 @@ def _source_digests(batches):
         out = []
         ids, asks = batch.column("doc_id").to_pylist(), batch.column("ask").to_pylist()
         for a, b, w, h in _words(batch.column("text")):
-            ver = signed(span_hashes(h, w.bound[:-1], w.bound[1:], 31))
+            ver = _short(signed(span_hashes(h, w.bound[:-1], w.bound[1:], 31)))
             for i in range(a, b):
                 words = _joined(w, i - a).split(b" ")
                 out += [(ids[i], x["ver"], x["start"], x["n"], _digest(b" ".join(words[x["start"] : x["start"] + x["n"]]))) for x in asks[i] if x["ver"] == ver[i - a]]
@@ -181,7 +187,7 @@ def _apply(batches):
             ver = signed(span_hashes(h, w.bound[:-1], w.bound[1:], 31))
             for i in range(a, b):
                 words = _joined(w, i - a).split(b" ")
-                good = [x for x in spans[i] if x["ver"] == ver[i - a] and _digest(b" ".join(words[x["start"] : x["start"] + x["n"]])) == x["digest"]]
+                good = [x for x in spans[i] if x["ver"] == _short(ver[i - a]) and _digest(b" ".join(words[x["start"] : x["start"] + x["n"]])) == x["digest"]]
                 if good:
                     gone = cover(int(w.counts[i - a]), np.array([x["start"] for x in good]), np.array([x["n"] for x in good]))
                     kept = _joined(w, i - a, ~gone)
@@ -193,7 +199,7 @@ def _apply(batches):
 def repeated_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame]:
     """(one row per row of docs: doc_id, n_words, ver, ver2, sha, rep; the spans: doc_id, ver, start, n, sdoc, sver, sstart).
 
-    ``rep`` is the smallest doc_id with the same words. Spans are given for the
+    The spans' ver and sver are the last bits of the texts' ver. ``rep`` is the smallest doc_id with the same words. Spans are given for the
     representatives only.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -203,32 +209,34 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
     marks = lead.where("doc_id is not null").select("doc_id", F.explode("marks").alias("mark"))
     shared = marks.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("mark")
     wanted = keep(marks.join(shared, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")))
-    edges = keep(having(docs, wanted).join(wanted, "doc_id").select("doc_id", "text", "marks").mapInArrow(_edges(window), "edge long, ends long, doc_id long, ver long, pos long"))
+    edges = keep(having(docs, wanted).join(wanted, "doc_id").select("doc_id", "text", "marks").mapInArrow(_edges(window), "edge long, ends long, doc_id long, place long"))
     paths = _paths(edges)
-    along = Window.partitionBy("doc_id", "ver", "path", "shift").orderBy("pos")
-    met = edges.select("edge", "doc_id", "ver", "pos").join(paths, "edge").where("sdoc < doc_id").select("doc_id", "ver", "pos", F.struct("sdoc", "sver", "head").alias("path"), (F.col("spos") - F.col("pos")).alias("shift"))
-    spans = (
-        met.withColumn("run", F.dense_rank().over(along) - F.col("pos"))  # a repeated row of docs has the same places
-        .groupBy("doc_id", "ver", "path", "shift", "run")
-        .agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + F.lit(window)).alias("n"))
-        .select("doc_id", "ver", "start", "n", "path.sdoc", "path.sver", (F.col("start") + F.col("shift")).alias("sstart"))
+    along = Window.partitionBy("doc_id", "sdoc", "head", "shift").orderBy("place")
+    met = edges.select("edge", "doc_id", "place").join(paths, "edge").where("sdoc < doc_id").select("doc_id", "place", "sdoc", "head", (F.col("splace") - F.col("place")).alias("shift"))
+    runs = (
+        met.withColumn("run", F.dense_rank().over(along) - F.col("place"))  # a repeated row of docs has the same places
+        .groupBy("doc_id", "sdoc", "head", "shift", "run")
+        .agg(F.min("place").alias("start"), (F.max("place") - F.min("place") + F.lit(window)).alias("n"))
+        .withColumn("sstart", F.col("start") + F.col("shift"))
     )
+    text, word = (lambda c: F.shiftright(c, _PLACE_BITS)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)))
+    spans = runs.select("doc_id", text("start").alias("ver"), word("start").alias("start"), "n", "sdoc", text("sstart").alias("sver"), word("sstart").alias("sstart"))
     return base.drop("marks").join(same, ["ver", "ver2", "n_words"], "left"), spans
 
 
 def _paths(edges: DataFrame) -> DataFrame:
-    """edge, sdoc, sver, spos (its smallest coordinate) and head (the first word, there, of the nonbranching path it is on) of the edges that stand in several documents."""
-    at = F.min(F.struct("doc_id", "ver", "pos"))
+    """edge, sdoc, splace (its smallest coordinate) and head (where the nonbranching path it is on begins there) of the edges that stand in several documents."""
+    at = F.min(F.struct("doc_id", "place"))
     first = edges.groupBy("edge", "ends").agg(at.alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last")
-    first = keep(first.select("edge", F.shiftrightunsigned("ends", 32).alias("u"), F.col("ends").bitwiseAND(F.lit(0xFFFFFFFF)).alias("v"), F.col("at.doc_id").alias("sdoc"), F.col("at.ver").alias("sver"), F.col("at.pos").alias("spos")))
-    place = F.min(F.struct("sdoc", "sver", "spos"))
+    first = keep(first.select("edge", F.shiftrightunsigned("ends", 32).alias("u"), F.col("ends").bitwiseAND(F.lit(0xFFFFFFFF)).alias("v"), F.col("at.doc_id").alias("sdoc"), F.col("at.place").alias("splace")))
+    place = F.min(F.struct("sdoc", "splace"))
     into = first.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n_in"), place.alias("before"))
     out = first.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n_out"), place.alias("after"))
-    follows = (F.col("before.sdoc") == F.col("after.sdoc")) & (F.col("before.sver") == F.col("after.sver")) & (F.col("before.spos") + 1 == F.col("after.spos"))
-    inner = into.where("n_in = 1").join(out.where("n_out = 1"), "node").where(follows).select("after.sdoc", "after.sver", "after.spos", F.lit(True).alias("inner"))
-    upto = Window.partitionBy("sdoc", "sver").orderBy("spos").rowsBetween(Window.unboundedPreceding, 0)
-    heads = first.join(inner, ["sdoc", "sver", "spos"], "left").withColumn("head", F.max(F.when(F.col("inner").isNull(), F.col("spos"))).over(upto))
-    return keep(heads.select("edge", "sdoc", "sver", "spos", "head"))
+    follows = (F.col("before.sdoc") == F.col("after.sdoc")) & (F.col("before.splace") + 1 == F.col("after.splace"))
+    inner = into.where("n_in = 1").join(out.where("n_out = 1"), "node").where(follows).select("after.sdoc", "after.splace", F.lit(True).alias("inner"))
+    upto = Window.partitionBy("sdoc", F.shiftright("splace", _PLACE_BITS)).orderBy("splace").rowsBetween(Window.unboundedPreceding, 0)
+    heads = first.join(inner, ["sdoc", "splace"], "left").withColumn("head", F.max(F.when(F.col("inner").isNull(), F.col("splace"))).over(upto))
+    return keep(heads.select("edge", "sdoc", "splace", "head"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
