@@ -99,8 +99,8 @@ def _minima(lines: DataFrame, limited: bool) -> DataFrame:
     most = int(PER_BIN * HALVES * BINS)
     each = points.select("h1", (n > most).alias("cut"), n.alias("n"), "points", F.explode(_places(F.col("points"))).alias("i"))
     each = each.select("h1", "cut", "n", "i", F.hash(_shingle(F.col("points"), F.col("i"))).alias("x"))
-    value = F.shiftrightunsigned("x", 5)  # below 1 << 27
-    low = (value.cast("long") * F.col("n") < F.lit(most << 27)) | F.lit(not limited)  # holds for all values of a line that isn't cut
+    value = F.shiftrightunsigned("x", 16)  # the upper half of the hash; the lower one says the bin
+    low = (value.cast("long") * F.col("n") < F.lit(most << 16)) | F.lit(not limited)  # holds for all values of a line that isn't cut
     each = each.where(low | (F.col("i") == 1))  # so that every line has a row
     each = each.select("h1", "cut", F.col("x").bitwiseAND(F.lit(HALVES - 1)).alias("half"), F.when(low, F.shiftright("x", 1).bitwiseAND(F.lit(BINS - 1))).alias("bin"), value.alias("v"))
     return each.groupBy("h1", "half", "cut").agg(*(F.min(F.when(F.col("bin") == b, F.col("v"))).alias(f"m{b}") for b in range(BINS)))
@@ -134,7 +134,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
     """Verified links (a, b) between classes, by h1: all that components need of the pairs that share a bucket."""
-    least = keep(buckets.groupBy("bucket").agg(F.min("h1").alias("p"), F.max("h1").alias("last")).where("p < last").select("bucket", "p"))
+    least = keep(buckets.groupBy("bucket").agg(F.min("h1").alias("p"), F.count("*").alias("k")).where("k > 1").select("bucket", "p"))
     ties = keep(buckets.join(_few(least), "bucket").select("h1", "p").distinct())  # the least of a bucket is tied to itself
     wanted = keep(classes.join(ties.select("h1").distinct(), "h1").select("h1", "h2", "first.doc_id", "first.line_no"))
     texts = keep(_texts(docs, wanted))
@@ -159,16 +159,17 @@ def _prefix_pairs(found: DataFrame, roots: DataFrame, percent: int) -> DataFrame
     """(h1, p), h1 > p, of lines of one pivot and different roots that share a shingle of their prefixes and are alike in size; found: h1, p, n, prefix."""
     rooted = keep(found.select("h1", "p", "n").join(roots, "h1", "left").withColumn("root", F.coalesce("root", "h1")))
     split = keep(rooted.groupBy("p").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("p"))
-    each = found.join(_few(split), "p").select("p", F.explode("prefix").alias("x"), "h1")
-    groups = each.groupBy("p", "x").agg(F.count("*").alias("k")).where("k > 1")
-    met = each.join(groups, ["p", "x"]).join(rooted, ["h1", "p"])
+    # a shingle of a pivot's lines is one key, by its hash
+    each = found.join(_few(split), "p").select("p", F.explode("prefix").alias("x"), "h1").select(F.xxhash64("p", "x").alias("x"), "h1")
+    groups = each.groupBy("x").agg(F.count("*").alias("k")).where("k > 1")
+    met = each.join(groups, "x").join(rooted.select("h1", "root", "n").distinct(), "h1")
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    dealt = keep(met.select("p", "x", "h1", "root", "n", blocks.alias("blocks"), F.pmod(F.xxhash64("h1", F.lit(5)), blocks).cast("int").alias("own")))
-    one = dealt.select("p", "x", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), "h1", "root", "n")
-    two = dealt.select("p", "x", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), F.col("h1").alias("h2"), F.col("root").alias("root2"), F.col("n").alias("n2"))
+    dealt = keep(met.select("x", "h1", "root", "n", blocks.alias("blocks"), F.pmod(F.xxhash64("h1", F.lit(5)), blocks).cast("int").alias("own")))
+    one = dealt.select("x", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), "h1", "root", "n")
+    two = dealt.select("x", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), F.col("h1").alias("h2"), F.col("root").alias("root2"), F.col("n").alias("n2"))
     apart = (F.col("root") != F.col("root2")) & ((F.col("i") < F.col("j")) | (F.col("h1") < F.col("h2")))
     near = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * F.lit(percent)  # sets of other sizes can't be alike
-    return one.join(two, ["p", "x", "i", "j"]).where(apart & near).select(F.greatest("h1", "h2").alias("h1"), F.least("h1", "h2").alias("p"))
+    return one.join(two, ["x", "i", "j"]).where(apart & near).select(F.greatest("h1", "h2").alias("h1"), F.least("h1", "h2").alias("p"))
 
 
 def line_verdicts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
