@@ -21,10 +21,10 @@ similarity of their shingle sets, and distributed union-find joins the links.
 The lines of one pivot that are in several components by then are compared with
 each other by an exact prefix join: their shingles are ordered, those that the
 pivot doesn't have first, and of a line's n shingles one of the first
-n - ceil(t n) + 1 stands among those of every line that it links with. What
-lines of a bucket have in common, the pivot has mostly too, so unlike lines
-hardly meet. Those that do, and whose sizes can be alike, are compared, in
-blocks of ``BLOCK`` lines, so that a frequent shingle is many small keys. So no
+n - ceil(t n) + 1 stands among those of every line that it links with, with
+enough others behind it (the positional bound). What lines of a bucket have in
+common, the pivot has mostly too, so unlike lines hardly meet. Those that do,
+and whose sizes can be alike, are compared, in blocks of ``BLOCK`` lines, so that a frequent shingle is many small keys. So no
 two lines that share a bucket and meet the threshold stay apart. Of each
 component the line that comes first, by doc_id and line, stays.
 """
@@ -159,17 +159,19 @@ def _prefix_pairs(found: DataFrame, roots: DataFrame, percent: int) -> DataFrame
     """(h1, p), h1 > p, of lines of one pivot and different roots that share a shingle of their prefixes and are alike in size; found: h1, p, n, prefix."""
     rooted = keep(found.select("h1", "p", "n").join(roots, "h1", "left").withColumn("root", F.coalesce("root", "h1")))
     split = keep(rooted.groupBy("p").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("p"))
-    # a shingle of a pivot's lines is one key, by its hash
-    each = found.join(_few(split), "p").select("p", F.explode("prefix").alias("x"), "h1").select(F.xxhash64("p", "x").alias("x"), "h1")
-    groups = each.groupBy("x").agg(F.count("*").alias("k")).where("k > 1")
-    met = each.join(groups, "x").join(rooted.select("h1", "root", "n").distinct(), "h1")
+    # a shingle of a pivot's lines is one key, by its hash; i is its place in the line's order
+    each = found.join(_few(split), "p").select("p", "h1", "n", F.posexplode("prefix").alias("i", "x")).select(F.xxhash64("p", "x").alias("x"), "h1", "n", "i")
+    groups = each.groupBy("x").agg(F.count("*").alias("k"), F.min("n").alias("low")).where("k > 1")
+    # of a pair's first common shingle: what may be common from there on must reach the overlap that the sizes ask for
+    enough = lambda n, i, m: (F.col(n) - F.col(i)) * (100 + percent) >= (F.col(n) + F.col(m)) * percent
+    met = each.join(groups, "x").where(enough("n", "i", "low")).join(rooted.select("h1", "root").distinct(), "h1")
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    dealt = keep(met.select("x", "h1", "root", "n", blocks.alias("blocks"), F.pmod(F.xxhash64("h1", F.lit(5)), blocks).cast("int").alias("own")))
-    one = dealt.select("x", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), "h1", "root", "n")
-    two = dealt.select("x", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), F.col("h1").alias("h2"), F.col("root").alias("root2"), F.col("n").alias("n2"))
-    apart = (F.col("root") != F.col("root2")) & ((F.col("i") < F.col("j")) | (F.col("h1") < F.col("h2")))
+    dealt = keep(met.select("x", "h1", "root", "n", "i", blocks.alias("blocks"), F.pmod(F.xxhash64("h1", F.lit(5)), blocks).cast("int").alias("own")))
+    one = dealt.select("x", F.col("own").alias("a"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("b"), "h1", "root", "n", "i")
+    two = dealt.select("x", F.explode(F.expr("sequence(0, own)")).alias("a"), F.col("own").alias("b"), F.col("h1").alias("h2"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
+    apart = (F.col("root") != F.col("root2")) & ((F.col("a") < F.col("b")) | (F.col("h1") < F.col("h2")))
     near = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * F.lit(percent)  # sets of other sizes can't be alike
-    return one.join(two, ["x", "i", "j"]).where(apart & near).select(F.greatest("h1", "h2").alias("h1"), F.least("h1", "h2").alias("p"))
+    return one.join(two, ["x", "a", "b"]).where(apart & near & enough("n", "i", "n2") & enough("n2", "i2", "n")).select(F.greatest("h1", "h2").alias("h1"), F.least("h1", "h2").alias("p"))
 
 
 def line_verdicts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
