@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from .store import having, keep
 from .words import Words, chunks, cover, signed, space_table, span_hashes
 
-KMER = 12
+#: Words of a sampled k-mer; the longer, the fewer windows that share one but do not repeat.
+KMER = 24
 #: Bits of a place in the order of k-mers; 2**36 words are more than a text can have.
 _PLACE_BITS = 36
 #: Bits of a text's hash that stand before a word's place in a coordinate; they tell the texts of one doc_id apart.
