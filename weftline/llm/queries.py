@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_trie, licenses, line_dedup, lm, mixing, pii, quality, substrings
+from . import chat, decontaminate, jaccard_trie, licenses, line_dedup, lm, mixing, pii, prefix_trie, quality, repair, substrings
 from .store import table
 
 
@@ -83,7 +83,24 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard_join, op3_chat_format, op4_license_scan, op5_line_dedup, op6_pii, op7_lm_score, op8_decontaminate, op9_substring_dedup, op10_mixing)}
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every damaged conversation, the cheapest edits that mend it, and a digest of the result."""
+    rows = table(spark, folder, "conversations")
+    return repair.report(rows, repair.damaged(rows))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of the prefix trie of all conversations, rebuilt as branches."""
+    return prefix_trie.nodes(prefix_trie.branched(prefix_trie.sequences(table(spark, folder, "conversations"))))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_ngram_jaccard_join, op3_chat_format, op4_license_scan, op5_line_dedup, op6_pii, op7_lm_score, op8_decontaminate, op9_substring_dedup, op10_mixing,
+        op12_conversation_repair, op13_prefix_trie,
+    )
+}
 
 _OP8 = r"""
 WITH w AS (
@@ -154,7 +171,82 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+
+
+def _crc32(text: str) -> str:
+    """SQL for the CRC-32 of an ASCII text: eight shifts for each byte."""
+    bits = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda d, z: xor(d >> 1, 3988292384::UBIGINT * (d & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::UBIGINT)), lambda c, b: {bits}), 4294967295::UBIGINT)"
+
+
+def _op12() -> str:
+    # a state is its cost in 12 digits and its audit; null can't be reached
+    edit = lambda state, cost, letter: f"(lpad(CAST(CAST(left({state}, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || substr({state}, 13) || '{letter}')"
+    return f"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+  FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM k, LATERAL (SELECT unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy) WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*\\z', 1) AS final FROM d),
+f AS (
+  SELECT *, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
+    CASE WHEN final = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'd' WHEN final NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault
+  FROM n),
+c AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id),
+st AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, '000000000000' AS e, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS a FROM c
+  UNION ALL
+  SELECT conv_id, pos, {edit("e", 3, "D")},
+    least({edit("s", 3, "D")}, CASE WHEN fault NOT IN ('b', 'd') AND r = 's' THEN {edit("e", "late", "K")} END),
+    least({edit("u", 3, "D")}, CASE WHEN fault NOT IN ('b', 'd') THEN {edit("least(e, s, a)", "2 + late", "R")} END, CASE WHEN fault NOT IN ('b', 'd') AND r = 'u' THEN {edit("least(e, s, a)", "late", "K")} END),
+    least({edit("a", 3, "D")}, CASE WHEN fault NOT IN ('b', 'd') THEN {edit("u", "2 + late", "R")} END, CASE WHEN fault NOT IN ('b', 'd') AND r = 'a' THEN {edit("u", "late", "K")} END)
+  FROM (SELECT *, least(a0, {edit("u", 2, "I")}) AS a FROM (
+    SELECT st.conv_id, f.pos, f.fault, f.r, CAST(f.fault = 't' AS BIGINT) AS late, e, s, a AS a0, least(u, {edit("e", 2, "I")}, {edit("s", 2, "I")}, {edit("a", 2, "I")}) AS u
+    FROM st JOIN f ON f.conv_id IS NOT DISTINCT FROM st.conv_id AND f.pos = st.pos + 1))),
+fin AS (
+  SELECT c.*, least(e, a, {edit(f"least(u, {edit('e', 2, 'I')}, {edit('s', 2, 'I')}, {edit('a', 2, 'I')})", 2, "I")}) AS best
+  FROM st JOIN c ON c.conv_id IS NOT DISTINCT FROM st.conv_id AND c.n = st.pos),
+w AS (
+  SELECT conv_id, substr(best, 13) AS audit, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS pos, '' AS was, CAST(NULL AS VARCHAR) AS said FROM fin
+  UNION ALL
+  SELECT conv_id, audit, i, pos, CASE WHEN e = 'D' THEN was ELSE left(by_, 1) END, CASE WHEN e = 'D' THEN said ELSE coalesce(said || chr(10), '') || by_ || ':' || CASE WHEN e = 'I' THEN '' ELSE text END END
+  FROM (SELECT w.conv_id, audit, i + 1 AS i, w.pos + CAST(substr(audit, i + 1, 1) <> 'I' AS BIGINT) AS pos, was, said, substr(audit, i + 1, 1) AS e, text,
+    CASE WHEN substr(audit, i + 1, 1) = 'K' THEN role WHEN was = 'u' THEN 'assistant' ELSE 'user' END AS by_
+    FROM w LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.pos = w.pos + 1 AND substr(audit, i + 1, 1) <> 'I' WHERE i < len(audit)))
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(left(best, 12) AS BIGINT), 0) AS cost, coalesce(substr(best, 13), '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM o.conv_id AND w.i = len(w.audit)
+"""
+
+
+_OP13 = f"""
+WITH r AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(t ORDER BY turn NULLS FIRST, t.role, t.text) AS ts, CAST(any_value({_crc32("CAST(conv_id AS VARCHAR)")}) % 9 AS BIGINT) AS h FROM r GROUP BY conv_id),
+b AS (
+  SELECT x.conv_id, list_concat(coalesce(list_slice(y.ts, 1, x.h), []), list_slice(x.ts, x.h + 1, len(x.ts))) AS s
+  FROM o x LEFT JOIN o y ON y.conv_id = x.conv_id - x.conv_id % 5),
+p AS (SELECT conv_id, len(s) AS n, d AS depth, list_slice(s, 1, d) AS k FROM b, LATERAL (SELECT unnest(range(len(s) + 1)) AS d)),
+v AS (
+  SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM p GROUP BY k, depth),
+c AS (SELECT list_slice(k, 1, depth - 1) AS k, depth - 1 AS depth, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY ALL),
+s AS (
+  SELECT list_slice(v.k, 1, d) AS k, d AS depth, count(*) FILTER (c.n_children IS NULL) AS n_leaves, sum(CASE WHEN v.depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(list_extract(v.k, v.depth).text) END) AS saved_tokens
+  FROM v LEFT JOIN c ON c.k = v.k AND c.depth = v.depth, LATERAL (SELECT unnest(range(v.depth + 1)) AS d) GROUP BY ALL)
+SELECT v.conv_id, v.depth, a.conv_id AS parent_conv_id, v.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN s ON s.k = v.k AND s.depth = v.depth LEFT JOIN c ON c.k = v.k AND c.depth = v.depth
+LEFT JOIN v a ON a.k = list_slice(v.k, 1, v.depth - 1) AND a.depth = v.depth - 1
+"""
+
 SQL = {
-    "op3_chat_format": _OP3,
-    "op2_ngram_jaccard_join": _OP2,
-    "op8_decontaminate": _OP8, "op9_substring_dedup": _OP9}
+    "op2_ngram_jaccard_join": _OP2, "op3_chat_format": _OP3, "op8_decontaminate": _OP8, "op9_substring_dedup": _OP9,
+    "op12_conversation_repair": _op12(), "op13_prefix_trie": _OP13,
+}
