@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_trie, licenses, line_dedup, lm, mixing, pii, prefix_trie, quality, repair, substrings
+from . import chat, classifier, decontaminate, jaccard_trie, licenses, line_dedup, lm, mixing, pii, prefix_trie, quality, repair, substrings
 from .store import table
 
 
@@ -83,6 +83,11 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents")).drop("source")
 
 
+def op11_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """The probability that a document is of good quality, by a model that has not seen its fold."""
+    return classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     """Faults of every damaged conversation, the cheapest edits that mend it, and a digest of the result."""
     rows = table(spark, folder, "conversations")
@@ -98,7 +103,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_ngram_jaccard_join, op3_chat_format, op4_license_scan, op5_line_dedup, op6_pii, op7_lm_score, op8_decontaminate, op9_substring_dedup, op10_mixing,
-        op12_conversation_repair, op13_prefix_trie,
+        op11_quality_classifier, op12_conversation_repair, op13_prefix_trie,
     )
 }
 
