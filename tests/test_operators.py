@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from weftline.functions.vectors import cosine
 from weftline.operators import conversation, cost, evaluation, retrieval, safety, temporal, text, training
 from weftline.sources import tables
+from weftline.sources.manifest import BucketIndex
 from weftline.sources.versions import VersionedTable, apply_diff, index_diff
 from weftline.streaming import flows
 
@@ -235,7 +236,7 @@ def test_versions_and_rollback(spark, tmp_path):
 def test_index_sync_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     schema = spark.createDataFrame([], DOCS).schema
-    index = VersionedTable(spark, str(tmp_path / "index"))
+    index = BucketIndex(spark, str(tmp_path / "index"))
     spark.createDataFrame([(1, "a"), (2, "b")], DOCS).write.mode("append").parquet(source)
     flows.sync_index(flows.subscribe(spark, source, schema), index, str(tmp_path / "ck"))
     spark.createDataFrame([(2, "c"), (3, "d")], DOCS).write.mode("append").parquet(source)
@@ -326,7 +327,7 @@ def test_stream_join_and_late_rows(spark, tmp_path):
 
 
 def test_index_sync_takes_the_latest_version(spark, tmp_path):
-    source, index = str(tmp_path / "in"), VersionedTable(spark, str(tmp_path / "index"))
+    source, index = str(tmp_path / "in"), BucketIndex(spark, str(tmp_path / "index"))
     df = spark.createDataFrame([(1, "zz", 1), (1, "aa", 2)], "doc_id long, text string, at int")
     df.write.parquet(source)
     flows.sync_index(flows.subscribe(spark, source, df.schema), index, str(tmp_path / "ck"), "at")

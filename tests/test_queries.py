@@ -5,7 +5,7 @@ import os
 
 import duckdb
 import pytest
-from weftline.plans import analytics, learned, preparation, ranking, search  # noqa: F401
+from weftline.plans import analytics, learned, operations, preparation, ranking, search  # noqa: F401
 from weftline.plans.registry import QUERIES, SQL
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 
 def index_diff(new: DataFrame, old: DataFrame, key: str = "id", content: str = "hash") -> DataFrame:
     """(key, action): insert, update or delete; unchanged keys are absent."""
@@ -24,40 +24,48 @@ def apply_diff(new: DataFrame, old: DataFrame, diff: DataFrame, key: str = "id")
 
 
 class VersionedTable:
-    """Parquet versions under a folder; writes never touch an older version."""
+    """Parquet versions under a folder; writes never touch an older version.
+
+    A writer claims a version's number, and publishes by a pointer, by creating
+    a numbered file, which only one writer can; so two writers never share a
+    number, and the order of pointers is that of their numbers, not of clocks.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointers(self) -> DataFrame:
-        return self.spark.read.schema("version long, at double").json(f"{self.folder}/pointers")
+    def _numbers(self, kind: str) -> list[int]:
+        return [int(n) for n in files.names(self.spark, f"{self.folder}/{kind}")]
+
+    def _next(self, kind: str, text: str) -> int:
+        while True:
+            no = max(self._numbers(kind), default=0) + 1
+            if files.create_once(self.spark, f"{self.folder}/{kind}/{no:012d}", text):
+                return no
 
     def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/pointers")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return bool(self._numbers("pointers"))
 
     def current(self) -> int:
         """The version that the latest pointer names; 0 without one."""
-        if not self.exists():
-            return 0
-        row = self._pointers().agg(F.max_by("version", "at")).first()
-        return row[0] or 0
+        last = max(self._numbers("pointers"), default=0)
+        return int(files.read_text(self.spark, f"{self.folder}/pointers/{last:012d}")) if last else 0
 
     def latest(self) -> int:
-        return (self._pointers().agg(F.max("version")).first()[0] or 0) if self.exists() else 0
+        return max(self._numbers("claims"), default=0)
 
     def read(self, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/v={version or self.current()}")
 
     def write(self, df: DataFrame) -> int:
-        version = self.latest() + 1
+        version = self._next("claims", "")
         df.write.mode("errorifexists").parquet(f"{self.folder}/v={version}")
         self.point(version)
         return version
 
     def point(self, version: int) -> None:
         """Make a version the current one: publish it, or roll back to it."""
-        self.spark.createDataFrame([(version, time.time())], "version long, at double").write.mode("append").json(f"{self.folder}/pointers")
+        self._next("pointers", str(version))
 
 
 def latest_per_key(registry: DataFrame, key: str, order: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.versions import VersionedTable, apply_diff, index_diff
+from ..sources.manifest import BucketIndex
 
 
 def subscribe(spark: SparkSession, folder: str, schema, kind: str = "parquet", files: int | None = None) -> DataFrame:
@@ -66,26 +66,20 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     return query
 
 
-def sync_index(source: DataFrame, index: VersionedTable, checkpoint: str, order: str | None = None) -> StreamingQuery:
+def sync_index(source: DataFrame, index: BucketIndex, checkpoint: str, order: str | None = None) -> StreamingQuery:
     """Keep an index (id, hash, text) in step with a stream of documents (doc_id, text[, order]).
 
     Of a document's versions in one batch the last by the column ``order``
     counts, by its text if no column is named.
 
     Each batch is the documents that came in: new ones and those whose content
-    changed make a new version of the index; a batch without changes makes
-    none. A batch that runs again after a failure changes nothing.
+    changed make a new version of the index, in which only their buckets are
+    rewritten; a batch without changes makes none. A batch that runs again after
+    a failure changes nothing.
     """
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, no: int) -> None:
         new = batch.groupBy(F.col("doc_id").alias("id")).agg(F.max_by("text", F.struct(*([order] if order else []), F.md5("text"))).alias("text")).select("id", F.md5("text").alias("hash"), "text")
-        if not index.exists():
-            index.write(new)
-            return
-        old = index.read()
-        diff = index_diff(new, old).where("action != 'delete'").persist()
-        if not diff.isEmpty():
-            index.write(apply_diff(new, old, diff))
-        diff.unpersist()
+        index.merge(new.where("id is not null"), note={"batch": no})
 
     return run_available(source, each, checkpoint)
