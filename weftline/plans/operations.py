@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..sources.manifest import BucketIndex
 from ..sources.shared import shared_folder
 from ..sources.tables import table
+from ..streaming import flows, sessions
 from .registry import query
 
 BUCKETS = 256
@@ -39,3 +40,51 @@ SELECT CAST(h.b AS INTEGER) AS bucket, CASE WHEN t.b IS NULL THEN 1 ELSE 2 END A
 def index_buckets(spark, folder):
     """Which version wrote each bucket of the index: only those that hold a changed row are new."""
     return _merged(spark, folder).table_of_buckets().select("bucket", "since")
+
+
+def _streamed(spark, folder, name, make, mode="append"):
+    """The rows that a stream of the files of a table writes until there are no more."""
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    out = make(flows.subscribe(spark, f"{folder}/{name}.parque[t]", schema))  # a pattern may name a file or a folder, a path of a stream a folder only
+    how = "overwrite" if mode == "complete" else "append"
+    flows.run_available(out, lambda df, _: df.write.mode(how).parquet(f"{place}/rows"), f"{place}/checkpoint", mode)
+    return spark.read.schema(out.schema).parquet(f"{place}/rows")
+
+
+def _plain_times(df):
+    return df.withColumns({f.name: F.col(f.name).cast("timestamp_ntz") for f in df.schema if f.dataType.typeName() == "timestamp"})
+
+
+@query("""WITH e AS (SELECT *, epoch_us(ts) AS us FROM events),
+b AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) < 7200000000 THEN 0 ELSE 1 END AS begins FROM e),
+s AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS session_no FROM b),
+g AS (SELECT user_id, CAST(session_no AS BIGINT) AS session_no, min(ts) AS first, max(ts) AS last, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY ALL)
+SELECT * FROM g WHERE ceil((epoch_us(last) + 7200000000) / 1000.0) <= (SELECT max(us) // 1000 - 3600000 FROM e)""")
+def stream_sessions(spark, folder):
+    """Sessions of users that a stream of events has closed, by state with timers; those still open at the end are not out."""
+    with sessions.state_store(spark):
+        out = _streamed(spark, folder, "events", lambda e: sessions.closed_sessions(e, "2 hours", "1 hour"))
+    return _plain_times(out).withColumn("total", F.round("total", 4))
+
+
+@query("""SELECT CAST(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def stream_windows(spark, folder):
+    """Events by windows of six hours, counted by a stream."""
+    out = _streamed(spark, folder, "events", lambda e: flows.window_counts(e, "6 hours", "40 days", ["event_type"]), "complete")
+    return _plain_times(out).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_seen(spark, folder):
+    """Each user's kinds of events, once, by a stream that drops what it has seen."""
+    return _streamed(spark, folder, "events", lambda e: flows.first_seen(e, ["user_id", "event_type"], "40 days").select("user_id", "event_type"))
+
+
+@query("""SELECT a.user_id, a.ts AS first_ts, b.ts AS then_ts FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOUR
+WHERE a.event_type = 'click' AND b.event_type = 'purchase'""")
+def stream_pairs(spark, folder):
+    """Purchases within two hours after a click of the same user, by a join of two streams."""
+    pick = lambda e, kind: e.where(F.col("event_type") == kind).select("user_id", "ts")
+    out = _streamed(spark, folder, "events", lambda e: flows.near_in_time(pick(e, "click"), pick(e, "purchase"), "user_id", "2 hours"))
+    return _plain_times(out)
