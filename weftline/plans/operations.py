@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import traces
 from ..sources.manifest import BucketIndex
 from ..sources.shared import shared_folder
 from ..sources.tables import table
@@ -88,3 +89,49 @@ def stream_pairs(spark, folder):
     pick = lambda e, kind: e.where(F.col("event_type") == kind).select("user_id", "ts")
     out = _streamed(spark, folder, "events", lambda e: flows.near_in_time(pick(e, "click"), pick(e, "purchase"), "user_id", "2 hours"))
     return _plain_times(out)
+
+
+#: Calls stand in for spans: a user is a trace, and a call lasts up to four days, by its number.
+_SPANS = "sp AS (SELECT CAST(user_id AS VARCHAR) AS trace_id, event_id AS span_id, epoch_us(ts) // 1000000 AS a, epoch_us(ts) // 1000000 + (event_id * 7919 % 97) * 3600 AS z FROM events)"
+
+_TREE = f"""WITH RECURSIVE {_SPANS},
+par AS (
+  SELECT trace_id, span_id, arg_min(p, k) AS parent_id FROM (
+    SELECT c.trace_id, c.span_id, o.span_id AS p, {{'z': o.z, 'a': -o.a, 'i': -o.span_id}} AS k
+    FROM sp c JOIN sp o ON o.trace_id = c.trace_id AND o.span_id <> c.span_id AND o.a <= c.a AND o.z >= c.z AND (o.a < c.a OR o.z > c.z OR o.span_id < c.span_id))
+  GROUP BY ALL),
+t AS (SELECT sp.*, parent_id, row_number() OVER (PARTITION BY trace_id, parent_id ORDER BY z DESC, a, span_id) AS no,
+    min(a) OVER (PARTITION BY trace_id, parent_id ORDER BY z DESC, a, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low
+  FROM sp LEFT JOIN par USING (trace_id, span_id)),
+cov AS (SELECT trace_id, parent_id AS span_id, sum(greatest(0, least(z, coalesce(low, z)) - a)) AS covered FROM t WHERE parent_id IS NOT NULL GROUP BY ALL),
+-- siblings from the last backwards: one is chosen if it ends by the time at which the one chosen before began
+cur AS (
+  SELECT trace_id, span_id AS parent_id, CAST(0 AS BIGINT) AS no, z AS edge, CAST(NULL AS BIGINT) AS span_id, false AS chosen FROM t
+  UNION ALL
+  SELECT t.trace_id, t.parent_id, t.no, CASE WHEN t.z <= cur.edge THEN t.a ELSE cur.edge END, t.span_id, t.z <= cur.edge FROM cur JOIN t ON t.trace_id = cur.trace_id AND t.parent_id = cur.parent_id AND t.no = cur.no + 1),
+down AS (
+  SELECT trace_id, span_id, 0 AS depth, true AS on_path FROM t WHERE parent_id IS NULL
+  UNION ALL
+  SELECT t.trace_id, t.span_id, depth + 1, on_path AND chosen FROM down JOIN t ON t.trace_id = down.trace_id AND t.parent_id = down.span_id JOIN cur ON cur.trace_id = t.trace_id AND cur.span_id = t.span_id),
+held AS (SELECT cur.trace_id, parent_id AS span_id, sum(z - a) AS held FROM cur JOIN sp ON sp.trace_id = cur.trace_id AND sp.span_id = cur.span_id WHERE chosen GROUP BY ALL),
+tree AS (
+  SELECT trace_id, span_id, parent_id, depth, z - a AS duration, CAST(z - a - coalesce(covered, 0) AS BIGINT) AS self_time, on_path, CAST(CASE WHEN on_path THEN z - a - coalesce(held, 0) ELSE 0 END AS BIGINT) AS path_time
+  FROM t JOIN down USING (trace_id, span_id) LEFT JOIN cov USING (trace_id, span_id) LEFT JOIN held USING (trace_id, span_id))"""
+
+
+def _tree(spark, folder):
+    start = F.unix_seconds("ts")
+    events = table(spark, folder, "events").select(F.col("user_id").cast("string").alias("trace_id"), F.col("event_id").alias("span_id"), start.alias("start"), (start + F.col("event_id") * 7919 % 97 * 3600).alias("end"))
+    return traces.span_tree(events)
+
+
+@query(f"{_TREE} SELECT * FROM tree")
+def trace_tree(spark, folder):
+    """Spans with their parents, self times and their part of the critical path."""
+    return _tree(spark, folder)
+
+
+@query(f"""{_TREE} SELECT trace_id, count(*) AS n_spans, count(*) FILTER (depth = 0) AS n_roots, max(depth) AS depth, CAST(sum(CASE WHEN depth = 0 THEN duration ELSE 0 END) AS BIGINT) AS duration, CAST(sum(self_time) AS BIGINT) AS busy,
+count(*) FILTER (on_path) AS path_spans FROM tree GROUP BY trace_id""")
+def trace_summary(spark, folder):
+    return traces.trace_summary(_tree(spark, folder))
