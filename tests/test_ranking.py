@@ -3,7 +3,10 @@
 import random
 import re
 
-from weftline.operators import proximity
+import numpy as np
+import pytest
+from weftline.operators import proximity, quantised
+from weftline.plans import ranking, search
 
 WORD = re.compile(r"[^\W_]+")
 TEXT = "id long, text string"
@@ -73,3 +76,52 @@ def test_phrases_equal_brute_force(spark):
     assert got == {(q, i): n for q, p in phrases for i, t in corpus if words(p) and (n := runs(words(t), words(p), 0))}
     near = {(r["query_id"], r["item_id"]) for r in proximity.phrase_hits(*frames, slop=2).where("query_id < 2").collect()}
     assert near == {(q, i) for q, p in phrases[:2] for i, t in corpus if runs(words(t), words(p), 2)}
+
+
+VECTORS = "id long, vector array<double>"
+
+
+def nearest(vectors, k):
+    units = {i: np.array(v) / np.linalg.norm(v) for i, v in vectors}
+    out = {}
+    for q in units:
+        best = sorted(((-round(float(units[q] @ u), 6), i) for i, u in units.items() if i != q))[:k]
+        out[q] = [i for _, i in best]
+    return out
+
+
+def test_codes_of_random_vectors(spark, monkeypatch):
+    monkeypatch.setattr(quantised, "QUERY_BLOCK", 40)
+    rnd = np.random.default_rng(6)
+    vectors = [(i, (rnd.normal(size=16) * (1 + i % 3)).tolist()) for i in range(1500)]
+    odd = [(9001, [0.0] * 16), (9002, None), (9003, [1.0] * 15 + [None]), (9004, [])]
+    df = spark.createDataFrame(vectors + odd, VECTORS).repartition(3)
+    index = quantised.ProductIndex(df, parts=8)
+    assert all(len(r["codes"]) == 8 for r in index.rows.collect()) and index.rows.count() == 1500
+    # a score by code is off by the error at most
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in vectors}
+    for r in index.rows.limit(50).collect():
+        made = quantised._decode(np.frombuffer(r["codes"], np.uint8)[None], index.centres)[0]
+        assert np.linalg.norm(unit[r["id"]] - made) <= r["error"]
+    queries, truth = df.where("id % 15 = 0"), nearest(vectors, 10)
+    got = {}
+    for r in index.exact_topk(queries).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["item_id"])
+    assert got == {i: truth[i] for i, _ in vectors if i % 15 == 0}
+    found = index.topk(queries).collect()
+    assert sum(r["item_id"] in truth[r["query_id"]] for r in found) >= 0.9 * 10 * len(got)
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
+def test_recall_of_the_registered_query(spark, folder):
+    truth = {(r["query_id"], r["item_id"]) for r in search.vector_topk(spark, folder).collect()}
+    assert sum((r["query_id"], r["item_id"]) in truth for r in ranking.pq_topk(spark, folder).collect()) >= 0.9 * len(truth)
+
+
+def test_few_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], VECTORS)
+    index = quantised.ProductIndex(df, parts=2)
+    assert [(r["query_id"], r["item_id"]) for r in index.topk(df.where("id = 1")).collect()] == [(1, 2)]
+    assert quantised.ProductIndex(df.limit(0), parts=2).topk(df).count() == 0
+    with pytest.raises(ValueError):
+        quantised.ProductIndex(df, parts=3)

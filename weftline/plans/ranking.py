@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import proximity
+from ..operators import proximity, quantised
 from .registry import query
-from .search import BM25, JUDGED, _corpus, _metrics, _queries, _top, bm25, metrics
+from .search import _COSINE, BM25, JUDGED, VECTORS, _corpus, _metrics, _queries, _top, _vectors, bm25, metrics
 
 #: CTEs of the smallest span of each of the 20 best documents: for each place of a term, the last place of every other.
 SPANS = rf"""{BM25}, {_top('t', 20)},
@@ -54,3 +54,17 @@ def phrase_hits(spark, folder):
     """Documents that hold the first four words of an item side by side."""
     heads = _queries(spark, folder).select("id", F.array_join(F.slice(tokens(F.col("text")), 1, 4), " ").alias("text"))
     return proximity.phrase_hits(heads, _corpus(spark, folder))
+
+
+@query()
+def pq_topk(spark, folder):
+    """Nearest vectors by codes of 16 bytes; approximate, the tests hold its recall against brute force."""
+    v = _vectors(spark, folder)
+    return quantised.ProductIndex(v).topk(v.where("id % 50 = 0"))
+
+
+@query(f"WITH {VECTORS}, sc AS (SELECT a.id AS query_id, b.id AS item_id, {_COSINE} AS score FROM v a, v b WHERE a.id % 50 = 0 AND a.id <> b.id), {_top('t', 10)} SELECT * FROM t")
+def pq_topk_exact(spark, folder):
+    """Nearest vectors by codes and what these can be off by; exact."""
+    v = _vectors(spark, folder)
+    return quantised.ProductIndex(v).exact_topk(v.where("id % 50 = 0"))
