@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import random
 import zipfile
 
 import pytest
@@ -127,6 +128,63 @@ def test_calculator():
         assert text.calculate(bad) is None
 
 
+def test_calculator_equals_python():
+    rnd = random.Random(11)
+
+    def make(depth):
+        if depth == 0:
+            return rnd.choice(["7", "0", "2.5", "13", "1e2", ".5"])
+        kind = rnd.random()
+        if kind < 0.15:
+            return f"{rnd.choice('+-')}{make(depth - 1)}"
+        if kind < 0.25:
+            return f"( {make(depth - 1)})"
+        if kind < 0.35:
+            return f"{make(0)} ** {rnd.choice(['2', '-1', '.5', '2 ** 2'])}"
+        return f"{make(depth - 1)}{rnd.choice(['+', '-', '*', '/', '//', '%'])}{make(depth - 1)}"
+
+    for _ in range(3000):
+        e = make(rnd.randint(0, 4))
+        got = text.calculate(e)
+        try:
+            expected = float(eval(e))
+        except (ZeroDivisionError, OverflowError, TypeError, ValueError):
+            assert got is None
+            continue
+        assert got is None or got == expected, e
+        assert got is not None or isinstance(eval(e), complex) or abs(expected) > 1e6
+    assert text.calculate("1" + "+1" * 50_000) == 50_001 and text.calculate("(" * 9000 + "2" + ")" * 9000) == 2
+    for bad in ("1 2", "()", "2 *", ")", "1 + (2", "007", "1_0", "0x1", "1;2", "2(3)"):
+        assert text.calculate(bad) is None
+
+
+def test_truncation_keeps_a_column_named_like_its_own(spark):
+    df = spark.createDataFrame([(1, 0, "system", "a b", 7), (1, 1, "user", "c d e", 8), (1, 2, "user", "f", 9)], "conv_id long, turn long, role string, text string, n int")
+    assert rows(conversation.truncate_tokens(df, 3).select("turn", "n")) == [(0, 7), (2, 9)]
+
+
+def test_subsequences_equal_the_table(spark):
+    rnd = random.Random(12)
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _next(row, x, b)
+        return row[-1]
+
+    def _next(row, x, b):
+        out = [0]
+        for j, y in enumerate(b):
+            out.append(row[j] + 1 if x == y else max(row[j + 1], out[j]))
+        return out
+
+    cases = [([rnd.choice("abcd") for _ in range(rnd.randint(0, 90))], [rnd.choice("abcd") for _ in range(rnd.randint(0, 90))]) for _ in range(200)]
+    assert all(evaluation.common_subsequence(a, b) == table(a, b) for a, b in cases)
+    df = spark.createDataFrame([(1, "the cat sat", "The cat on a mat sat"), (2, None, "a"), (3, "", None), (4, "x", "y")], "case_id int, answer string, expected string")
+    got = {r["case_id"]: tuple(r)[3:] for r in evaluation.sequence_similarity(df).collect()}
+    assert got == {1: (3, 1.0, 0.5, 0.666667), 2: (0, None, 0.0, 0.0), 3: (0, None, None, None), 4: (0, 0.0, 0.0, 0.0)}
+
+
 def test_bpe():
     assert text.bpe_encode("lowlow", [("l", "o"), ("lo", "w")]) == ["low", "low"]
 

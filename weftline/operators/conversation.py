@@ -21,10 +21,12 @@ def last_n(messages: DataFrame, n: int) -> DataFrame:
 
 def truncate_tokens(messages: DataFrame, budget: int) -> DataFrame:
     """The newest messages that fit whole into the budget of tokens, up to the first that doesn't; system messages stay and count first."""
-    system = F.sum(F.when(F.col("role") == "system", F.col("n")).otherwise(0)).over(Window.partitionBy("conv_id"))
-    back = F.sum(F.when(F.col("role") != "system", F.col("n")).otherwise(0)).over(Window.partitionBy("conv_id").orderBy(F.col("turn").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    counted = messages.withColumn("n", n_tokens(F.col("text"))).withColumns({"_system": system, "_back": back})
-    return counted.where((F.col("role") == "system") | (F.col("_system") + F.col("_back") <= budget)).select(*messages.columns)
+    size = n_tokens(F.col("text"))
+    system = F.sum(F.when(F.col("role") == "system", size).otherwise(0)).over(Window.partitionBy("conv_id"))
+    back = F.sum(F.when(F.col("role") != "system", size).otherwise(0)).over(Window.partitionBy("conv_id").orderBy(F.col("turn").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    own = messages.select(F.struct("*").alias("_row"), "conv_id", "turn", "role", "text")  # no name of the table's is overwritten
+    counted = own.withColumns({"_system": system, "_back": back})
+    return counted.where((F.col("role") == "system") | (F.col("_system") + F.col("_back") <= budget)).select("_row.*")
 
 
 def context(messages: DataFrame) -> DataFrame:

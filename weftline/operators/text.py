@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import ast
 import operator
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -212,28 +212,77 @@ def render_prompts(docs: DataFrame, template: str, values: dict[str, Column], ke
     return docs.select(key, fill(template, values).alias("prompt"))
 
 
-_OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.USub: operator.neg, ast.UAdd: operator.pos}
+_NUMBER = re.compile(r"\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)|(\*\*|//|[-+*/%()]))")
+#: How strongly operators bind; u is a sign before a value.
+_BINDS = {"+": 1, "-": 1, "*": 2, "/": 2, "//": 2, "%": 2, "u-": 3, "u+": 3, "**": 4}
+_OPERATORS = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv, "//": operator.floordiv, "%": operator.mod}
+
+
+def _apply(values: list, op: str) -> None:
+    b = values.pop()
+    if op in ("u-", "u+"):
+        out = -b if op == "u-" else b
+    else:
+        a = values.pop()
+        if op == "**":
+            if abs(b) > 64 or abs(a) > 1e6:
+                raise OverflowError("power out of range")
+            out = a**b
+        else:
+            out = _OPERATORS[op](a, b)
+    if isinstance(out, complex) or (isinstance(out, int) and out.bit_length() > 4096):
+        raise OverflowError("out of range")
+    values.append(out)
 
 
 def calculate(expression: str | None) -> float | None:
-    """The value of an arithmetic expression of numbers, + - * / // %, powers up to 64 and brackets; null if it is anything else."""
-
-    def value(node):
-        if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)) and not isinstance(node.value, bool):
-            return node.value
-        if isinstance(node, ast.UnaryOp) and type(node.op) in _OPERATORS:
-            return _OPERATORS[type(node.op)](value(node.operand))
-        if isinstance(node, ast.BinOp):
-            a, b = value(node.left), value(node.right)
-            if isinstance(node.op, ast.Pow) and abs(b) <= 64 and abs(a) <= 1e6:
-                return a**b
-            if type(node.op) in _OPERATORS:
-                return _OPERATORS[type(node.op)](a, b)
-        raise ValueError("not arithmetic")
+    """The value of an arithmetic expression of decimal numbers, + - * / // %, ** and brackets, in Python's order of operations.
 
+    Null if it is anything else, divides by 0, raises more than 1e6 or to more
+    than 64, or passes 2**4096 or the range of doubles on the way. The work
+    grows with the length of the expression, which has no bound.
+    """
+    values: list = []
+    waiting: list[str] = []
+    text, at, value_due = (expression or "").rstrip(), 0, True
     try:
-        return float(value(ast.parse((expression or "").strip(), mode="eval").body)) if expression and len(expression) <= 1000 else None
-    except (ValueError, SyntaxError, ZeroDivisionError, OverflowError, TypeError, RecursionError, MemoryError):
+        while at < len(text):
+            found = _NUMBER.match(text, at)
+            if not found:
+                return None
+            at, number, op = found.end(), found[1], found[2]
+            if number is not None:
+                if not value_due or (number.isdigit() and len(number) > 1 and number[0] == "0" and number.strip("0")):
+                    return None
+                values.append(int(number) if number.isdigit() else float(number))
+                value_due = False
+            elif op == "(":
+                if not value_due:
+                    return None
+                waiting.append(op)
+            elif op == ")":
+                if value_due:
+                    return None
+                while waiting and waiting[-1] != "(":
+                    _apply(values, waiting.pop())
+                if not waiting:
+                    return None
+                waiting.pop()
+            elif value_due:
+                if op not in "+-":
+                    return None
+                waiting.append("u" + op)
+            else:
+                while waiting and waiting[-1] != "(" and (_BINDS[waiting[-1]] > _BINDS[op] or (_BINDS[waiting[-1]] == _BINDS[op] and op != "**")):
+                    _apply(values, waiting.pop())
+                waiting.append(op)
+                value_due = True
+        if value_due or "(" in waiting:
+            return None
+        while waiting:
+            _apply(values, waiting.pop())
+        return float(values[0])
+    except (ValueError, ZeroDivisionError, OverflowError):
         return None
 
 

@@ -136,12 +136,39 @@ def eval_pivot(spark, folder):
     return evaluation.report(_results(spark, folder), ["click", "error", "view"])
 
 
-@query(rf"""WITH p AS (SELECT conv_id * 1000 + turn AS case_id, lead(role) OVER w AS r, text AS answer, lead(text) OVER w AS expected, role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-t AS (SELECT *, list_distinct(regexp_extract_all(lower(answer), '[\p{{L}}\p{{N}}]+')) AS a, list_distinct(regexp_extract_all(lower(expected), '[\p{{L}}\p{{N}}]+')) AS e FROM p WHERE role = 'user' AND r = 'assistant')
-SELECT case_id, trim(answer) = trim(expected) AS exact, round(CASE WHEN len(a) + len(e) = 0 THEN 0 ELSE 2.0::DOUBLE * len(list_intersect(a, e)) / (len(a) + len(e)) END, 6) AS f1 FROM t""")
+_PAIRS = "p AS (SELECT conv_id, turn, lead(role) OVER w AS r, text AS answer, lead(text) OVER w AS expected, role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), own AS (SELECT * FROM p WHERE role = 'user' AND r = 'assistant')"
+
+
+def _answers(spark, folder):
+    pairs = training.sft_pairs(_messages(spark, folder))
+    return pairs.select(F.struct("conv_id", "turn").alias("case_id"), F.col("instruction").alias("answer"), F.col("output").alias("expected"))
+
+
+@query(rf"""WITH {_PAIRS},
+t AS (SELECT *, list_distinct(regexp_extract_all(lower(answer), '[\p{{L}}\p{{N}}]+')) AS a, list_distinct(regexp_extract_all(lower(expected), '[\p{{L}}\p{{N}}]+')) AS e FROM own)
+SELECT conv_id, turn, trim(answer) = trim(expected) AS exact, round(CASE WHEN len(a) + len(e) = 0 THEN 0 ELSE 2.0::DOUBLE * len(list_intersect(a, e)) / (len(a) + len(e)) END, 6) AS f1,
+  CAST(levenshtein(regexp_replace(answer, '[^\x00-\x7F]', '?', 'g'), regexp_replace(expected, '[^\x00-\x7F]', '?', 'g')) AS INTEGER) AS edit FROM t""")
 def answer_similarity(spark, folder):
-    pairs = training.sft_pairs(_messages(spark, folder)).select((F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), F.col("instruction").alias("answer"), F.col("output").alias("expected"))
-    return evaluation.answer_similarity(pairs).select("case_id", "exact", "f1")
+    """Answers as they are; letters beyond ASCII are one mark, as not every engine's edit distance knows them."""
+    plain = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")
+    pairs = _answers(spark, folder)
+    both = evaluation.answer_similarity(pairs).drop("edit").join(evaluation.answer_similarity(pairs.withColumns({"answer": plain("answer"), "expected": plain("expected")})).select("case_id", "edit"), "case_id")
+    return both.select("case_id.*", "exact", "f1", "edit")
+
+
+@query(rf"""WITH RECURSIVE {_PAIRS},
+t AS (SELECT conv_id, turn, regexp_extract_all(lower(answer), '[\p{{L}}\p{{N}}]+') AS a, regexp_extract_all(lower(expected), '[\p{{L}}\p{{N}}]+') AS e FROM own),
+-- a row of the table of common subsequences: its values never fall, so it is the running maximum of what a match adds
+l AS (
+  SELECT conv_id, turn, CAST(0 AS BIGINT) AS i, j, 0 AS v FROM t, LATERAL (SELECT unnest(range(len(e) + 1)) AS j)
+  UNION ALL
+  SELECT conv_id, turn, i + 1, j, max(CASE WHEN j > 0 AND a[i + 1] = e[j] THEN before + 1 ELSE v END) OVER (PARTITION BY conv_id, turn ORDER BY j)
+  FROM (SELECT l.*, a, e, lag(v) OVER (PARTITION BY l.conv_id, l.turn ORDER BY j) AS before FROM l JOIN t ON t.conv_id = l.conv_id AND t.turn = l.turn WHERE i < len(a)))
+SELECT t.conv_id, t.turn, len(a) AS n_answer, len(e) AS n_expected, v::BIGINT AS common, round(v / len(a)::DOUBLE, 6) AS precision, round(v / len(e)::DOUBLE, 6) AS recall, round(2.0::DOUBLE * v / (len(a) + len(e)), 6) AS f1
+FROM t JOIN l ON l.conv_id = t.conv_id AND l.turn = t.turn AND l.i = len(a) AND l.j = len(e)""")
+def answer_sequence(spark, folder):
+    """Answers by the longest common subsequence of their words."""
+    return evaluation.sequence_similarity(_answers(spark, folder)).select("case_id.*", "n_answer", "n_expected", "common", "precision", "recall", "f1")
 
 
 @query("""SELECT event_type, count(*) AS n, round(avg(CAST(value < 40 AS INTEGER)), 6) AS success_rate, round(avg((props->>'k')::INT), 6) AS avg_steps,
@@ -270,12 +297,13 @@ def model_registry(spark, folder):
 V = "v AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)"
 
 
-@query(f'WITH {V} SELECT a.label AS "row", CAST(a.dim AS INTEGER) AS col, round(sum(a.x), 5) AS value FROM v a GROUP BY ALL')
+@query(f'WITH {V} SELECT CAST(a.dim AS INTEGER) AS "row", CAST(b.dim AS INTEGER) AS col, round(sum(a.x * b.x), 5) AS value FROM v a JOIN v b USING (vec_id) GROUP BY ALL')
 def matrix_product(spark, folder):
-    each = table(spark, folder, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("dim", "x"))
-    ones = each.select(F.col("label").alias("row"), F.col("vec_id").alias("col"), F.lit(1.0).alias("value")).distinct()
+    """The vectors' matrix, turned, by itself."""
+    each = table(spark, folder, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "x"))
     m = each.select(F.col("vec_id").alias("row"), F.col("dim").alias("col"), F.col("x").cast("double").alias("value"))
-    return numeric.multiply(ones, m).select("row", "col", F.round("value", 5).alias("value"))
+    turned = m.select(F.col("col").alias("row"), F.col("row").alias("col"), "value")
+    return numeric.multiply(turned, m).select("row", "col", F.round("value", 5).alias("value"))
 
 
 @query("SELECT lang, source, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY lang), 6) AS p FROM documents GROUP BY lang, source")

@@ -140,10 +140,13 @@ def prompt_template(spark, folder):
     return text.render_prompts(b, "Task: answer from the text.\nText ({n} characters): {text}\nQuestion {missing}", {"n": F.length("text"), "text": F.col("text")}, "item_id")
 
 
-@query("SELECT p_partkey AS id, CAST((p_size + 2) * 3 - 4.0 / 8 AS DOUBLE) AS value FROM part")
+@query("SELECT p_partkey AS id, round((p_size + 2) * p_retailprice - (p_partkey % 13) / pow(p_size + 1.0::DOUBLE, 2) + floor((p_partkey % 7) / 2.0::DOUBLE) - (-pow(p_size, 2) + 3), 6) AS value FROM part")
 def calculator(spark, folder):
+    """An expression of its own for every part."""
     p = table(spark, folder, "part")
-    return p.select(F.col("p_partkey").alias("id"), text.calculator(F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(" + 2) * 3 - 4 / 8"))).alias("value"))
+    size, price, key = (F.col(c).cast("string") for c in ("p_size", "p_retailprice", "p_partkey"))
+    expression = F.concat(F.lit("("), size, F.lit(" + 2) * "), price, F.lit(" - "), key, F.lit(" % 13 / ("), size, F.lit(" + 1) ** 2 + "), key, F.lit(" % 7 // 2 - (-"), size, F.lit(" ** 2 + 3)"))
+    return p.select(F.col("p_partkey").alias("id"), F.round(text.calculator(expression), 6).alias("value"))
 
 
 @query("""SELECT event_id, CAST(date_trunc('month', ts) AS DATE) AS month, CAST(ts + INTERVAL 7 DAY AS DATE) AS week_later, CAST(dayofyear(ts) AS INTEGER) AS day_of_year FROM events""")
