@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from weftline.functions.vectors import cosine
 from weftline.operators import conversation, cost, evaluation, retrieval, safety, temporal, text, training
+from weftline.plans import search
 from weftline.sources import tables
 from weftline.sources.manifest import BucketIndex
 from weftline.sources.versions import VersionedTable, apply_diff, index_diff
@@ -121,6 +122,13 @@ def test_dedup_nulls_and_ties(spark):
     assert rows(text.near_dup(spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "a b c d e f g h i j k l m"), (3, "x"), (4, "")], DOCS))) == [(1, 2, round(8 / 9, 6))]
 
 
+def test_memory_of_long_conversations(spark, tmp_path):
+    """From turn 1,000 on, too, a conversation's memory is its own."""
+    texts = [(1, 999, "user", "red fish swims"), (1, 1000, "assistant", "red fish swims"), (1, 1001, "user", "red fish swims"), (2, 0, "user", "other words here"), (2, 1, "user", "other words here")]
+    spark.createDataFrame(texts, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert rows(search.memory_recall(spark, str(tmp_path)).select("conv_id", "query_turn", "turn", "score")) == [(1, 1001, 999, 1.0), (1, 1001, 1000, 1.0), (2, 1, 0, 1.0)]
+
+
 def test_calculator():
     assert text.calculate("2 * (3 + 4) - 1") == 13
     assert text.calculate("2 ** 10") == 1024

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import traces
+from ..operators import significance, sketches, traces
 from ..sources.manifest import BucketIndex
 from ..sources.shared import shared_folder
 from ..sources.tables import table
@@ -135,3 +135,37 @@ def trace_tree(spark, folder):
 count(*) FILTER (on_path) AS path_spans FROM tree GROUP BY trace_id""")
 def trace_summary(spark, folder):
     return traces.trace_summary(_tree(spark, folder))
+
+
+@query("""SELECT event_type, month(ts)::INTEGER AS month, count(*) AS n, true AS distinct_in_bound, true AS median_in_bound, true AS p95_in_bound FROM events GROUP BY ALL""")
+def sketch_months(spark, folder):
+    """Different users and quantiles of values by month, from sketches stored by day: how they compare with exact values.
+
+    Bounds: four standard errors for the number of users, and three times the
+    usual error in rank for quantiles.
+    """
+    e = table(spark, folder, "events").select("event_type", F.to_date("ts").alias("day"), "user_id", "value")
+    place = f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    sketches.build(e, ["event_type", "day"], "user_id", "value").write.parquet(place)
+    months = sketches.merge(spark.read.parquet(place).withColumn("month", F.month("day")), ["event_type", "month"])
+    found = sketches.estimates(months, {"p50": 0.5, "p95": 0.95})
+    own = e.withColumn("month", F.month("day")).join(F.broadcast(found), ["event_type", "month"])  # a row for each kind and month
+    off = lambda q, p: F.abs(F.avg((F.col("value") <= F.col(q)).cast("int")) - p)
+    exact = own.groupBy("event_type", "month").agg(F.max("n").alias("n"), F.count_distinct("user_id").alias("users"), F.max("n_distinct").alias("n_distinct"), off("p50", 0.5).alias("o50"), off("p95", 0.95).alias("o95"))
+    slack = 3 * sketches.RANK_ERROR + 1 / F.col("n")
+    return exact.select("event_type", "month", "n", (F.abs(F.col("n_distinct") - F.col("users")) <= 4 * 1.04 / 2 ** (sketches.LG / 2) * F.col("users") + 0.5).alias("distinct_in_bound"), (F.col("o50") <= slack).alias("median_in_bound"), (F.col("o95") <= slack).alias("p95_in_bound"))
+
+
+_WEIGHT = " + ".join(f"CAST(h >= {cut} AS INTEGER)" for cut in significance.poisson_cuts())
+
+
+@query(f"""WITH c AS (SELECT event_id AS case_id, event_type AS metric, ((event_id * 31) % 17 - 7) / 10.0::DOUBLE AS d FROM events),
+x AS (SELECT metric, d, r, CASE WHEN r = 0 THEN 1 ELSE {_WEIGHT} END AS w FROM (SELECT *, concat('0x', substring(md5(case_id || ':' || r), 1, 8))::BIGINT AS h FROM c, range(101) g(r))),
+m AS (SELECT metric, r, count(*) AS n, sum(d * w) / sum(w) AS mean FROM x GROUP BY ALL)
+SELECT metric, max(n) AS n, round(max(mean) FILTER (r = 0), 6) AS delta, round(quantile_cont(round(mean, 9), 0.025) FILTER (r > 0), 6) AS low, round(quantile_cont(round(mean, 9), 0.975) FILTER (r > 0), 6) AS high,
+  round(avg(CAST(round(mean, 9) > 0 AS INTEGER)) FILTER (r > 0), 6) AS better FROM m GROUP BY metric""")
+def run_significance(spark, folder):
+    """Whether a run of all events' values is better than another, which stands in for the run before."""
+    e = table(spark, folder, "events").select(F.col("event_id").alias("case_id"), F.col("event_type").alias("metric"), ((F.col("event_id") * 31 % 17 - 7) / 10).alias("d"))
+    before = e.select("case_id", "metric", F.lit(0.0).alias("value"))
+    return significance.bootstrap(before, e.withColumnRenamed("d", "value"), 100)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import proximity, quantised
+from ..operators import prompts, proximity, quantised
 from .registry import query
 from .search import _COSINE, BM25, JUDGED, VECTORS, _corpus, _metrics, _queries, _top, _vectors, bm25, metrics
 
@@ -68,3 +68,44 @@ def pq_topk_exact(spark, folder):
     """Nearest vectors by codes and what these can be off by; exact."""
     v = _vectors(spark, folder)
     return quantised.ProductIndex(v).exact_topk(v.where("id % 50 = 0"))
+
+
+MMR = rf"""{BM25}, {_top('t', 20)},
+hw AS (SELECT query_id, item_id, t.rank, score / max(score) OVER (PARTITION BY query_id) AS rel, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS words FROM t JOIN documents ON doc_id = item_id),
+-- every step takes the best of what is left, and what is left comes nearer to it
+mm AS (
+  SELECT query_id, item_id, rank, rel, words, 0.0::DOUBLE AS near, 0 AS step, CAST(NULL AS INTEGER) AS taken, CAST(NULL AS DOUBLE) AS gain FROM hw
+  UNION ALL
+  SELECT query_id, item_id, rank, rel, words, greatest(near, len(list_intersect(words, top.words)) / greatest(len(list_distinct(list_concat(words, top.words))), 1)::DOUBLE), step + 1,
+    CASE WHEN taken IS NULL AND rank = top.rank THEN step + 1 ELSE taken END, CASE WHEN taken IS NULL AND rank = top.rank THEN top.gain ELSE gain END
+  FROM (SELECT *, first_value({{'rank': rank, 'words': words, 'gain': own}}) OVER (PARTITION BY query_id ORDER BY taken IS NOT NULL, own DESC, rank) AS top
+    FROM (SELECT *, round(0.5::DOUBLE * rel - 0.5::DOUBLE * near, 9) AS own FROM mm WHERE step < 5))),
+dv AS (SELECT query_id, item_id, gain, taken AS rank FROM mm WHERE step = 5 AND taken IS NOT NULL)"""
+
+
+def _diverse(spark, folder):
+    return prompts.diverse(bm25(spark, folder, 20), _corpus(spark, folder))
+
+
+@query(f"WITH RECURSIVE {MMR} SELECT query_id, item_id, round(gain, 6) AS gain, rank FROM dv")
+def diverse_hits(spark, folder):
+    """Five of the 20 best documents of each item, each unlike those before."""
+    return _diverse(spark, folder).withColumn("gain", F.round("gain", 6))
+
+
+_TEMPLATE = "Answer from the context.\n{constraints}\n\nContext:\n{context}\n\nQuestion: {question}\nAnswer:"
+
+
+@query(rf"""WITH RECURSIVE {MMR},
+pt AS (SELECT query_id, dv.rank, '[' || dv.rank || '] ' || text AS part FROM dv JOIN documents ON doc_id = item_id),
+so AS (SELECT *, sum(len(regexp_extract_all(part, '[\p{{L}}\p{{N}}]+'))) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS so_far FROM pt),
+ft AS (SELECT query_id, count(*) AS n_items, string_agg(part, chr(10) || chr(10) ORDER BY so.rank) AS context FROM so JOIN benchmark b ON b.item_id = query_id
+  WHERE 9 + len(regexp_extract_all(b.text, '[\p{{L}}\p{{N}}]+')) + so_far <= 1500 GROUP BY query_id),
+pp AS (SELECT b.item_id AS query_id, coalesce(n_items, 0) AS n_items,
+  'Answer from the context.' || chr(10) || 'Be brief.' || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || b.text || chr(10) || 'Answer:' AS prompt
+  FROM benchmark b LEFT JOIN ft ON ft.query_id = b.item_id)
+SELECT query_id, md5(prompt) AS prompt_md5, n_items, len(regexp_extract_all(lower(prompt), '[\p{{L}}\p{{N}}]+')) AS n_tokens FROM pp""")
+def prompt_assembly(spark, folder):
+    """The prompt of every item: diverse context, question and constraints in 1,500 tokens."""
+    out = prompts.assemble(_diverse(spark, folder), _queries(spark, folder), _corpus(spark, folder), _TEMPLATE, 1500, "Be brief.")
+    return out.select("query_id", F.md5("prompt").alias("prompt_md5"), "n_items", "n_tokens")

@@ -149,15 +149,15 @@ def ann_topk_exact(spark, folder):
 
 
 def _messages(spark, folder):
-    return table(spark, folder, "conversations").select("conv_id", "turn", "role", "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+    return table(spark, folder, "conversations").select("conv_id", "turn", "role", "text", F.struct("conv_id", "turn").alias("id"))
 
 
-MEMORY = f"""c AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, role, text FROM conversations), {_hashed('h', 'c', 'id')},
+MEMORY = f"""c AS (SELECT {{'c': conv_id, 't': turn}} AS id, conv_id, turn, role, text FROM conversations), {_hashed('h', 'c', 'id')},
 lastq AS (SELECT conv_id, max(turn) AS turn FROM c WHERE role = 'user' GROUP BY conv_id),
 ms AS (
   SELECT l.conv_id, l.turn AS query_turn, m.turn, round(dot / (x.norm * y.norm), 6) AS score
-  FROM (SELECT a.id AS qid, b.id AS mid, sum(a.w * b.w) AS dot FROM h a JOIN h b ON a.bucket = b.bucket AND a.id // 1000 = b.id // 1000 AND b.id < a.id GROUP BY ALL)
-  JOIN lastq l ON l.conv_id * 1000 + l.turn = qid JOIN c m ON m.id = mid JOIN h_n x ON x.id = qid JOIN h_n y ON y.id = mid),
+  FROM (SELECT a.id AS qid, b.id AS mid, sum(a.w * b.w) AS dot FROM h a JOIN h b ON a.bucket = b.bucket AND a.id.c = b.id.c AND b.id.t < a.id.t GROUP BY ALL)
+  JOIN lastq l ON l.conv_id = qid.c AND l.turn = qid.t JOIN c m ON m.id = mid JOIN h_n x ON x.id = qid JOIN h_n y ON y.id = mid),
 mem AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, query_turn ORDER BY score DESC, turn) AS INTEGER) AS rank FROM ms WHERE score >= 0.2) WHERE rank <= 3)"""
 
 
@@ -165,7 +165,7 @@ mem AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, q
 def memory_recall(spark, folder):
     """The three earlier messages of a conversation most like its last question."""
     m = _messages(spark, folder)
-    vectors = m.select("conv_id", "turn", "id").join(retrieval.hashed_vectors(m), "id")
+    vectors = retrieval.hashed_vectors(m).select("id.conv_id", "id.turn", "vector")
     last = m.where("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("turn"))
     return retrieval.recall_memory(vectors, vectors.join(last, ["conv_id", "turn"]), 3, 0.2)
 
@@ -298,15 +298,14 @@ def _chunk_hits(strategy):
     s = strategy
     return rf"""
 {s}_c AS ({CHUNKS[s]}),
-{s}_d AS (SELECT doc_id * 100000 + chunk_no AS item_id, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') AS w FROM {s}_c),
+{s}_d AS (SELECT {{'d': doc_id, 'c': chunk_no}} AS item_id, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') AS w FROM {s}_c),
 {s}_st AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS avgdl FROM {s}_d),
 {s}_p AS (SELECT item_id, dl, term, count(*)::DOUBLE AS tf FROM (SELECT item_id, len(w) AS dl, unnest(w) AS term FROM {s}_d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 {s}_f AS (SELECT term, count(*)::DOUBLE AS df FROM {s}_p GROUP BY term),
 {s}_sc AS (
   SELECT query_id, item_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM q JOIN {s}_f USING (term) JOIN {s}_p USING (term), {s}_st GROUP BY query_id, item_id),
-{_top(s + '_t', 50, s + '_sc')},
-{s}_b AS (SELECT query_id, item_id // 100000 AS item_id, max(score) AS score FROM {s}_t GROUP BY ALL),
+{s}_b AS (SELECT query_id, item_id.d AS item_id, max(score) AS score FROM {s}_sc GROUP BY ALL),
 {_top(s + '_h', 10, s + '_b')},
 {_metrics(s + '_h', 10).replace('tot AS', s + '_tot AS').replace('FROM tot', f'FROM {s}_tot').replace('idl AS', s + '_idl AS').replace('JOIN idl ON idl.', f'JOIN {s}_idl ON {s}_idl.').replace('own AS', s + '_own AS').replace('JOIN own ON own.', f'JOIN {s}_own ON {s}_own.').replace('m AS (', s + '_m AS (')}"""
 
@@ -322,8 +321,9 @@ def chunker_compare(spark, folder):
     docs, queries, out = table(spark, folder, "documents"), _queries(spark, folder), None
     relevant = keep(judged(spark, folder))
     for strategy in CHUNKS:
-        chunks = chunk(docs, strategy).where(F.length(F.trim("text")) > 0).select((F.col("doc_id") * 100000 + F.col("chunk_no")).alias("id"), "text")
-        best = retrieval.bm25_topk(queries, chunks, 50).groupBy("query_id", F.floor(F.col("item_id") / 100000).alias("item_id")).agg(F.max("score").alias("score"))
+        chunks = chunk(docs, strategy).where(F.length(F.trim("text")) > 0).select(F.struct("doc_id", "chunk_no").alias("id"), "text")
+        scores = retrieval.bm25_scores(*retrieval.postings(queries, chunks))
+        best = scores.groupBy("query_id", F.col("item_id.doc_id").alias("item_id")).agg(F.max("score").alias("score"))
         found = evaluation.retrieval_metrics(retrieval.top(best, 10), relevant, queries.select(F.col("id").alias("query_id")))
         part = found.agg(F.count("*").alias("n"), *(F.round(F.avg(c), 5).alias(c) for c in ("recall", "precision", "rr", "ndcg"))).select(F.lit(strategy).alias("strategy"), "*")
         out = part if out is None else out.unionByName(part)
