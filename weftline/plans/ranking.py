@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import prompts, proximity, quantised
+from ..operators import prompts, proximity, quantised, subwords
+from ..sources.tables import table
 from .registry import query
 from .search import _COSINE, BM25, JUDGED, VECTORS, _corpus, _metrics, _queries, _top, _vectors, bm25, metrics
 
@@ -109,3 +110,36 @@ def prompt_assembly(spark, folder):
     """The prompt of every item: diverse context, question and constraints in 1,500 tokens."""
     out = prompts.assemble(_diverse(spark, folder), _queries(spark, folder), _corpus(spark, folder), _TEMPLATE, 1500, "Be brief.")
     return out.select("query_id", F.md5("prompt").alias("prompt_md5"), "n_items", "n_tokens")
+
+
+# A vocabulary of frequent runs of letters; every letter is in it besides.
+RUNS = (
+    "al an and ar as at be ble ce ch co de de di ed el en ent er es est for ge ha he her hi ic ie ight in ing ion is it iti le ll ly ma me ment mi nd ne ng no nt of "
+    "on one or ou our per pro ra re ri ro sh si so st str ta te ter th tha the ther ti tion to tr un ur us ve ver was wh with"
+)
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT DISTINCT p FROM (SELECT unnest(string_split('{RUNS}', ' ')) AS p UNION ALL SELECT unnest(string_split('{LETTERS}', '')))),
+w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS word FROM documents),
+c AS (
+  SELECT word, 0 AS at_, '' AS pieces, 0 AS n FROM w
+  UNION ALL
+  SELECT word, at_ + len(p), pieces || CASE WHEN at_ = 0 THEN '' ELSE ' ##' END || p, n + 1
+  FROM (SELECT c.*, (SELECT arg_max(p, len(p)) FROM v WHERE p = substr(word, at_ + 1, len(p))) AS p FROM c WHERE at_ < len(word)) WHERE p IS NOT NULL),
+l AS (SELECT word, arg_max(pieces, at_) AS pieces, max(at_) AS reached FROM c GROUP BY word)
+SELECT word, CASE WHEN reached = len(word) THEN pieces ELSE '[UNK]' END AS pieces FROM l""")
+def wordpiece_words(spark, folder):
+    """Every word of the documents in pieces by longest match."""
+    pieces = [x for p in [*RUNS.split(), *LETTERS] for x in (p, f"##{p}")]
+    vocabulary = spark.createDataFrame([(p,) for p in sorted(set(pieces))], "piece string")
+    words = table(spark, folder, "documents").select(F.explode(tokens(F.col("text"))).alias("word")).distinct()
+    return subwords.wordpiece(words, vocabulary).select("word", F.array_join("pieces", " ").alias("pieces"))
+
+
+@query()
+def unigram_words(spark, folder):
+    """Every word of the documents in the pieces that add up to the best score; a run of letters scores the more the longer it is. The tests try all cuts."""
+    vocabulary = spark.createDataFrame([(p, -10.0 + 1.5 * len(p)) for p in sorted({*RUNS.split(), *LETTERS})], "piece string, score double")
+    words = table(spark, folder, "documents").select(F.explode(tokens(F.col("text"))).alias("word")).distinct()
+    return subwords.unigram(words, vocabulary).select("word", F.array_join("pieces", " ").alias("pieces"), F.round("score", 6).alias("score"))
