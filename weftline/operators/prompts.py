@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fill, n_tokens, tokens
-from .proximity import among
+from ..sources.shared import among
 
 
 def _alike(a: Column, b: Column) -> Column:

@@ -6,17 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-
-#: Most ids or terms that are broadcast to select rows; more are joined by shuffling.
-BROADCAST_KEYS = 500_000
-
-
-def among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """The rows whose column is among the keys; few keys are broadcast, so that nothing else is shuffled."""
-    keys = keys.select(column).distinct()
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return rows.join(F.broadcast(keys) if few else keys, column, "left_semi")
-
+from ..sources.shared import among
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, term, term_no (from 0, by first place in the query), n_terms of (id, text); a term counts once."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
-from .proximity import among
+from ..sources.shared import among
 
 #: Queries whose tables are in one broadcast, at 1 kB a part each.
 QUERY_BLOCK = 512

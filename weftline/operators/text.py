@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fill, n_tokens, normalised, shingles, tokens
+from ..sources.shared import among
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def without_passages(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame
         return w.select(*key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: value(F.slice("w", i, n))))).alias("s"))
 
     def sharing(df: DataFrame, value) -> DataFrame:
-        return runs(df, ["doc_id"], value).join(runs(items, [], value).distinct(), "s", "left_semi").select("doc_id").distinct()
+        return among(runs(df, ["doc_id"], value), runs(items, [], value), "s").select("doc_id").distinct()
 
     near = docs.select("doc_id", "text").join(sharing(docs, F.xxhash64), "doc_id", "left_semi")
     return docs.join(sharing(near, lambda r: F.array_join(r, " ")), "doc_id", "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import shingles, tokens
 from ..operators import conversation, evaluation, retrieval
 from ..operators.text import chunk
-from ..sources.shared import keep
+from ..sources.shared import if_few, keep
 from ..sources.tables import table
 from ..sources.versions import apply_diff, index_diff
 from .preparation import LINE_CHUNKS, RECURSIVE_CHUNKS
@@ -211,7 +211,7 @@ def judged(spark, folder):
     runs = lambda df: df.select("id", tokens(F.col("text")).alias("w")).where("size(w) >= 8").select("id", F.explode(shingles(F.col("w"), 8)).alias("s"))
     items = runs(_queries(spark, folder)).withColumnRenamed("id", "query_id")
     docs = runs(_corpus(spark, folder)).withColumnRenamed("id", "item_id")
-    return docs.join(items, "s").select("query_id", "item_id").distinct().withColumn("rel", F.lit(1))
+    return docs.join(if_few(items), "s").select("query_id", "item_id").distinct().withColumn("rel", F.lit(1))
 
 
 def _metrics(hits, k):

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.text import hash_share
 from . import files
-from .shared import keep
+from .shared import among, if_few, keep
 from .versions import index_diff
 
 
@@ -85,27 +85,30 @@ class BucketIndex:
         A row replaces that of its key, or goes in, unless the key's ``content``
         is the same already. ``deleted`` names a boolean column of changes: true
         takes the key out. Keys are unique in changes and not null. Only
-        buckets that change are read and written again.
+        buckets that change are read and written again. ``changes`` is read twice,
+        and has to give the same rows.
         """
         columns = [c for c in changes.columns if c != deleted]
         gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
-        changes = keep(changes.select(*columns, gone.alias("_gone")).withColumn("_bucket", self.bucket()))
+        # what is written again and again is keys and contents; the rows themselves are read once more, for those that change
+        keys = keep(changes.select(self.key, content, gone.alias("_gone"), self.bucket().alias("_bucket")))
         first = changes.select(*columns).schema
         for _ in range(attempts):
             base = self.manifest() if self.exists() else {"version": 0, "buckets": {}, "schema": first.jsonValue()}
-            near = {r[0] for r in changes.select("_bucket").distinct().collect()}  # a number for each bucket
-            old = self._rows(base, near)
-            known = old.select(self.key, F.col(content).alias("_content"), F.lit(True).alias("_known"))
+            near = {r[0] for r in keys.select("_bucket").distinct().collect()}  # a number for each bucket
+            known = self._rows(base, near).select(self.key, F.col(content).alias("_content"), F.lit(True).alias("_known"))
             same = F.coalesce("_known", F.lit(False)) & F.col("_content").eqNullSafe(F.col(content))
-            real = keep(changes.join(known, self.key, "left").where(F.when(F.col("_gone"), F.col("_known").isNotNull()).otherwise(~same)).drop("_content", "_known"))
+            real = keys.join(known, self.key, "left").where(F.when(F.col("_gone"), F.col("_known").isNotNull()).otherwise(~same))
+            real = keep(real.select(self.key, "_gone", "_bucket"))
             touched = {r[0] for r in real.select("_bucket").distinct().collect()}
             if not touched and base["version"]:
                 return base["version"]
-            rest = self._rows(base, touched).join(real.select(self.key), self.key, "left_anti")
+            rest = self._rows(base, touched).join(if_few(real.select(self.key)), self.key, "left_anti")
+            new = among(changes.select(*rest.columns), real.where(~F.col("_gone")), self.key)
             version = base["version"] + 1
-            new = self._write(rest.unionByName(real.where(~F.col("_gone")).select(*rest.columns)), version)
+            written = self._write(rest.unionByName(new), version)
             kept = {b: own for b, own in base["buckets"].items() if int(b) not in touched}
-            if self._publish({"version": version, "parent": base["version"], "at": time.time(), "note": note or {}, "schema": base["schema"], "buckets": kept | new}):
+            if self._publish({"version": version, "parent": base["version"], "at": time.time(), "note": note or {}, "schema": base["schema"], "buckets": kept | written}):
                 return version
         raise Conflict(f"{attempts} other versions came first")
 
