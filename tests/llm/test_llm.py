@@ -440,6 +440,24 @@ def test_op6_printed_iban_and_keys():
     assert [t[a:b][:4] for a, b in found["secret"]] == ["AKIA", "ghp_", "eyJh", "----"] and t[slice(*found["secret"][3])].endswith("KEY-----")
 
 
+def test_op6_keys_of_any_length():
+    cues, rnd = pii.automaton(), random.Random(6)
+    letters = lambda n: "".join(rnd.choice("abcXYZ019-_") for _ in range(n))
+    token = f"eyJ{letters(2000)}.{letters(3000)}.{letters(1500)}x"
+    body = "\n".join("A/b+" * 16 for _ in range(480))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    t = f'a {token} b\n{key}\nsecret = "{"0f" * 50}"'
+    assert len(token) > 6000 and len(key) > 30_000
+    assert [t[a:b] for a, b in pii.find_spans(t, cues)["secret"]] == [token, key, "0f" * 50]
+    # a key without an end does not reach into the next one
+    t = f"-----BEGIN PRIVATE KEY-----\nAAA\nplain words\n{key} eyJ{letters(60)}.{letters(9)} eyJ{letters(60)}.a.b.c"
+    assert [t[a:b] for a, b in pii.find_spans(t, cues)["secret"]] == ["-----BEGIN PRIVATE KEY-----", key]
+    for piece in ("-----BEGIN PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----\n-----END ", "-eyJ", "-eyJ.", "-eyJ.a.b.c,"):
+        began = time.perf_counter()
+        pii.find_spans(piece * 40_000, cues)
+        assert time.perf_counter() - began < 10, piece
+
+
 def test_op6_empty(empty):
     assert pii.pii_spans(empty).count() == 0
 

@@ -11,6 +11,13 @@ cues stand in one run of characters its end is found once, so the work grows
 with the length of a text, whatever stands in it.
 
 Kinds: email, ip, card and phone; and of the method's own url, account and secret.
+
+An account is 6 to 34 letters and digits, of them four digits or more, with
+hyphens between them (68 characters in all at most), or an IBAN whose check
+digits hold, printed with blanks or without. A secret is a public service's key
+by its beginning, a token of three parts of any length, a private key up to its
+end line, however far (without one before the next key begins, its first line),
+or 32 hex digits or more after a word that announces it.
 """
 
 from __future__ import annotations
@@ -36,8 +43,8 @@ _ALNUM = frozenset(string.ascii_letters + string.digits)
 #: Words that announce an account, in lower case; they are also found capitalised and in capitals.
 ACCOUNT_CUES = ("account", "acct", "iban", "passport", "ssn")
 SECRET_CUES = ("api_key", "password", "secret", "token")
-# How keys of public services begin, what they consist of, and how many characters follow at least and at most.
-KEY_CUES = {"AKIA": ("upper", 16, 16), "ghp_": ("alnum", 36, 36), "xoxb-": ("label", 20, 80), "sk_live_": ("alnum", 24, 64), "eyJ": ("token", 40, 4000), "-----BEGIN ": ("pem", 0, 0)}
+# How keys of public services begin, what they consist of, and how many characters follow at least and at most (None: no bound).
+KEY_CUES = {"AKIA": ("upper", 16, 16), "ghp_": ("alnum", 36, 36), "xoxb-": ("label", 20, 80), "sk_live_": ("alnum", 24, 64), "eyJ": ("token", 40, None), "-----BEGIN ": ("pem", 0, 0)}
 _KEY_CHARS = {"upper": frozenset(string.ascii_uppercase + string.digits), "alnum": frozenset(string.ascii_letters + string.digits), "label": frozenset(string.ascii_letters + string.digits + "-"), "token": frozenset(string.ascii_letters + string.digits + "-_.")}
 
 
@@ -144,7 +151,15 @@ class Runs:
     """Ends of runs of characters in a text, each run walked once; questions come from left to right."""
 
     def __init__(self, t: str):
-        self.t, self.known = t, {}
+        self.t, self.known, self.places = t, {}, {}
+
+    def find(self, what: str, at: int) -> int:
+        """Where ``what`` stands next, from ``at`` on; -1 if nowhere."""
+        a, b = self.places.get(what, (0, -2))
+        if b == -2 or at < a or (b >= 0 and at > b):
+            b = self.t.find(what, at)
+            self.places[what] = at, b
+        return b
 
     def end(self, name: str, inside, at: int) -> int:
         """The end of the run of characters for which inside() holds, from ``at`` on."""
@@ -243,14 +258,17 @@ def _key(t: str, at: int, cue: str, runs: Runs):
         end = t.find("-----", at + len(cue), at + len(cue) + 60)
         if end < 0 or not t[at + len(cue) : end].endswith("PRIVATE KEY"):
             return None
-        close = t.find("-----END ", end, end + 20_000)
-        stop = t.find("-----", close + 9, close + 80) if close >= 0 else -1
+        close, other = runs.find("-----END ", end), runs.find("-----BEGIN ", end)
+        stop = t.find("-----", close + 9, close + 80) if close >= 0 and not 0 <= other < close else -1
         return at, stop + 5 if stop >= 0 else end + 5, True
     if at and t[at - 1] in _ALNUM:
         return None
     b = runs.end(kind, _KEY_CHARS[kind].__contains__, at + len(cue))
     if kind == "token":  # three parts with dots between them
-        return (at, b, True) if low <= b - at - len(cue) <= high and t.count(".", at, b) == 2 else None
+        dots, c = 0, at - 1
+        while dots < 3 and (c := runs.end(f"part {dots}", lambda x: x != ".", c + 1)) < b:
+            dots += 1
+        return (at, b, True) if low <= b - at - len(cue) and dots == 2 else None
     return (at, b, True) if low <= b - at - len(cue) <= high and (b == len(t) or t[b] not in _ALNUM) else None
 
 
@@ -260,7 +278,7 @@ def _secret(t: str, at: int, least: int, runs: Runs):
             return _key(t, at, cue, runs)
     word = runs.end("name", lambda c: c.isalpha() or c == "_", at)
     a, b = _value(t, word, "hex", _HEX.__contains__, runs)
-    return (a, b, True) if b - a in (32, 40, 64) and (b == len(t) or t[b] not in _ALNUM) else None
+    return (a, b, True) if b - a >= 32 and (b == len(t) or t[b] not in _ALNUM) else None
 
 
 PARSERS = {"email": _email, "ip": _ip, "card": _card, "phone": _phone, "url": _url, "account": _account, "secret": _secret}
