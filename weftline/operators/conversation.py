@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import n_tokens
 from ..sources.shared import keep
 
+#: Models that requests are routed to.
+MOST_MODELS = 100_000
 #: Rounds of a graph walk after which what they have found is written as one table.
 MERGE_ROUNDS = 10
 
@@ -132,9 +134,11 @@ def outcomes(attempts: DataFrame) -> DataFrame:
 def route(requests: DataFrame, models: DataFrame) -> DataFrame:
     """request_id, model, cost: the cheapest available model able to serve each request (needs, tokens); ties by name.
 
-    Models (model, level, window, price, available) are a small catalogue, which
-    Spark broadcasts for the non-equi join.
+    Models (model, level, window, price, available) are a catalogue of at most
+    MOST_MODELS rows, which is checked, as the non-equi join broadcasts them.
     """
+    if models.limit(MOST_MODELS + 1).count() > MOST_MODELS:
+        raise ValueError(f"over {MOST_MODELS} models")
     able = (models["level"] >= requests["needs"]) & (models["window"] >= requests["tokens"]) & models["available"]
     choice = F.min(F.struct(F.col("price"), F.col("model")))
     return requests.join(F.broadcast(models), able, "left").groupBy("request_id", "tokens").agg(choice.alias("c")).select("request_id", F.col("c.model").alias("model"), F.round(F.col("c.price") * F.col("tokens"), 6).alias("cost"))

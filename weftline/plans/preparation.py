@@ -236,7 +236,7 @@ def permission_violations(spark, folder):
     calls = table(spark, folder, "events").select("event_id", (F.col("user_id") % 3).alias("role"), F.col("event_type").alias("tool"))
     kinds = table(spark, folder, "events").select(F.col("event_type").alias("tool")).distinct()
     denied = spark.createDataFrame([(0, "purchase"), (0, "error"), (1, "error")], "role long, tool string")
-    grants = spark.range(3).select(F.col("id").alias("role")).join(F.broadcast(kinds)).join(denied, ["role", "tool"], "left_anti")  # three roles
+    grants = kinds.join(F.broadcast(spark.range(3).select(F.col("id").alias("role")))).join(denied, ["role", "tool"], "left_anti")  # three roles
     return safety.violations(calls, grants).select("event_id", "tool")
 
 
