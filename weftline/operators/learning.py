@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import hash_share
-from ..sources.shared import keep
+from ..sources.shared import if_few, keep
 
 #: Words, and runs of marks between them.
 TERM = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
@@ -173,7 +173,7 @@ def confusion(rows: DataFrame, called: Column) -> DataFrame:
 
 def trained(docs: DataFrame, labels: DataFrame, width: int = 1 << 14, l2: float = 1e-4, rounds: int = 30, with_clues: bool = False) -> tuple[Logistic, float]:
     """A model of labels (doc_id, y) by the texts of docs (doc_id, text), fitted on the training fold, and its threshold from the tuning fold."""
-    known = docs.select("doc_id", "text").join(labels.where("y in (0, 1)").select("doc_id", "y").distinct(), "doc_id")
+    known = docs.select("doc_id", "text").join(if_few(labels.where("y in (0, 1)").select("doc_id", "y").distinct()), "doc_id")  # few labels shuffle no text
     rows = keep(known.select(folds(F.col("doc_id")).alias("fold"), "y", hashed_terms(F.col("text"), width, with_clues).alias("features")).where("fold != 'test'"))
     model = Logistic.fit(rows.where("fold = 'train'"), width, l2, rounds)
     return model, best_threshold(model.score(rows.where("fold = 'tune'").select("y", "features")))

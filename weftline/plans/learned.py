@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import learning, safety, text
+from ..sources.shared import among, keep
 from ..sources.tables import table
 from .registry import query
 
 
-def _compared(docs, labels, model, rules, flagged, with_clues=False):
-    """method and confusion on the test fold, which neither the weights nor the threshold has seen."""
-    mine = learning.judge(docs, *model, with_clues).select("doc_id", F.lit("trained").alias("method"), "flagged")
-    rule = rules.select("doc_id", F.lit("rules").alias("method"), flagged.alias("flagged"))
-    test = labels.where(learning.folds(F.col("doc_id")) == "test").select("doc_id", "y")
-    both = mine.unionByName(rule).join(test, "doc_id")
-    parts = [learning.confusion(both.where(F.col("method") == m), F.col("flagged")).select(F.lit(m).alias("method"), "*") for m in ("trained", "rules")]
+def _compared(docs, labels, model, rules, with_clues=False):
+    """method and confusion on the test fold, which neither the weights nor the threshold has seen. rules(docs): doc_id, flagged."""
+    test = keep(labels.where(learning.folds(F.col("doc_id")) == "test").select("doc_id", "y"))
+    own = among(docs, test, "doc_id")
+    found = {"trained": learning.judge(own, *model, with_clues), "rules": rules(own)}
+    parts = [learning.confusion(f.select("doc_id", "flagged").join(test, "doc_id"), F.col("flagged")).select(F.lit(m).alias("method"), "*") for m, f in found.items()]
     return parts[0].unionByName(parts[1])
 
 
@@ -23,14 +23,15 @@ def _compared(docs, labels, model, rules, flagged, with_clues=False):
 def moderation_trained(spark, folder):
     """Toxic documents of the test fold as found by a trained model and by the word list."""
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels").withColumn("y", F.col("toxic"))
-    return _compared(docs, labels, learning.trained(docs, labels), safety.moderate(docs), F.col("flagged"))
+    return _compared(docs, labels, learning.trained(docs, labels), safety.moderate)
 
 
 @query()
 def quality_trained(spark, folder):
     """Good documents of the test fold as found by a trained model and by the quality rules."""
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels").withColumn("y", F.col("quality"))
-    return _compared(docs, labels, learning.trained(docs, labels, with_clues=True), text.quality_filter(docs), F.col("reason").isNull(), True)
+    rules = lambda own: text.quality_filter(own).select("doc_id", F.col("reason").isNull().alias("flagged"))
+    return _compared(docs, labels, learning.trained(docs, labels, with_clues=True), rules, True)
 
 
 @query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+') AS w FROM documents),
