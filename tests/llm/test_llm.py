@@ -383,7 +383,7 @@ def test_op5_links_all_pairs_of_a_bucket(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BLOCK", 16)
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     one = line_dedup._lines(df).select("h1").withColumn("bucket", F.lit(1).cast("long"))
-    monkeypatch.setattr(line_dedup, "_buckets", lambda docs, classes: one.select("bucket", "h1"))
+    monkeypatch.setattr(line_dedup, "_buckets", lambda docs, classes: one.select("bucket", "h1", F.lit(1).cast("long").alias("score")))
     got = {r["doc_id"]: r["root_doc"] for r in line_dedup.line_verdicts(df, 90).collect()}
     assert got == {i: want[i, 0][0] for i in got}
 

@@ -16,17 +16,20 @@ value of another one of its half, in a fixed random order. The minima are plain
 ``min`` aggregates, so partial sums are made before the shuffle.
 
 Classes with equal values in all rows of a band share a bucket. Of each bucket
-all members are compared with its least member, the pivot, by the exact Jaccard
-similarity of their shingle sets, and distributed union-find joins the links.
-The lines of one pivot that are in several components by then are compared with
-each other by an exact prefix join: their shingles are ordered, those that the
-pivot doesn't have first, and of a line's n shingles one of the first
-n - ceil(t n) + 1 stands among those of every line that it links with, with
-enough others behind it (the positional bound). What lines of a bucket have in
-common, the pivot has mostly too, so unlike lines hardly meet. Those that do,
-and whose sizes can be alike, are compared, in blocks of ``BLOCK`` lines, so that a frequent shingle is many small keys. So no
-two lines that share a bucket and meet the threshold stay apart. Of each
-component the line that comes first, by doc_id and line, stays.
+all members are compared with its pivot, the member that stands most often, by
+the exact Jaccard similarity of their shingle sets, and distributed union-find
+joins the links: of variants of one line that are less like each other than like
+the line they come from, that line is mostly the pivot. Where the lines of one
+pivot are in several components by then, they are compared with up to ``REFERENCES``
+frequent ones of them, too. What still is apart is compared with each other by an
+exact prefix join: their shingles are ordered, those that none of the references
+has first, and of a line's n shingles one of the first n - ceil(t n) + 1 stands
+among those of every line that it links with, with enough others behind it (the
+positional bound). What lines of a bucket have in common, one of the references
+has mostly too, so unlike lines hardly meet. Those that do, and whose sizes can be
+alike, are compared, in blocks of ``BLOCK`` lines, so that a frequent shingle is
+many small keys. So no two lines that share a bucket and meet the threshold stay
+apart. Of each component the line that comes first, by doc_id and line, stays.
 """
 
 from __future__ import annotations
@@ -50,6 +53,8 @@ PER_BIN = 2.5
 PERCENT = 75
 #: Lines that share a shingle in one block of their join.
 BLOCK = 256
+#: Lines of a pivot, besides itself, that order the shingles of the others.
+REFERENCES = 4
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -77,23 +82,43 @@ def _set(line) -> F.Column:
     return _bound(F.encode(line, "UTF-16BE"), lambda points: F.array_distinct(F.transform(_places(points), lambda i: F.xxhash64(_shingle(points, i)))))
 
 
-def _compared(line, other, percent: int, prefix: bool) -> F.Column:
-    """n (the size of the line's set), alike (whether the sets' similarity reaches percent) and, if asked for, prefix (in the order by the other line)."""
+def _alike(n, m, both, percent: int) -> F.Column:
+    """Whether sets of n and m shingles, both of them in common, reach the similarity of percent."""
+    return both * 100 >= F.lit(percent) * (n + m - both)
 
-    def result(s, both) -> F.Column:
-        x, n = s["x"], F.size(s["x"])
-        out = [n.alias("n"), (F.size(both) * 100 >= F.lit(percent) * (n + F.size(s["y"]) - F.size(both))).alias("alike")]
-        if prefix:
-            room = n - F.ceil(n * percent / F.lit(100)).cast("int") + 1
-            out.append(F.slice(F.concat(F.sort_array(F.array_except(x, both)), F.sort_array(both)), F.lit(1), room).alias("prefix"))
-        return F.struct(*out)
 
+def _compared(line, other, percent: int) -> F.Column:
+    """n (the size of the line's set) and alike (whether the sets' similarity reaches percent)."""
     sets = F.struct(_set(line).alias("x"), _set(other).alias("y"))
-    return _bound(sets, lambda s: _bound(F.array_intersect(s["x"], s["y"]), lambda both: result(s, both)))
+
+    def result(s) -> F.Column:
+        n, m, both = F.size(s["x"]), F.size(s["y"]), F.size(F.array_intersect(s["x"], s["y"]))
+        return F.struct(n.alias("n"), _alike(n, m, both, percent).alias("alike"))
+
+    return _bound(sets, result)
+
+
+def _ordered(line, refs, percent: int) -> F.Column:
+    """prefix, of the line's shingles those that no reference has first, then by the first reference that has them; and alike, the roots of the references that the line is alike."""
+
+    def split(state, ref) -> F.Column:
+        # what this reference has goes before what references before it have
+        old, left = state["order"], state["left"]
+        return F.struct(F.concat(F.sort_array(F.array_intersect(left, ref["set"])), old).alias("order"), F.array_except(left, ref["set"]).alias("left"))
+
+    def result(x) -> F.Column:
+        n = F.size(x)
+        room = n - F.ceil(n * percent / F.lit(100)).cast("int") + 1
+        start = F.struct(F.slice(x, 1, 0).alias("order"), x.alias("left"))
+        prefix = F.aggregate(refs, start, split, lambda s: F.slice(F.concat(F.sort_array(s["left"]), s["order"]), F.lit(1), room))
+        near = F.filter(refs, lambda r: _alike(n, F.size(r["set"]), F.size(F.array_intersect(x, r["set"])), percent))
+        return F.struct(prefix.alias("prefix"), F.array_distinct(F.transform(near, lambda r: r["root"])).alias("alike"))
+
+    return _bound(_set(line), result)
 
 
 def _minima(lines: DataFrame, limited: bool) -> DataFrame:
-    """h1, half, cut (whether values were limited) and the bins' least values m0, m1, ...; null: an empty bin."""
+    """h1, half, cut (whether values were limited), score (rows, so more for a line that stands often) and the bins' least values m0, m1, ...; null: an empty bin."""
     points = lines.select("h1", F.encode("line", "UTF-16BE").alias("points"))
     n = F.shiftright(F.octet_length("points"), 1) - (SHINGLE - 1)
     most = int(PER_BIN * HALVES * BINS)
@@ -103,51 +128,33 @@ def _minima(lines: DataFrame, limited: bool) -> DataFrame:
     low = (value.cast("long") * F.col("n") < F.lit(most << 16)) | F.lit(not limited)  # holds for all values of a line that isn't cut
     each = each.where(low | (F.col("i") == 1))  # so that every line has a row
     each = each.select("h1", "cut", F.col("x").bitwiseAND(F.lit(HALVES - 1)).alias("half"), F.when(low, F.shiftright("x", 1).bitwiseAND(F.lit(BINS - 1))).alias("bin"), value.alias("v"))
-    return each.groupBy("h1", "half", "cut").agg(*(F.min(F.when(F.col("bin") == b, F.col("v"))).alias(f"m{b}") for b in range(BINS)))
+    return each.groupBy("h1", "half", "cut").agg(F.count("*").alias("score"), *(F.min(F.when(F.col("bin") == b, F.col("v"))).alias(f"m{b}") for b in range(BINS)))
 
 
 def _banded(minima: DataFrame) -> DataFrame:
-    """h1, poor (limited, and many bins are empty) and bands, a hash of each band's rows."""
+    """h1, score, poor (limited, and many bins are empty) and bands, a hash of each band's rows."""
     rnd = random.Random(1)
     filled = sum((F.col(f"m{b}").isNotNull().cast("int") for b in range(BINS)), F.lit(0))
     some = minima.withColumn("some", F.coalesce(*(F.col(f"m{b}") for b in range(BINS))))
     value = [F.coalesce(F.col(f"m{b}"), *(F.col(f"m{i}") for i in rnd.sample([i for i in range(BINS) if i != b], 4)), F.col("some")) for b in range(BINS)]
     bands = F.array(*(F.xxhash64(F.lit(b), "half", *value[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)))
-    return some.select("h1", (F.col("cut") & (filled < BINS / 2)).alias("poor"), bands.alias("bands"))
+    return some.select("h1", "score", (F.col("cut") & (filled < BINS / 2)).alias("poor"), bands.alias("bands"))
 
 
 def _buckets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(bucket, h1) for every class; h2 isn't needed to find candidates."""
+    """(bucket, h1, score) for every class; h2 isn't needed to find candidates."""
     first = keep(_banded(_minima(_lines(docs), True)))
     poor = first.where("poor").select("h1").distinct()
-    bands = first.select("h1", "bands")
+    bands = first.select("h1", "score", "bands")
     if not poor.isEmpty():
         wanted = keep(classes.join(poor, "h1").select("h1", "h2", "first.doc_id", "first.line_no"))
-        bands = bands.join(wanted.select("h1"), "h1", "left_anti").unionByName(_banded(_minima(_texts(docs, wanted), False)).select("h1", "bands"))
-    return bands.select(F.explode("bands").alias("bucket"), "h1")
+        bands = bands.join(wanted.select("h1"), "h1", "left_anti").unionByName(_banded(_minima(_texts(docs, wanted), False)).select("h1", "score", "bands"))
+    return bands.select(F.explode("bands").alias("bucket"), "h1", "score")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h1 and line of each wanted class (h1, h2 and its first place)."""
-    return _lines(having(docs, wanted)).join(wanted, ["doc_id", "line_no", "h1", "h2"]).select("h1", "line").dropDuplicates(["h1"])
-
-
-def _links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
-    """Verified links (a, b) between classes, by h1: all that components need of the pairs that share a bucket."""
-    least = keep(buckets.groupBy("bucket").agg(F.min("h1").alias("p"), F.count("*").alias("k")).where("k > 1").select("bucket", "p"))
-    ties = keep(buckets.join(_few(least), "bucket").select("h1", "p").distinct())  # the least of a bucket is tied to itself
-    wanted = keep(classes.join(ties.select("h1").distinct(), "h1").select("h1", "h2", "first.doc_id", "first.line_no"))
-    texts = keep(_texts(docs, wanted))
-    a, b = texts, texts.select(F.col("h1").alias("p"), F.col("line").alias("other"))  # sets are several times longer
-
-    def compared(pairs: DataFrame, prefix: bool) -> DataFrame:
-        return pairs.where("h1 != p").join(a, "h1").join(b, "p").select("h1", "p", _compared(F.col("line"), F.col("other"), percent, prefix).alias("c"))
-
-    found = keep(compared(ties, True).select("h1", "p", "c.*"))
-    links = found.where("alike").select("h1", "p")
-    roots = components(links.select(F.col("h1").alias("a"), F.col("p").alias("b"))).select(F.col("node").alias("h1"), "root")
-    more = keep(compared(_prefix_pairs(found, roots, percent).distinct(), False).where("c.alike").select("h1", "p"))
-    return links.union(more).select(F.col("h1").alias("a"), F.col("p").alias("b"))
+    """h1, h2 and line of each wanted class (h1, h2 and its first place); one class for each h1."""
+    return _lines(having(docs, wanted)).join(wanted, ["doc_id", "line_no", "h1", "h2"]).select("h1", "h2", "line").dropDuplicates(["h1"])
 
 
 def _few(keys: DataFrame) -> DataFrame:
@@ -155,23 +162,81 @@ def _few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
 
 
-def _prefix_pairs(found: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(h1, p), h1 > p, of lines of one pivot and different roots that share a shingle of their prefixes and are alike in size; found: h1, p, n, prefix."""
-    rooted = keep(found.select("h1", "p", "n").join(roots, "h1", "left").withColumn("root", F.coalesce("root", "h1")))
-    split = keep(rooted.groupBy("p").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("p"))
+def _joined(docs: DataFrame, classes: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """h1, h2, root (a class's h1): the components by links between classes that share a bucket, verified by their texts; those without links may be absent."""
+    best = buckets.groupBy("bucket").agg(F.max(F.struct("score", "h1"))["h1"].alias("p"), F.count("*").alias("k")).where("k > 1").select("bucket", "p")
+    ties = keep(buckets.join(_few(keep(best)), "bucket").groupBy("h1", "p").agg(F.max("score").alias("score")))  # a pivot is tied to itself
+    wanted = keep(classes.join(ties.select("h1").distinct(), "h1").select("h1", "h2", "first.doc_id", "first.line_no"))
+    texts = keep(_texts(docs, wanted))
+    a, b = texts.select("h1", "line"), texts.select(F.col("h1").alias("p"), F.col("line").alias("other"))  # sets are several times longer
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        return pairs.where("h1 != p").join(a, "h1").join(b, "p").select(*pairs.columns, _compared(F.col("line"), F.col("other"), percent).alias("c"))
+
+    found = keep(compared(ties).select("h1", "p", "score", "c.*"))
+    roots = keep(_roots(found.where("alike").select(F.col("h1").alias("a"), F.col("p").alias("b"))))
+    rooted = keep(found.join(roots, "h1", "left").select("h1", "p", "score", "n", F.coalesce("root", "h1").alias("root")))
+    apart = _apart(rooted)
+    if apart.isEmpty():
+        return roots.join(texts.select("h1", "h2"), "h1")
+    members = keep(_ordered_members(rooted.join(_few(apart), "p"), a, percent))
+    near = members.select(F.col("root").alias("a"), F.explode("alike").alias("b"))
+    level = keep(_roots(near))
+    members = keep(_onto(members.drop("alike"), level))
+    pairs = keep(_prefix_pairs(members.join(_few(_apart(members)), "p"), percent).distinct())
+    more = keep(compared(pairs).where("c.alike").select(F.col("root").alias("a"), F.col("other_root").alias("b")))
+    # the components of components: of roots that the references joined, and of these by the prefix join
+    level = _onto(level.select("h1", "root"), more := keep(_roots(more))).union(more.select("h1", "root")).distinct()
+    nodes = roots.union(level.select("h1", F.col("h1").alias("root"))).distinct()
+    return _onto(nodes, level).join(texts.select("h1", "h2"), "h1")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    return components(links).select(F.col("node").alias("h1"), "root")
+
+
+def _onto(rows: DataFrame, level: DataFrame) -> DataFrame:
+    """rows, where each root is replaced by its own root in level (h1, root), if it is there."""
+    up = level.select(F.col("h1").alias("root"), F.col("root").alias("_up"))
+    return rows.join(up, "root", "left").withColumn("root", F.coalesce("_up", "root")).select(*rows.columns)
+
+
+def _apart(members: DataFrame) -> DataFrame:
+    """The pivots p whose lines have more than one root."""
+    return keep(members.groupBy("p").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("p"))
+
+
+def _ordered_members(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """p, h1, root, n of members with the prefix of their shingles' order, and alike, the roots of the references that they are alike."""
+    lot = F.pmod(F.xxhash64("h1", F.lit(9)), F.lit(REFERENCES))
+    chosen = members.groupBy("p").agg(*(F.max(F.when(lot == j, F.struct("score", "h1", "root"))).alias(f"r{j}") for j in range(REFERENCES)))
+    # the pivot has been compared with all; as a reference it only orders shingles
+    each = F.explode(F.array(F.struct(F.lit(None).cast("long").alias("score"), F.col("p").alias("h1"), F.lit(None).cast("long").alias("root")), *(F.col(f"r{j}") for j in range(REFERENCES))))
+    chosen = chosen.select("p", each.alias("r")).where("r is not null").select("p", "r.*")
+    sets = chosen.join(texts, "h1").select("p", F.struct("h1", "root", _set(F.col("line")).alias("set")).alias("r"))
+    refs = keep(sets.groupBy("p").agg(F.sort_array(F.collect_list("r")).alias("refs")))  # at most REFERENCES + 1
+    out = members.join(texts, "h1").join(refs, "p").select("p", "h1", "root", "n", _ordered(F.col("line"), F.col("refs"), percent).alias("o"))
+    return out.select("p", "h1", "root", "n", "o.prefix", F.filter("o.alike", lambda r: r.isNotNull()).alias("alike"))
+
+
+def _prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(h1, p, root, other_root), h1 > p, of lines of one pivot and different roots that share a shingle of their prefixes and are alike in size."""
     # a shingle of a pivot's lines is one key, by its hash; i is its place in the line's order
-    each = found.join(_few(split), "p").select("p", "h1", "n", F.posexplode("prefix").alias("i", "x")).select(F.xxhash64("p", "x").alias("x"), "h1", "n", "i")
-    groups = each.groupBy("x").agg(F.count("*").alias("k"), F.min("n").alias("low")).where("k > 1")
+    each = members.select("p", "h1", "root", "n", F.posexplode("prefix").alias("i", "x")).select(F.xxhash64("p", "x").alias("x"), "h1", "root", "n", "i")
+    groups = each.groupBy("x").agg(F.count("*").alias("k"), F.min("n").alias("low"), F.min("root").alias("least"), F.max("root").alias("last")).where("least != last").select("x", "k", "low")
     # of a pair's first common shingle: what may be common from there on must reach the overlap that the sizes ask for
     enough = lambda n, i, m: (F.col(n) - F.col(i)) * (100 + percent) >= (F.col(n) + F.col(m)) * percent
-    met = each.join(groups, "x").where(enough("n", "i", "low")).join(rooted.select("h1", "root").distinct(), "h1")
+    met = each.join(groups, "x").where(enough("n", "i", "low"))
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     dealt = keep(met.select("x", "h1", "root", "n", "i", blocks.alias("blocks"), F.pmod(F.xxhash64("h1", F.lit(5)), blocks).cast("int").alias("own")))
     one = dealt.select("x", F.col("own").alias("a"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("b"), "h1", "root", "n", "i")
     two = dealt.select("x", F.explode(F.expr("sequence(0, own)")).alias("a"), F.col("own").alias("b"), F.col("h1").alias("h2"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
     apart = (F.col("root") != F.col("root2")) & ((F.col("a") < F.col("b")) | (F.col("h1") < F.col("h2")))
     near = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * F.lit(percent)  # sets of other sizes can't be alike
-    return one.join(two, ["x", "a", "b"]).where(apart & near & enough("n", "i", "n2") & enough("n2", "i2", "n")).select(F.greatest("h1", "h2").alias("h1"), F.least("h1", "h2").alias("p"))
+    met = one.join(two, ["x", "a", "b"]).where(apart & near & enough("n", "i", "n2") & enough("n2", "i2", "n"))
+    first = F.col("h1") > F.col("h2")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return met.select(pick("h1", "h2").alias("h1"), pick("h2", "h1").alias("p"), pick("root", "root2").alias("root"), pick("root2", "root").alias("other_root"))
 
 
 def line_verdicts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -183,8 +248,7 @@ def line_verdicts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keys = keep(_lines(docs).select("doc_id", "version", "line_no", "h1", "h2"))
     classes = keep(keys.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first")))
-    links = _links(docs, classes, _buckets(docs, classes), percent)
-    near = classes.join(components(links).select(F.col("node").alias("h1"), "root"), "h1")
+    near = keep(classes.join(_joined(docs, classes, _buckets(docs, classes), percent), ["h1", "h2"]))
     roots = near.groupBy("root").agg(F.min("first").alias("kept"))
     known = near.join(roots, "root").select("h1", "h2", "kept")
     known = classes.join(known, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("kept", "first").alias("root"))
