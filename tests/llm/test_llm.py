@@ -555,6 +555,16 @@ def test_op7_learns(spark):
     assert trained[0] > bigram
 
 
+def test_op7_weights_do_not_depend_on_the_layout(spark, small, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_WINDOWS", 1_500)
+    df = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    scored = lambda d, rounds=None: {r["doc_id"]: r["score"] for r in lm.score(d, rounds=rounds).collect()}
+    one, many, untrained = scored(df.coalesce(1)), scored(df.repartition(12, "text")), scored(df, 0)
+    assert sum(one.values()) > 0.95 * sum(untrained.values())
+    assert one.keys() == many.keys()
+    assert all(many[i] == pytest.approx(one[i], rel=1e-5) for i in one)
+
+
 def test_op7_empty(empty):
     assert lm.score(empty).count() == 0
 

@@ -11,10 +11,12 @@ then one within the class.
 
 Subword ids are computed once and kept, two bytes each. Subword counts and the
 weights cover all training documents. The weights are trained in numpy on every
-window of these once, in ``ROUNDS`` rounds that deal the documents by a hash of
-their words: in a round every task trains on its windows from the same weights,
-and the results, weighed by their windows, are averaged by a distributed sum of
-integers, which doesn't depend on the order.
+window of these once, in ``ROUNDS`` rounds that deal the documents by a hash. In
+a round they are dealt to shards of about ``SHARD_WINDOWS`` windows, as many as
+the corpus asks for; each shard trains in a fixed order from the same weights, and
+the results, weighed by their windows, are averaged by a distributed sum of
+integers. So the weights don't depend on how rows are dealt to tasks, and a shard
+learns as much however many tasks there are.
 
 The base score needs the count of every word of the corpus. Distinct words with
 their counts, and which text has them how often, are packed into arrays by hash
@@ -50,6 +52,10 @@ CONTEXT = 16
 ROUNDS = 2
 #: Windows in one step of training.
 STEP_WINDOWS = 256
+#: Windows that one set of weights is trained on before it is averaged with others.
+SHARD_WINDOWS = 50_000
+#: Shards that a task adds up before it sends their sum, which fits 64 bits.
+SUM_SHARDS = 128
 #: Entries of (text, word) in one bucket.
 BUCKET = 4_000_000
 CHUNK = 2 << 20
@@ -325,40 +331,79 @@ def _streams(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.n
         yield a, b, np.ascontiguousarray(data).view(np.uint16), off // 2
 
 
+def _flat(weights: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([weights[k].ravel() for k in sorted(weights)])
+
+
 def _train(shared, symbols, rate):
-    """The weights after one pass over a task's windows, times their number, in integers."""
+    """Sums over shards of the weights after a pass over a shard's windows, times their number, in integers; rows come sorted by shard.
 
-    def run(batches):
-        weights, state, seen = {k: v.copy() for k, v in shared.value.items()}, {}, 0
+    A shard's texts are cut into runs by their own lengths, so neither the
+    batches that Arrow makes nor the shards before play a part.
+    """
+
+    def step(texts: list[bytes], weights: dict, state: dict) -> int:
+        start = np.append(0, np.cumsum([len(t) // 2 for t in texts]))
+        s = Stream(symbols.value.of[np.frombuffer(b"".join(texts), np.uint16)], start)
+        order = np.random.default_rng(len(s.first)).permutation(len(s.first))
+        for a in range(0, len(order), STEP_WINDOWS):
+            fit(weights, *s.windows(order[a : a + STEP_WINDOWS]), state, rate)
+        return len(order)
+
+    def shards(batches) -> Iterator[tuple[np.ndarray, int]]:
+        shard = None
         for batch in batches:
-            for _, _, y, start in _streams(batch):
-                s = Stream(symbols.value.of[y], start)
-                order = np.random.default_rng(len(s.first)).permutation(len(s.first))
-                for a in range(0, len(order), STEP_WINDOWS):
-                    fit(weights, *s.windows(order[a : a + STEP_WINDOWS]), state, rate)
-                seen += len(order)
-        if seen:
-            flat = np.concatenate([weights[k].ravel() for k in sorted(weights)]).astype(np.float64)
-            whole = np.round(flat * FIXED).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(whole), pa.array(np.full(len(flat), seen))], ["i", "w", "seen"])
+            for own, raw in zip(batch.column("shard").to_pylist(), batch.column("ids"), strict=True):
+                if own != shard:
+                    if shard is not None:
+                        seen += step(texts, weights, state) if texts else 0
+                        yield _flat(weights), seen
+                    shard, weights, state, texts, held, seen = own, {k: v.copy() for k, v in shared.value.items()}, {}, [], 0, 0
+                texts.append(raw.as_py())
+                held += len(texts[-1])
+                if held >= CHUNK:
+                    seen += step(texts, weights, state)
+                    texts, held = [], 0
+        if shard is not None:
+            seen += step(texts, weights, state) if texts else 0
+            yield _flat(weights), seen
+
+    def run(batches):
+        total, windows, n = 0, 0, 0
+
+        def sums():
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total), pa.array(np.full(len(total), windows))], ["i", "w", "seen"])
+
+        for flat, seen in shards(batches):
+            total = total + np.round(flat.astype(np.float64) * FIXED).astype(np.int64) * seen
+            windows, n = windows + seen, n + 1
+            if n == SUM_SHARDS:
+                yield sums()
+                total, windows, n = 0, 0, 0
+        if n:
+            yield sums()
 
     return run
 
 
 #: Weights are added up as integers, in steps of 1/FIXED.
-FIXED = 2**32
+FIXED = 2**30
 
 
 def train(ids: DataFrame, symbols, rounds: int | None = None) -> dict[str, np.ndarray]:
-    """Weights from the rows (ver, ids) of the training texts."""
+    """Weights from the rows (doc_id, ver, ids) of the training texts; rows that are equal in doc_id and text are in one shard."""
     spark = ids.sparkSession
     rounds = ROUNDS if rounds is None else rounds
     weights = first_weights(symbols.value.share)
+    windows = ids.agg(F.sum(F.ceil(F.octet_length("ids") / (2 * STRIDE)))).first()[0] or 0
+    shards = max(1, round(windows / max(1, rounds) / SHARD_WINDOWS))
+    dealt = ids.select(F.xxhash64("doc_id", "ver").alias("lot"), "doc_id", "ver", "ids")
     for r in range(rounds):
         shared = spark.sparkContext.broadcast(weights)
-        part = ids.where(F.pmod("ver", F.lit(rounds)) == r).select("ids")
-        sums = part.mapInArrow(_train(shared, symbols, 0.02 / (1 + r)), "i int, w long, seen long").groupBy("i").agg(F.sum(F.col("w").cast("decimal(38,0)") * F.col("seen")).alias("w"), F.sum("seen").alias("seen"))
-        got = sums.collect()  # one row for each weight, however many tasks there are
+        own = dealt.where(F.pmod("lot", F.lit(rounds)) == r).withColumn("shard", F.pmod(F.xxhash64("lot", F.lit(r)), F.lit(shards)))
+        part = own.repartition("shard").sortWithinPartitions("shard", "lot", "doc_id", "ver").select("shard", "ids")
+        sums = part.mapInArrow(_train(shared, symbols, 0.02 / (1 + r)), "i int, w long, seen long").groupBy("i").agg(F.sum(F.col("w").cast("decimal(38,0)")).alias("w"), F.sum("seen").alias("seen"))
+        got = sums.collect()  # one row for each weight, however many shards there are
         if got:
             flat = np.zeros(len(got), np.float32)
             flat[[g[0] for g in got]] = [int(g[1]) / g[2] / FIXED for g in got]
@@ -497,7 +542,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int | None = No
     for i, n in encoded.where("id is not null").groupBy("id").agg(F.sum("n")).collect():
         counts[i] = n  # a row for each subword of the vocabulary
     symbols = spark.sparkContext.broadcast(Symbols(counts))
-    weights = spark.sparkContext.broadcast(train(texts.where("not held_out").select("ver", "ids"), symbols, rounds))
+    weights = spark.sparkContext.broadcast(train(texts.where("not held_out").select("doc_id", "ver", "ids"), symbols, rounds))
     scored = keep(texts.select("doc_id", "ver", "held_out", "n_words", "ids").mapInArrow(_score(symbols, weights), "doc_id long, ver long, held_out boolean, n_words long, score double"))
     row = scored.agg(F.sum("n_words"), F.sum(F.when(~F.col("held_out"), F.col("n_words") + 1)), F.count(F.when(~F.col("held_out"), 1))).first()
     words, train_tokens, train_docs = (x or 0 for x in row)
