@@ -202,7 +202,7 @@ def dual_scores(spark, folder):
 @query("""WITH a AS (SELECT user_id, event_type AS metric, avg(value) AS v FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY ALL), b AS (SELECT user_id, event_type AS metric, avg(value) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY ALL)
 SELECT metric, count(*) AS n, round(avg(b.v - a.v), 6) AS delta, count(*) FILTER (b.v - a.v > 1) AS win, count(*) FILTER (abs(b.v - a.v) <= 1) AS tie, count(*) FILTER (b.v - a.v < -1) AS loss FROM a JOIN b USING (user_id, metric) GROUP BY metric""")
 def run_compare(spark, folder):
-    own = lambda c: _events(spark, folder).where(c).groupBy(F.col("user_id").alias("case_id"), F.col("event_type").alias("metric")).agg(F.avg("value").alias("value"))
+    own = lambda c: _events(spark, folder).where(c).groupBy(F.col("user_id").alias("case_id"), F.col("event_type").alias("metric")).agg(evaluation.exact_mean(F.col("value")).alias("value"))
     return evaluation.compare_runs(own("ts < timestamp'2024-01-15'"), own("ts >= timestamp'2024-01-15'"), 1.0)
 
 
