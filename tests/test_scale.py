@@ -6,11 +6,20 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from weftline.functions.text import upper
 from weftline.operators import evaluation, quantised, retrieval
 
 TEXT = "id long, text string"
 
 
+def test_upper_by_characters(spark):
+    import duckdb
+
+    texts = ["Straße", "ﬁn ŉ ǰ ᾀ և", "ẞ ÿ ı ǆ", "plain", "", "ßß", None]
+    mine = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], TEXT).orderBy("id").select(upper(F.col("text"))).collect()]
+    assert mine == [duckdb.execute("SELECT upper(?)", [t]).fetchone()[0] for t in texts]
+
+
 def test_means_do_not_depend_on_order(spark):
     means = set()
     for values in ([0.1, 0.2, 0.3], [0.3, 0.2, 0.1], [0.2, 0.3, 0.1]):

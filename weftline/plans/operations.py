@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.text import upper
 from ..operators import significance, sketches, traces
 from ..sources.manifest import BucketIndex
 from ..sources.shared import shared_folder
@@ -21,7 +22,7 @@ def _merged(spark, folder):
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("hash"), "text")
     index = BucketIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", buckets=BUCKETS)
     index.merge(docs.where("id % 100 != 3"))
-    late = docs.where("id % 100 in (1, 2, 3)").withColumns({"hash": F.when(F.col("id") % 100 == 1, F.md5(F.upper("text"))).otherwise(F.col("hash")), "gone": F.col("id") % 100 == 2})
+    late = docs.where("id % 100 in (1, 2, 3)").withColumns({"hash": F.when(F.col("id") % 100 == 1, F.md5(upper(F.col("text")))).otherwise(F.col("hash")), "gone": F.col("id") % 100 == 2})
     index.merge(late, deleted="gone")
     return index
 
