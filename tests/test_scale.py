@@ -12,6 +12,66 @@ from weftline.operators import evaluation, quantised, retrieval
 TEXT = "id long, text string"
 
 
+def brute(queries, parts, k):
+    cut = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    docs = [(i, cut(t)) for i, t in parts]
+    n, mean = len(docs), sum(len(w) for _, w in docs) / len(docs)
+    out = []
+    for q, text in queries:
+        best = {}
+        for i, w in docs:
+            score = 0.0
+            for t in set(cut(text)) & set(w):
+                df = sum(t in x for _, x in docs)
+                score += math.log(1 + (n - df + 0.5) / (df + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean))
+            if score > 0:
+                best[i] = max(best.get(i, 0.0), round(score, 6))
+        out += [(q, i, s, r) for r, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k], 1)]
+    return out
+
+
+def same(a, b):
+    return [(q, i, r) for q, i, _, r in a] == [(q, i, r) for q, i, _, r in b] and [x[2] for x in a] == pytest.approx([x[2] for x in b], abs=2e-6)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rnd = np.random.default_rng(3)
+    words = ["the", "of", *(f"w{i}" for i in range(40))]
+    make = lambda: " ".join(["the", *rnd.choice(words, rnd.integers(0, 30))])
+    return [(i, make()) for i in range(300)] + [(300, None), (301, "")], [(i, make()) for i in range(9)] + [(9, "absent"), (10, None)]
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_bm25_by_rows(spark, texts, monkeypatch, block):
+    """Ten of ten, in one block of queries and in several; a row of the corpus is a row of postings, however frequent its terms are."""
+    docs, queries = texts
+    monkeypatch.setattr(retrieval, "TEXT_BLOCK", block)
+    q, d = spark.createDataFrame(queries, TEXT), spark.createDataFrame(docs, TEXT).repartition(3)
+    got = [tuple(r) for r in retrieval.bm25_topk(q, d, 10).orderBy("query_id", "rank").collect()]
+    assert same(got, brute(queries, docs, 10))
+    assert retrieval.postings(d, ["the", "of", "w1"]).count() == len(docs)
+
+
+def test_bm25_of_parts(spark, texts):
+    """Parts of an item stand in different tasks; an item has one row, with the score of its best part."""
+    docs, queries = texts
+    parts = [(i % 50, t) for i, t in docs]
+    got = [tuple(r) for r in retrieval.bm25_topk(spark.createDataFrame(queries, TEXT), spark.createDataFrame(parts, TEXT).repartition(5), 10, parts=True).orderBy("query_id", "rank").collect()]
+    assert same(got, brute(queries, parts, 10))
+
+
+def shuffled(df):
+    return df._jdf.queryExecution().toString().count("Exchange")
+
+
+def test_hashed_vectors_stay_in_rows(spark):
+    df = spark.createDataFrame([(1, "a b a"), (2, None), (3, "--"), (4, "Éa b")], TEXT)
+    vectors = retrieval.hashed_vectors(df)
+    assert shuffled(vectors) == 0
+    assert {r["id"]: round(sum(x * x for x in r["vector"]), 4) for r in vectors.collect()} == {1: 1.0, 4: 1.0}
+
+
 def test_upper_by_characters(spark):
     import duckdb
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators import prompts, proximity, quantised, subwords
+from ..sources.shared import keep
 from ..sources.tables import table
 from .registry import query
-from .search import _COSINE, BM25, JUDGED, VECTORS, _corpus, _metrics, _queries, _top, _vectors, bm25, metrics
+from .search import _COSINE, BM25, JUDGED, VECTORS, _corpus, _metrics, _queries, _top, _vectors, bm25, judged, metrics
 
 #: CTEs of the smallest span of each of the 20 best documents: for each place of a term, the last place of every other.
 SPANS = rf"""{BM25}, {_top('t', 20)},
@@ -27,8 +28,8 @@ ps AS (
 pr AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_score DESC, item_id) AS INTEGER) AS rank FROM ps) WHERE rank <= 5)"""
 
 
-def _reranked(spark, folder):
-    return proximity.proximity_rerank(bm25(spark, folder, 20), _queries(spark, folder), _corpus(spark, folder))
+def _reranked(spark, folder, hits=None):
+    return proximity.proximity_rerank(bm25(spark, folder, 20) if hits is None else hits, _queries(spark, folder), _corpus(spark, folder))
 
 
 @query(f"WITH {SPANS} SELECT query_id, item_id, CAST(n_found AS INTEGER) AS n_found, CAST(span AS INTEGER) AS span, score, rank FROM pr")
@@ -42,8 +43,9 @@ own2 AS (SELECT query_id, min(rank) AS first FROM pr JOIN j USING (query_id, ite
 SELECT count(*) AS n, round(avg(coalesce(1.0::DOUBLE / own2.first, 0) - m.rr), 5) AS rr_gain FROM m LEFT JOIN own2 USING (query_id)""")
 def proximity_gain(spark, folder):
     """Mean change of the reciprocal rank by reranking on proximity."""
-    before = metrics(spark, folder, bm25(spark, folder, 20), 5).select("query_id", F.col("rr").alias("a"))
-    after = metrics(spark, folder, _reranked(spark, folder), 5).select("query_id", F.col("rr").alias("b"))
+    first, relevant = bm25(spark, folder, 20), judged(spark, folder)
+    before = metrics(spark, folder, first, 5, relevant).select("query_id", F.col("rr").alias("a"))
+    after = metrics(spark, folder, _reranked(spark, folder, first), 5, relevant).select("query_id", F.col("rr").alias("b"))
     return before.join(after, "query_id").agg(F.count("*").alias("n"), F.round(F.avg(F.col("b") - F.col("a")), 5).alias("rr_gain"))
 
 
@@ -85,7 +87,7 @@ dv AS (SELECT query_id, item_id, gain, taken AS rank FROM mm WHERE step = 5 AND
 
 
 def _diverse(spark, folder):
-    return prompts.diverse(bm25(spark, folder, 20), _corpus(spark, folder))
+    return keep(prompts.diverse(bm25(spark, folder, 20), _corpus(spark, folder)))  # five rows an item, read more than once by what follows
 
 
 @query(f"WITH RECURSIVE {MMR} SELECT query_id, item_id, round(gain, 6) AS gain, rank FROM dv")
