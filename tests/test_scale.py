@@ -72,6 +72,41 @@ def test_hashed_vectors_stay_in_rows(spark):
     assert {r["id"]: round(sum(x * x for x in r["vector"]), 4) for r in vectors.collect()} == {1: 1.0, 4: 1.0}
 
 
+@pytest.fixture(scope="module")
+def vectors(spark):
+    m = np.random.default_rng(5).normal(size=(700, 8))
+    m[100:180] = m[0]  # a large group of copies
+    return spark.createDataFrame([(i, m[i].tolist(), int(i % 3)) for i in range(700)], "id long, vector array<double>, label int").repartition(5), m
+
+
+def nearest(m, k, allowed=lambda q, i: q != i):
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    score = np.round(unit @ unit.T, 6)
+    return {(q, i, r) for q in range(0, len(m), 50) for r, i in enumerate(sorted((i for i in range(len(m)) if allowed(q, i)), key=lambda i: (-score[q, i], i))[:k], 1)}
+
+
+def test_vector_search_in_small_blocks(spark, vectors, monkeypatch):
+    """A task holds few scores at a time and still finds the best."""
+    df, m = vectors
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    own = df.where("id % 50 = 0")
+    found = lambda x: {(r["query_id"], r["item_id"], r["rank"]) for r in x.collect()}
+    assert found(retrieval.vector_topk(own, df, 7)) == nearest(m, 7)
+    assert found(retrieval.vector_topk(own, df, 5, same="label")) == nearest(m, 5, lambda q, i: q != i and q % 3 == i % 3)
+    assert found(retrieval.vector_topk(own, df, 1, earlier=True)) == nearest(m, 1, lambda q, i: i < q)
+
+
+def test_best_keeps_few():
+    from weftline.operators.best import SCORES, Best
+
+    best = Best([1, 2], 3)
+    for a in range(0, 1_000_000, 50_000):
+        best.offer_all(np.arange(2), np.arange(a, a + 50_000), np.tile(np.linspace(0, 1, 50_000), (2, 1)))
+        assert best.new <= SCORES
+    (out,) = best.batches()
+    assert out.column("item_id").to_pylist() == [49_999, 99_999, 149_999] * 2
+
+
 def test_upper_by_characters(spark):
     import duckdb
 
