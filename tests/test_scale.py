@@ -96,6 +96,16 @@ def test_vector_search_in_small_blocks(spark, vectors, monkeypatch):
     assert found(retrieval.vector_topk(own, df, 1, earlier=True)) == nearest(m, 1, lambda q, i: i < q)
 
 
+def test_cells_and_codes_are_exact_without_pairs(spark, vectors):
+    """Both indexes give the exact neighbours, and their plans join no pairs."""
+    df, m = vectors
+    own = df.where("id % 50 = 0")
+    for index in (retrieval.CellIndex(df, sample=200),):
+        got = index.exact_topk(own, 7)
+        assert "Join" not in got._jdf.queryExecution().toString()
+        assert {(r["query_id"], r["item_id"], r["rank"]) for r in got.collect()} == nearest(m, 7)
+
+
 def test_best_keeps_few():
     from weftline.operators.best import SCORES, Best
 
