@@ -100,7 +100,7 @@ def test_cells_and_codes_are_exact_without_pairs(spark, vectors):
     """Both indexes give the exact neighbours, and their plans join no pairs."""
     df, m = vectors
     own = df.where("id % 50 = 0")
-    for index in (retrieval.CellIndex(df, sample=200),):
+    for index in (retrieval.CellIndex(df, sample=200), quantised.ProductIndex(df, parts=4)):
         got = index.exact_topk(own, 7)
         assert "Join" not in got._jdf.queryExecution().toString()
         assert {(r["query_id"], r["item_id"], r["rank"]) for r in got.collect()} == nearest(m, 7)

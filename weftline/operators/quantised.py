@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 from ..sources.shared import among
+from .best import FOUND, SCORES, Best, matrix
 
 #: Queries whose tables are in one broadcast, at 1 kB a part each.
 QUERY_BLOCK = 512
+#: Queries in one broadcast of the exact search.
+EXACT_BLOCK = 4096
 CODES = 256
 
 
@@ -146,15 +149,45 @@ class ProductIndex:
         return _top(self._rescored(candidates, queries), k)
 
     def exact_topk(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        """The exact k nearest: a code's score is off by at most its error, so rows whose score and error stay under the k-th best found so far can't be nearer."""
-        queries = _good(queries)
-        floor = self.topk(queries, k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
-        bounded = queries.join(floor, "id", "left")
-
-        def possible(guess, error, floor, other):
-            return np.flatnonzero(other & (guess + error >= (-2.0 if floor is None else floor - 1e-5)))
+        """The exact k nearest: a code's score is off by at most its error, so rows whose score and error stay under the k-th best found so far can't be nearer.
+
+        Codes and vectors are read side by side: what the codes can't rule out
+        is scored by the vectors in the same task, which keeps its k best of each
+        query. So what is shuffled is k rows for each query and task, also where
+        the codes rule out little.
+        """
+        spark, centres = self.corpus.sparkSession, self.centres
+        queries, out = _good(queries), None
+        n = queries.count() if self.corpus.head(1) else 0
+        blocks = -(-n // EXACT_BLOCK)
+        for block in range(blocks):
+            rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect()  # about EXACT_BLOCK
+            if not rows:
+                continue
+            shared = spark.sparkContext.broadcast(([r["id"] for r in rows], _units([r["vector"] for r in rows])))
 
-        return _top(self._rescored(self._search(bounded, possible), queries), k)
+            def scan(batches, shared=shared):
+                ids, units = shared.value
+                best, every, step = Best(ids, k), np.arange(len(ids)), max(1, SCORES // len(ids))
+                for batch in batches:
+                    ok, m = matrix(batch.column("vector"), units.shape[1])
+                    items = batch.column("id").to_numpy(zero_copy_only=False)[ok]
+                    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+                    for a in range(0, len(items), step):
+                        item, own = items[a : a + step], m[a : a + step]
+                        code = _decode(_encode(own, centres), centres)
+                        bound = units @ code.T + np.linalg.norm(own - code, axis=1)[None, :]
+                        possible = (bound >= best.floor[:, None] - 1e-5) & (best.ids[:, None] != item[None, :])
+                        if possible.mean() > 1 / 16:
+                            best.offer_all(every, item, units @ own.T, possible)
+                        else:
+                            q, i = np.nonzero(possible)
+                            best.offer(q, item[i], np.einsum("ij,ij->i", units[q], own[i]))
+                yield from best.batches()
+
+            found = self.corpus.select("id", "vector").mapInArrow(scan, FOUND)
+            out = found if out is None else out.unionByName(found)
+        return _top(out if out is not None else spark.createDataFrame([], FOUND), k)
 
 
 def _encode(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
