@@ -132,3 +132,58 @@ def test_means_do_not_depend_on_order(spark):
         means.add(df.agg(evaluation.exact_mean(F.col("v"))).head()[0])
     assert means == {0.6 / 3}
     assert spark.createDataFrame([(None,)], "v double").agg(evaluation.exact_mean(F.col("v"))).head()[0] is None
+
+
+def test_state_calls_do_not_grow_with_events():
+    """A key's rows and its timer cost a fixed number of calls of the state store."""
+    import pandas as pd
+    from weftline.streaming.sessions import Sessions
+
+    class Value:
+        def __init__(self):
+            self.value, self.calls = None, 0
+
+        def exists(self):
+            self.calls += 1
+            return self.value is not None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def clear(self):
+            self.calls, self.value = self.calls + 1, None
+
+    class Handle:
+        def __init__(self):
+            self.values, self.timers = {}, []
+
+        def getValueState(self, name, _):
+            return self.values.setdefault(name, Value())
+
+        def listTimers(self):
+            return list(self.timers)
+
+        def registerTimer(self, t):
+            self.timers.append(t)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 900_000
+
+    def calls(n):
+        handle, own = Handle(), Sessions(1_000_000)
+        own.init(handle)
+        rows = pd.DataFrame({"event_id": [*range(n), 0], "at": [i * 2_000_000 for i in [*range(n), 0]], "value": [1.0] * (n + 1)})
+        list(own.handleInputRows((7,), iter([rows]), Times()))
+        (out,) = own.handleExpiredTimer((7,), Times(), None)
+        assert len(out) == min(n, 450) and out["n"].sum() == len(out)
+        return sum(v.calls for v in handle.values.values())
+
+    assert calls(400) == calls(4) <= 20

@@ -1,10 +1,11 @@
-"""Sessions over a stream: value, list and map state with event-time timers."""
+"""Sessions over a stream: packed values as state, with event-time timers."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 OUTPUT = "user_id long, session_no long, first timestamp, last timestamp, n long, total double"
 
+RUN = np.dtype([("first", np.int64), ("last", np.int64), ("n", np.int64), ("total", np.float64)])
+
 
 @contextmanager
 def state_store(spark: SparkSession):
@@ -38,13 +41,14 @@ def merged(runs: list[tuple], gap: int) -> list[tuple]:
 
 
 class Sessions(StatefulProcessor):
-    """A key's open sessions as a list of runs, the ids it has seen as a map, and how many sessions it has closed as a value.
+    """A key's open sessions, the ids it has seen and how many sessions it has closed, as values.
 
     An event makes a run of its own, and runs that come closer than the gap are
     one, so events may come in any order, and no event is kept. A timer stands
     at the earliest time at which a session is over. An id is forgotten when
     the watermark has passed its time, as Spark drops what comes after that.
-    Times are microseconds.
+    Runs are one packed value, and so are ids with their times: a call of the state store
+    goes through a socket, and their number is of batches, not of events. Times are microseconds.
     """
 
     def __init__(self, gap_us: int):
@@ -53,8 +57,8 @@ class Sessions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.closed = handle.getValueState("closed", "n long")
-        self.open = handle.getListState("open", "first long, last long, n long, total double")
-        self.seen = handle.getMapState("seen", "id long", "at long")
+        self.open = handle.getValueState("open", "runs binary")
+        self.seen = handle.getValueState("seen", "ids binary")
 
     def _over(self, run: tuple) -> int:
         """The millisecond at which a session can't grow any more."""
@@ -62,7 +66,7 @@ class Sessions(StatefulProcessor):
 
     def _keep(self, runs: list[tuple]) -> None:
         if runs:
-            self.open.put(runs)
+            self.open.update((np.array(runs, RUN).tobytes(),))
         else:
             self.open.clear()
         due = [min(map(self._over, runs))] if runs else []
@@ -73,30 +77,48 @@ class Sessions(StatefulProcessor):
             for t in due:
                 self.handle.registerTimer(t)
 
+    def _runs(self) -> list[tuple]:
+        return np.frombuffer(self.open.get()[0], RUN).tolist() if self.open.exists() else []
+
+    def _seen(self) -> dict[int, int]:
+        """The ids seen, with their times."""
+        if not self.seen.exists():
+            return {}
+        packed = np.frombuffer(self.seen.get()[0], np.int64).reshape(-1, 2)
+        return dict(packed.tolist())
+
+    def _remember(self, known: dict[int, int]) -> None:
+        if known:
+            self.seen.update((np.array(list(known.items()), np.int64).tobytes(),))
+        else:
+            self.seen.clear()
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = {k[0] for k in self.seen.keys()} if self.seen.exists() else set()
-        new = []
+        known = self._seen()
+        before, new = len(known), []
         for part in rows:
             for i, at, value in zip(part["event_id"], part["at"], part["value"], strict=True):
                 if pd.notna(i):
                     if int(i) in known:
                         continue
-                    known.add(int(i))
-                    self.seen.updateValue((int(i),), (int(at),))
+                    known[int(i)] = int(at)
                 new.append((int(at), int(at), 1, 0.0 if pd.isna(value) else float(value)))
+        if len(known) > before:
+            self._remember(known)
         if new:
-            self._keep(merged([*(tuple(r) for r in self.open.get()), *new], self.gap))
-        yield _frame([])
+            self._keep(merged([*self._runs(), *new], self.gap))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        runs = merged([tuple(r) for r in self.open.get()], self.gap)
+        runs = merged(self._runs(), self.gap)
         over, rest = [r for r in runs if self._over(r) <= now], [r for r in runs if self._over(r) > now]
         n = self.closed.get()[0] if self.closed.exists() else 0
         self.closed.update((n + len(over),))
-        for k, at in list(self.seen.iterator()):
-            if at[0] < now * 1000:
-                self.seen.removeKey(k)
+        known = self._seen()
+        late = {i: at for i, at in known.items() if at >= now * 1000}
+        if len(late) < len(known):
+            self._remember(late)
         self._keep(rest)
         yield _frame([(key[0], n + i, *r) for i, r in enumerate(over, 1)])
 
