@@ -388,6 +388,18 @@ def test_op5_links_all_pairs_of_a_bucket(spark, monkeypatch):
     assert got == {i: want[i, 0][0] for i in got}
 
 
+def test_op5_pairs_meet_once(spark):
+    """A pair of lines with one edit in common meets at one of the shingles there, not at each of them; pairs that share too little don't meet."""
+    n, same, apart = 60, list(range(1000, 1012)), 2000
+    members = []
+    for h in range(40):  # two by two they share 12 of 16 prefix shingles; the last pair shares 2
+        shared = [x + 100 * (h // 2) for x in (same if h < 38 else same[:2])]
+        members.append((7, h, h, n, shared + [apart + 100 * h + j for j in range(16 - len(shared))]))
+    rows = spark.createDataFrame(members, "p long, h1 long, root long, n int, prefix array<long>")
+    got = [tuple(r) for r in line_dedup._prefix_pairs(rows, 75).collect()]
+    assert sorted(got) == [(h + 1, h, h + 1, h) for h in range(0, 38, 2)]
+
+
 def test_op5_empty(empty):
     assert line_dedup.line_report(empty).count() == 0
     assert line_dedup.dedup_lines(empty).count() == 0

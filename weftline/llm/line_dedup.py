@@ -25,11 +25,15 @@ frequent ones of them, too. What still is apart is compared with each other by a
 exact prefix join: their shingles are ordered, those that none of the references
 has first, and of a line's n shingles one of the first n - ceil(t n) + 1 stands
 among those of every line that it links with, with enough others behind it (the
-positional bound). What lines of a bucket have in common, one of the references
-has mostly too, so unlike lines hardly meet. Those that do, and whose sizes can be
-alike, are compared, in blocks of ``BLOCK`` lines, so that a frequent shingle is
-many small keys. So no two lines that share a bucket and meet the threshold stay
-apart. Of each component the line that comes first, by doc_id and line, stays.
+positional bound). Of shingles that stand in the same lines only the first is a
+key, as a pair of lines that meets at one of them meets at all. Prefixes that are
+not long go along, so that a pair meets only once, and not at all if they have
+so few shingles in common that the sets can't be alike. What lines of a bucket
+have in common, one of the references has mostly too, so unlike lines hardly
+meet. Those that do, and whose sizes can be alike, are compared, in blocks of
+``BLOCK`` lines, so that a frequent shingle is many small keys. So no two lines
+that share a bucket and meet the threshold stay apart. Of each component the line
+that comes first, by doc_id and line, stays.
 """
 
 from __future__ import annotations
@@ -55,6 +59,8 @@ PERCENT = 75
 BLOCK = 256
 #: Lines of a pivot, besides itself, that order the shingles of the others.
 REFERENCES = 4
+#: Shingles of the longest prefix that goes along with each of its shingles.
+CARRIED = 256
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -221,19 +227,28 @@ def _ordered_members(members: DataFrame, texts: DataFrame, percent: int) -> Data
 
 def _prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(h1, p, root, other_root), h1 > p, of lines of one pivot and different roots that share a shingle of their prefixes and are alike in size."""
-    # a shingle of a pivot's lines is one key, by its hash; i is its place in the line's order
-    each = members.select("p", "h1", "root", "n", F.posexplode("prefix").alias("i", "x")).select(F.xxhash64("p", "x").alias("x"), "h1", "root", "n", "i")
-    groups = each.groupBy("x").agg(F.count("*").alias("k"), F.min("n").alias("low"), F.min("root").alias("least"), F.max("root").alias("last")).where("least != last").select("x", "k", "low")
+    # a shingle s of a pivot's lines is one key, by its hash; i is its place in the line's order
+    short = F.when(F.size("prefix") <= CARRIED, F.col("prefix")).alias("pre")
+    each = members.select("p", "h1", "root", "n", F.posexplode("prefix").alias("i", "s")).withColumn("x", F.xxhash64("p", "s"))
+    lines = F.bit_xor(F.xxhash64("h1", F.lit(3)))  # with their number and the least of them, which lines these are
+    groups = each.groupBy("x").agg(F.count("*").alias("k"), F.min("n").alias("low"), F.min("root").alias("least"), F.max("root").alias("last"), F.min("p").alias("p"), lines.alias("lines"), F.min(F.struct("h1", "i")).alias("at")).where("least != last")
+    # shingles that stand in the same lines, as neighbours mostly do, have one order there: the first of them is a key for all
+    groups = groups.groupBy("p", "k", "lines", F.col("at.h1").alias("h1"), "low").agg(F.min(F.struct("at.i", "x"))["x"].alias("x")).select("x", "k", "low")
     # of a pair's first common shingle: what may be common from there on must reach the overlap that the sizes ask for
-    enough = lambda n, i, m: (F.col(n) - F.col(i)) * (100 + percent) >= (F.col(n) + F.col(m)) * percent
-    met = each.join(groups, "x").where(enough("n", "i", "low"))
+    reached = lambda both, n, m: both * (100 + percent) >= (F.col(n) + F.col(m)) * percent
+    enough = lambda n, i, m: reached(F.col(n) - F.col(i), n, m)
+    met = each.join(_few(keep(groups)), "x").where(enough("n", "i", "low")).join(members.select("p", "h1", short), ["p", "h1"])
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    dealt = keep(met.select("x", "h1", "root", "n", "i", blocks.alias("blocks"), F.pmod(F.xxhash64("h1", F.lit(5)), blocks).cast("int").alias("own")))
-    one = dealt.select("x", F.col("own").alias("a"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("b"), "h1", "root", "n", "i")
-    two = dealt.select("x", F.explode(F.expr("sequence(0, own)")).alias("a"), F.col("own").alias("b"), F.col("h1").alias("h2"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
+    dealt = keep(met.select("x", "s", "h1", "root", "n", "i", "pre", blocks.alias("blocks"), F.pmod(F.xxhash64("h1", F.lit(5)), blocks).cast("int").alias("own")))
+    one = dealt.select("x", "s", F.col("own").alias("a"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("b"), "h1", "root", "n", "i", "pre")
+    two = dealt.select("x", F.explode(F.expr("sequence(0, own)")).alias("a"), F.col("own").alias("b"), F.col("h1").alias("h2"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("pre").alias("pre2"))
     apart = (F.col("root") != F.col("root2")) & ((F.col("a") < F.col("b")) | (F.col("h1") < F.col("h2")))
     near = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * F.lit(percent)  # sets of other sizes can't be alike
-    met = one.join(two, ["x", "a", "b"]).where(apart & near & enough("n", "i", "n2") & enough("n2", "i2", "n"))
+    # what is common stands in both prefixes or behind the one that ends first; a pair meets once, at the first of it
+    behind = F.greatest(F.col("n") - F.size("pre"), F.col("n2") - F.size("pre2"))
+    common = _bound(F.array_intersect("pre", "pre2"), lambda c: (F.get(c, F.lit(0)) == F.col("s")) & reached(F.size(c) + behind, "n", "n2"))
+    known = F.col("pre").isNull() | F.col("pre2").isNull() | common
+    met = one.join(two, ["x", "a", "b"]).where(apart & near & enough("n", "i", "n2") & enough("n2", "i2", "n") & known)
     first = F.col("h1") > F.col("h2")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
     return met.select(pick("h1", "h2").alias("h1"), pick("h2", "h1").alias("p"), pick("root", "root2").alias("root"), pick("root2", "root").alias("other_root"))
