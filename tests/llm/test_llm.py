@@ -9,6 +9,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from weftline.llm import chat, decontaminate, jaccard_trie, licenses, line_dedup, lm, mixing, pii, quality, queries, substrings
@@ -666,6 +667,29 @@ def test_op9_branching_graph(spark):
     assert spans.where("doc_id = 6").count() >= 2  # the path of c and b branches where other texts leave it
 
 
+def test_op9_edges_are_packed(spark, monkeypatch):
+    """The kept windows of a text are packed rows of at most PIECE windows, and the pieces give what one row gives."""
+    same = " ".join(f"w{i}" for i in range(70))
+    docs = spark.createDataFrame([(1, f"a b {same} c"), (2, f"d {same} e f"), (3, "g h")], "doc_id long, text string")
+    kept, old = [], substrings.keep
+    monkeypatch.setattr(substrings, "keep", lambda df: kept.append(old(df)) or kept[-1])
+
+    def rows():
+        return sorted(tuple(r)[:4] for r in substrings.remove_repeats(docs, 50).collect())
+
+    whole = rows()
+    packed = next(k for k in kept if "edge" in k.columns and "word" in k.columns)
+    assert packed.count() == 2 and packed.schema["edge"].dataType.simpleString() == "array<bigint>"
+    assert [r[2] for r in whole] == [0, 70, 0]
+    kept.clear()
+    monkeypatch.setattr(substrings, "PIECE", 4)
+    again = substrings._edges(50)  # run here, as the tasks have a module of their own
+    marks = [r["marks"] for r in docs.where("doc_id = 1").mapInArrow(substrings._first_pass(50), substrings._FIRST).collect()][0]
+    table = pa.table({"doc_id": [1], "text": [docs.first()["text"]], "marks": pa.array([marks], pa.list_(pa.int64()))})
+    pieces = pa.Table.from_batches(list(again(table.to_batches())))
+    assert max(pieces["edge"].combine_chunks().value_lengths().to_pylist()) == 4 and sum(pieces["word"].combine_chunks().value_lengths().to_pylist()) == 73 - 50 + 1
+
+
 def test_op9_empty(empty):
     assert substrings.remove_repeats(empty).count() == 0
 

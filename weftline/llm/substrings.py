@@ -39,6 +39,9 @@ KMER = 24
 _PLACE_BITS = 36
 #: Bits of a text's hash that stand before a word's place in a coordinate; they tell the texts of one doc_id apart.
 _TEXT_BITS = 27
+#: Windows in one row of the table of edges.
+PIECE = 1 << 16
+_PACKED = "doc_id long, begin long, edge array<long>, ends array<long>, word array<int>"
 
 
 def _words(column):
@@ -130,7 +133,7 @@ def _first_pass(window: int):
 
 
 def _edges(window: int):
-    """The windows whose minimizer is among the text's marks; ends: 32 bits of the hash of each end node.
+    """The windows whose minimizer is among the text's marks, in rows of at most PIECE windows of a text: begin is the coordinate of its first word, ends are 32 bits of the hash of each end node.
 
     Nodes whose bits are equal by chance seem to branch, which only cuts paths.
     """
@@ -153,14 +156,14 @@ def _edges(window: int):
                 if not len(wins):
                     continue
                 doc = w.doc[wins]
+                first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]) | (np.arange(len(doc)) % PIECE == 0))
+                of, bounds = doc[first], pa.array(np.append(first, len(doc)).astype(np.int32))
                 ver = signed(span_hashes(h, w.bound[:-1], w.bound[1:], 31))
                 ids = batch.column("doc_id").slice(a, b - a).to_numpy(zero_copy_only=False)
                 u, v = (span_hashes(h, wins + x, wins + x + window - 1, 23) for x in (0, 1))
                 ends = (u & np.uint64(0xFFFFFFFF00000000)) | (v >> np.uint64(32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(span_hashes(h, wins, wins + window, 22))), pa.array(signed(ends)), pa.array(ids[doc]), pa.array((_short(ver)[doc] << _PLACE_BITS) + wins - w.bound[doc])],
-                    ["edge", "ends", "doc_id", "place"],
-                )
+                lists = (pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (signed(span_hashes(h, wins, wins + window, 22)), signed(ends), (wins - w.bound[doc]).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(_short(ver)[of] << _PLACE_BITS), *lists], ["doc_id", "begin", "edge", "ends", "word"])
 
     return run
 
@@ -210,7 +213,8 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
     marks = lead.where("doc_id is not null").select("doc_id", F.explode("marks").alias("mark"))
     shared = marks.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("mark")
     wanted = keep(marks.join(shared, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")))
-    edges = keep(having(docs, wanted).join(wanted, "doc_id").select("doc_id", "text", "marks").mapInArrow(_edges(window), "edge long, ends long, doc_id long, place long"))
+    packed = keep(having(docs, wanted).join(wanted, "doc_id").select("doc_id", "text", "marks").mapInArrow(_edges(window), _PACKED))
+    edges = packed.select("doc_id", "begin", F.explode(F.arrays_zip("edge", "ends", "word")).alias("w")).select("w.edge", "w.ends", "doc_id", (F.col("begin") + F.col("w.word")).alias("place"))
     paths = _paths(edges)
     along = Window.partitionBy("doc_id", "sdoc", "head", "shift").orderBy("place")
     met = edges.select("edge", "doc_id", "place").join(paths, "edge").where("sdoc < doc_id").select("doc_id", "place", "sdoc", "head", (F.col("splace") - F.col("place")).alias("shift"))
