@@ -122,6 +122,17 @@ def test_dedup_nulls_and_ties(spark):
     assert rows(text.near_dup(spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "a b c d e f g h i j k l m"), (3, "x"), (4, "")], DOCS))) == [(1, 2, round(8 / 9, 6))]
 
 
+def test_near_dup_sorts_shared_shingles_only(spark, monkeypatch):
+    """Shingles of one text only are counted, and what stands in several is all that is kept and ranked."""
+    texts = [" ".join(f"{c if j < 3 else 'z'}{j}" for j in range(60)) for c in "abcdef"]
+    docs = spark.createDataFrame(list(enumerate([*texts, " ".join(f"own{j}" for j in range(300))])), "doc_id long, text string")
+    kept, old = [], text.keep
+    monkeypatch.setattr(text, "keep", lambda df: kept.append(old(df)) or kept[-1])
+    got = sorted(tuple(r) for r in text.near_dup(docs).collect())
+    assert got == [(a, b, round(53 / 59, 6)) for a in range(6) for b in range(a + 1, 6)]
+    assert [k.count() for k in kept] == [53]
+
+
 def test_memory_of_long_conversations(spark, tmp_path):
     """From turn 1,000 on, too, a conversation's memory is its own."""
     texts = [(1, 999, "user", "red fish swims"), (1, 1000, "assistant", "red fish swims"), (1, 1001, "user", "red fish swims"), (2, 0, "user", "other words here"), (2, 1, "user", "other words here")]
