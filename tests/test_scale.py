@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from weftline.functions.text import upper
 from weftline.operators import evaluation, quantised, retrieval
+from weftline.plans import search
 
 TEXT = "id long, text string"
 
@@ -187,3 +188,25 @@ def test_state_calls_do_not_grow_with_events():
         return sum(v.calls for v in handle.values.values())
 
     assert calls(400) == calls(4) <= 20
+
+
+@pytest.mark.parametrize("n", [1, 3, 8])
+@pytest.mark.parametrize("block", [1_000_000, 20])
+def test_shared_runs(spark, texts, monkeypatch, n, block):
+    """Items that hold a run of a query, by a plain search, in one block of queries and in several."""
+    monkeypatch.setattr(retrieval, "RUN_WORDS", block)
+    docs, queries = texts
+    docs = [*docs, *((400 + i, f"w1 {t} w2 {t}") for i, t in queries), (None, queries[0][1]), (500, "é " * 9), (501, "one two É"), (502, "é é")]
+    queries = [*queries, (11, "É é " * 5), (11, queries[1][1]), (12, "one two"), (13, queries[0][1])]
+    cut = lambda t: re.findall(r"\w+", (t or "").lower())
+    runs = lambda t: {tuple(cut(t)[i : i + n]) for i in range(len(cut(t)) - n + 1)}
+    want = {(q, i) for q, t in queries for i, d in docs if runs(t) & runs(d)}
+    got = [tuple(r) for r in retrieval.shared_runs(spark.createDataFrame(queries, TEXT), spark.createDataFrame(docs, TEXT).repartition(3), n).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_judgements_make_no_row_for_a_run(spark, small, monkeypatch):
+    plans = []
+    monkeypatch.setattr(search, "keep", lambda df: plans.append(df._jdf.queryExecution().toString()) or df)
+    search.judged(spark, small)
+    assert len(plans) == 1 and "Generate" not in plans[0]
