@@ -7,12 +7,13 @@ import math
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from weftline.llm import chat, decontaminate, jaccard_trie, licenses, line_dedup, lm, mixing, pii, quality, queries, substrings
+from weftline.llm import chat, decontaminate, jaccard_trie, licenses, line_dedup, lm, mixing, pii, quality, queries, store, substrings
 from weftline.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, rank int"
@@ -182,6 +183,33 @@ def test_op2_edges(spark, empty):
     assert sorted(((r["doc_id"] or -1), r["component_id"]) for r in out.collect()) == [(-1, None), (2, 2)]
 
 
+def test_op2_holds_few_bytes_of_text():
+    """Sets of n-grams are made of a bounded piece of text at a time, so a worker's memory doesn't depend on its batches."""
+    rnd = random.Random(4)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(250)) for _ in range(1000)]
+    tracemalloc.start()
+    sizes = [len(x) for _, sets in jaccard_trie._sets(pa.array(texts), 5) for x in sets]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [246] * 1000
+    assert peak < 30_000_000
+
+
+def test_kept_tables_leave_no_shuffles(spark):
+    """The shuffles that made a checkpoint are gone with it; Spark's setting is as it was."""
+    files = lambda: spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
+    before, cleanup = files(), spark.conf.get(store.CLEANUP)
+    rows = spark.range(1000).withColumn("k", F.col("id") % 7)
+    kept = store.keep(rows.groupBy("k").agg(F.count("*").alias("n")).join(rows, "k").repartition(3))
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert kept.count() == 1000 and kept.agg(F.sum("n")).first()[0] == sum(len(range(k, 1000, 7)) ** 2 for k in range(7))
+    assert spark.conf.get(store.CLEANUP) == cleanup
+
+
 def test_trie_random():
     rnd = random.Random(2)
     for _ in range(60):
