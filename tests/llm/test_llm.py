@@ -546,6 +546,37 @@ def test_op7_gradients_and_normalisation():
     assert np.allclose(before[:, :-1], lm.attend(w, x, valid)[0][:, :-1])
 
 
+def test_op7_a_word_is_cut_once_in_a_task(monkeypatch):
+    seen, cut = [], lm.Subwords.cut
+    monkeypatch.setattr(lm.Subwords, "cut", lambda self, words: seen.append(words) or cut(self, words))
+    with open(lm.VOCABULARY, "rb") as f:
+        sub = lm.Subwords(f.read())
+
+    def ids(texts):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+        return [lm.subwords_of(w, h, sub)[0].tolist() for _, _, w, h, _ in lm._texts(batch)]
+
+    first = ids(["the quick fox", "", "the fox d'une"])
+    assert ids(["the quick fox", "", "the fox d'une"]) == first
+    assert ids(["a fox \u00e9t\u00e9 the", ""])[0] == [i for w in (" a", " fox", " \u00e9t\u00e9", " the") for i in sub.encoding.encode_ordinary(w)] + [sub.end] * 2
+    assert sorted(w for words in seen for w in words) == sorted(w.encode() for w in ("the", "quick", "fox", "d'une", "a", "\u00e9t\u00e9"))
+    monkeypatch.setattr(lm, "KNOWN_WORDS", 2)  # so that all are forgotten
+    assert ids(["the quick fox", "", "the fox d'une"]) == first
+
+
+def test_op7_output_of_any_size_is_that_of_plain_loops():
+    rnd = np.random.default_rng(2)
+    for size in (1, 60):  # with logits far from and beyond the bound of 80
+        w = {k: v * size for k, v in lm.first_weights(np.full(lm.TOP, 1 / lm.TOP)).items()}
+        h, y = rnd.standard_normal((300, lm.WIDTH)).astype(np.float32), rnd.integers(0, lm.TOP, 300)
+        got = lm.log_probabilities(w, h, y)
+        for row, goal, value in zip(h.astype(float), y.tolist(), got.tolist(), strict=True):
+            c, inner = divmod(goal, lm.SIDE)
+            outer = np.clip(row @ w["cw"] + w["cb"], -80, 80)
+            own = np.clip(row @ w["ww"][c] + w["wb"][c], -80, 80)
+            assert value == pytest.approx(outer[c] - np.log(np.exp(outer).sum()) + own[inner] - np.log(np.exp(own).sum()), rel=1e-3, abs=1e-3)
+
+
 def test_op7_scores_every_token_once_after_its_window(spark):
     rnd = np.random.default_rng(5)
     symbols = lm.Symbols(rnd.integers(0, 90, 3000))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import keep
-from .words import Words, chunks, lower_ascii, signed, space_table, span_hashes
+from .words import U, Words, chunks, lower_ascii, signed, space_table, span_hashes
 
 #: A file of base64 tokens and ranks, one pair a line, in the layout that tiktoken reads.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -59,6 +59,8 @@ SUM_SHARDS = 128
 #: Entries of (text, word) in one bucket.
 BUCKET = 4_000_000
 CHUNK = 2 << 20
+#: Words whose subwords a task remembers from one chunk of text to the next.
+KNOWN_WORDS = 250_000
 
 
 class Subwords:
@@ -76,6 +78,29 @@ class Subwords:
         self.length = np.zeros(self.size + 1, np.int64)
         for token, rank in ranks.items():
             self.length[rank] = len(token)
+        self._forget()
+
+    def _forget(self) -> None:
+        """No known words: their hashes in order, and where the ids of each begin and how many they are."""
+        self.values, self.begin, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def known(self, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each word's begin among them, how many they are); only words that no chunk before had are cut."""
+        values, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.values) > KNOWN_WORDS:
+            self._forget()
+        at = np.searchsorted(self.values, values)
+        new = np.append(self.values, U(0))[at] != values
+        new[at == len(self.values)] = True
+        if new.any():
+            raw = w.data.tobytes()
+            ids, bound = self.cut([raw[a:b] for a, b in zip(w.starts[first[new]].tolist(), w.ends[first[new]].tolist(), strict=True)])
+            self.begin = np.insert(self.begin, at[new], bound[:-1] + len(self.ids))
+            self.count = np.insert(self.count, at[new], np.diff(bound))
+            self.values = np.insert(self.values, at[new], values[new])
+            self.ids = np.concatenate([self.ids, ids])
+            at = np.searchsorted(self.values, values)
+        return self.ids, self.begin[at][inverse], self.count[at][inverse]
 
     def cut(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, bounds): each word with a blank before it."""
@@ -95,13 +120,6 @@ class Subwords:
         return np.array([i for e in each for i in e], np.int32), np.append(0, np.cumsum([len(e) for e in each]))
 
 
-def _distinct(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(distinct hashes, the place of each word's among them, the words' bytes)."""
-    values, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    raw = w.data.tobytes()
-    return values, inverse, [raw[a:b] for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True)]
-
-
 def held_out(ids: list[int | None]) -> np.ndarray:
     """Whether the texts with these ids are kept from learning; a null id counts as an empty string."""
     return np.array([binascii.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i in ids], bool)
@@ -152,57 +170,82 @@ def first_weights(share: np.ndarray) -> dict[str, np.ndarray]:
 _DISTANCE = (CONTEXT + np.arange(STRIDE))[:, None] - np.arange(CONTEXT + STRIDE)[None, :]
 
 
+def _within(a: np.ndarray, b: np.ndarray, most: float) -> bool:
+    """Whether no product of a row of a and a column of b can exceed most, by their lengths."""
+    return bool(np.einsum("ij,ij->i", a, a).max(initial=0) * np.einsum("...ij,...ij->...j", b, b).max(initial=0) <= most * most)
+
+
+#: Windows whose attention is computed at once, so that it stays in the processor's cache.
+BLOCK_WINDOWS = 64
+
+
 def attend(weights: dict, x: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Hidden states [windows, STRIDE, WIDTH] for inputs x [windows, CONTEXT + STRIDE]."""
+    """Hidden states [windows, STRIDE, WIDTH] for inputs x [windows, CONTEXT + STRIDE], and what they were made of."""
     e = weights["emb"]
     scale = np.float32(WIDTH**-0.5)
-    q = (e @ weights["q"] * scale)[x[:, CONTEXT:]]
-    k, v = (e @ weights["k"])[x], (e @ weights["v"])[x]
+    now = np.ascontiguousarray(x[:, CONTEXT:])
+    q, k, v = e @ weights["q"] * scale, e @ weights["k"], e @ weights["v"]
+    small = _within(q, k.T, 50)
+    q, k, v = q.take(now, axis=0), k.take(x, axis=0), v.take(x, axis=0)
     near = np.where(_DISTANCE >= 0, np.exp(weights["far"])[np.maximum(_DISTANCE, 0)], np.float32(0))
-    s = np.matmul(q, k.transpose(0, 2, 1))
-    np.clip(s, -50, 50, out=s)
-    p = np.exp(s, out=s)
-    p *= near
-    p *= valid[:, None, :]
-    total = p.sum(axis=2, keepdims=True)
+    p, o = np.empty((len(x), STRIDE, CONTEXT + STRIDE), e.dtype), np.empty((len(x), STRIDE, WIDTH), e.dtype)
+    total, ones = np.empty((len(x), STRIDE, 1), e.dtype), np.ones((CONTEXT + STRIDE, 1), e.dtype)
+    cut = ~valid.all(axis=1)  # windows at an end of their text
+    for a in range(0, len(x), BLOCK_WINDOWS):
+        own = slice(a, a + BLOCK_WINDOWS)
+        s = np.matmul(q[own], k[own].transpose(0, 2, 1), out=p[own])
+        if not small:
+            np.clip(s, -50, 50, out=s)
+        np.exp(s, out=s)
+        s *= near
+        at = np.flatnonzero(cut[own])
+        if len(at):
+            s[at] *= valid[own][at][:, None, :]
+        np.matmul(s.reshape(-1, CONTEXT + STRIDE), ones, out=total[own].reshape(-1, 1))
+        np.matmul(s, v[own], out=o[own])
     total += np.float32(1e-30)
-    h = np.matmul(p, v)
-    h /= total
-    h += e[x[:, CONTEXT:]]
-    return h, {"p": p, "total": total, "q": q, "k": k, "v": v}
+    o /= total
+    h = e.take(now, axis=0)
+    h += o
+    return h, {"p": p, "total": total, "q": q, "k": k, "v": v, "o": o}
+
 
+def _outputs(weights: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The output weights of classes and of symbols within each class, with the biases as a last row."""
+    return np.concatenate([weights["cw"], weights["cb"][None, :]]), np.concatenate([weights["ww"], weights["wb"][:, None, :]], axis=1)
 
-def _log_sum(z: np.ndarray) -> np.ndarray:
-    """log sum exp of each row of bounded logits; z is used up."""
-    np.exp(z, out=z)
-    return np.log(z @ np.ones(z.shape[1], z.dtype))
 
+def _with_one(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The rows of h at these places, with a one behind each."""
+    out = np.ones((len(at), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h.take(at, axis=0)
+    return out
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(np.clip(z, -80, 80))
-    return z / z.sum(axis=1, keepdims=True)
+
+def _logits(h: np.ndarray, w: np.ndarray, small: bool) -> np.ndarray:
+    z = h @ w
+    return z if small else np.clip(z, -80, 80, out=z)
 
 
 def log_probabilities(weights: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log of the probability of symbols y after hidden states h [n, WIDTH]."""
-    c = (y // SIDE).astype(np.uint8)
-    order = np.argsort(c, kind="stable")
-    c = c[order]
-    h, inner, row = h[order], y[order] % SIDE, np.arange(len(y))
-    z = h @ weights["cw"]
-    z += weights["cb"]
-    np.clip(z, -80, 80, out=z)
+    order = np.argsort((y // SIDE).astype(np.uint8), kind="stable")
+    h, y, row = _with_one(h, order), y[order], np.arange(len(y))
+    c, inner = y // SIDE, y % SIDE
+    cw, ww = _outputs(weights)
+    small = _within(h, cw, 80) and _within(h, ww, 80)
+    ones = np.ones(SIDE, h.dtype)
+    z = _logits(h, cw, small)
     found = z[row, c]
-    found -= _log_sum(z)
-    bound = np.searchsorted(c, np.arange(SIDE + 1))
+    total = (np.exp(z, out=z) @ ones).astype(np.float64)  # of two sums, their product
+    bound = np.searchsorted(c, np.arange(SIDE + 1)).tolist()
     for i in range(SIDE):
         a, b = bound[i], bound[i + 1]
         if a < b:
-            z = h[a:b] @ weights["ww"][i]
-            z += weights["wb"][i]
-            np.clip(z, -80, 80, out=z)
+            z = _logits(h[a:b], ww[i], small)
             found[a:b] += z[row[: b - a], inner[a:b]]
-            found[a:b] -= _log_sum(z)
+            total[a:b] *= np.exp(z, out=z) @ ones
+    found -= np.log(total).astype(found.dtype)
     out = np.empty_like(found)
     out[order] = found
     return out
@@ -210,49 +253,77 @@ def log_probabilities(weights: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray
 
 def _rows_added(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """n rows, each the sum of the rows whose place it is."""
-    return np.stack([np.bincount(at, weights=rows[:, d], minlength=n) for d in range(rows.shape[1])], axis=1)
+    width = rows.shape[1]
+    place = (at[:, None] * width + np.arange(width)[None, :]).ravel()
+    return np.bincount(place, weights=rows.ravel(), minlength=n * width).reshape(n, width)
 
 
 def gradients(weights: dict, x: np.ndarray, valid: np.ndarray, y: np.ndarray, mask: np.ndarray) -> dict:
     """Of the mean loss over the masked targets y [windows, STRIDE]."""
     h3, t = attend(weights, x, valid)
-    t["p"] /= t["total"]
+    flat = y.ravel()
     at = np.flatnonzero(mask.ravel())
-    at = at[np.argsort((y.ravel()[at] // SIDE).astype(np.uint8), kind="stable")]  # by class
-    h, goal = h3.reshape(-1, WIDTH)[at], y.ravel()[at]
+    at = at[np.argsort(flat[at].astype(np.uint16), kind="stable")]  # by class and symbol
+    h, goal = _with_one(h3.reshape(-1, WIDTH), at), flat[at]
     n = max(1, len(at))
+    part = h.dtype.type(1 / n)
     g = {k: np.zeros_like(v) for k, v in weights.items()}
-    c, inner, row = goal // SIDE, goal % SIDE, np.arange(len(at))
-    d = _softmax(h @ weights["cw"] + weights["cb"])
-    d[row, c] -= 1
-    d /= n
-    g["cw"], g["cb"] = h.T @ d, d.sum(0)
-    dh = d @ weights["cw"].T
-    bound = np.searchsorted(c, np.arange(SIDE + 1))
+    cw, ww = _outputs(weights)
+    gc, gw = np.zeros_like(cw), np.zeros_like(ww)
+    small = _within(h, cw, 80) and _within(h, ww, 80)
+    ones = np.ones((SIDE, 1), h.dtype)
+
+    def pull(h: np.ndarray, w: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """The softmax's part of the gradients, of the weights into out and of the hidden states."""
+        z = _logits(h, w, small)
+        np.exp(z, out=z)
+        share = 1 / (z @ ones)
+        np.matmul((h * share).T, z, out=out)
+        d = z @ w[:-1].T
+        d *= share
+        return d
+
+    dh = pull(h, cw, gc)
+    bound = np.searchsorted(goal, np.arange(SIDE + 1) * SIDE).tolist()
     for i in range(SIDE):
         a, b = bound[i], bound[i + 1]
         if a < b:
-            d = _softmax(h[a:b] @ weights["ww"][i] + weights["wb"][i])
-            d[row[: b - a], inner[a:b]] -= 1
-            d /= n
-            g["ww"][i], g["wb"][i] = h[a:b].T @ d, d.sum(0)
-            dh[a:b] += d @ weights["ww"][i].T
+            dh[a:b] += pull(h[a:b], ww[i], gw[i])
+    # and the part of the symbols that did come
+    held = _rows_added(goal, h, TOP).reshape(SIDE, SIDE, WIDTH + 1)
+    gc -= held.sum(axis=1).T
+    gw -= held.transpose(0, 2, 1)
+    dh -= (weights["cw"].T[:, None, :] + weights["ww"].transpose(0, 2, 1)).reshape(TOP, WIDTH).take(goal, axis=0)
+    g["cw"], g["cb"], g["ww"], g["wb"] = gc[:-1] * part, gc[-1] * part, gw[:, :-1] * part, gw[:, -1] * part
+    dh *= part
     full = np.zeros((x.shape[0] * STRIDE, WIDTH), dh.dtype)
     full[at] = dh
-    da = full.reshape(-1, STRIDE, WIDTH)
-    dv = t["p"].transpose(0, 2, 1) @ da
-    dp = da @ t["v"].transpose(0, 2, 1)
-    ds = t["p"] * (dp - (dp * t["p"]).sum(axis=2, keepdims=True))
-    dq, dk = ds @ t["k"], ds.transpose(0, 2, 1) @ t["q"]
-    flat = ds.sum(axis=0)
-    np.add.at(g["far"], np.maximum(_DISTANCE, 0)[_DISTANCE >= 0], flat[_DISTANCE >= 0])
-    scale = np.float32(WIDTH**-0.5)
-    now = x[:, CONTEXT:].ravel()
-    dq, dk, dv = dq.reshape(-1, WIDTH) * scale, dk.reshape(-1, WIDTH), dv.reshape(-1, WIDTH)
-    eq, ek = weights["emb"][now], weights["emb"][x.ravel()]
+    da = full.reshape(-1, STRIDE, WIDTH) / t["total"]  # so that p needn't be divided
+    mean = np.matmul(da * t["o"], np.ones((WIDTH, 1), da.dtype))
+    dq, dk, dv = np.empty_like(t["q"]), np.empty_like(t["k"]), np.empty_like(t["v"])
+    seen = np.zeros(_DISTANCE.size, da.dtype)
+    for a in range(0, len(x), BLOCK_WINDOWS):
+        own = slice(a, a + BLOCK_WINDOWS)
+        p, d = t["p"][own], da[own]
+        np.matmul(p.transpose(0, 2, 1), d, out=dv[own])
+        ds = np.matmul(d, t["v"][own].transpose(0, 2, 1))
+        ds -= mean[own]
+        ds *= p
+        np.matmul(ds, t["k"][own], out=dq[own])
+        np.matmul(ds.transpose(0, 2, 1), t["q"][own], out=dk[own])
+        seen += np.ones(len(ds), ds.dtype) @ ds.reshape(len(ds), -1)
+    behind = _DISTANCE.ravel() >= 0
+    g["far"] += np.bincount(_DISTANCE.ravel()[behind], weights=seen[behind], minlength=CONTEXT + STRIDE)
+    dq *= dq.dtype.type(WIDTH**-0.5)
+    e, now = weights["emb"].take(x, axis=0), np.s_[:, CONTEXT:]
+    eq, ek = np.ascontiguousarray(e[now]).reshape(-1, WIDTH), e.reshape(-1, WIDTH)
+    dq, dk, dv = dq.reshape(-1, WIDTH), dk.reshape(-1, WIDTH), dv.reshape(-1, WIDTH)
     g["q"], g["k"], g["v"] = eq.T @ dq, ek.T @ dk, ek.T @ dv
-    g["emb"] += _rows_added(now, dq @ weights["q"].T + full, TOP + 1)
-    g["emb"] += _rows_added(x.ravel(), dk @ weights["k"].T + dv @ weights["v"].T, TOP + 1)
+    dx = dk @ weights["k"].T
+    dx += dv @ weights["v"].T
+    own = full + dq @ weights["q"].T
+    dx.reshape(x.shape[0], -1, WIDTH)[now] += own.reshape(-1, STRIDE, WIDTH)
+    g["emb"] += _rows_added(x.ravel(), dx, TOP + 1)
     return g
 
 
@@ -267,14 +338,12 @@ def fit(weights: dict, x: np.ndarray, valid: np.ndarray, y: np.ndarray, mask: np
 
 def subwords_of(w: Words, h: np.ndarray, sub: Subwords) -> tuple[np.ndarray, np.ndarray]:
     """(subword ids of the texts, each text's followed by the end; where each text's begin, and the end of all)."""
-    _, inverse, words = _distinct(w, h)
-    ids, bound = sub.cut(words)
-    size = np.diff(bound)[inverse]
+    ids, begin, size = sub.known(w, h)
     upto = np.append(0, np.cumsum(size))
     start = np.append(0, np.cumsum(upto[w.bound[1:]] - upto[w.bound[:-1]] + 1))
     y = np.full(int(start[-1]), sub.end, np.int32)
     at = np.repeat(np.arange(len(w)), size)
-    y[np.arange(len(at)) + w.doc[at]] = ids[np.arange(len(at)) + (bound[inverse] - upto[:-1])[at]]
+    y[np.arange(len(at)) + w.doc[at]] = ids[np.arange(len(at)) + (begin - upto[:-1])[at]]
     return y, start
 
 
