@@ -429,6 +429,22 @@ def test_op5_pairs_meet_once(spark):
     assert sorted(got) == [(h + 1, h, h + 1, h) for h in range(0, 38, 2)]
 
 
+def test_op5_prefixes_stay_with_their_lines(spark, monkeypatch):
+    """No table with a row for each shingle holds prefixes, so that long ones don't fill the disk; pairs are those of the whole prefixes."""
+    rnd = random.Random(4)
+    kept = []
+    monkeypatch.setattr(line_dedup, "keep", lambda df: kept.append(df.schema) or store.keep(df))
+    number = lambda: rnd.getrandbits(63)
+    members, n = [], 1200
+    for h in range(0, 40, 2):  # of 301 shingles in a prefix 130 must be common
+        shared = [number() for _ in range((129, 130, 20, 200)[h // 2 % 4])]
+        members += [(7, h + i, h + i, n, shared + [number() for _ in range(301 - len(shared))]) for i in range(2)]
+    rows = spark.createDataFrame(members, "p long, h1 long, root long, n int, prefix array<long>")
+    got = [tuple(r) for r in line_dedup._prefix_pairs(rows, 75).collect()]
+    assert sorted(got) == [(h + 1, h, h + 1, h) for h in range(0, 40, 2) if h // 2 % 4 in (1, 3)]
+    assert kept and not any(f.dataType.typeName() == "array" for schema in kept for f in schema)
+
+
 def test_op5_empty(empty):
     assert line_dedup.line_report(empty).count() == 0
     assert line_dedup.dedup_lines(empty).count() == 0

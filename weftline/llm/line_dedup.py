@@ -26,9 +26,10 @@ exact prefix join: their shingles are ordered, those that none of the references
 has first, and of a line's n shingles one of the first n - ceil(t n) + 1 stands
 among those of every line that it links with, with enough others behind it (the
 positional bound). Of shingles that stand in the same lines only the first is a
-key, as a pair of lines that meets at one of them meets at all. Prefixes that are
-not long go along, so that a pair meets only once, and not at all if they have
-so few shingles in common that the sets can't be alike. What lines of a bucket
+key, as a pair of lines that meets at one of them meets at all. Of the prefixes
+only ``MARKS`` bits go along, one set for each shingle. A bit that the other line
+hasn't is a shingle that it hasn't, so most pairs with too few in common don't
+meet; the others are looked up, a row for each pair. What lines of a bucket
 have in common, one of the references has mostly too, so unlike lines hardly
 meet. Those that do, and whose sizes can be alike, are compared, in blocks of
 ``BLOCK`` lines, so that a frequent shingle is many small keys. So no two lines
@@ -59,8 +60,8 @@ PERCENT = 75
 BLOCK = 256
 #: Lines of a pivot, besides itself, that order the shingles of the others.
 REFERENCES = 4
-#: Shingles of the longest prefix that goes along with each of its shingles.
-CARRIED = 256
+#: Bits that stand for a line's prefix where lines meet at a shingle of it.
+MARKS = 1024
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -225,10 +226,16 @@ def _ordered_members(members: DataFrame, texts: DataFrame, percent: int) -> Data
     return out.select("p", "h1", "root", "n", "o.prefix", F.filter("o.alike", lambda r: r.isNotNull()).alias("alike"))
 
 
+def _marks(each: DataFrame) -> DataFrame:
+    """p, h1, size of the prefix and m0, m1, ..., the MARKS bits of its shingles."""
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(s, 8) & 63 as int))")
+    word = F.pmod("s", F.lit(MARKS // 64))
+    return each.groupBy("p", "h1").agg(F.count("*").cast("int").alias("size"), *(F.coalesce(F.bit_or(F.when(word == j, bit)), F.lit(0).cast("long")).alias(f"m{j}") for j in range(MARKS // 64)))
+
+
 def _prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(h1, p, root, other_root), h1 > p, of lines of one pivot and different roots that share a shingle of their prefixes and are alike in size."""
     # a shingle s of a pivot's lines is one key, by its hash; i is its place in the line's order
-    short = F.when(F.size("prefix") <= CARRIED, F.col("prefix")).alias("pre")
     each = members.select("p", "h1", "root", "n", F.posexplode("prefix").alias("i", "s")).withColumn("x", F.xxhash64("p", "s"))
     lines = F.bit_xor(F.xxhash64("h1", F.lit(3)))  # with their number and the least of them, which lines these are
     groups = each.groupBy("x").agg(F.count("*").alias("k"), F.min("n").alias("low"), F.min("root").alias("least"), F.max("root").alias("last"), F.min("p").alias("p"), lines.alias("lines"), F.min(F.struct("h1", "i")).alias("at")).where("least != last")
@@ -237,21 +244,28 @@ def _prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
     # of a pair's first common shingle: what may be common from there on must reach the overlap that the sizes ask for
     reached = lambda both, n, m: both * (100 + percent) >= (F.col(n) + F.col(m)) * percent
     enough = lambda n, i, m: reached(F.col(n) - F.col(i), n, m)
-    met = each.join(_few(keep(groups)), "x").where(enough("n", "i", "low")).join(members.select("p", "h1", short), ["p", "h1"])
+    met = each.join(_few(keep(groups)), "x").where(enough("n", "i", "low")).join(_marks(each), ["p", "h1"])
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    dealt = keep(met.select("x", "s", "h1", "root", "n", "i", "pre", blocks.alias("blocks"), F.pmod(F.xxhash64("h1", F.lit(5)), blocks).cast("int").alias("own")))
-    one = dealt.select("x", "s", F.col("own").alias("a"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("b"), "h1", "root", "n", "i", "pre")
-    two = dealt.select("x", F.explode(F.expr("sequence(0, own)")).alias("a"), F.col("own").alias("b"), F.col("h1").alias("h2"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("pre").alias("pre2"))
-    apart = (F.col("root") != F.col("root2")) & ((F.col("a") < F.col("b")) | (F.col("h1") < F.col("h2")))
-    near = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * F.lit(percent)  # sets of other sizes can't be alike
-    # what is common stands in both prefixes or behind the one that ends first; a pair meets once, at the first of it
-    behind = F.greatest(F.col("n") - F.size("pre"), F.col("n2") - F.size("pre2"))
-    common = _bound(F.array_intersect("pre", "pre2"), lambda c: (F.get(c, F.lit(0)) == F.col("s")) & reached(F.size(c) + behind, "n", "n2"))
-    known = F.col("pre").isNull() | F.col("pre2").isNull() | common
-    met = one.join(two, ["x", "a", "b"]).where(apart & near & enough("n", "i", "n2") & enough("n2", "i2", "n") & known)
-    first = F.col("h1") > F.col("h2")
+    marks = [f"m{j}" for j in range(MARKS // 64)]
+    dealt = keep(met.select("x", "p", "h1", "root", "n", "i", "size", *marks, blocks.alias("blocks"), F.pmod(F.xxhash64("h1", F.lit(5)), blocks).cast("int").alias("own")))
+    one = dealt.select("x", "p", F.col("own").alias("a"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("b"), "h1", "root", "n", "i", "size", *marks)
+    two = dealt.select("x", F.explode(F.expr("sequence(0, own)")).alias("a"), F.col("own").alias("b"), *(F.col(c).alias(f"{c}_2") for c in ("h1", "root", "n", "i", "size", *marks)))
+    apart = (F.col("root") != F.col("root_2")) & ((F.col("a") < F.col("b")) | (F.col("h1") < F.col("h1_2")))
+    near = F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * F.lit(percent)  # sets of other sizes can't be alike
+    # what is common stands in both prefixes or behind the one that ends first
+    behind = F.greatest(F.col("n") - F.col("size"), F.col("n_2") - F.col("size_2"))
+    # each bit of one prefix that the other doesn't have is a shingle that they don't have in common
+    alone = lambda m, other: sum((F.bit_count(F.col(f"m{j}{m}").bitwiseAND(F.bitwise_not(F.col(f"m{j}{other}")))) for j in range(MARKS // 64)), F.lit(0))
+    common = F.least(F.col("size") - alone("", "_2"), F.col("size_2") - alone("_2", ""))
+    met = one.join(two, ["x", "a", "b"]).where(apart & near & enough("n", "i", "n_2") & enough("n_2", "i_2", "n") & reached(common + behind, "n", "n_2"))
+    first = F.col("h1") > F.col("h1_2")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    return met.select(pick("h1", "h2").alias("h1"), pick("h2", "h1").alias("p"), pick("root", "root2").alias("root"), pick("root2", "root").alias("other_root"))
+    pairs = met.select("p", pick("h1", "h1_2").alias("h1"), pick("h1_2", "h1").alias("h1_2"), pick("root", "root_2").alias("root"), pick("root_2", "root").alias("root_2")).distinct()
+    # now that a pair is one row, the prefixes themselves are looked up
+    own, other = members.select("p", "h1", "n", "prefix"), members.select("p", F.col("h1").alias("h1_2"), F.col("n").alias("n_2"), F.col("prefix").alias("prefix_2"))
+    both = F.size(F.array_intersect("prefix", "prefix_2")) + F.greatest(F.col("n") - F.size("prefix"), F.col("n_2") - F.size("prefix_2"))
+    pairs = keep(pairs).join(own, ["p", "h1"]).join(other, ["p", "h1_2"]).where(reached(both, "n", "n_2"))
+    return pairs.select("h1", F.col("h1_2").alias("p"), "root", F.col("root_2").alias("other_root"))
 
 
 def line_verdicts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
