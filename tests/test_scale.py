@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from weftline.functions.text import upper
-from weftline.operators import evaluation, quantised, retrieval
+from weftline.operators import evaluation, near, quantised, retrieval
+from weftline.operators import text as preparation
 from weftline.plans import search
 
 TEXT = "id long, text string"
@@ -210,3 +211,58 @@ def test_judgements_make_no_row_for_a_run(spark, small, monkeypatch):
     monkeypatch.setattr(search, "keep", lambda df: plans.append(df._jdf.queryExecution().toString()) or df)
     search.judged(spark, small)
     assert len(plans) == 1 and "Generate" not in plans[0]
+
+
+def alike(texts, percent=80):
+    """All pairs of the first texts of equal words, by their sets of runs of five words."""
+    sets, seen = {}, set()
+    for i, t in sorted(texts):
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        if w and tuple(w) not in seen:
+            seen.add(tuple(w))
+            sets[i] = {tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))}
+    both = {(a, b): (len(x & y), len(x | y)) for a, x in sets.items() for b, y in sets.items() if a < b}
+    return sorted((a, b, round(o / u, 6)) for (a, b), (o, u) in both.items() if 100 * o >= percent * u)
+
+
+@pytest.mark.parametrize("sample, common, hot, segment", [(10_000, 500_000, 100, 2_000), (10, 7, 100, 2_000), (10, 500_000, 2, 3), (10_000, 3, 2, 2_000)])
+def test_near_duplicates_however_they_meet(spark, monkeypatch, sample, common, hot, segment):
+    """The pairs are those of plain loops, whatever the order comes from, at frequent shingles and in blocks of several segments."""
+    rnd = np.random.default_rng(11)
+    footer = [f"f{i}" for i in range(30)]
+    texts = [None, "", "...", "one two", "One, two!", "one two three four five"]
+    for group, copies in enumerate((1, 1, 2, 5, 12)):
+        base = [f"g{group}w{i}" for i in range(int(rnd.integers(20, 150)))]
+        for _ in range(copies):
+            words = list(base)
+            for at in rnd.choice(len(words), rnd.integers(0, 4), replace=False):
+                words[at] = f"x{rnd.integers(1000)}"
+            texts += [" ".join(words), " ".join(words[: -int(rnd.integers(1, 9))]), " ".join(words + footer), " ".join(words)]
+    texts += [" ".join([*footer, f"own{i}", f"own{i + 1}"]) for i in range(9)]
+    for name, value in (("SAMPLE", sample), ("COMMON", common), ("HOT", hot), ("SEGMENT_TEXTS", segment)):
+        monkeypatch.setattr(near, name, value)
+    docs = list(zip(rnd.permutation(len(texts)).tolist(), texts, strict=True))
+    got = sorted(tuple(r) for r in preparation.near_dup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect())
+    want = alike(docs)
+    assert len(want) > 60 and got == want
+
+
+def test_near_duplicates_shuffle_prefixes_only(spark, monkeypatch):
+    """What is shuffled is well below the size of the texts, of which few are alike; the sample of a large corpus is a small part."""
+    monkeypatch.setattr(near, "SAMPLE", 20)
+    rnd = np.random.default_rng(12)
+    texts = [" ".join(f"w{x}" for x in rnd.integers(0, 100_000, 2_000)) for _ in range(300)]
+    texts += [t + " end" for t in texts[:5]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).persist()
+    docs.count()
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = written()
+    assert preparation.near_dup(docs).count() == 5
+    took = written() - before
+    docs.unpersist()
+    assert 0 < took < 0.8 * sum(map(len, texts))
