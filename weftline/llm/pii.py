@@ -210,28 +210,34 @@ def _value(t: str, b: int, name: str, inside, runs: Runs) -> tuple[int, int]:
     return b, runs.end(name, inside, b)
 
 
-def _iban(value: str) -> bool:
-    turned = value[4:].upper() + value[:4].upper()
-    return turned.isascii() and turned.isalnum() and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+#: Letters as the two digits that stand for them in an IBAN's check sum.
+_IBAN_DIGITS = str.maketrans({c: str(int(c, 36)) for c in string.ascii_letters})
 
 
 def _printed_iban(t: str, a: int) -> int | None:
-    """The end of an IBAN from ``a`` on whose groups may be one blank apart, the longest that has right check digits."""
-    b, value, best = a, "", None
-    while b < len(t) and len(value) <= 34:
-        c = b
-        while c < len(t) and c - b <= 34 and t[c] in _ALNUM:
+    """The end of an IBAN from ``a`` on, where its country and check digits stand, whose groups may be one blank apart: the longest that is right.
+
+    The check sum goes on from group to group, so each character is looked at once.
+    """
+    head, n, size, rest, best = t[a : a + 4].translate(_IBAN_DIGITS), len(t), 0, 0, None
+    shift = 10 ** len(head)
+    first = int(head)
+    b = a
+    while b < n and size <= 34:
+        c, limit = b, min(n, b + 35)
+        while c < limit and t[c] in _ALNUM:
             c += 1
         if c == b:
             break
-        value += t[b:c]
-        if 15 <= len(value) <= 34 and _iban(value):
+        digits = t[b if size else b + 4 : c].translate(_IBAN_DIGITS)
+        if digits:
+            rest = (rest * 10 ** len(digits) + int(digits)) % 97
+        size += c - b
+        if 15 <= size <= 34 and (rest * shift + first) % 97 == 1:
             best = c
-        if c < len(t) and t[c] == " ":
-            c += 1
-        else:
+        if c >= n or t[c] != " ":
             break
-        b = c
+        b = c + 1
     return best
 
 
