@@ -417,6 +417,39 @@ def test_op5_links_all_pairs_of_a_bucket(spark, monkeypatch):
     assert got == {i: want[i, 0][0] for i in got}
 
 
+def test_op5_sets_meet_as_columns(spark):
+    """Sets are compared and ordered as columns, which Spark compiles, not within lambdas; with the results of plain sets."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rnd = random.Random(4)
+    lines = ["".join(rnd.choices("ab", k=k)) for k in (3, 12, 30, 30, 60)]
+    cut = lambda t: {t[i : i + line_dedup.SHINGLE] for i in range(max(1, len(t) - line_dedup.SHINGLE + 1))}
+    data = [(a, b, i) for i, (a, b) in enumerate((x, y) for x in lines for y in (x, x + "a", x[1:] + "b", lines[-1]))]
+    got = line_dedup._compared(spark.createDataFrame(data, "line string, other string, i long"), 75)
+    assert "array_intersect(x#" in plan(got)
+    want = [(i, len(cut(a)), 100 * len(cut(a) & cut(b)) >= 75 * len(cut(a) | cut(b))) for a, b, i in data]
+    assert sorted(tuple(r) for r in got.select("i", "n", "alike").collect()) == want and len({w[2] for w in want}) == 2
+
+    data = []
+    for i in range(60):
+        x = rnd.sample(range(40), rnd.randint(1, 30))
+        refs = [(r, None if r == 0 else rnd.randint(1, 3), rnd.sample(x, rnd.randint(0, len(x))) + rnd.sample(range(40, 60), rnd.randint(0, 3))) for r in range(rnd.randint(1, line_dedup.REFERENCES + 1))]
+        data.append((i, x, rnd.randint(1, 3), refs))
+    df = spark.createDataFrame(data, "i long, x array<long>, root long, refs array<struct<h1: long, root: long, set: array<long>>>")
+    prefix, alike = line_dedup._ordered(F.col("x"), F.col("root"), F.col("refs"), 75)
+    got = df.select("i", prefix.alias("prefix"), alike.alias("alike"))
+    assert "array_except(x#" in plan(got)
+    some = 0
+    for (_, x, root, refs), r in zip(data, got.orderBy("i").collect(), strict=True):
+        left, order = set(x), []
+        for _, _, own in refs:
+            order, left = sorted(left & set(own)) + order, left - set(own)
+        assert r["prefix"] == (sorted(left) + order)[: len(x) - math.ceil(len(x) * 0.75) + 1]
+        near = {o for _, o, own in refs if o not in (None, root) and 100 * len(set(x) & set(own)) >= 75 * len(set(x) | set(own))}
+        assert sorted(r["alike"]) == sorted(near)
+        some += len(near)
+    assert some
+
+
 def test_op5_pairs_meet_once(spark):
     """A pair of lines with one edit in common meets at one of the shingles there, not at each of them; pairs that share too little don't meet."""
     n, same, apart = 60, list(range(1000, 1012)), 2000

@@ -85,8 +85,8 @@ def _bound(value, use) -> F.Column:
 
 
 def _set(line) -> F.Column:
-    """The distinct shingles of a line, as hashes."""
-    return _bound(F.encode(line, "UTF-16BE"), lambda points: F.array_distinct(F.transform(_places(points), lambda i: F.xxhash64(_shingle(points, i)))))
+    """The distinct shingles of a line, as hashes. Spark compiles array functions that stand outside of lambdas, so the distinct ones are taken there."""
+    return F.array_distinct(_bound(F.encode(line, "UTF-16BE"), lambda points: F.transform(_places(points), lambda i: F.xxhash64(_shingle(points, i)))))
 
 
 def _alike(n, m, both, percent: int) -> F.Column:
@@ -94,34 +94,26 @@ def _alike(n, m, both, percent: int) -> F.Column:
     return both * 100 >= F.lit(percent) * (n + m - both)
 
 
-def _compared(line, other, percent: int) -> F.Column:
-    """n (the size of the line's set) and alike (whether the sets' similarity reaches percent)."""
-    sets = F.struct(_set(line).alias("x"), _set(other).alias("y"))
+def _compared(pairs: DataFrame, percent: int) -> DataFrame:
+    """pairs, where n (the size of the line's set) and alike (whether the sets' similarity reaches percent) stand for line and other."""
+    rest = [c for c in pairs.columns if c not in ("line", "other")]
+    sets = pairs.select(*rest, _set(F.col("line")).alias("x"), _set(F.col("other")).alias("y"))
+    n, m, both = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
+    return sets.select(*rest, n.alias("n"), _alike(n, m, both, percent).alias("alike"))
 
-    def result(s) -> F.Column:
-        n, m, both = F.size(s["x"]), F.size(s["y"]), F.size(F.array_intersect(s["x"], s["y"]))
-        return F.struct(n.alias("n"), _alike(n, m, both, percent).alias("alike"))
 
-    return _bound(sets, result)
-
-
-def _ordered(line, refs, percent: int) -> F.Column:
-    """prefix, of the line's shingles those that no reference has first, then by the first reference that has them; and alike, the roots of the references that the line is alike."""
-
-    def split(state, ref) -> F.Column:
+def _ordered(x, root, refs, percent: int) -> tuple[F.Column, F.Column]:
+    """Of a line's set its prefix, those shingles that no reference has first, then by the first reference that has them; and the other roots of the references that the line is alike."""
+    n, left, order, near = F.size(x), x, [], []
+    room = n - F.ceil(n * percent / F.lit(100)).cast("int") + 1
+    for j in range(REFERENCES + 1):
+        ref = F.get(refs, F.lit(j))
+        has = F.coalesce(ref["set"], F.array().cast("array<long>"))
         # what this reference has goes before what references before it have
-        old, left = state["order"], state["left"]
-        return F.struct(F.concat(F.sort_array(F.array_intersect(left, ref["set"])), old).alias("order"), F.array_except(left, ref["set"]).alias("left"))
-
-    def result(x) -> F.Column:
-        n = F.size(x)
-        room = n - F.ceil(n * percent / F.lit(100)).cast("int") + 1
-        start = F.struct(F.slice(x, 1, 0).alias("order"), x.alias("left"))
-        prefix = F.aggregate(refs, start, split, lambda s: F.slice(F.concat(F.sort_array(s["left"]), s["order"]), F.lit(1), room))
-        near = F.filter(refs, lambda r: _alike(n, F.size(r["set"]), F.size(F.array_intersect(x, r["set"])), percent))
-        return F.struct(prefix.alias("prefix"), F.array_distinct(F.transform(near, lambda r: r["root"])).alias("alike"))
-
-    return _bound(_set(line), result)
+        order.insert(0, F.sort_array(F.array_intersect(left, has)))
+        near.append(F.when((ref["root"] != root) & _alike(n, F.size(has), F.size(F.array_intersect(x, has)), percent), ref["root"]))
+        left = F.array_except(left, has)
+    return F.slice(F.concat(F.sort_array(left), *order), F.lit(1), room), F.array_distinct(F.array_compact(F.array(*near)))
 
 
 def _minima(lines: DataFrame, limited: bool) -> DataFrame:
@@ -178,9 +170,9 @@ def _joined(docs: DataFrame, classes: DataFrame, buckets: DataFrame, percent: in
     a, b = texts.select("h1", "line"), texts.select(F.col("h1").alias("p"), F.col("line").alias("other"))  # sets are several times longer
 
     def compared(pairs: DataFrame) -> DataFrame:
-        return pairs.where("h1 != p").join(a, "h1").join(b, "p").select(*pairs.columns, _compared(F.col("line"), F.col("other"), percent).alias("c"))
+        return _compared(pairs.where("h1 != p").join(a, "h1").join(b, "p"), percent)
 
-    found = keep(compared(ties).select("h1", "p", "score", "c.*"))
+    found = keep(compared(ties).select("h1", "p", "score", "n", "alike"))
     roots = keep(_roots(found.where("alike").select(F.col("h1").alias("a"), F.col("p").alias("b"))))
     rooted = keep(found.join(roots, "h1", "left").select("h1", "p", "score", "n", F.coalesce("root", "h1").alias("root")))
     apart = _apart(rooted)
@@ -191,7 +183,7 @@ def _joined(docs: DataFrame, classes: DataFrame, buckets: DataFrame, percent: in
     level = keep(_roots(near))
     members = keep(_onto(members.drop("alike"), level))
     pairs = keep(_prefix_pairs(members.join(_few(_apart(members)), "p"), percent).distinct())
-    more = keep(compared(pairs).where("c.alike").select(F.col("root").alias("a"), F.col("other_root").alias("b")))
+    more = keep(compared(pairs).where("alike").select(F.col("root").alias("a"), F.col("other_root").alias("b")))
     # the components of components: of roots that the references joined, and of these by the prefix join
     level = _onto(level.select("h1", "root"), more := keep(_roots(more))).union(more.select("h1", "root")).distinct()
     nodes = roots.union(level.select("h1", F.col("h1").alias("root"))).distinct()
@@ -222,8 +214,9 @@ def _ordered_members(members: DataFrame, texts: DataFrame, percent: int) -> Data
     chosen = chosen.select("p", each.alias("r")).where("r is not null").select("p", "r.*")
     sets = chosen.join(texts, "h1").select("p", F.struct("h1", "root", _set(F.col("line")).alias("set")).alias("r"))
     refs = keep(sets.groupBy("p").agg(F.sort_array(F.collect_list("r")).alias("refs")))  # at most REFERENCES + 1
-    out = members.join(texts, "h1").join(refs, "p").select("p", "h1", "root", "n", _ordered(F.col("line"), F.col("refs"), percent).alias("o"))
-    return out.select("p", "h1", "root", "n", "o.prefix", F.filter("o.alike", lambda r: r.isNotNull()).alias("alike"))
+    sets = members.join(texts, "h1").join(refs, "p").select("p", "h1", "root", "n", _set(F.col("line")).alias("x"), "refs")
+    prefix, alike = _ordered(F.col("x"), F.col("root"), F.col("refs"), percent)
+    return sets.select("p", "h1", "root", "n", prefix.alias("prefix"), alike.alias("alike"))
 
 
 def _marks(each: DataFrame) -> DataFrame:
